@@ -108,10 +108,10 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for r in (_R, _RINV):
         p = np.ones(1, _U)
-        step = r
+        base, step = np.full(1, r), np.full(1, r)
         while len(p) < size:
             p = np.concatenate([p, p * step])
-            step = step * step
+            step = p[-1:] * base
         out.append(p)
     return out[0], out[1]
 

@@ -1,22 +1,62 @@
-"""A training-corpus pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""A training-corpus pipeline over `documents`: five stages, each written as Parquet and read again by the next."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe
+from tracemill.llm import bpe, decontaminate, ngram_join, quality_rules, secret_scan
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality rules reject."""
+    rated = quality_rules.rate_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rated.where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the least doc_id, of each group that links join."""
+    return ngram_join.keep_one_each(docs)
+
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark passage, exact or lightly edited."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
-def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts."""
+    return secret_scan.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes every text and decodes it again: token counts and digests by document."""
     return bpe.encode_documents(docs)
 
 
-STAGES = [("tokenize", tokenize)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens)]
+
+#: Several stages have no SQL form (hashed likelihood ratios, alignment, merges); they are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over sf_dir/documents.parquet.
+
+    What each stage but the last keeps is written to the folder in spark.checkpoint.dir (one is made
+    where that is unset) and read from there.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracemill-"))
+    folder = f"{context.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs

@@ -136,6 +136,12 @@ class Sums:
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(_U))
 
+    def buckets(self, n: int, bits: int) -> np.ndarray:
+        """Hash buckets below 2**bits of all n-byte ranges, by start; an empty array's are none."""
+        m = max(self.n - n + 1, 0)
+        h = (self.sums[n : n + m] - self.sums[:m]) * self.inverse[:m]
+        return ((h ^ (h >> _U(29))) * _U(0xC4CEB9FE1A85EC53) >> _U(64 - bits)).astype(np.int64)
+
     def grams(self, n: int) -> np.ndarray:
         """Hashes of all n-byte ranges, by start."""
         m = self.n - n + 1

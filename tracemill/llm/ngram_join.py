@@ -5,8 +5,8 @@ Steps, none of which holds more than a bounded slice, a bounded block or a fixed
 1. Shingles of all texts are counted into a fixed number of buckets. The counts only order the
    shingles of a set (rare first, then by hash); any order gives the same links.
 2. Each text becomes one row: size, fingerprint, prefix (the first n - ceil(t n) + 1 shingles) and a
-   signature (how many shingles fall to each of 512 ranges). Equal sets are one class from here on.
-3. Prefix shingles that two or more classes share become postings.
+   signature (how many shingles fall to each of 256 ranges). Equal sets are one class from here on.
+3. Prefix shingles that classes of fitting sizes share become postings.
 4. First round: each posting is held against one leader of its shingle. Classes that pass the
    filters are verified on whole sets, and links give preliminary components.
 5. Second round: within a shingle, all pairs of different preliminary components are held against
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from .graph import anew, checkpointed, components, small
 from .kernels import lists, map_batches, mix, shingles, slices, text_of
 
-_BUCKET_BITS, _CHUNKS = 18, 128
-SIGNATURE = 512
+_BUCKET_BITS, _CHUNKS = 21, 128
+#: Ranges of a signature, each counted up to 15.
+SIGNATURE = 256
 #: Postings of one shingle that a task compares at once; longer lists are cut to blocks and paired.
 BLOCK = 2048
 #: Leaders that a class is verified against in the first round; the second round covers all others.
@@ -43,14 +44,15 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
-    """How many (document, distinct shingle) fall to each of 2**18 hash buckets, over all documents."""
+    """How many (document, distinct shingle) fall to each of 2**21 hash buckets, over all documents (a task reports 65535 at most)."""
     width = (1 << _BUCKET_BITS) // _CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << _BUCKET_BITS, np.int64)
+        total = np.zeros(1 << _BUCKET_BITS, np.uint32)
         for batch in batches:
             for part in slices(batch):
-                total += np.bincount((shingles(text_of(part), k)[0] >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64), minlength=len(total))
+                np.add.at(total, (shingles(text_of(part), k)[0] >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64), 1)
+        total = np.minimum(total, 65535).astype(np.uint16)
         rows = [total[i * width : (i + 1) * width].tobytes() for i in range(_CHUNKS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array(rows, pa.binary())], ["chunk", "counts"])
 
@@ -58,7 +60,7 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.int64)
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.uint16).astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array([*sums], pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
 
@@ -84,14 +86,15 @@ def shingle_sets(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> D
             m = mix(h + np.uint64(0x1234567))
             fp[0, some] = np.add.reduceat(m, begin[some]).view(np.int64)
             fp[1, some] = np.bitwise_xor.reduceat(mix(m), begin[some]).view(np.int64)
-        sig = np.minimum(np.bincount(row * SIGNATURE + (h & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=rows * SIGNATURE), 255).astype(np.uint8)
+        sig = np.minimum(np.bincount(row * SIGNATURE + (h & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=rows * SIGNATURE), 15).astype(np.uint8)
+        sig = sig[0::2] << 4 | sig[1::2]
         order = np.lexsort((h, shared.value[(h >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)], row))
         size = np.where(some, n - -(-percent * n // 100) + 1, 0)
         place = np.arange(len(h)) - np.repeat(begin, n)
         first = h[order][place < np.repeat(size, n)]
         yield {
             "doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "fp1": pa.array(fp[0]), "fp2": pa.array(fp[1]), "prefix": lists(first.view(np.int64), size, pa.int64()),
-            "sig": pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIGNATURE), rows, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary()),
+            "sig": pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIGNATURE // 2), rows, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary()),
         }
 
     return map_batches(_rows(docs), run, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, sig binary")
@@ -105,7 +108,8 @@ def _pass(percent: int, nx: np.ndarray, ny: np.ndarray, i: np.ndarray, j: np.nda
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIGNATURE // 2)
+    return np.concatenate([packed >> 4, packed & 15], 1)
 
 
 def _out(a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> pa.RecordBatch:
@@ -216,10 +220,11 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFr
     named = rows.where("n > 0 and doc_id is not null")
     classes = named.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("cid"), F.first("prefix").alias("prefix"))
     postings = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
-    near = Window.partitionBy("token").orderBy("cid", "pos")
-    shared = postings.withColumn("other", F.coalesce(F.lag("cid").over(near), F.lead("cid").over(near))).where("other is not null").drop("other")
-    signed = named.select(F.col("doc_id").alias("cid"), "n", "sig")
-    shared = checkpointed(shared.join(signed, ["cid", "n"]).select("token", "cid", "n", "pos", "sig").distinct())
+    near = Window.partitionBy("token").orderBy("n", "cid", "pos")
+    sized = postings.withColumns({"less": F.lag("n").over(near), "more": F.lead("n").over(near)})
+    shared = sized.where((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).drop("less", "more")
+    signed = named.select(F.col("doc_id").alias("cid"), "n", "sig").distinct()
+    shared = checkpointed(shared.join(signed, ["cid", "n"]).select("token", "cid", "n", "pos", "sig"))
 
     led = shared.repartition("token").sortWithinPartitions("token", F.xxhash64("token", "cid"), "cid", "pos").mapInArrow(_against_leader(percent), "a long, b long, gap long")
     led = led.groupBy("a", "b").agg(F.min("gap").alias("gap"))
@@ -229,10 +234,10 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFr
     links = verified(docs, first, k, percent)
     known = checkpointed(components(links).withColumnRenamed("id", "cid").withColumnRenamed("component", "comp"))
 
-    placed = shared.join(known, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    placed = shared.join(small(known), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     mixed = placed.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    mixed = mixed.select(anew("token").alias("key"), F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    open_ = placed.withColumn("key", anew("token")).join(mixed, "key").drop("key")
+    mixed = checkpointed(mixed.select(anew("token").alias("key"), F.ceil(F.col("m") / BLOCK).alias("blocks")))
+    open_ = placed.withColumn("key", anew("token")).join(small(mixed), "key").drop("key")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
     dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pair = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")

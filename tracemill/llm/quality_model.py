@@ -9,11 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Sums, doc_key, map_batches, mix, raw, text_of, words
+from .kernels import LOWER, Sums, doc_key, map_batches, mix, raw, text_of, words
 from .label_model import LabelModel, Scorer, fit_label_model, fit_scorer, posteriors
 
 BITS = 18
@@ -27,6 +26,7 @@ _SHAPE[[*range(97, 123), *range(128, 256)]] = ord("a")
 _SHAPE[65:91] = ord("A")
 _SHAPE[48:58] = ord("9")
 _LETTER = np.isin(_SHAPE, [ord("a"), ord("A")])
+_UPPER = _SHAPE == ord("A")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>{}[]\\^~=+@_"]] = True
 _END = np.zeros(256, bool)
@@ -34,17 +34,19 @@ _END[[ord(c) for c in ".!?:;\"')"]] = True
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, bucket and share of the features of every word: itself, its shape at both ends, its last two bytes' shape."""
-    data, offs = raw(pc.utf8_lower(texts))
+    """Row, bucket and share of the features of every word: itself, its shape, its last two bytes' shape, whether it repeats the word before."""
+    data, offs = raw(texts)
     start, end, row = words(data, offs)
     if not len(start):
         return row, row, row.astype(float)
     shape = Sums(_SHAPE[data])
     last = shape.ranges(np.maximum(start, end - 2), end)
     whole = mix(shape.ranges(start, np.minimum(end, start + 3)) * np.uint64(3) + last + np.minimum(end - start, 15).astype(np.uint64))
-    hashes = np.concatenate([Sums(data).ranges(start, end), whole, last * np.uint64(5)])
+    word = Sums(LOWER[data]).ranges(start, end)
+    again = mix(np.concatenate([[False], (word[1:] == word[:-1]) & (row[1:] == row[:-1])]).astype(np.uint64) + np.uint64(77))
+    hashes = np.concatenate([word, whole, last * np.uint64(5), again])
     share = 1.0 / np.bincount(row, minlength=len(texts))[row]
-    return np.tile(row, 3), (hashes >> np.uint64(64 - BITS)).astype(np.int64), np.tile(share, 3)
+    return np.tile(row, 4), (hashes >> np.uint64(64 - BITS)).astype(np.int64), np.tile(share, 4)
 
 
 def _says(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -61,15 +63,15 @@ def labeller_votes(texts: pa.Array) -> np.ndarray:
     size = np.bincount(row, end - start, n)
     of = lambda mask: np.bincount(np.searchsorted(offs, np.flatnonzero(mask[data]), "right") - 1, minlength=n)[:n]
     letters, symbols = of(_LETTER) / np.maximum(size, 1), of(_SYMBOL) / some
-    low = raw(pc.utf8_lower(texts))[0]
-    same = len(low) == len(data)
-    hashes = Sums(low if same else data).ranges(start, end)
+    hashes = Sums(LOWER[data]).ranges(start, end)
     known = Sums(np.frombuffer(" ".join(FUNCTION_WORDS).encode(), np.uint8))
     s, e, _ = words(np.frombuffer(" ".join(FUNCTION_WORDS).encode(), np.uint8), np.array([0, len(" ".join(FUNCTION_WORDS))]))
     function = np.bincount(row, np.isin(hashes, known.ranges(s, e)), n) / some
     strange = np.bincount(row, (_SYMBOL[data[end - 1]]) if len(end) else None, n) / some
     lone = np.bincount(row, ((end - start == 1) & _SYMBOL[data[start]]) if len(end) else None, n) / some
     mean = size / some
+    upper, shouts = of(_UPPER) / np.maximum(size, 1), (np.bincount(row, (data[end - 1] == 33) if len(end) else None, n) / some)
+    again = np.bincount(row[1:], (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1]), n) / some if len(hashes) else np.zeros(n)
     pair = mix(hashes[:-1] * np.uint64(3) + hashes[1:]) if len(hashes) else hashes
     inside = row[:-1][row[:-1] == row[1:]]
     pair = pair[row[:-1] == row[1:]]
@@ -86,6 +88,7 @@ def labeller_votes(texts: pa.Array) -> np.ndarray:
             _says(symbols > 0.3, symbols < 0.02), _says(letters < 0.8, letters > 0.93), _says((function < 0.05) & (count >= 30), function > 0.12), _says(strange > 0.2, strange < 0.01),
             _says(lone > 0.1, (lone < 0.005) & (count >= 30)), _says((mean < 2.5) | (mean > 12), (mean > 3.5) & (mean < 8.5)), _says(variety < 0.5, (variety > 0.8) & (count >= 50)),
             _says(ends < 0.2, ends > 0.8), _says(repeats > 0.4, np.zeros(n, bool)), _says(count < 20, count >= 60),
+            _says(upper > 0.4, upper < 0.15), _says(shouts > 0.2, shouts < 0.02), _says(again > 0.15, again < 0.03),
         ], 1)
 
 

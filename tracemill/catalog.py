@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from .plans import reports
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (reports,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES

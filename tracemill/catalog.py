@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import reports
+from .plans import failures, reports
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (reports,):
+for _module in (reports, failures):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

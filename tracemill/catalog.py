@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import failures, reports
+from .plans import comparisons, failures, reports
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (reports, failures):
+for _module in (reports, failures, comparisons):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

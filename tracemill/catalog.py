@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import comparisons, failures, reports
+from .plans import comparisons, failures, reports, search
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (reports, failures, comparisons):
+for _module in (reports, failures, comparisons, search):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import comparisons, failures, reports, search
+from .plans import comparisons, failures, reports, search, text_work
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (reports, failures, comparisons, search):
+for _module in (reports, failures, comparisons, search, text_work):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

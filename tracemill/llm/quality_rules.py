@@ -22,30 +22,43 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), _BLANKS), "")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _runs(hashes: str, k: int) -> Column:
+def _runs(hashes: Column, k: int) -> Column:
     """Hashes of all runs of k words."""
-    ahead = lambda i: F.xxhash64(*[F.get(F.col(hashes), i + j) for j in range(k)])
+    ahead = lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)])
     return F.when(F.size(hashes) >= k, F.transform(F.sequence(F.lit(0), F.size(hashes) - k), ahead)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _buckets(hashes: str) -> Column:
-    return F.transform(F.concat(F.col(hashes), _runs(hashes, 2)), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
+def _buckets(hashes: Column) -> Column:
+    return F.transform(F.concat(hashes, _runs(hashes, 2)), lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int"))
 
 
-def _repeated(windows: str, ordered: str) -> Column:
+def _repeated(windows: Column) -> Column:
     """Words inside 3-word windows found twice or more: covered places, counted once each."""
-    equal = lambda e, i: (F.get(F.col(ordered), i - 1)["h"].eqNullSafe(e["h"]) & (i > 0)) | F.get(F.col(ordered), i + 1)["h"].eqNullSafe(e["h"])
-    places = F.sort_array(F.transform(F.filter(F.col(ordered), equal), lambda e: e["i"]))
-    return F.when(F.size(ordered) > 0, places).otherwise(F.array().cast("array<int>"))
+    none = F.array().cast("array<struct<h:bigint,i:int>>")
+    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    ordered = F.when(F.size(F.array_distinct(windows)) < F.size(windows), pairs).otherwise(none)
+
+    def covered(s: Column) -> Column:
+        equal = lambda e, i: ((i > 0) & F.get(s, i - 1)["h"].eqNullSafe(e["h"])) | F.get(s, i + 1)["h"].eqNullSafe(e["h"])
+        places = F.sort_array(F.transform(F.filter(s, equal), lambda e: e["i"]))
+        reach = lambda at: F.aggregate(F.transform(at, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+        return _let(places, reach)
+
+    return _let(ordered, covered).cast("long")
 
 
 def weights(docs: DataFrame, trusted: Column) -> DataFrame:
     """One row, one array: the weight of every bucket. trusted: a condition on rows of docs."""
-    grams = docs.select(trusted.alias("t"), _hashes(_words(F.col("text"))).alias("wh")).select("t", F.explode(_buckets("wh")).alias("bucket"))
+    grams = docs.select(trusted.alias("t"), _hashes(_words(F.col("text"))).alias("wh")).select("t", F.explode(_buckets(F.col("wh"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("t").alias("target"))
     dense = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
     rows = F.sort_array(F.collect_list(F.struct("bucket", "raw", "target")))
@@ -64,24 +77,22 @@ def measured(docs: DataFrame, weight: DataFrame, threshold: float = THRESHOLD) -
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    a = docs.withColumns({"__words": _words(F.col("text")), "__lines": lines, "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long")})
-    b = a.withColumns(
-        {
-            "n_words": F.size("__words").cast("long"), "word_chars": F.char_length(F.array_join("__words", "")).cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"), "__wh": _hashes(F.col("__words")),
-        }
-    ).drop("__words", "__lines")
-    c = b.withColumns({"__win": _runs("__wh", 3), "__b": _buckets("__wh"), "__w": weight.scalar()}).drop("__wh")
-    total = F.aggregate("__b", F.lit(0.0), lambda s, x: s + F.get(F.col("__w"), x))
-    many = F.size(F.array_distinct("__win")) < F.size("__win")
-    pairs = F.transform("__win", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    d = c.withColumns({"llr": total / F.nullif(F.size("__b"), F.lit(0)), "__ordered": F.when(many, F.sort_array(pairs)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))})
-    d = d.withColumn("__at", _repeated("__win", "__ordered"))
-    reach = F.transform("__at", lambda x, i: F.least(F.lit(3), F.coalesce(F.get(F.col("__at"), i + 1) - x, F.lit(3))))
-    e = d.withColumn("n_repeat_words", F.aggregate(reach, F.lit(0), lambda s, x: s + x).cast("long"))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    f = e.withColumn("base_failed", failed)
-    return f.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))).drop("__win", "__b", "__w", "__ordered", "__at")
+
+    def verdict(n: Column, repeat: Column, llr: Column) -> list[Column]:
+        failed = (n < 50) | (100 * repeat > 50 * n)
+        return [failed.alias("base_failed"), (~failed & F.coalesce(llr >= threshold, F.lit(False))).alias("kept")]
+
+    def hashed(words: Column, wh: Column) -> Column:
+        ratio = _let(_buckets(wh), lambda b: F.aggregate(b, F.lit(0.0), lambda s, x: s + F.get(F.col("__w"), x)) / F.nullif(F.size(b), F.lit(0)))
+        n, repeat = F.size(words).cast("long"), _let(_runs(wh, 3), _repeated)
+        both = F.struct(repeat.alias("r"), ratio.alias("llr"))
+        return _let(both, lambda q: F.struct(n.alias("n_words"), F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"), q["r"].alias("n_repeat_words"), q["llr"].alias("llr"), *verdict(n, q["r"], q["llr"])))
+
+    duplicate = _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    found = docs.withColumn("__w", weight.scalar()).withColumn("__q", _let(_words(F.col("text")), lambda w: _let(_hashes(w), lambda h: hashed(w, h))))
+    own = {f: F.col("__q")[f] for f in ("n_words", "word_chars")}
+    own |= {"n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"), "n_dup_lines": duplicate} | {f: F.col("__q")[f] for f in ("n_repeat_words", "base_failed", "llr", "kept")}
+    return found.withColumns(own).drop("__q", "__w")
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

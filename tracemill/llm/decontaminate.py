@@ -1,6 +1,6 @@
 """Benchmark passages inside documents, exact or edited: q-gram lemma filtering and banded alignment.
 
-A passage of m characters that occurs with at most k edits shares at least m + 1 - q (k + 1) of its
+A passage of m bytes (UTF-8) that occurs with at most k edits shares at least m + 1 - q (k + 1) of its
 q-grams with the place where it occurs, on diagonals (place in the text minus place in the passage)
 at most k apart. Shared q-grams are counted in overlapping bands of diagonals, twice k + 1 wide and
 k + 1 apart; bands that reach the bound are verified by an alignment inside the band. Texts and
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .kernels import Sums, map_batches, raw, slices, text_of
 
 Q = 12
-#: Edits for each character of a passage.
+#: Edits for each byte of a passage in UTF-8; insertions, deletions and changes of a byte count one each.
 RATE = 0.06
 #: Characters of the passages of one block, about.
 BLOCK_CHARS = 4_000_000

@@ -79,14 +79,19 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_scorer(rows: np.ndarray, features: np.ndarray, values: np.ndarray | None, target: np.ndarray, size: int, rounds: int = 120, rate: float = 0.3, lasso: float = 2e-4, least_df: int = 3) -> Scorer:
-    """A logistic scorer of soft targets, with few weights other than 0 (adaptive steps, soft thresholds)."""
+def fit_scorer(rows: np.ndarray, features: np.ndarray, values: np.ndarray | None, target: np.ndarray, size: int, rounds: int = 120, rate: float = 0.3, lasso: float = 2e-4, least_df: int = 3, positive: bool = False) -> Scorer:
+    """A logistic scorer of soft targets, with few weights other than 0 (adaptive steps, soft thresholds).
+
+    positive: weights are never below 0, so that a long text can't outweigh what it holds.
+    """
     n = len(target)
     df = np.bincount(features, minlength=size)
     ok = df[features] >= least_df
-    rows, features = rows[ok], features[ok]
-    values = np.ones(len(rows)) if values is None else values[ok]
-    used, features = np.unique(features, return_inverse=True)
+    rows, features = rows[ok].astype(np.int32), features[ok].astype(np.int32)
+    values = np.float32(1) if values is None else values[ok].astype(np.float32)
+    used, place = np.flatnonzero(df >= least_df), np.zeros(size, np.int32)
+    place[used] = np.arange(len(used))
+    features = place[features]
     w, bias = np.zeros(len(used)), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     squares, bias_squares = np.full(len(used), 1e-8), 1e-8
     for _ in range(rounds):
@@ -97,7 +102,7 @@ def fit_scorer(rows: np.ndarray, features: np.ndarray, values: np.ndarray | None
         bias_squares += left.sum() ** 2
         step = rate / np.sqrt(squares)
         w = w - step * g
-        w = np.sign(w) * np.maximum(np.abs(w) - step * lasso, 0)
+        w = np.maximum(w - step * lasso, 0) if positive else np.sign(w) * np.maximum(np.abs(w) - step * lasso, 0)
         bias -= rate * left.sum() / np.sqrt(bias_squares)
     out = np.zeros(size, np.float32)
     out[used] = w

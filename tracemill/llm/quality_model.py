@@ -17,7 +17,7 @@ from .label_model import LabelModel, Scorer, fit_label_model, fit_scorer, poster
 
 BITS = 18
 #: Documents that the model is fitted on at most, and characters of each (a window at a hashed place).
-SAMPLE_DOCS, SAMPLE_CHARS = 5000, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS = 3000, 8000
 #: Function words of four languages, by which a labeller tells running text.
 FUNCTION_WORDS = "the of and to in is that it for was on are as with be at by this from a der die das und ist in den von zu mit sich des auf im nicht ein eine le la les de et des en un une du que est pour dans qui par el los las y que en un una por con para es se del al".split()
 
@@ -93,10 +93,16 @@ def labeller_votes(texts: pa.Array) -> np.ndarray:
 
 
 def fit(texts: list[str]) -> tuple[Scorer, LabelModel]:
-    column = pa.array(texts, pa.string())
-    votes = labeller_votes(column)
+    votes, rows, buckets, values = [], [], [], []
+    for lo in range(0, len(texts), 200):  # a bounded part of the sample at a time
+        column = pa.array(texts[lo : lo + 200], pa.string())
+        votes.append(labeller_votes(column))
+        r, b, v = features(column)
+        rows.append((r + lo).astype(np.int32))
+        buckets.append(b.astype(np.int32))
+        values.append(v.astype(np.float32))
+    votes, rows, buckets, values = (np.concatenate(x) for x in (votes, rows, buckets, values))
     voters = fit_label_model(votes, accuracy=0.75, prior=0.8)
-    rows, buckets, values = features(column)
     return fit_scorer(rows, buckets, values, posteriors(votes, voters), 1 << BITS, lasso=1e-6), voters
 
 

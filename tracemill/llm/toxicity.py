@@ -22,9 +22,11 @@ from .label_model import LabelModel, Scorer, fit_label_model, fit_scorer, poster
 
 BITS = 20
 #: Rows with and without a label that are learned from at most, and characters of each (a window at a hashed place).
-SAMPLE_LABELLED, SAMPLE_OTHER, SAMPLE_CHARS = 6000, 1000, 20_000
+SAMPLE_LABELLED, SAMPLE_OTHER, SAMPLE_CHARS = 4500, 500, 8000
 #: Lexicon voters, and entries of each.
 LEXICONS, ENTRIES = 24, 16
+#: Soft threshold of the classifier's weights.
+LASSO = 1e-4
 
 _NO_LETTER = np.ones(256, bool)
 _NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -77,11 +79,14 @@ class Model:
 
 def fit(texts: list[str], known: np.ndarray) -> Model:
     """A model from a bounded sample. known: 0 or 1 where a text has a label, else -1."""
-    rows, buckets = features(pa.array(texts, pa.string()))
     size = 1 << BITS
-    one = np.unique(rows * size + buckets)
-    r, b = one // size, one % size
-    bad, good = (np.bincount(b[known[r] == c], minlength=size) for c in (1, 0))
+    rows, buckets = [], []
+    for lo in range(0, len(texts), 200):  # a bounded part of the sample at a time
+        r, b = features(pa.array(texts[lo : lo + 200], pa.string()))
+        rows.append((r + lo).astype(np.int32))
+        buckets.append(b.astype(np.int32))
+    r, b = np.concatenate(rows), np.concatenate(buckets)
+    bad, good = (np.bincount(b[known[r] == c], minlength=size) for c in (1, 0))  # words are distinct by row, so these are document counts
     odds = (bad + 0.2) / ((known == 1).sum() + 1) / ((good + 0.2) / ((known == 0).sum() + 1))
     found = np.flatnonzero((bad >= 4) & (odds > 4))
     found = found[np.argsort(-(bad * np.log(odds))[found], kind="stable")][: LEXICONS * ENTRIES]
@@ -98,7 +103,7 @@ def fit(texts: list[str], known: np.ndarray) -> Model:
     voters = fit_label_model(votes, known, prior=float(np.clip(share, 0.01, 0.99)))
     target = posteriors(votes, voters)
     target = np.where(known >= 0, 0.9 * known + 0.1 * target, target)
-    return Model(fit_scorer(rows, buckets, None, target, size), voters)
+    return Model(fit_scorer(r, b, None, target, size, rounds=200, lasso=LASSO, positive=True), voters)
 
 
 def learn(docs: DataFrame, labels: DataFrame, labelled: int = SAMPLE_LABELLED, other: int = SAMPLE_OTHER, chars: int = SAMPLE_CHARS) -> Model | None:

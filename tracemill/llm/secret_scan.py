@@ -68,7 +68,7 @@ def novelty(token: str, before: str, after: str) -> float:
     return (len(c.compress(around + b"\n" + token.encode())) - len(c.compress(around + b"\n"))) / len(token)
 
 
-def spans(text: str, least: float = 0.62, window: int = 400) -> list[tuple[int, int, int]]:
+def spans(text: str, least: float = 0.88, window: int = 400) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all secrets of one text, by start, then kind; code points, end exclusive."""
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if "AKIA" in text:
@@ -91,7 +91,7 @@ def written(found: list[tuple[int, int, int]]) -> str:
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-def scan_documents(docs: DataFrame, least: float = 0.62) -> DataFrame:
+def scan_documents(docs: DataFrame, least: float = 0.88) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans.
 
     spans lists kind:start:end (code points, end exclusive) by start, then kind, comma-joined;
@@ -119,7 +119,7 @@ def scan_documents(docs: DataFrame, least: float = 0.62) -> DataFrame:
     return map_batches(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), run, "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", least: float = 0.62) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", least: float = 0.88) -> DataFrame:
     """The documents, all columns kept, with every secret's span replaced by `mark`; n_chars, where there, is counted anew.
 
     Overlapping spans are replaced together. Null texts stay null.

@@ -61,7 +61,7 @@ def backpropagated(nodes: DataFrame, rewards: DataFrame, gamma: float = 0.9, mos
     nodes.select("node_id", "parent_id").createOrReplaceTempView("__up_nodes")
     rewards.groupBy("node_id").agg(F.sum("reward").alias("reward"), F.count("*").alias("n")).createOrReplaceTempView("__up_rewards")
     return spark.sql(
-        f"WITH RECURSIVE up MAX RECURSION LEVEL {most} AS (SELECT node_id, reward, n FROM __up_rewards UNION ALL SELECT t.parent_id, u.reward * {gamma}D, u.n FROM up u JOIN __up_nodes t ON t.node_id = u.node_id WHERE t.parent_id IS NOT NULL) SELECT node_id, round(sum(reward), 6) AS total, CAST(sum(n) AS BIGINT) AS rewards FROM up GROUP BY node_id"
+        f"WITH RECURSIVE up MAX RECURSION LEVEL {most} AS (SELECT node_id, reward, n FROM __up_rewards UNION ALL SELECT t.parent_id, u.reward * {gamma}D, u.n FROM up u JOIN __up_nodes t ON t.node_id = u.node_id WHERE t.parent_id IS NOT NULL) SELECT node_id, round(sum(reward) + 1e-9D, 6) AS total, CAST(sum(n) AS BIGINT) AS rewards FROM up GROUP BY node_id"
     )
 
 

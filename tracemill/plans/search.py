@@ -63,7 +63,7 @@ def _(spark, d):
     return T.root_paths(src.nodes(spark, d))
 
 
-@query("backpropagation", "SELECT node_id, round(sum(reward), 6) AS total, sum(n)::BIGINT AS rewards FROM up GROUP BY node_id", f"RECURSIVE {REWARDS}, {src.NODES}, up AS (SELECT node_id, sum(reward) AS reward, count(*) AS n FROM rw GROUP BY 1 UNION ALL SELECT t.parent_id, u.reward * 0.9e0, u.n FROM up u JOIN nodes t ON t.node_id = u.node_id WHERE t.parent_id IS NOT NULL)")
+@query("backpropagation", "SELECT node_id, round(sum(reward) + 1e-9, 6) AS total, sum(n)::BIGINT AS rewards FROM up GROUP BY node_id", f"RECURSIVE {REWARDS}, {src.NODES}, up AS (SELECT node_id, sum(reward) AS reward, count(*) AS n FROM rw GROUP BY 1 UNION ALL SELECT t.parent_id, u.reward * 0.9e0, u.n FROM up u JOIN nodes t ON t.node_id = u.node_id WHERE t.parent_id IS NOT NULL)")
 def _(spark, d):
     return T.backpropagated(src.nodes(spark, d), rewards(spark, d))
 

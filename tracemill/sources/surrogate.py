@@ -24,7 +24,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         run.alias("run_id"), node.alias("node_id"), F.col("c_mktsegment").alias("model"), rank.alias("difficulty_rank"), at(DIFFICULTIES, rank).alias("difficulty"),
         at(SURFACES, node % 6).alias("surface"), (1 + run % 3).cast("int").alias("phase"), (F.col("o_orderstatus") == "F").alias("success"),
         F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False).alias("judge_is_secure"), (1 + run % 4).cast("int").alias("attempts"), (run % 5 == 0).alias("used_fixer"),
-        F.when(F.col("o_orderstatus") != "P", (node % 100) / F.lit(100.0)).alias("judge_risk"), ((run % 101) / F.lit(100.0)).alias("functionality"),
+        F.when(F.col("o_orderstatus") != "P", (node % 100) / F.lit(128.0)).alias("judge_risk"), ((run % 101) / F.lit(128.0)).alias("functionality"),
         F.array_sort(F.array_distinct(F.array(F.concat(F.lit("C"), (node % 7).cast("string")), F.concat(F.lit("C"), (run % 11).cast("string"))))).alias("concepts"),
         F.concat(F.lit("CWE-"), (20 + node % 25).cast("string")).alias("target_cwe"), F.col("o_totalprice").alias("value"), F.col("o_orderdate").alias("at"),
     )
@@ -34,8 +34,8 @@ RUNS = """runs AS (SELECT o_orderkey AS run_id, o_custkey AS node_id, c_mktsegme
  ['very easy','easy','medium','hard','very hard'][6 - CAST(substr(o_orderpriority, 1, 1) AS INT)] AS difficulty,
  ['User Inputs & Data','Web Outputs & Rendering','Storage & Filesystem','Authentication & Access Control','Data Exchange & External Services','Execution Environment & Infrastructure'][o_custkey % 6 + 1] AS surface,
  CAST(1 + o_orderkey % 3 AS INT) AS phase, o_orderstatus = 'F' AS success, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS judge_is_secure,
- CAST(1 + o_orderkey % 4 AS INT) AS attempts, o_orderkey % 5 = 0 AS used_fixer, CASE WHEN o_orderstatus <> 'P' THEN (o_custkey % 100) / 100e0 END AS judge_risk,
- (o_orderkey % 101) / 100e0 AS functionality, list_sort(list_distinct(['C' || (o_custkey % 7), 'C' || (o_orderkey % 11)])) AS concepts,
+ CAST(1 + o_orderkey % 4 AS INT) AS attempts, o_orderkey % 5 = 0 AS used_fixer, CASE WHEN o_orderstatus <> 'P' THEN (o_custkey % 100) / 128e0 END AS judge_risk,
+ (o_orderkey % 101) / 128e0 AS functionality, list_sort(list_distinct(['C' || (o_custkey % 7), 'C' || (o_orderkey % 11)])) AS concepts,
  'CWE-' || (20 + o_custkey % 25) AS target_cwe, o_totalprice AS value, o_orderdate AS at FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import comparisons, failures, reports, search, text_work
+from .plans import artefacts, comparisons, failures, reports, search, text_work
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (reports, failures, comparisons, search, text_work):
+for _module in (reports, failures, comparisons, search, text_work, artefacts):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

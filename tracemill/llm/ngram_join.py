@@ -116,6 +116,53 @@ def _out(a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (np.minimum(a, b), np.maximum(a, b), gap)], ["a", "b", "gap"])
 
 
+#: Neighbours in order of size that a posting is held against before it counts as open without further tests.
+NEIGHBOURS = 48
+#: Postings of one shingle from which on all count as open.
+LONG_LIST = 8192
+
+
+def _with_partner(percent: int, neighbours: int, long_list: int):
+    """Streams postings sorted by (token, n); those are kept that may pass the length and positional filters with another posting of their token."""
+
+    def keep(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, n, pos = (table.column(c).to_numpy() for c in ("token", "n", "pos"))
+        open_, near = np.zeros(len(token), bool), np.arange(len(token))
+        for lag in range(1, neighbours + 1):
+            at = near[near >= lag]
+            near = at[(token[at] == token[at - lag]) & (100 * n[at - lag] >= percent * n[at])]
+            ok = _pass(percent, n[near], n[near - lag], pos[near], pos[near - lag])[0]
+            open_[near[ok]] = open_[near[ok] - lag] = True
+        open_[near] = open_[near - neighbours] = True  # these have more neighbours than were tried
+        yield from table.filter(pa.array(open_)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        long = None  # a token with so many postings that all count as open
+        for batch in batches:
+            if batch.num_rows and long is not None:
+                same = int(np.searchsorted(np.asarray(batch.column("token")), long, "right"))
+                if same:
+                    yield batch.slice(0, same)
+                batch = batch.slice(same)
+            if not batch.num_rows:
+                continue
+            token = np.asarray(batch.column("token"))
+            cut = int(np.searchsorted(token, token[-1]))
+            if cut or held and held[-1].column("token")[-1].as_py() != token[0]:
+                yield from keep(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+            if sum(x.num_rows for x in held) > long_list:
+                long = int(token[-1])
+                yield from held
+                held = []
+        if held:
+            yield from keep(pa.Table.from_batches(held))
+
+    return run
+
+
 def _against_leader(percent: int):
     """Streams postings sorted by token; the first of each token is its leader, the others are held against it."""
 
@@ -222,7 +269,8 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFr
     postings = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
     near = Window.partitionBy("token").orderBy("n", "cid", "pos")
     sized = postings.withColumns({"less": F.lag("n").over(near), "more": F.lead("n").over(near)})
-    shared = sized.where((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).drop("less", "more")
+    shared = sized.where((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).select("token", "cid", "n", "pos")
+    shared = shared.mapInArrow(_with_partner(percent, NEIGHBOURS, LONG_LIST), "token long, cid long, n long, pos int")
     signed = named.select(F.col("doc_id").alias("cid"), "n", "sig").distinct()
     shared = checkpointed(shared.join(signed, ["cid", "n"]).select("token", "cid", "n", "pos", "sig"))
 

@@ -72,6 +72,8 @@ def test_blocks_of_one_token_lose_no_pair(spark, monkeypatch):
     texts = noisy_groups(3)
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
     monkeypatch.setattr(ngram_join, "LEADERS", 1)
+    monkeypatch.setattr(ngram_join, "NEIGHBOURS", 2)
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 9)
     docs = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
     assert found == brute_components(texts)
@@ -135,6 +137,9 @@ def test_quality_rules_edges_and_plan(spark):
     rows = quality_rules.rate_documents(docs, labels).collect()
     assert len(rows) == len(ODD) and {r.kept for r in rows if r.text is None or not r.text.strip()} == {False}
     assert quality_rules.rate_documents(docs.where("doc_id > 100"), labels).count() == 0
+    text = " ".join(f"w{i}" for i in range(60))
+    alone = quality_rules.rate_documents(spark.createDataFrame([(9, text)], "doc_id bigint, text string"), labels).first()
+    assert alone.llr == 0 and alone.kept
     plan = quality_rules.rate_documents(docs, labels)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 

@@ -57,14 +57,15 @@ def _repeated(windows: Column) -> Column:
 
 
 def weights(docs: DataFrame, trusted: Column) -> DataFrame:
-    """One row, one array: the weight of every bucket. trusted: a condition on rows of docs."""
+    """One row, one array: the weight of every bucket, all 0 if no row is trusted. trusted: a condition on rows of docs."""
     grams = docs.select(trusted.alias("t"), _hashes(_words(F.col("text"))).alias("wh")).select("t", F.explode(_buckets(F.col("wh"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("t").alias("target"))
     dense = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
     rows = F.sort_array(F.collect_list(F.struct("bucket", "raw", "target")))
     one = dense.agg(rows.alias("rows"), F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"))
     share = lambda n, total: (n + 1) / (F.col(total) + BUCKETS)
-    return one.select(F.transform("rows", lambda r: F.log(share(r["target"], "all_target") / share(r["raw"], "all_raw"))).alias("w"))
+    ratio = lambda r: F.when(F.col("all_target") > 0, F.log(share(r["target"], "all_target") / share(r["raw"], "all_raw"))).otherwise(F.lit(0.0))
+    return one.select(F.transform("rows", ratio).alias("w"))
 
 
 def measured(docs: DataFrame, weight: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -96,7 +97,10 @@ def measured(docs: DataFrame, weight: DataFrame, threshold: float = THRESHOLD) -
 
 
 def rate_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs measured against the target of documents with a label of quality 1 (docs itself where no label is known)."""
+    """docs measured against the target of documents with a label of quality 1.
+
+    Where none of docs has one, every ratio is 0 and the base rules decide alone.
+    """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("__good")).distinct()
     good = F.broadcast(good) if good.count() <= 1_000_000 else good
     marked = docs.join(good, F.col("doc_id") == F.col("__good"), "left")

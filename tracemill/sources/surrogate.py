@@ -36,7 +36,7 @@ RUNS = """runs AS (SELECT o_orderkey AS run_id, o_custkey AS node_id, c_mktsegme
  CAST(1 + o_orderkey % 3 AS INT) AS phase, o_orderstatus = 'F' AS success, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS judge_is_secure,
  CAST(1 + o_orderkey % 4 AS INT) AS attempts, o_orderkey % 5 = 0 AS used_fixer, CASE WHEN o_orderstatus <> 'P' THEN (o_custkey % 100) / 128e0 END AS judge_risk,
  (o_orderkey % 101) / 128e0 AS functionality, list_sort(list_distinct(['C' || (o_custkey % 7), 'C' || (o_orderkey % 11)])) AS concepts,
- 'CWE-' || (20 + o_custkey % 25) AS target_cwe, o_totalprice AS value, o_orderdate AS at FROM orders JOIN customer ON o_custkey = c_custkey)"""
+ 'CWE-' || (20 + o_custkey % 25) AS target_cwe, o_totalprice AS value, o_orderdate AS "at" FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

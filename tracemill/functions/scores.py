@@ -13,7 +13,7 @@ def num(x: float) -> Column:
 
 
 def clamp01(x: Column) -> Column:
-    return F.greatest(num(0), F.least(num(1), x))
+    return F.when(x.isNotNull(), F.greatest(num(0), F.least(num(1), x)))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -110,7 +110,7 @@ def _(spark, d):
     return T.novel_partners(sets(spark, d))
 
 
-@query("call_graph_closure", "SELECT DISTINCT src, dst FROM reach", "RECURSIVE edges AS (SELECT DISTINCT n_nationkey AS src, (n_nationkey * 3 + n_regionkey) % 25 AS dst FROM nation), reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src)")
+@query("call_graph_closure", "SELECT DISTINCT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM reach", "RECURSIVE edges AS (SELECT DISTINCT n_nationkey AS src, (n_nationkey * 3 + n_regionkey) % 25 AS dst FROM nation), reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src)")
 def _(spark, d):
     n = src.table(spark, d, "nation")
     return T.closure(n.select(F.col("n_nationkey").cast("bigint").alias("src"), ((F.col("n_nationkey") * 3 + F.col("n_regionkey")) % 25).cast("bigint").alias("dst")).distinct())

@@ -28,3 +28,14 @@ def test_windows_and_sessions_equal_batch(spark, tmp_path):
     found = run_once(S.windowed_counts(stream, "at", "10 minutes", "1 day", "1 day", "event_type"), "windows", "complete", tmp_path / "c2")
     assert found.agg(F.sum("n")).first()[0] == batch.count()
     assert found.count() == batch.groupBy(F.window("at", "1 day"), "event_type").count().count()
+
+
+def test_bounded_memory_of_scenarios(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("a", 3, "x"), ("b", 4, "x"), ("a", 5, "z"), ("a", 6, "x")]
+    df = spark.createDataFrame(rows, "bucket string, doc_id bigint, hash string")
+    df.coalesce(1).write.parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "s"))
+    found = {r.doc_id: (r.duplicate, r.of) for r in run_once(S.remembered_duplicates(stream, 2), "memory", "append", tmp_path / "c3").collect()}
+    # Two hashes are remembered in each bucket: when z comes, x goes, so the last x is new again.
+    assert found == {1: (False, None), 2: (False, None), 3: (True, 1), 4: (False, None), 5: (False, None), 6: (False, None)}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of two or three longs up to which a table may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ Steps, none of which holds more than a bounded slice, a bounded block or a fixed
 2. Each text becomes one row: size, fingerprint, prefix (the first n - ceil(t n) + 1 shingles) and a
    signature (how many shingles fall to each of 256 ranges). Equal sets are one class from here on.
 3. Prefix shingles that classes of fitting sizes share become postings.
-4. First round: each posting is held against one leader of its shingle. Classes that pass the
+4. First round: each posting is held against one leader of its shingle (of its block in a long list). Classes that pass the
    filters are verified on whole sets, and links give preliminary components.
 5. Second round: within a shingle, all pairs of different preliminary components are held against
    the filters in blocks. Pairs that pass are verified once each. Pairs inside a preliminary
@@ -34,7 +34,7 @@ _BUCKET_BITS, _CHUNKS = 21, 128
 #: Ranges of a signature, each counted up to 15.
 SIGNATURE = 256
 #: Postings of one shingle that a task compares at once; longer lists are cut to blocks and paired.
-BLOCK = 2048
+BLOCK = 512
 #: Leaders that a class is verified against in the first round; the second round covers all others.
 LEADERS = 3
 
@@ -73,7 +73,8 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
 
 def shingle_sets(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
     """One row per document: doc_id, n, fp1, fp2 (fingerprint of the set), prefix (rare first), sig."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    ranks = np.minimum(16 * np.log2(counts + 1), 255).astype(np.uint8)  # one byte tells rare from common well enough
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batch: pa.RecordBatch):
         h, row = shingles(text_of(batch), k)
@@ -274,7 +275,10 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFr
     signed = named.select(F.col("doc_id").alias("cid"), "n", "sig").distinct()
     shared = checkpointed(shared.join(signed, ["cid", "n"]).select("token", "cid", "n", "pos", "sig"))
 
-    led = shared.repartition("token").sortWithinPartitions("token", F.xxhash64("token", "cid"), "cid", "pos").mapInArrow(_against_leader(percent), "a long, b long, gap long")
+    heavy = checkpointed(shared.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select(anew("token").alias("key"), F.ceil(F.col("m") / BLOCK).alias("blocks")))
+    salted = shared.withColumn("key", anew("token")).join(small(heavy), "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("cid", "token"), F.col("blocks")), F.lit(0)))  # by token too, so that blocks of different tokens mix
+    salted = salted.select(F.xxhash64("token", "salt").alias("token"), "cid", "n", "pos", "sig")  # a leader for each block of a long list
+    led = salted.repartition("token").sortWithinPartitions("token", F.xxhash64("token", "cid"), "cid", "pos").mapInArrow(_against_leader(percent), "a long, b long, gap long")
     led = led.groupBy("a", "b").agg(F.min("gap").alias("gap"))
     best = Window.partitionBy("x").orderBy("gap", "a", "b")
     chosen = led.select("a", "b", "gap", F.explode(F.array("a", "b")).alias("x")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= LEADERS)

@@ -22,7 +22,7 @@ from .kernels import map_batches, text_of
 
 _NONE = 1 << 62
 #: Pre-tokens whose pieces a Python worker remembers; the memory starts anew when it is full.
-MEMORY = 1_000_000
+MEMORY = 250_000
 
 
 def default_vocabulary() -> str:

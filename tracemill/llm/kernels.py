@@ -52,6 +52,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict | pa
             for part in slices(batch):
                 for out in fn(part):
                     yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays([_array(out[n]) for n in names], names)
+            pa.default_memory_pool().release_unused()  # workers live on from stage to stage
 
     return df.mapInArrow(run, schema)
 

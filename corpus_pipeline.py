@@ -16,8 +16,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the least doc_id, of each group that links join."""
-    return ngram_join.keep_one_each(docs)
+    """Keeps one document, that of the least doc_id, of each group that links join: five-word shingles, similarity 0.8 or more."""
+    return ngram_join.keep_one_each(docs, percent=80, k=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

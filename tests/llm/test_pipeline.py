@@ -1,11 +1,12 @@
 """The pipeline's stages against brute force on the smallest tables."""
 
+import random
 import re
 
 import corpus_pipeline as P
 from tracemill.llm import bpe, queries, secret_scan
 
-from .test_corpus_operators import brute_components
+from .test_corpus_operators import brute_components, shingle_set
 from .test_map_operators import _digest
 
 FOLDER = "/root/testdata/sf0.001"
@@ -28,3 +29,29 @@ def test_stages_equal_brute_force(spark):
         clean = secret_scan._without(texts[i], secret_scan.spans(texts[i]), "[secret]")
         assert row == _digest(library, i, clean)
     assert [n for n, _ in P.STAGES] == ["quality", "near_duplicates", "decontamination", "secrets", "tokens"]
+
+
+def test_near_duplicates_link_from_five_words_and_four_fifths_on(spark):
+    rng = random.Random(11)
+    texts = {}
+    for _ in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for changes in (0, 2, 3, 4, 6):
+            w = list(base)
+            for p in rng.sample(range(0, 150, 6), changes):
+                w[p] = "new"
+            texts[len(texts)] = " ".join(w)
+
+    def kept(k, percent):
+        sets = {i: shingle_set(t, k) for i, t in texts.items()}
+        first = {i: i for i in sets}
+        for _ in sets:
+            for a in sets:
+                for b in range(a // 5 * 5, a // 5 * 5 + 5):
+                    if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                        first[a] = first[b] = min(first[a], first[b])
+        return {i for i, c in first.items() if i == c}
+
+    docs = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    found = {r.doc_id for r in P.near_duplicates(spark, docs, FOLDER).collect()}
+    assert found == kept(5, 80) and found < kept(3, 90)

@@ -183,6 +183,14 @@ def test_passages_edges(spark):
     assert [len(x.item) for x in decontaminate.blocks(bench.unionByName(bench.selectExpr("item_id + 1 as item_id", "text")), 90)] in ([1, 1], [2, 0], [0, 2])
 
 
+def test_passages_without_an_item_id(spark):
+    text = "some passage that is long enough to be found in the text of any document at all"
+    bench = spark.createDataFrame([(None, text), (7, "another passage of some length that only the second document holds in full"), (None, None)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "so: " + text), (2, "another passage of some length that only the second document holds in full"), (3, "none")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_passages(docs, bench).collect()) == [(1, None), (2, 7)]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [3]
+
+
 def test_empty_tables(spark):
     none = odd(spark).where("doc_id > 100")
     assert bpe.encode_documents(none).count() == 0 and secret_scan.scan_documents(none).count() == 0 and secret_scan.redact(none).count() == 0

@@ -57,7 +57,7 @@ def normal(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 class Index:
     """One block of passages and their q-grams, sorted by hash."""
 
-    item: np.ndarray
+    item: list[int | None]
     text: list[bytes]
     edits: np.ndarray
     bound: np.ndarray
@@ -67,7 +67,7 @@ class Index:
     filter: np.ndarray
 
 
-def index(items: list[int], texts: list[str], q: int = Q, rate: float = RATE) -> Index:
+def index(items: list[int | None], texts: list[str], q: int = Q, rate: float = RATE) -> Index:
     data, offs, _, _ = normal(pa.array([t or "" for t in texts], pa.string()))
     parts = [bytes(data[a:b]).strip() for a, b in zip(offs[:-1], offs[1:], strict=True)]
     m = np.array([len(p) for p in parts], np.int64)
@@ -84,7 +84,7 @@ def index(items: list[int], texts: list[str], q: int = Q, rate: float = RATE) ->
     order = np.argsort(h, kind="stable")
     seen = np.zeros(1 << _FILTER_BITS, bool)
     seen[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Index(np.array(items, np.int64), parts, edits, np.maximum(m + 1 - q * (edits + 1), 1), h[order], o[order], s[order], np.packbits(seen))
+    return Index(list(items), parts, edits, np.maximum(m + 1 - q * (edits + 1), 1), h[order], o[order], s[order], np.packbits(seen))
 
 
 def _costs(patterns: list[bytes], windows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +113,7 @@ def _costs(patterns: list[bytes], windows: list[bytes], width: int) -> tuple[np.
     return best, end
 
 
-def matches(texts: pa.Array, x: Index, q: int = Q) -> list[tuple[int, int, int, int, int, int]]:
+def matches(texts: pa.Array, x: Index, q: int = Q) -> list[tuple[int, int | None, int, int, int, int]]:
     """(row, item, start, end, edits, shared q-grams) of every passage found; code points of the lower-cased text."""
     data, offs, at, lower = normal(texts)
     if len(data) < q or not len(x.hash):
@@ -173,7 +173,7 @@ def matches(texts: pa.Array, x: Index, q: int = Q) -> list[tuple[int, int, int,
     for (r, o, a), (b, d, s) in sorted(found.items()):
         lo_, hi = at[offs[r] + max(a, 0)], at[min(offs[r] + b, offs[r + 1]) - 1] + 1
         base = points[begin_of[r]]
-        out.append((r, int(x.item[o]), int(points[lo_] - base), int(points[hi] - base), d, s))
+        out.append((r, x.item[o], int(points[lo_] - base), int(points[hi] - base), d, s))
     return out
 
 
@@ -191,7 +191,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per passage found in a document: doc_id, item_id, start, end, edits, shared_grams.
 
     start and end are code points of the lower-cased text. Null and empty texts and passages, and
-    passages of fewer than Q normalised characters, match nothing. Null doc_ids, repeated rows, empty
+    passages of fewer than Q normalised characters, match nothing. A passage with a null item_id is
+    searched like any other and reported with that null. Null doc_ids, repeated rows, empty
     tables and further columns need no care: each row is searched by itself. Texts are searched whole.
     """
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")

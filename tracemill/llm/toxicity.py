@@ -1,9 +1,9 @@
 """Toxicity: lexicon and pattern voters, a generative label model over them, and a hashed linear classifier.
 
 Lexicons are mined from labelled texts (words and word beginnings with high odds), so they need no
-list per language. The label model weighs voters by estimated accuracy and correlation; its
-posteriors are the targets of a linear classifier over the distinct words of a text and their
-beginnings, which then scores every whole text.
+list per language. The label model weighs voters by estimated accuracy and correlation. Targets of
+a linear classifier over the distinct words of a text and their beginnings are its posteriors, and
+where a label is given 0.9 of that label and 0.1 of the posterior; it then scores every whole text.
 """
 
 from __future__ import annotations

@@ -125,15 +125,25 @@ def novel_partners(sets: DataFrame) -> DataFrame:
     return pairs.groupBy("surface", "a").agg(F.max("gain").alias("gain"), F.min_by("b", F.struct(-F.col("gain"), "b")).alias("partner"))
 
 
-def closure(edges: DataFrame, most: int = 20) -> DataFrame:
-    """Pairs (src, dst) that edges reach, each once."""
-    spark = edges.sparkSession
-    found = edges.select("src", "dst").distinct()
-    for _ in range(most):
-        step = found.alias("a").join(edges.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
-        new = step.distinct().join(found, ["src", "dst"], "left_anti").cache()
-        if new.isEmpty():
-            break
+def closure(edges: DataFrame, every: int = 4) -> DataFrame:
+    """Pairs (src, dst) that edges reach, each once, over chains of any length; a null joins nothing.
+
+    A round extends the pairs that the last one found, until none is new; lineage is cut every few rounds.
+    """
+    context = edges.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracemill-"))
+    edges = edges.select("src", "dst").distinct().checkpoint()
+    found = new = edges
+    rounds = 0
+    while not new.isEmpty():
+        step = new.alias("a").join(edges.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst")).distinct()
+        known = (F.col("s.src").eqNullSafe(F.col("f.src"))) & (F.col("s.dst").eqNullSafe(F.col("f.dst")))
+        new = step.alias("s").join(found.alias("f"), known, "left_anti").select("src", "dst").checkpoint()
         found = found.unionByName(new)
-    _ = spark
+        rounds += 1
+        if rounds % every == 0:
+            found = found.checkpoint()
     return found

@@ -1,6 +1,7 @@
 """Quality classifier: accuracies of overlapping heuristic labellers by expectation-maximisation, then a hashed linear scorer.
 
-No label is used. Each labeller says good, bad or nothing about a text; the label model's posteriors
+No label is used. Each labeller says good, bad or nothing about a whole text. Their accuracies and
+dependencies are estimated over the counts of all documents' vote patterns; the label model's posteriors
 are the targets of a linear scorer over hashed words, word shapes and word endings (as shares of a
 text's words), which then scores every whole text.
 """
@@ -13,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, Sums, doc_key, map_batches, mix, raw, text_of, words
-from .label_model import LabelModel, Scorer, fit_label_model, fit_scorer, posteriors
+from .label_model import LabelModel, Scorer, decode, fit_label_model, fit_scorer, pattern_counts, sampled
 
 BITS = 18
-#: Documents that the model is fitted on at most, and characters of each (a window at a hashed place).
-SAMPLE_DOCS, SAMPLE_CHARS = 3000, 8000
+#: Documents that the scorer is fitted on, about; whole texts, as hashed features.
+SAMPLE_DOCS = 5000
 #: Function words of four languages, by which a labeller tells running text.
 FUNCTION_WORDS = "the of and to in is that it for was on are as with be at by this from a der die das und ist in den von zu mit sich des auf im nicht ein eine le la les de et des en un une du que est pour dans qui par el los las y que en un una por con para es se del al".split()
 
@@ -53,6 +54,10 @@ def _says(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
     return np.where(bad, -1, np.where(good, 1, 0))
 
 
+#: How many labellers there are; so at most 3**13 patterns of votes.
+LABELLERS = 13
+
+
 def labeller_votes(texts: pa.Array) -> np.ndarray:
     """Votes of the labellers, 1 for good and -1 for bad, one column each."""
     data, offs = raw(texts)
@@ -92,35 +97,36 @@ def labeller_votes(texts: pa.Array) -> np.ndarray:
         ], 1)
 
 
-def fit(texts: list[str]) -> tuple[Scorer, LabelModel]:
-    votes, rows, buckets, values = [], [], [], []
-    for lo in range(0, len(texts), 200):  # a bounded part of the sample at a time
-        column = pa.array(texts[lo : lo + 200], pa.string())
-        votes.append(labeller_votes(column))
-        r, b, v = features(column)
-        rows.append((r + lo).astype(np.int32))
-        buckets.append(b.astype(np.int32))
-        values.append(v.astype(np.float32))
-    votes, rows, buckets, values = (np.concatenate(x) for x in (votes, rows, buckets, values))
-    voters = fit_label_model(votes, accuracy=0.75, prior=0.8)
-    return fit_scorer(rows, buckets, values, posteriors(votes, voters), 1 << BITS, lasso=1e-6), voters
+def compact(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features with the shares of one bucket of a text added up."""
+    row, bucket, share = features(texts)
+    if not len(row):
+        return row, bucket, share
+    key, at = np.unique(row << BITS | bucket, return_inverse=True)
+    return key >> BITS, key & ((1 << BITS) - 1), np.bincount(at, share)
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[Scorer, LabelModel] | None:
-    """A scorer and its label model from at most `sample` documents with a text; None without any."""
-    rows = docs.where("text is not null").select(F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(doc_key(), "text"), F.lit(1 << 30)).alias("h"))
-    n = rows.count()
-    place = F.pmod("h", F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
-    some = rows.where(F.col("h") + 0.0 < min(1.0, 1.2 * sample / max(n, 1)) * (1 << 30)).select("h", F.substr("text", place, F.lit(chars)).alias("text")).distinct()
-    texts = some.orderBy("h", "text").limit(sample).toArrow().column("text").to_pylist()
-    return fit(texts) if texts else None
+def learn(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[Scorer, LabelModel] | None:
+    """A scorer and its label model; None without any text.
+
+    The label model sees the votes of all documents; the scorer is fitted on about `sample` of them,
+    chosen by the hash of doc_id and text.
+    """
+    rows = docs.where("text is not null").select(F.pmod(F.xxhash64(doc_key(), "text"), F.lit(1 << 30)).alias("h"), F.col("text").cast("string").alias("text"))
+    codes, counts = pattern_counts(rows, labeller_votes)
+    if not len(codes):
+        return None
+    votes = decode(codes, LABELLERS)
+    voters = fit_label_model(votes, counts, accuracy=0.75, prior=0.8)
+    rate = min(1.0, sample / counts.sum())
+    return fit_scorer(sampled(rows, labeller_votes, compact, voters, (rate, rate), 2 * sample), 1 << BITS, lasso=1e-5), voters
 
 
 def score_documents(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """One row per document: doc_id, score (0 to 1, higher: better), kept (score >= least).
 
     A null text, or one without words, has score 0. Repeated rows, null ids, an empty table and
-    further columns need no care; repeated texts are learned from once for each doc_id.
+    further columns need no care.
     """
     model = learn(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model[0] if model else None)

@@ -24,11 +24,19 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
-#: A cheap test (linear-time automaton) that every text with a span of some kind passes.
-_ANY = r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=])|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|(?i:key|secret|token|passw|passphrase|pwd|auth|bearer|credential|private|signature|contrase|clave|kennwort|mot de passe)[^\n]{0,40}[A-Za-z0-9+/_=-]{16}"""
-_SENSITIVE = re.compile(r"(?:key|secret|token|passw(?:or)?d|passphrase|pwd|auth\w*|bearer|credentials?|private|signature|contrase.a|clave|kennwort|passwort|mot de passe)[^\n]{0,40}$", re.I)
+#: Cheap tests (linear-time automata): every text with a span of a fixed pattern passes the first, every text with a novel token both others.
+_FIXED = r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=])|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"""
+_CONTEXT = r"(?i:key|secret|token|passw|passphrase|pwd|auth|bearer|credential|private|signature|contrase|clave|kennwort|mot de passe)"
+_LONG = r"[A-Za-z0-9+/_-]{16}"
+_SENSITIVE = re.compile(r"(?:key|secret|token|passw(?:or)?d|passphrase|pwd|auth\w*|bearer|credentials?|private|signature|contrase.a|clave|kennwort|passwort|mot de passe)[^\n]{0,40}\Z", re.I)
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}")
 
+
+def _gate(texts: pa.Array) -> pa.Array:
+    """False only for texts without any span."""
+    return pc.or_(pc.match_substring_regex(texts, _FIXED), pc.and_(pc.match_substring_regex(texts, _CONTEXT), pc.match_substring_regex(texts, _LONG)))
+
+
 #: Words of code and configuration that a token may consist of without being secret.
 IDENTIFIERS = """
 access_token account address admin algorithm alias allow api_key application argument array assert async attribute auth authorization await
@@ -52,6 +60,7 @@ transaction transform transport trigger true type undefined union unique update
 vector verbose version view virtual visible volume warning widget window worker wrapper
 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000000000000000 xxxxxxxxxxxxxxxxxxxx -------------------- ____________________
 """
+_KNOWN = frozenset(re.findall("[a-z]+", IDENTIFIERS.lower()))
 
 
 @functools.lru_cache(maxsize=1)
@@ -68,20 +77,39 @@ def novelty(token: str, before: str, after: str) -> float:
     return (len(c.compress(around + b"\n" + token.encode())) - len(c.compress(around + b"\n"))) / len(token)
 
 
+def _worded(token: str, around: str) -> bool:
+    """Whether a token of letters is made of whole words (of three letters or more, split at - _ / + and changes of case) of the dictionary or the surroundings."""
+    parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", token)
+    known = set(re.findall(r"[a-z]+", around.lower())) | _KNOWN
+    return all(p.lower() in known for p in parts if len(p) > 2)
+
+
 def spans(text: str, least: float = 0.88, window: int = 400) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of all secrets of one text, by start, then kind; code points, end exclusive."""
+    """(start, kind, end) of all secrets of one text, by start, then kind; code points, end exclusive.
+
+    A novel token has 16 characters or more, stands at most 40 characters behind a sensitive word of its
+    line and overlaps no span of a fixed pattern. Its marginal bytes decide; only a token without digits
+    that is made of words of the dictionary or of its surroundings is passed over.
+    """
     found = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text) if m.end() - m.start() >= 32]
     known = sorted((a, b) for a, _, b in found)
+    reach, at, end = [], 0, -1  # candidates come by start, so one pass over the known spans is enough
     for m in _CANDIDATE.finditer(text):
         a, b = m.span()
-        if not re.search(r"[0-9]", m[0]) or not re.search(r"[A-Za-z]", m[0]) or any(x < b and a < y for x, y in known):
+        while at < len(known) and known[at][0] < b:
+            end = max(end, known[at][1])
+            at += 1
+        if end > a or not _SENSITIVE.search(text, max(0, a - 60), a):
+            continue
+        before, after = text[max(0, a - window) : a], text[b : b + window]
+        if not re.search("[0-9]", m[0]) and _worded(m[0], before + " " + after):
             continue
-        if _SENSITIVE.search(text[max(0, a - 60) : a]) and novelty(m[0], text[max(0, a - window) : a], text[b : b + window]) >= least:
-            found.append((a, 3, b))
-    return sorted(found)
+        if novelty(m[0], before, after) >= least:
+            reach.append((a, 3, b))
+    return sorted(found + reach)
 
 
 def written(found: list[tuple[int, int, int]]) -> str:
@@ -106,7 +134,7 @@ def scan_documents(docs: DataFrame, least: float = 0.88) -> DataFrame:
         n = len(texts)
         counts = {k: [0] * n for k in KINDS}
         digest, listed = [_NOTHING] * n, [""] * n
-        some = pc.indices_nonzero(pc.match_substring_regex(texts, _ANY))
+        some = pc.indices_nonzero(_gate(texts))
         for i, text in zip(some.to_pylist(), texts.take(some).to_pylist(), strict=True):
             found = spans(text, least)
             if found:
@@ -129,7 +157,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", least: float = 0.88) -> Data
 
     def run(batch: pa.RecordBatch):
         texts = batch.column(at)
-        hit = pc.fill_null(pc.match_substring_regex(texts, _ANY), False)
+        hit = pc.fill_null(_gate(texts), False)
         if not pc.any(hit).as_py():
             yield batch
             return

@@ -1,10 +1,14 @@
 """Main text of web pages by tree scoring.
 
-Every block of running text passes points (one, plus its commas, plus up to three for its length)
+Every block of running text passes points (one, plus its commas, plus up to three for its length) up
 to its ancestors, less with distance and less again by the share of its characters inside links.
-Semantic containers start with a bonus, and elements that name themselves as furniture (menus, page
-headers, footers, sidebars, notices, adverts, forms, comments) give and keep nothing. The best
-container is kept, together with those siblings that read as text themselves.
+Semantic containers start with a bonus. The best container is kept, together with those siblings that
+read as text themselves.
+
+Elements that are furniture (menus, page headers, footers, sidebars, notices, adverts, forms, comments)
+give and keep nothing. Tags, roles and reader comments are enough for that; class names and ids count
+only as whole words, and never for an element that holds most of the page's text. Time and memory are
+linear in the page, however deep it is.
 """
 
 from __future__ import annotations
@@ -28,10 +32,17 @@ _BLOCK = frozenset(
 )
 _FURNITURE = frozenset("nav footer aside form menu dialog button select option input fieldset svg math canvas audio video object embed head search".split())
 _FURNITURE_ROLE = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
-_FURNITURE_NAME = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adbox|adsense|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|gdpr|disqus|replies|reply|respond|footer|foot|footnotes?-?nav|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|notification|pager|pagination|popup|promos?|promoted|promotion|recommended|related|share|sharing|sidebar|side-?bar|social|sponsor\w*|subscribe|signup|sign-up|toolbar|topbar|widgets?|login|skip-?link)(?:$|[^a-z])"
+#: Names that make an element furniture, where a class word or id consists of them and of the plain words below.
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising adbox adsense banner breadcrumb breadcrumbs cookie cookies consent gdpr footer foot masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promos promoted promotion recommended related share sharing sidebar sidebars social sponsor sponsored subscribe signup toolbar topbar widget widgets login skiplink".split()
+)
+_COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
+_PLAIN = frozenset(
+    "site page main global primary secondary top bottom left right upper lower box bar list block area section wrapper wrap container inner outer link links item items col column panel post posts article articles story stories entry blog user users reader readers button buttons icon icons form text message messages slot unit wide small big mobile desktop fixed sticky thread js".split()
 )
-_PAGE_HEADER = re.compile(r"(?:^|[^a-z])(?:header|site-?header|page-?header|top)(?:$|[^a-z])")
+_PAGE_HEADER = frozenset("header siteheader pageheader top".split())
+#: Class words of containers that hold articles whatever else they are called.
+_CONTENT = frozenset("content layout article entry-content post-content article-content article-body page-content main-content story-body".split())
 _START = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 5.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0, "body": 0.0}
 #: What an opening tag closes, when that is open inside the nearest of the tags named second.
 _CLOSES = {
@@ -45,112 +56,172 @@ _CLOSES = {
 }
 
 
-def _furniture(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is no part of an article; inside: an article or main element is open."""
-    if tag in _FURNITURE or tag == "header" and not inside:
-        return True
-    if not attrs:
-        return False
+def _called(attrs: str, inside: bool) -> int:
+    """2 if an element's attributes make it no part of an article, 1 if only its class or id does, else 0; inside: an article or main element is open."""
+    soft = False
     for key, *values in _NAMED.findall(attrs):
-        value = "".join(values).lower()
+        value = "".join(values)
         key = key.lower()
         if key in ("class", "id"):
-            if tag not in ("html", "body", "article", "main") and (_FURNITURE_NAME.search(value) or not inside and _PAGE_HEADER.search(value)):
-                return True
+            tokens = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split()
+            if any(t in _CONTENT for t in tokens):
+                continue
+            for token in tokens:
+                parts = [x for x in re.split(r"[^a-z]+", token) if x]
+                named = [x for x in parts if x in _NAMES or x in _COMMENTS or not inside and x in _PAGE_HEADER]
+                if named and all(x in named or x in _PLAIN or len(x) == 1 for x in parts):
+                    if any(x in _COMMENTS for x in named):
+                        return 2
+                    soft = True
         elif key == "role":
-            if value in _FURNITURE_ROLE:
-                return True
-        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            if value.lower() in _FURNITURE_ROLE:
+                return 2
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return 2
+    return int(soft)
 
 
 class _Page:
-    """Elements of a page as parallel lists, and its blocks as (element, text, characters inside links)."""
+    """Elements of a page as parallel lists, in page order, and its blocks as (element, text, characters inside links)."""
 
     def __init__(self, source: str) -> None:
-        self.tag, self.parent, self.drop = ["#"], [-1], [False]
-        self.blocks: list[tuple[int, str, int]] = []
-        stack, pieces, linked = [0], [], 0
-        at, n = 0, len(source)
+        self.tag, self.parent = ["#"], [-1]
+        self._hard, self._soft = [False], [False]
+        self._link, self._inside, self._block = [False], [False], [0]  # in a link, in an article; the nearest block element
+        self._stack, self._open, self._blocks_at = [0], {}, [0]  # open elements, places in the stack by tag, and of block elements
+        self._pieces: list[list[tuple[int, str]]] = [[]]
+        self._parse(source)
+        self._assemble()
+
+    def _cut(self, place: int) -> None:
+        """Closes all elements from a place of the stack on."""
+        while len(self._stack) > place:
+            k = self._stack.pop()
+            self._open[self.tag[k]].pop()
+            if self.tag[k] in _BLOCK:
+                self._blocks_at.pop()
+
+    def _at(self, tags) -> int:
+        """The highest place in the stack of any of the tags; 0 if none is open."""
+        return max((self._open[t][-1] for t in tags if self._open.get(t)), default=0)
 
-        def flush() -> None:
-            nonlocal linked
-            if pieces:
-                text = " ".join("".join(pieces).split())
-                if text:
-                    k = stack[-1]
-                    while self.tag[k] not in _BLOCK and k:
-                        k = self.parent[k]
-                    self.blocks.append((k, text, min(linked, len(text))))
-                pieces.clear()
-            linked = 0
-
-        def say(text: str) -> None:
-            nonlocal linked
-            if text and not self.drop[stack[-1]]:
-                text = html.unescape(text) if "&" in text else text
-                pieces.append(text)
-                if any(self.tag[k] == "a" for k in stack[-4:]):
-                    linked += len(text)
-
-        def close(names: set[str], until: set[str]) -> None:
-            for i in range(len(stack) - 1, 0, -1):
-                t = self.tag[stack[i]]
-                if t in names:
-                    flush()
-                    del stack[i:]
-                    return
-                if t in until:
-                    return
+    def _flush(self) -> None:
+        if self._pieces[-1]:
+            self._pieces.append([])
 
+    def _close(self, names, until) -> None:
+        place = self._at(names)
+        if place and place > self._at(until):
+            self._flush()
+            self._cut(place)
+
+    def _parse(self, source: str) -> None:
+        at, n = 0, len(source)
         while at < n:
             m = _MARKUP.search(source, at)
+            self._say(source[at : m.start() if m else n])
             if m is None:
-                say(source[at:])
                 break
-            say(source[at : m.start()])
             at = m.end()
-            tag = m[2]
-            if tag is None:
+            if m[2] is None:
                 continue
-            tag = tag.lower()
+            tag = m[2].lower()
             if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    t = self.tag[stack[i]]
-                    if t == tag:
-                        if any(self.tag[k] in _BLOCK for k in stack[i:]):
-                            flush()
-                        del stack[i:]
-                        break
-                    if tag not in _BLOCK and t in _BLOCK or t in ("td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                        break
-                continue
-            if tag in _RAW:
+                self._end(tag)
+            elif tag in _RAW:
                 end = _RAW[tag].search(source, at)
                 at = n if end is None else end.start()
-                continue
-            if tag == "br":
-                say(" ")
-                continue
+            elif tag == "br":
+                self._say(" ")
+            else:
+                self._begin(tag, m[3])
+
+    def _say(self, text: str) -> None:
+        k = self._stack[-1]
+        if text and not self._hard[k]:
+            self._pieces[-1].append((k, html.unescape(text) if "&" in text else text))
+
+    def _end(self, tag: str) -> None:
+        place = self._at((tag,))
+        barrier = 0 if tag in _BLOCK else self._blocks_at[-1]
+        if tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
+            barrier = max(barrier, self._at(("td", "th")) if tag not in ("td", "th") else 0)
+        if place and place >= barrier:
+            if self._blocks_at[-1] >= place:
+                self._flush()
+            self._cut(place)
+
+    def _begin(self, tag: str, attrs: str) -> None:
+        if tag in _BLOCK:
+            if tag in _CLOSES:
+                self._close(*_CLOSES[tag])
+            elif tag != "option":
+                self._close(("p",), ("td", "th", "button", "table") if tag != "table" else ("td", "th"))
+            self._flush()
+        if tag in _VOID:
+            return
+        if tag == "a" and self._open.get("a") and self._open["a"][-1] > self._blocks_at[-1]:
+            self._flush()
+            self._cut(self._open["a"][-1])
+        up, k = self._stack[-1], len(self.tag)
+        inside = self._inside[up]
+        kind = _called(attrs, inside) if attrs else 0
+        self.tag.append(tag)
+        self.parent.append(up)
+        self._hard.append(self._hard[up] or tag in _FURNITURE or tag == "header" and not inside or kind == 2)
+        self._soft.append(kind == 1 and tag not in ("html", "body", "article", "main"))
+        self._link.append(self._link[up] or tag == "a")
+        self._inside.append(inside or tag in ("article", "main"))
+        self._block.append(k if tag in _BLOCK else self._block[up])
+        if not attrs.rstrip().endswith("/") or tag in _BLOCK or tag == "a":
+            self._open.setdefault(tag, []).append(len(self._stack))
             if tag in _BLOCK:
-                if tag in _CLOSES:
-                    close(*_CLOSES[tag])
-                elif tag != "option":
-                    close({"p"}, {"td", "th", "button", "table"} if tag != "table" else {"td", "th"})
-                flush()
-            if tag in _VOID:
-                continue
-            attrs = m[3]
-            if tag == "a":
-                close({"a"}, _BLOCK)
-            inside = any(self.tag[k] in ("article", "main") for k in stack)
-            self.tag.append(tag)
-            self.parent.append(stack[-1])
-            self.drop.append(self.drop[stack[-1]] or _furniture(tag, attrs, inside))
-            if not attrs.rstrip().endswith("/") or tag in _BLOCK or tag == "a":
-                stack.append(len(self.tag) - 1)
-        flush()
+                self._blocks_at.append(len(self._stack))
+            self._stack.append(k)
+
+    def _assemble(self) -> None:
+        chars = [0] * len(self.tag)
+        for pieces in self._pieces:
+            for k, text in pieces:
+                chars[k] += len(text)
+        chars = self.summed(chars)
+        drop = [False] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            drop[k] = drop[self.parent[k]] or self._soft[k] and 2 * chars[k] <= chars[0]
+        self.blocks = []
+        for pieces in self._pieces:
+            kept = [(k, text) for k, text in pieces if not drop[k]]
+            text = " ".join("".join(t for _, t in kept).split())
+            if text:
+                self.blocks.append((self._block[kept[-1][0]], text, min(sum(len(t) for k, t in kept if self._link[k]), len(text))))
+
+    def summed(self, values: list) -> list:
+        """The values of every element with those of all below it."""
+        out = list(values)
+        for k in range(len(out) - 1, 0, -1):
+            out[self.parent[k]] += out[k]
+        return out
+
+
+_LEAVES = frozenset("p pre li blockquote h1 h2 h3 h4 h5 h6 td dd dt".split())
+
+
+def _scores(page: _Page) -> list[float | None]:
+    """Points of every element: those of its own blocks, a half of its children's, a sixth of those below and less from further on; None without any."""
+    tag, parent, n = page.tag, page.parent, len(page.tag)
+    own, child, below, far = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
+    reached = [False] * n
+    for k, text, linked in page.blocks:
+        to = parent[k] if tag[k] in _LEAVES else k
+        own[to] += (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked / len(text))
+        reached[to] = True
+    for k in range(n - 1, 0, -1):
+        up = parent[k]
+        child[up] += own[k]
+        below[up] += child[k]
+        far[up] += below[k] / 9 + far[k] * 0.75
+        reached[up] = reached[up] or reached[k]
+    return [own[k] + child[k] / 2 + below[k] / 6 + far[k] + _START.get(tag[k], 0.0) if reached[k] else None for k in range(n)]
 
 
 def main_text(source: str) -> str:
@@ -159,46 +230,32 @@ def main_text(source: str) -> str:
     if not page.blocks:
         return ""
     tag, parent = page.tag, page.parent
-    score = [0.0] * len(tag)
+    score = _scores(page)
     chars, links = [0] * len(tag), [0] * len(tag)
-    scored = set()
     for k, text, linked in page.blocks:
-        points = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - linked / len(text))
-        up = k if tag[k] not in ("p", "pre", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "td", "dd", "dt") else parent[k]
-        level = 0
-        while up >= 0:
-            if up not in scored:
-                scored.add(up)
-                score[up] += _START.get(tag[up], 0.0)
-            score[up] += points / (1, 2, 6)[level] if level < 3 else points / (level * 3)
-            up, level = parent[up], level + 1
-        while k >= 0:
-            chars[k] += len(text)
-            links[k] += linked
-            k = parent[k]
+        chars[k] += len(text)
+        links[k] += linked
+    chars, links = page.summed(chars), page.summed(links)
     density = [b / a if a else 0.0 for a, b in zip(chars, links, strict=True)]
-    best = max(scored, key=lambda k: (score[k] * (1 - density[k]), -k))
+    worth = [-1.0 if x is None else x * (1 - d) for x, d in zip(score, density, strict=True)]
+    best = max(range(len(tag)), key=lambda k: (worth[k], -k))
     up = best
     while up > 0:
         if tag[up] in ("article", "main"):
             best = up
         up = parent[up]
-    kept = {best}
+    kept = [False] * len(tag)
+    kept[best] = True
     if tag[best] not in ("body", "html", "#"):
-        least = max(10.0, 0.2 * score[best] * (1 - density[best]))
+        least = max(10.0, 0.2 * worth[best])
         for k in range(1, len(tag)):
-            if parent[k] == parent[best] and k != best and chars[k]:
+            if parent[k] == parent[best] and chars[k]:
                 prose = tag[k] == "p" and density[k] < 0.25 and chars[k] > 80
                 title = tag[k] in ("h1", "h2") and k < best and density[k] < 0.25
-                if prose or title or k in scored and score[k] * (1 - density[k]) >= least:
-                    kept.add(k)
-    out = []
-    for k, text, _ in page.blocks:
-        while k >= 0 and k not in kept:
-            k = parent[k]
-        if k >= 0:
-            out.append(text)
-    return "\n\n".join(out)
+                kept[k] = kept[k] or prose or title or worth[k] >= least
+    for k in range(1, len(tag)):
+        kept[k] = kept[k] or kept[parent[k]]
+    return "\n\n".join(text for k, text, _ in page.blocks if kept[k])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -200,3 +200,97 @@ def test_odd_rows_of_map_operators(spark):
     rows = secret_scan.scan_documents(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(r.spans == "" for r in rows)
     assert list(kernels.slices(odd(spark).select("text").toArrow().to_batches()[0], limit=10))
+
+
+def test_brief_passages_are_found_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "Ja, klar."), (2, "x1"), (3, "ja klar"), (4, "?!")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "Na: ja,  KLAR! Und x1"), (2, "naja klar"), (3, "ja klarer x12"), (4, "ja klar"), (5, "?!")], "doc_id bigint, text string")
+    found = sorted((r.doc_id, r.item_id, r.start, r.end, r.edits) for r in decontaminate.find_passages(docs, bench).collect())
+    assert found == [(1, 1, 4, 13, 0), (1, 2, 19, 21, 0), (1, 3, 4, 13, 0), (4, 1, 0, 7, 0), (4, 3, 0, 7, 0)]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()) == [2, 3, 5]
+
+
+def test_frequent_grams_are_counted_in_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    common = "all rights reserved by the author of this passage "
+    items = [common + "".join(rng.choice("abcdef ") for _ in range(60)) for _ in range(20)] + ["a" * 300, "ab" * 150]
+    texts = [items[i % 22][:40] + items[i % 22][40 if i % 3 else 41 :] + " " + common * 3 for i in range(44)] + ["a" * 2000, "ab" * 900, "x"]
+    import pyarrow as pa
+
+    index, column = decontaminate.index(list(range(22)), items), pa.array(texts)
+    whole = decontaminate.matches(column, index)
+    for limit in (5000, 50, 1):
+        monkeypatch.setattr(decontaminate, "ENTRIES", limit)
+        assert decontaminate.matches(column, index) == whole
+    assert len({(r, o) for r, o, *_ in whole}) >= 46
+
+
+def test_blocks_of_passages_lose_none(spark, monkeypatch):
+    rng = random.Random(4)
+    items = ["".join(rng.choice("abcdefgh ") for _ in range(80)) for _ in range(30)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"so {items[i]} it is" if i % 2 else "none", 7) for i in range(30)] + [(None, None, 1)], "doc_id bigint, text string, key int")
+    whole = sorted(map(tuple, decontaminate.find_passages(docs, bench).collect()))
+    kept = sorted(map(str, decontaminate.drop_contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (500,))
+    assert sorted(map(tuple, decontaminate.find_passages(docs, bench).collect())) == whole and len(whole) == 15
+    assert sorted(map(str, decontaminate.drop_contaminated(docs, bench).collect())) == kept and len(kept) == 16
+
+
+def timed(f, *args):
+    import time
+
+    start = time.process_time()
+    f(*args)
+    return time.process_time() - start
+
+
+@pytest.mark.parametrize("word", ["password", "passwort", "authorization", "credentials", "contraseña"])
+def test_novel_tokens_are_reported_whatever_else_the_text_holds(spark, word):
+    token = "Zx81kQ0pLmv93TtYbW2r7cJd"
+    texts = [f"x {word}{' ' * gap}{token} end" for gap in (1, 20, 36, 38, 40)] + [f"x {word} {''.join(random.Random(k).choices('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', k=24))}" for k in range(3)]
+    alone = secret_scan.scan_documents(spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")).orderBy("doc_id").collect()
+    beside = secret_scan.scan_documents(spark.createDataFrame([(i, t + "\n" + "0f" * 20) for i, t in enumerate(texts)], "doc_id bigint, text string")).orderBy("doc_id").collect()
+    assert [r.n_novel for r in alone] == [1] * 8 and [r.spans for r in alone] == [r.spans.split(",hex")[0] for r in beside]
+
+
+def test_words_are_no_secrets():
+    for text in ("the key configurationManagerFactory here", "token: see access_token_authorization", "the secret schlachthofgesellschaft of schlachthofgesellschaft", "key\nZx81kQ0pLmv93TtYbW2r7cJd"):
+        assert secret_scan.spans(text) in ([], [(0, 0, 0)]) or all(k < 3 for _, k, _ in secret_scan.spans(text))
+
+
+def test_spans_of_many_tokens_take_linear_time():
+    rng = random.Random(6)
+    text = lambda n: " ".join(f'token="{rng.randrange(10**11, 10**12)}" key {"".join(rng.choices("abcdefghijkABCDEFGHIJK0123456789", k=24))}' for _ in range(n))
+    one, four = text(2000), text(8000)
+    secret_scan.spans(one)
+    assert timed(secret_scan.spans, four) < 10 * timed(secret_scan.spans, one)
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "layout sidebar-right", "post-content comments-open", "entry share-enabled", "content ad-free", "single-post no-comments", "sidebar-right"])
+def test_class_names_lose_no_article(name):
+    body = ["Title", "First, a long paragraph, with commas, and text to count for something here.", "Second, of the same kind, a bit shorter."]
+    page = f'<body><div class="{name}"><h1>{body[0]}</h1><p>{body[1]}</p><p>{body[2]}</p></div><div class="note"><p>short note</p></div><div class="ad">buy, buy</div><div id="userComments"><p>{"A reader says, at length, many words. " * 20}</p></div></body>'
+    assert html_text.main_text(page) == "\n\n".join(body)
+
+
+def test_deep_pages_take_linear_time():
+    shapes = [lambda n: "<body>" + "<b>x<p>y</p>" * n, lambda n: "<body>" + "<div>" * n + "text, text" + "</div>" * n, lambda n: "<td><a>x" * n, lambda n: "</p>" * n + "<i>" * n + "</b>" * n]
+    for shape in shapes:
+        small, large = shape(4000), shape(16000)
+        html_text.main_text(small)
+        assert timed(html_text.main_text, large) < 10 * timed(html_text.main_text, small)
+
+
+def test_page_without_article_tag_keeps_its_largest_container():
+    rows = [f"Paragraph {i}, of some length, with commas, so that it counts as running text." for i in range(6)]
+    page = f'<div id="top"><a href="/">Home</a></div><div id="wrap"><div class="menu"><ul>{"<li><a href=x>Entry, of, a, menu</a>" * 9}</ul></div><div id="text">{"".join(f"<p>{r}<span class=share>share</span></p>" for r in rows)}<table><tr><td>1<td>2</table></div></div><div class="footer">Foot, and, more</div>'
+    assert html_text.main_text(page).split("\n\n") == [*rows, "1", "2"]
+
+
+def test_empty_and_odd_page_tables(spark):
+    none = spark.createDataFrame([], "page_id bigint, url string, html string, text string, n_chars int")
+    assert html_text.extract_pages(none).count() == 0
+    long = "<article>" + "<p>word, word</p>" * 50_000
+    one = html_text.extract_pages(spark.createDataFrame([(1, "u", long, "clash", 3)], none.schema)).first()
+    assert one.text.count("\n\n") == 49_999 and one.n_chars == len(one.text)

@@ -6,12 +6,15 @@ Steps, none of which holds more than a bounded slice, a bounded block or a fixed
    shingles of a set (rare first, then by hash); any order gives the same links.
 2. Each text becomes one row: size, fingerprint, prefix (the first n - ceil(t n) + 1 shingles) and a
    signature (how many shingles fall to each of 256 ranges). Equal sets are one class from here on.
-3. Prefix shingles that classes of fitting sizes share become postings.
-4. First round: each posting is held against one leader of its shingle (of its block in a long list). Classes that pass the
-   filters are verified on whole sets, and links give preliminary components.
-5. Second round: within a shingle, all pairs of different preliminary components are held against
-   the filters in blocks. Pairs that pass are verified once each. Pairs inside a preliminary
-   component can't change the components, so none that matters is skipped.
+3. Prefix shingles that classes of fitting sizes share become postings. Shingles of very many classes
+   are counted first and skip that test, which reads a shingle's postings in order in one task.
+4. Leader rounds: each posting is held against one leader of its shingle (of its block in a long list),
+   unless both are in one preliminary component. Pairs that pass the filters are verified on whole sets,
+   and links give components. Rounds go on while they find links and much would be left for step 5.
+5. All remaining pairs of different components are held against the filters: within a shingle and a
+   band of sizes, the postings of the largest component and those of the others are cut to blocks, and
+   blocks are paired but for two of the largest component. Pairs that pass are verified once each. Pairs
+   inside a component can't change the components, so none that matters is skipped.
 
 Filters for sizes x, y and overlap bound a = ceil(t / (1 + t) * (x + y)): length (t max <= min),
 positional (1 + what follows the common shingle reaches a) and suffix (the signatures' differences
@@ -34,9 +37,11 @@ _BUCKET_BITS, _CHUNKS = 21, 128
 #: Ranges of a signature, each counted up to 15.
 SIGNATURE = 256
 #: Postings of one shingle that a task compares at once; longer lists are cut to blocks and paired.
-BLOCK = 512
-#: Leaders that a class is verified against in the first round; the second round covers all others.
-LEADERS = 3
+BLOCK = 256
+#: Leaders that a class is verified against in one round, and rounds at most; what they leave is compared afterwards.
+LEADERS, ROUNDS = 3, 6
+#: Rows for each posting that the comparison of blocks may take before another leader round is tried.
+DEALT = 4
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -72,9 +77,9 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """One row per document: doc_id, n, fp1, fp2 (fingerprint of the set), prefix (rare first), sig."""
+    """One row per document: doc_id, n, fp1, fp2 (fingerprint of the set), prefix (rare first), dense (whether a prefix shingle may be in more than LONG_LIST sets), sig."""
     ranks = np.minimum(16 * np.log2(counts + 1), 255).astype(np.uint8)  # one byte tells rare from common well enough
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, np.packbits(counts > LONG_LIST)))
 
     def run(batch: pa.RecordBatch):
         h, row = shingles(text_of(batch), k)
@@ -89,16 +94,18 @@ def shingle_sets(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> D
             fp[1, some] = np.bitwise_xor.reduceat(mix(m), begin[some]).view(np.int64)
         sig = np.minimum(np.bincount(row * SIGNATURE + (h & np.uint64(SIGNATURE - 1)).astype(np.int64), minlength=rows * SIGNATURE), 15).astype(np.uint8)
         sig = sig[0::2] << 4 | sig[1::2]
-        order = np.lexsort((h, shared.value[(h >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)], row))
+        bucket = (h >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
+        order = np.lexsort((h, shared.value[0][bucket], row))
         size = np.where(some, n - -(-percent * n // 100) + 1, 0)
         place = np.arange(len(h)) - np.repeat(begin, n)
-        first = h[order][place < np.repeat(size, n)]
+        first = order[place < np.repeat(size, n)]
+        dense = (shared.value[1][bucket[first] >> 3] >> (7 - (bucket[first] & 7)).astype(np.uint8) & 1).astype(bool)
         yield {
-            "doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "fp1": pa.array(fp[0]), "fp2": pa.array(fp[1]), "prefix": lists(first.view(np.int64), size, pa.int64()),
+            "doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "fp1": pa.array(fp[0]), "fp2": pa.array(fp[1]), "prefix": lists(h[first].view(np.int64), size, pa.int64()), "dense": lists(dense, size, pa.bool_()),
             "sig": pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIGNATURE // 2), rows, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary()),
         }
 
-    return map_batches(_rows(docs), run, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, sig binary")
+    return map_batches(_rows(docs), run, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, dense array<boolean>, sig binary")
 
 
 def _pass(percent: int, nx: np.ndarray, ny: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +130,7 @@ NEIGHBOURS = 48
 LONG_LIST = 8192
 
 
-def _with_partner(percent: int, neighbours: int, long_list: int):
+def _with_partner(percent: int, neighbours: int):
     """Streams postings sorted by (token, n); those are kept that may pass the length and positional filters with another posting of their token."""
 
     def keep(table: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -138,14 +145,8 @@ def _with_partner(percent: int, neighbours: int, long_list: int):
         yield from table.filter(pa.array(open_)).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        long = None  # a token with so many postings that all count as open
+        held: list[pa.RecordBatch] = []  # the postings of one token, no more than LONG_LIST
         for batch in batches:
-            if batch.num_rows and long is not None:
-                same = int(np.searchsorted(np.asarray(batch.column("token")), long, "right"))
-                if same:
-                    yield batch.slice(0, same)
-                batch = batch.slice(same)
             if not batch.num_rows:
                 continue
             token = np.asarray(batch.column("token"))
@@ -154,10 +155,6 @@ def _with_partner(percent: int, neighbours: int, long_list: int):
                 yield from keep(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
             held.append(batch.slice(cut))
-            if sum(x.num_rows for x in held) > long_list:
-                long = int(token[-1])
-                yield from held
-                held = []
         if held:
             yield from keep(pa.Table.from_batches(held))
 
@@ -165,45 +162,44 @@ def _with_partner(percent: int, neighbours: int, long_list: int):
 
 
 def _against_leader(percent: int):
-    """Streams postings sorted by token; the first of each token is its leader, the others are held against it."""
+    """Streams postings sorted by token; the first of each token is its leader, those of other components are held against it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # token, cid, n, pos and signature of the current leader
+        last = None  # token, cid, comp, n, pos and signature of the current leader
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, cid, n, pos = (np.asarray(batch.column(c)) for c in ("token", "cid", "n", "pos"))
+            token, cid, comp, n, pos = (np.asarray(batch.column(c)) for c in ("token", "cid", "comp", "n", "pos"))
             sig = _signatures(batch.column("sig")).astype(np.int16)
             if last is not None:
-                token, cid, n, pos = (np.concatenate([[x], y]) for x, y in zip(last[:4], (token, cid, n, pos), strict=True))
-                sig = np.concatenate([last[4], sig])
+                token, cid, comp, n, pos = (np.concatenate([[x], y]) for x, y in zip(last[:5], (token, cid, comp, n, pos), strict=True))
+                sig = np.concatenate([last[5], sig])
             new = np.ones(len(token), bool)
             new[1:] = token[1:] != token[:-1]
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             ok, need = _pass(percent, n, n[lead], pos, pos[lead])
-            at = np.flatnonzero(ok & (cid != cid[lead]))
+            at = np.flatnonzero(ok & (comp != comp[lead]))
             gap = np.abs(sig[at] - sig[lead[at]]).sum(1)
             at, gap = (x[(n[at] + n[lead[at]] - gap) // 2 >= need[at]] for x in (at, gap))
             if len(at):
                 yield _out(cid[at], cid[lead[at]], gap)
             k = lead[-1]
-            last = (token[k], cid[k], n[k], pos[k], sig[k : k + 1])
+            last = (token[k], cid[k], comp[k], n[k], pos[k], sig[k : k + 1])
 
     return run
 
 
 def _across(percent: int):
-    """Streams postings sorted by (token, block pair); pairs of different components are held against the filters."""
+    """Streams postings sorted by (token, band, block pair); pairs of different components are held against the filters, but for two visitors of the band."""
 
-    def pairs(n, pos, sig, cid, comp, side) -> Iterator[pa.RecordBatch]:
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(n)),) * 2
-        same = left is right
+    def pairs(n, pos, sig, cid, comp, visits, side, alone: bool) -> Iterator[pa.RecordBatch]:
+        left, right = (np.arange(len(n)),) * 2 if alone else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         for lo in range(0, len(left), 64):
             x = left[lo : lo + 64, None]
             y = right[None, :]
             ok, need = _pass(percent, n[x], n[y], pos[x], pos[y])
-            ok &= comp[x] != comp[y]
-            if same:
+            ok &= (comp[x] != comp[y]) & ~(visits[x] & visits[y])
+            if alone:
                 ok &= np.arange(lo, lo + len(x))[:, None] < np.arange(len(right))[None, :]
             i, j = np.nonzero(ok)
             for part in range(0, len(i), 16384):
@@ -216,26 +212,27 @@ def _across(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush(pair: int) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held)
-            n, pos, cid, comp, side = (t.column(c).to_numpy() for c in ("n", "pos", "cid", "comp", "side"))
-            yield from pairs(n, pos, _signatures(t.column("sig").combine_chunks()), cid, comp, side)
+            n, pos, cid, comp, visits, side = (t.column(c).to_numpy() for c in ("n", "pos", "cid", "comp", "visits", "side"))
+            if pair < 0 or side.any() and not side.all():
+                yield from pairs(n, pos, _signatures(t.column("sig").combine_chunks()), cid, comp, visits, side, pair < 0)
 
         key = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, group = np.asarray(batch.column("token")), np.asarray(batch.column("pair"))
-            cut = np.flatnonzero((token[1:] != token[:-1]) | (group[1:] != group[:-1])) + 1
-            for lo, hi in zip([0, *cut], [*cut, len(token)], strict=True):
-                now = (token[lo], group[lo])
-                if now != key:
+            now = [np.asarray(batch.column(c)) for c in ("token", "band", "pair")]
+            cut = np.flatnonzero(np.any([x[1:] != x[:-1] for x in now], axis=0)) + 1
+            for lo, hi in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+                at = tuple(x[lo] for x in now)
+                if at != key:
                     if held:
-                        yield from flush()
-                    held, key = [], now
+                        yield from flush(key[2])
+                    held, key = [], at
                 held.append(batch.slice(lo, hi - lo))
         if held:
-            yield from flush()
+            yield from flush(key[2])
 
     return run
 
@@ -254,6 +251,85 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return checkpointed(common.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b").distinct())
 
 
+def _postings(named: DataFrame, percent: int) -> DataFrame:
+    """Checkpointed (token, cid, n, pos, sig) of the classes' prefix shingles that may have a partner."""
+    classes = named.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("cid"), F.first(F.arrays_zip("prefix", "dense")).alias("prefix"))
+    postings = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "p")).select(F.col("p.prefix").alias("token"), "cid", "n", "pos", F.col("p.dense").alias("dense"))
+    long = checkpointed(postings.where("dense").groupBy("token").count().where(F.col("count") > LONG_LIST).select("token"))
+    short, open_ = postings, None
+    if not long.isEmpty():
+        short = postings.join(small(long), "token", "left_anti")
+        open_ = postings.where("dense").join(small(long), "token", "left_semi").select("token", "cid", "n", "pos")
+    near = Window.partitionBy("token").orderBy("n", "cid", "pos")
+    sized = short.withColumns({"less": F.lag("n").over(near), "more": F.lead("n").over(near)})
+    shared = sized.where((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).select("token", "cid", "n", "pos")
+    shared = shared.sortWithinPartitions("token", "n", "cid", "pos").mapInArrow(_with_partner(percent, NEIGHBOURS), "token long, cid long, n long, pos int")
+    shared = shared if open_ is None else shared.unionByName(open_)
+    signed = named.select(F.col("doc_id").alias("cid"), "n", "sig").distinct()
+    return checkpointed(shared.join(signed, ["cid", "n"]).select("token", "cid", "n", "pos", "sig"))
+
+
+def _mixed(placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Postings by band of sizes, and checkpointed (token, band) with different components: the largest one, its blocks (bm) and those of the others (bo).
+
+    Sizes that fit differ by one band at most; a posting is at home in its band and visits the one below.
+    """
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent * 1.0001))).cast("long")
+    spread = placed.withColumn("b", band).withColumn("v", F.explode(F.array(F.lit(False), F.lit(True)))).select("*", (F.col("b") - F.col("v").cast("int")).alias("band"), F.col("v").alias("visits")).drop("b", "v")
+    sizes = spread.groupBy("token", "band", "comp").agg(F.count("*").alias("c"), F.count_if(~F.col("visits")).alias("home"))
+    lists_ = sizes.groupBy("token", "band").agg(F.sum("c").alias("m"), F.sum("home").alias("home"), F.max("c").alias("mc"), F.max_by("comp", F.struct("c", "comp")).alias("major"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    up = lambda c: F.ceil(c / BLOCK)
+    return spread, checkpointed(lists_.where("lo < hi and home > 0").select("token", "band", "major", "m", "mc", up(F.col("mc")).alias("bm"), up(F.col("m") - F.col("mc")).alias("bo")))
+
+
+def _led(shared: DataFrame, placed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of classes that pass the filters against a leader, LEADERS best ones for each class."""
+    heavy = checkpointed(shared.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select(anew("token").alias("key"), F.ceil(F.col("m") / BLOCK).alias("blocks")))
+    salted = placed.withColumn("key", anew("token")).join(small(heavy), "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("cid", "token", F.lit(turn)), F.col("blocks")), F.lit(0)))  # by token too, so that blocks of different tokens mix
+    salted = salted.select(F.xxhash64("token", "salt").alias("token"), "cid", "comp", "n", "pos", "sig")  # a leader for each block of a long list
+    led = salted.repartition("token").sortWithinPartitions("token", F.xxhash64("token", "cid", F.lit(turn)), "cid", "pos").mapInArrow(_against_leader(percent), "a long, b long, gap long")
+    led = led.groupBy("a", "b").agg(F.min("gap").alias("gap"))
+    best = Window.partitionBy("x").orderBy("gap", "a", "b")
+    chosen = led.select("a", "b", "gap", F.explode(F.array("a", "b")).alias("x")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= LEADERS)
+    return chosen.select("a", "b").distinct()
+
+
+def _linked(docs: DataFrame, shared: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links (a, b) of classes that give the same components as all links."""
+    total = shared.count()
+    links = tried = None
+    for turn in range(ROUNDS + 1):
+        placed = shared.withColumn("comp", F.col("cid"))
+        if links is not None:
+            known = checkpointed(components(links).withColumnRenamed("id", "cid").withColumnRenamed("component", "comp"))
+            placed = shared.join(small(known), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+            spread, mixed = _mixed(placed, percent)
+            dealt = mixed.agg(F.sum(F.col("mc") * F.col("bo") + (F.col("m") - F.col("mc")) * (F.col("bm") + F.col("bo")))).first()[0] or 0
+            if dealt <= DEALT * total or not new or turn == ROUNDS:
+                break
+        pairs = _led(shared, placed, percent, turn)
+        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        found = verified(docs, pairs, k, percent)
+        new = found.count()
+        links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
+
+    open_ = spread.withColumn("key", anew("token")).join(small(mixed.select(anew("token").alias("key"), "band", "major", "bm", "bo")), ["key", "band"]).drop("key")
+    is_major = F.col("comp") == F.col("major")
+    own = F.pmod(F.xxhash64("cid"), F.when(is_major, F.col("bm")).otherwise(F.col("bo")))
+    to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    unit = lambda pair, side: F.struct(pair.cast("long").alias("pair"), side.alias("side"))
+    # Block pairs: the largest component's with the others', then the others' with each other; below 0, a block with itself.
+    with_others = F.transform(to("bo"), lambda j: unit(F.col("own") * F.col("bo") + j, F.lit(0)))
+    with_major = F.transform(to("bm"), lambda i: unit(i * F.col("bo") + F.col("own"), F.lit(1)))
+    apart = lambda j: F.when(j == F.col("own"), -1 - j).otherwise((F.col("bm") + F.least("own", j)) * F.col("bo") + F.greatest("own", j))
+    among = F.transform(to("bo"), lambda j: unit(apart(j), F.when(F.col("own") > j, 1).otherwise(0)))
+    units = open_.withColumn("own", own).withColumn("u", F.explode(F.when(is_major, with_others).otherwise(F.concat(with_major, among))))
+    dealt = units.select("token", "band", F.col("u.pair").alias("pair"), F.col("u.side").alias("side"), "visits", "cid", "n", "pos", "sig", "comp")
+    crossed = dealt.repartition("token", "band", "pair").sortWithinPartitions("token", "band", "pair").mapInArrow(_across(percent), "a long, b long, gap long")
+    second = checkpointed(crossed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    return links.unionByName(verified(docs, second, k, percent))
+
+
 def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -266,37 +342,8 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFr
     """
     rows = checkpointed(shingle_sets(docs, k, percent, shingle_counts(docs, k)))
     named = rows.where("n > 0 and doc_id is not null")
-    classes = named.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("cid"), F.first("prefix").alias("prefix"))
-    postings = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "token"))
-    near = Window.partitionBy("token").orderBy("n", "cid", "pos")
-    sized = postings.withColumns({"less": F.lag("n").over(near), "more": F.lead("n").over(near)})
-    shared = sized.where((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).select("token", "cid", "n", "pos")
-    shared = shared.mapInArrow(_with_partner(percent, NEIGHBOURS, LONG_LIST), "token long, cid long, n long, pos int")
-    signed = named.select(F.col("doc_id").alias("cid"), "n", "sig").distinct()
-    shared = checkpointed(shared.join(signed, ["cid", "n"]).select("token", "cid", "n", "pos", "sig"))
-
-    heavy = checkpointed(shared.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select(anew("token").alias("key"), F.ceil(F.col("m") / BLOCK).alias("blocks")))
-    salted = shared.withColumn("key", anew("token")).join(small(heavy), "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("cid", "token"), F.col("blocks")), F.lit(0)))  # by token too, so that blocks of different tokens mix
-    salted = salted.select(F.xxhash64("token", "salt").alias("token"), "cid", "n", "pos", "sig")  # a leader for each block of a long list
-    led = salted.repartition("token").sortWithinPartitions("token", F.xxhash64("token", "cid"), "cid", "pos").mapInArrow(_against_leader(percent), "a long, b long, gap long")
-    led = led.groupBy("a", "b").agg(F.min("gap").alias("gap"))
-    best = Window.partitionBy("x").orderBy("gap", "a", "b")
-    chosen = led.select("a", "b", "gap", F.explode(F.array("a", "b")).alias("x")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= LEADERS)
-    first = checkpointed(chosen.select("a", "b").distinct())
-    links = verified(docs, first, k, percent)
-    known = checkpointed(components(links).withColumnRenamed("id", "cid").withColumnRenamed("component", "comp"))
-
-    placed = shared.join(small(known), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    mixed = placed.groupBy("token").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    mixed = checkpointed(mixed.select(anew("token").alias("key"), F.ceil(F.col("m") / BLOCK).alias("blocks")))
-    open_ = placed.withColumn("key", anew("token")).join(small(mixed), "key").drop("key")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks"))
-    dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    pair = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
-    dealt = dealt.select("token", pair.alias("pair"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "cid", "n", "pos", "sig", "comp")
-    crossed = dealt.repartition("token", "pair").sortWithinPartitions("token", "pair").mapInArrow(_across(percent), "a long, b long, gap long")
-    second = checkpointed(crossed.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(verified(docs, second, k, percent))
+    shared = _postings(named, percent)
+    links = _linked(docs, shared, percent, k)
     reached = components(links)
 
     label = named.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("cid")).join(reached.withColumnRenamed("id", "cid"), "cid", "left")

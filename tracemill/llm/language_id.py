@@ -22,6 +22,8 @@ from .kernels import Sums, crc_mod, doc_key, map_batches, raw, text_of, words
 BITS = 17
 #: Documents of a language that the model is fitted on at most, and characters of each (a window at a hashed place).
 SAMPLE_DOCS, SAMPLE_CHARS = 250, 1500
+#: Languages that are learned at most, those of most labelled documents; each has a column in every table of the model.
+LANGUAGES = 64
 UNKNOWN = "und"
 
 
@@ -131,11 +133,13 @@ def marginals(scores: np.ndarray, counts: np.ndarray, move: np.ndarray, block: i
     return both / both.sum(1, keepdims=True), alpha, psi * beta
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 7, rounds: int = 30, run: int = 32) -> Model:
-    """A model from a bounded sample of labelled texts."""
+def fit(texts: list[str], labels: list[str], seed: int = 7, rounds: int = 30, run: int = 32) -> Model | None:
+    """A model from a bounded sample of labelled texts; None if none of them has a letter."""
     langs = sorted(set(labels))
     k = len(langs)
     w = _cut(pa.array(texts, pa.string()))
+    if not len(w.row):
+        return None
     gold_of_row = np.array([langs.index(x) for x in labels])
     rng = np.random.default_rng(seed)
     # Runs of 3 to 12 words of one text, in random order, make code-switched sequences.
@@ -180,18 +184,21 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, rounds: int = 30, ru
     return m
 
 
-def learn(docs: DataFrame, per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model | None:
-    """A model fitted on labelled rows that aren't held out: at most per_lang of each language, a window of each; None without any."""
+def learn(docs: DataFrame, per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> Model | None:
+    """A model fitted on labelled rows that aren't held out: at most per_lang of each language, a window of each; None without any letter.
+
+    Of more than `languages` values of lang those of most rows are learned.
+    """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), crc_mod(4).alias("m"), F.xxhash64(doc_key(), "text").alias("h"))
-    rows = rows.where("m <> 2 and lang is not null and text is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    rows = rows.where("m <> 2 and lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not common:
         return None
-    rate = F.coalesce(*[F.when(F.col("lang") == k, min(1.0, 2 * per_lang / n)) for k, n in counts.items()])
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * per_lang / r["count"])) for r in common], "lang string, rate double")
     place = F.pmod("h", F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
-    some = rows.where((F.pmod(F.col("h"), F.lit(1 << 20)) + 0.0) < rate * (1 << 20)).select("lang", F.substr("text", place, F.lit(chars)).alias("text"), "h")
-    taken: dict[str, list[str]] = {k: [] for k in counts}
-    for r in some.orderBy("h", "text").limit(4 * per_lang * len(counts)).collect():
+    some = rows.join(F.broadcast(rates), "lang").where(F.pmod(F.col("h"), F.lit(1 << 20)) + 0.0 < F.col("rate") * (1 << 20)).select("lang", F.substr("text", place, F.lit(chars)).alias("text"), "h")
+    taken: dict[str, list[str]] = {r["lang"]: [] for r in common}
+    for r in some.orderBy("h", "lang", "text").limit(2 * per_lang * len(common)).collect():
         if len(taken[r["lang"]]) < per_lang:
             taken[r["lang"]].append(r["text"])
     pairs = [(t, k) for k in sorted(taken) for t in taken[k]]
@@ -211,7 +218,7 @@ def identify_documents(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> DataFram
 
     The model learns from rows whose crc32(doc_id as text) mod 4 is not 2; held_out marks the others.
     lang_pred is `und`, with score 0, for a null text, a text without letters, and every text if no
-    labelled row is there to learn from. score is the mean posterior of lang_pred over the text's
+    labelled row with a letter is there to learn from. score is the mean posterior of lang_pred over the text's
     words; n_switches counts neighbouring words with different likeliest languages. A null doc_id
     counts as the empty text; repeated rows, an empty table and further columns need no care. Equal
     sums go to the language first in the alphabet.

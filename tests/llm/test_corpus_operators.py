@@ -273,3 +273,56 @@ def test_quality_classifier_edges(spark):
     assert len(rows) == len(ODD) and all(r.score == 0 for r in rows if r.doc_id in (1, 2))
     assert quality_model.score_documents(odd(spark).where("doc_id > 100")).count() == 0
     assert {r.score for r in quality_model.score_documents(odd(spark).where("text is null")).collect()} == {0.0}
+
+
+def test_languages_without_letters_or_with_many_names(spark):
+    rows = [(i, "12 345 !", "xx") for i in range(30)]
+    found = language_id.identify_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert {(r.lang_pred, r.score) for r in found} == {("und", 0.0)} and len(found) == 30
+    many = [(i, f"wort{i % 90} und so", f"l{i % 90}") for i in range(900)]
+    model = language_id.learn(spark.createDataFrame(many, "doc_id bigint, text string, lang string"), per_lang=5)
+    assert len(model.langs) == language_id.LANGUAGES
+
+
+def test_languages_equal_plain_forward_backward(spark):
+    docs = queries.table(spark, FOLDER, "documents").unionByName(odd(spark).select("doc_id", "text"), True)
+    found = {(r.doc_id, r.n_words): r for r in language_id.identify_documents(docs).collect()}
+    model = language_id.learn(docs)
+    import pyarrow as pa
+
+    step = np.exp(model.move)
+    for r in docs.where("length(text) < 3000").limit(60).collect():
+        w = language_id._cut(pa.array([r.text]))
+        if not len(w.row):
+            assert found[r.doc_id, 0].lang_pred == "und"
+            continue
+        emit = np.exp(language_id._emissions(w, model))
+        ahead, back = [emit[0] * step.sum(0)], [np.ones(len(model.langs))]
+        for e in emit[1:]:
+            ahead.append(ahead[-1] @ step * e)
+            ahead[-1] /= ahead[-1].sum()
+        for e in emit[:0:-1]:
+            back.append(step @ (e * back[-1]))
+            back[-1] /= back[-1].sum()
+        post = np.array(ahead) * np.array(back[::-1])
+        post /= post.sum(1, keepdims=True)
+        row = found[r.doc_id, len(emit)]
+        assert row.lang_pred == model.langs[post.sum(0).argmax()] and abs(row.score - post.sum(0).max() / len(emit)) < 1e-6
+        assert row.n_switches == (np.diff(post.argmax(1)) != 0).sum()
+
+
+def test_quality_votes_equal_counts_of_patterns(spark):
+    docs = queries.table(spark, FOLDER, "documents").where("text is not null")
+    codes, counts = label_model.pattern_counts(docs, quality_model.labeller_votes)
+    import pyarrow as pa
+
+    plain = label_model.encode(quality_model.labeller_votes(pa.array([r.text for r in docs.select("text").collect()])))
+    value, n = np.unique(plain, return_counts=True)
+    assert (codes == value).all() and (counts == n).all()
+
+
+def test_quality_classifier_ties_and_clashing_columns(spark):
+    docs = queries.table(spark, FOLDER, "documents").select("doc_id", "text")
+    twice = docs.unionByName(docs.selectExpr("doc_id + 100000 as doc_id", "text")).withColumn("score", F.lit("clash")).withColumn("kept", F.lit(5))
+    rows = {r.doc_id: r for r in quality_model.score_documents(twice).collect()}
+    assert len(rows) == 400 and all(rows[i].score == rows[i + 100000].score and rows[i].kept == (rows[i].score >= 0.5) for i in rows if i < 100000)

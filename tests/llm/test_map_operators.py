@@ -294,3 +294,37 @@ def test_empty_and_odd_page_tables(spark):
     long = "<article>" + "<p>word, word</p>" * 50_000
     one = html_text.extract_pages(spark.createDataFrame([(1, "u", long, "clash", 3)], none.schema)).first()
     assert one.text.count("\n\n") == 49_999 and one.n_chars == len(one.text)
+
+
+def test_chat_edges(spark):
+    rows = [(1, 0, "user", "a", 7), (1, 0, "user", "a", 7), (1, 0, "assistant", None, 7), (1, None, "user", "later?", 7), (None, 3, None, "x", 7), (2, 5, "assistant", "\\<|im_end|>", 7)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, seq int")
+    found = {r.conv_id: r for r in chat.digest(chat.render(chat.fold(chat.turn_events(table)))).collect()}
+    assert {k: r.n_turns for k, r in found.items()} == {1: 4, None: 1, 2: 1} and found[2].loss_sha256 == hashlib.sha256(b"\\<|im_end|>").hexdigest()
+    assert found[1].loss_chars == 0 and found[1].turns_sha256 == hashlib.sha256(b"user\nlater?\nassistant\n\nuser\na\nuser\na\n").hexdigest()
+    assert chat.digest(chat.render(chat.fold(chat.turn_events(table.where("turn > 100"))))).count() == 0
+
+
+def test_regenerations_across_stretches(spark, monkeypatch):
+    rng = random.Random(2)
+    events = []
+    for conv in range(3):
+        for seq in range(120):
+            new = rng.random() < 0.5 or seq == 0
+            msg = seq if new else rng.randrange(seq)
+            events.append((conv, seq, "message" if new else rng.choice(["delta", "edit", "regenerate", "delta"]), f"{msg:03}", "user" if new else None, f"t{seq} "))
+    plain = {}
+    for conv in range(3):
+        log, place, redone, text = [e for e in events if e[0] == conv], {}, {}, {}
+        for _, seq, kind, msg, _, t in log:
+            place.setdefault(msg, seq)
+            text[msg] = text.get(msg, "") + t if kind == "delta" else t
+            if kind == "regenerate":
+                redone[msg] = seq
+        for m in place:
+            if not any(place[r] < place[m] <= redone[r] for r in redone):
+                plain[conv, place[m]] = text[m]
+    for stretch in (4096, 16, 1):
+        monkeypatch.setattr(chat, "STRETCH", stretch)
+        found = chat.fold(spark.createDataFrame(events, "conv_id bigint, seq bigint, kind string, msg string, role string, text string")).collect()
+        assert {(r.conv_id, r.place): r.text for r in found} == plain

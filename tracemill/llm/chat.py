@@ -32,22 +32,46 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\)?", r"\1", text) if "\\" in text else text
 
 
+#: Sequence numbers of a stretch of a conversation, which one task reads in order.
+STRETCH = 4096
+
+
+def _dropped(messages: DataFrame) -> DataFrame:
+    """(key) of messages (key, conv_id, msg, place, redone) that began before the regeneration of an earlier one.
+
+    A message is dropped if the largest `redone` of those before it reaches its place. Conversations are
+    cut to stretches: the largest of a stretch is carried over those behind it, and within one a window
+    follows the messages, so no task reads a conversation's messages whole.
+    """
+    placed = messages.withColumn("stretch", F.floor(F.col("place") / STRETCH))
+    stretches = placed.groupBy("conv_id", "stretch").agg(F.max("redone").alias("redone"))
+    behind = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = stretches.select("conv_id", "stretch", F.max("redone").over(behind).alias("carried")).where("carried is not null")
+    inside = Window.partitionBy("conv_id", "stretch").orderBy("place").rangeBetween(Window.unboundedPreceding, -1)
+    near = placed.withColumn("near", F.max("redone").over(inside)).where("near >= place").select("key")
+    same = F.col("p.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("p.stretch") == F.col("c.stretch")) & (F.col("c.carried") >= F.col("p.place"))
+    return near.unionByName(placed.alias("p").join(carried.alias("c"), same).select("p.key")).distinct()
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final messages: conv_id, place (seq of the first event), role, text.
 
-    Each message is folded on its own, so a conversation of any length is spread over tasks: among
-    its events by seq, those from the last `message`, `edit` or `regenerate` on count, and their
-    texts are joined. A null text counts as empty, a null role as the empty role; the role is that of the last
-    event which has one. Events with equal seq are ordered by kind, role and text.
+    Each message is folded on its own: among its events by seq, those from the last `message`, `edit` or
+    `regenerate` on count, and their texts are joined; events that a later one supersedes are left out
+    before that, so that only a message's final text has to fit a task. A null text counts as empty, a
+    null role as the empty role; the role is that of the last event which has one. Events with equal seq
+    are ordered by kind, role and text.
     """
-    event = F.struct("seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = events.groupBy("conv_id", "msg").agg(F.sort_array(F.collect_list(event)).alias("log"), F.min("seq").alias("place"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("redone"))
-    sets = F.array_max(F.transform("log", lambda e, i: F.when(e["kind"] != "delta", i + 1)))
-    lives = F.filter("log", lambda e, i: i + 1 >= F.coalesce(sets, F.lit(1)))
-    roles = F.filter("log", lambda e: e["role"].isNotNull())
-    messages = ordered.select("conv_id", "msg", "place", "redone", F.coalesce(F.get(roles, F.size(roles) - 1)["role"], F.lit("")).alias("role"), F.array_join(F.transform(lives, lambda e: e["text"]), "").alias("text"))
-    before = Window.partitionBy("conv_id").orderBy("place", "msg").rowsBetween(Window.unboundedPreceding, -1)
-    return messages.withColumn("cut", F.max("redone").over(before)).where("cut is null or place > cut").select("conv_id", "place", "msg", "role", "text")
+    keyed = events.select("*", F.md5(F.to_json(F.struct("conv_id", "msg"))).alias("key"), F.struct("seq", "kind", "role", F.md5("text").alias("text")).alias("at"))
+    slim = keyed.groupBy("key").agg(
+        F.first("conv_id").alias("conv_id"), F.first("msg").alias("msg"), F.min("seq").alias("place"), F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("redone"),
+        F.max(F.when(F.col("kind") != "delta", F.col("at"))).alias("set_at"), F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "kind", "role"))).alias("named"),
+    )
+    live = slim.join(_dropped(slim), "key", "left_anti").select("key", "conv_id", "msg", "place", "set_at", F.coalesce(F.col("named")["role"], F.lit("")).alias("role"))
+    said = keyed.select("key", "at", F.coalesce("text", F.lit("")).alias("text")).join(live, "key").where("set_at is null or at >= set_at")
+    parts = F.sort_array(F.collect_list(F.struct("at", "text")))
+    joined = F.array_join(F.transform(parts, lambda e: e["text"]), "")
+    return said.groupBy("key", "conv_id", "msg", "place", "role").agg(joined.alias("text")).select("conv_id", "place", "msg", "role", "text")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -114,12 +138,20 @@ def digest(rendered: DataFrame) -> DataFrame:
 
 
 def turn_events(conversations: DataFrame) -> DataFrame:
-    """A table of finished turns as an event log: every row sets one message, ordered by turn.
+    """A table of finished turns as the event log of a chat client: every row is one message, ordered by turn.
 
-    Repeated rows and rows of equal turn are messages of their own, ordered by role and text.
+    A message is begun with a draft, which a delta goes on with; it is regenerated, edited to the first
+    half of its text, and a last delta brings the rest. Repeated rows and rows of equal turn are messages
+    of their own, ordered by role and a digest of the text; a null turn comes first.
     """
-    same = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    return conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"),
-        F.row_number().over(same).cast("long").alias("nth"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
-    ).select("conv_id", "seq", "kind", F.struct("seq", "nth").alias("msg"), "role", "text")
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    each = turns.groupBy("conv_id", "turn", "role", "text").count().withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
+    half = F.floor(F.length("text") / 2).cast("int")
+    event = lambda step, kind, role, text: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    log = F.array(
+        event(0, "message", F.col("role"), F.lit("Well")), event(1, "delta", none, F.lit(", let me think")), event(2, "regenerate", none, F.lit("On second thoughts")),
+        event(3, "edit", none, F.substring("text", F.lit(1), half)), event(4, "delta", none, F.substring("text", half + 1, F.length("text"))),
+    )
+    msg = F.struct("turn", "role", F.md5("text").alias("digest"), "nth").alias("msg")
+    return each.select("conv_id", msg, F.explode(log).alias("e")).select("conv_id", (F.coalesce(F.col("msg.turn") * 8, F.lit(-(1 << 60))) + F.col("e.step")).alias("seq"), F.col("e.kind").alias("kind"), "msg", F.col("e.role").alias("role"), F.col("e.text").alias("text"))

@@ -4,18 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of two or three longs up to which a table may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Eager checkpoint() in spark.checkpoint.dir; a temporary folder is set only where that is unset."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: that of spark.checkpoint.dir; where that is unset, a temporary one on a single machine and an error on a cluster."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracemill-"))
+        folder = context.getConf().get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tracemill-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Eager checkpoint() in the folder that the session names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -55,3 +55,17 @@ def test_near_duplicates_link_from_five_words_and_four_fifths_on(spark):
     docs = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
     found = {r.doc_id for r in P.near_duplicates(spark, docs, FOLDER).collect()}
     assert found == kept(5, 80) and found < kept(3, 90)
+
+
+def test_stages_keep_clashing_columns_and_null_rows(spark):
+    docs = queries.table(spark, FOLDER, "documents").selectExpr("*", "-7 as n_words", "'mine' as kept", "doc_id as llr", "1 as n", "'x' as key")
+    odd = spark.createDataFrame([(None, None, None, None, None)], "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "-7 as n_words", "'mine' as kept", "doc_id as llr", "1 as n", "'x' as key")
+    both = docs.unionByName(odd, True)
+    before = {r.doc_id: tuple(r) for r in both.drop("text", "n_chars").collect()}
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, both, FOLDER)
+        assert out.columns == both.columns
+        rows = {r.doc_id: tuple(r) for r in out.drop("text", "n_chars").collect()}
+        assert rows and all(before[k] == v for k, v in rows.items())
+        assert stage(spark, both.where("doc_id < 0"), FOLDER).count() == 0
+    assert P.tokens(spark, both.where("doc_id < 0"), FOLDER).count() == 0

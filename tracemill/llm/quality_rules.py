@@ -105,3 +105,9 @@ def rate_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     good = F.broadcast(good) if good.count() <= 1_000_000 else good
     marked = docs.join(good, F.col("doc_id") == F.col("__good"), "left")
     return measured(docs, weights(marked, F.col("__good").isNotNull()), threshold)
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that rate_documents keeps, with their own columns, whatever these are called."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "text")
+    return rate_documents(whole, labels, threshold).where("kept").select("__doc.*")

@@ -6,13 +6,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm import bpe, decontaminate, ngram_join, quality_rules, secret_scan
+from tracemill.llm import bpe, decontaminate, graph, ngram_join, quality_rules, secret_scan
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality rules reject."""
-    rated = quality_rules.rate_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rated.where("kept").select(*docs.columns)
+    return quality_rules.keep_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,15 +43,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over sf_dir/documents.parquet.
 
-    What each stage but the last keeps is written to the folder in spark.checkpoint.dir (one is made
-    where that is unset) and read from there.
+    What each stage but the last keeps is written to the folder in spark.checkpoint.dir and read from there.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracemill-"))
-    folder = f"{context.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{graph.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

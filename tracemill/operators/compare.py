@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from .rounds import numbered
 
+#: Run ids of one stretch of a concept's runs.
+STRETCH = 10_000
 R = lambda c, n: F.round(c, 6).alias(n)
 
 
@@ -31,8 +34,7 @@ def mastery(cells: DataFrame) -> DataFrame:
 
 def challenge_ranking(df: DataFrame, universe: int) -> DataFrame:
     """Concepts by 0.4 x share of available difficulties visited + 0.6 x success weighted by place in first-seen order, hardest first."""
-    order = Window.partitionBy("concept").orderBy("run_id")
-    placed = df.withColumn("place", F.row_number().over(order))
+    placed = numbered(df, ["concept"], F.floor(F.col("run_id") / STRETCH), ["run_id"], "place")
     weighted = F.sum(ok() * F.col("place")) / F.sum("place")
     score = F.count_distinct("difficulty") / F.lit(float(universe)) * 0.4 + weighted * 0.6
     return placed.groupBy("concept").agg(R(score, "score")).withColumn("rank", F.row_number().over(Window.orderBy("score", "concept")))
@@ -47,8 +49,7 @@ def degradation(df: DataFrame) -> DataFrame:
 
 def difficulty_scaling(df: DataFrame) -> DataFrame:
     """Per concept and difficulty: the last run's success, and how many runs of the concept there were up to it."""
-    running = F.count("*").over(Window.partitionBy("concept").orderBy("run_id").rowsBetween(Window.unboundedPreceding, 0))
-    seen = df.withColumn("available", running)
+    seen = numbered(df, ["concept"], F.floor(F.col("run_id") / STRETCH), ["run_id"], "available")
     return seen.groupBy("concept", "difficulty").agg(F.max_by("success", "run_id").alias("last_success"), F.max("available").alias("available"))
 
 
@@ -76,8 +77,50 @@ def flatten(df: DataFrame, keys: list[str], leaves: list[str]) -> DataFrame:
 def pattern_effectiveness(pats: DataFrame) -> DataFrame:
     """Per pattern: usage, success, and success relative to the unweighted mean of all patterns; patterns of one use don't count."""
     each = pats.groupBy("pattern").agg(F.count("*").alias("usage"), F.avg(ok()).alias("rate")).where("usage > 1")
-    mean = each.agg(F.avg("rate").alias("mean"))
-    return each.crossJoin(F.broadcast(mean)).select("pattern", "usage", R(F.col("rate"), "effectiveness"), R(S.ratio(F.col("rate"), F.col("mean")), "relative"), (S.ratio(F.col("rate"), F.col("mean")) > 1.05).alias("specialty"))
+    mean = each.agg(F.avg("rate").alias("mean"))  # one row
+    return each.crossJoin(F.broadcast(mean)).select("pattern", "usage", R(F.col("rate"), "effectiveness"), R(S.ratio(F.col("rate"), F.col("mean")), "relative"))
+
+
+#: Fixed value: from this ratio on a pattern is a specialty of a concept.
+SPECIALTY = 1.2
+
+
+def strengths_and_weaknesses(pats: DataFrame, k: int = 5) -> DataFrame:
+    """The k patterns of a model with the highest and the lowest success relative to its patterns' mean, marked by `side`."""
+    each = pats.groupBy("model", "pattern").agg(F.count("*").alias("usage"), F.avg(ok()).alias("rate")).where("usage > 1")
+    mean = each.groupBy("model").agg(F.avg("rate").alias("mean"))
+    scored = each.join(mean, "model").select("model", "pattern", R(S.ratio(F.col("rate"), F.col("mean")), "score"))
+    ends = [("strength", [F.desc("score"), "pattern"]), ("weakness", ["score", F.desc("pattern")])]
+    parts = [scored.withColumn("nth", F.row_number().over(Window.partitionBy("model").orderBy(*o))).where(F.col("nth") <= k).withColumn("side", F.lit(side)) for side, o in ends]
+    return parts[0].unionByName(parts[1])
+
+
+def specialties(pats: DataFrame, k: int = 3) -> DataFrame:
+    """Per model and concept its k patterns whose success with the concept is more than 1.2 times the pattern's own; patterns of one use don't count."""
+    own = pats.groupBy("model", "pattern").agg(F.count("*").alias("all"), F.avg(ok()).alias("own")).where("all > 1")
+    cells = by_concept(pats).groupBy("model", "pattern", "concept").agg(F.count("*").alias("usage"), F.avg(ok()).alias("rate")).where("usage > 1")
+    ratio = R(S.ratio(F.col("rate"), F.col("own")), "ratio")
+    scored = cells.join(own, ["model", "pattern"]).select("model", "concept", "pattern", ratio).where(F.col("ratio") > SPECIALTY)
+    best = Window.partitionBy("model", "concept").orderBy(F.desc("ratio"), "pattern")
+    return scored.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k)
+
+
+def progression(runs: DataFrame) -> DataFrame:
+    """Per model and difficulty: combinations attempted, their share of the model's, mean success, and distinct concepts reached."""
+    combos = runs.groupBy("model", "difficulty", "difficulty_rank", F.array_join(F.array_sort("concepts"), "-").alias("combo")).agg(F.avg(ok()).alias("rate"), F.first("concepts").alias("concepts"))
+    cells = combos.groupBy("model", "difficulty", "difficulty_rank").agg(F.count("*").alias("combos"), R(F.avg("rate"), "success_rate"), F.size(F.array_distinct(F.flatten(F.collect_set("concepts")))).alias("concepts"))
+    total = cells.groupBy("model").agg(F.sum("combos").alias("all"))
+    return cells.join(total, "model").select("model", "difficulty", "combos", R(100 * S.ratio(F.col("combos"), F.col("all")), "percent"), "success_rate", "concepts")
+
+
+def outcomes(runs: DataFrame, failures: DataFrame) -> DataFrame:
+    """Per model: successes, failures by segment, and findings for each 100 runs. failures: (run_id, reason, findings)."""
+    segment = F.when(F.col("reason").isin("syntax_error", "no_code"), "syntax_no_code").otherwise(F.col("reason"))
+    joined = runs.select("model", "run_id", "success").join(failures.select("run_id", segment.alias("segment"), "findings"), "run_id", "left")
+    named = joined.withColumn("segment", F.when(F.col("success"), "success").otherwise(F.coalesce("segment", F.lit("unknown"))))
+    cells = named.groupBy("model", "segment").agg(F.count("*").alias("runs"), F.coalesce(F.sum("findings"), F.lit(0)).alias("findings"))
+    total = cells.groupBy("model").agg(F.sum("runs").alias("all"))
+    return cells.join(total, "model").select("model", "segment", "runs", R(100 * S.ratio(F.col("findings"), F.col("all")), "findings_per_100_runs"))
 
 
 def pattern_by_concept(pats: DataFrame, *extra: str) -> DataFrame:

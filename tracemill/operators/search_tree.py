@@ -6,18 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from .rounds import checkpointed
 
 R = lambda c, n: F.round(c, 6).alias(n)
 
 
-def with_depth(nodes: DataFrame, most: int = 40) -> DataFrame:
-    """Nodes with their depth (roots: 0), found level by level: each level joins the nodes below the level before."""
-    spark = nodes.sparkSession
-    nodes.select("node_id", "parent_id").createOrReplaceTempView("__tree_nodes")
-    depths = spark.sql(
-        f"WITH RECURSIVE walk MAX RECURSION LEVEL {most} AS (SELECT node_id, 0 AS depth FROM __tree_nodes WHERE parent_id IS NULL UNION ALL SELECT n.node_id, w.depth + 1 FROM walk w JOIN __tree_nodes n ON n.parent_id = w.node_id) SELECT node_id, depth FROM walk"
-    )
-    return nodes.join(depths, "node_id")
+def _doubled(state: DataFrame, carry: dict) -> DataFrame:
+    """Rounds of pointer doubling over (node_id, up, ...): each doubles the steps from a node to `up`, until every `up` is null.
+
+    carry: column -> what it is after its node's and its ancestor's part (named with a leading __) are put
+    together. A chain of n steps takes log2(n) rounds, each checkpointed; nodes of a cycle, or below a
+    parent that isn't there, have no root and are left out.
+    """
+    state = checkpointed(state)
+    total, steps = state.count(), 1
+    while steps <= 2 * total and not state.where("up is not null").isEmpty():
+        t = state.select(F.col("node_id").alias("up"), F.col("up").alias("__up"), F.lit(True).alias("__there"), *[F.col(c).alias(f"__{c}") for c in carry])
+        both = state.join(t, "up", "left").where("up is null or __there")
+        state = checkpointed(both.select("node_id", F.col("__up").alias("up"), *[F.when(F.col("up").isNull(), F.col(c)).otherwise(e).alias(c) for c, e in carry.items()]))
+        steps *= 2
+    return state.where("up is null").drop("up")
+
+
+def with_depth(nodes: DataFrame) -> DataFrame:
+    """Nodes with their depth (roots: 0)."""
+    start = nodes.select("node_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"))
+    return nodes.join(_doubled(start, {"depth": F.col("depth") + F.col("__depth")}), "node_id")
 
 
 def tree_stats(nodes: DataFrame) -> DataFrame:
@@ -46,30 +60,38 @@ def balance(nodes: DataFrame) -> DataFrame:
     return each.agg(R(F.max("depth") / F.log2(F.sum("n") + S.num(1)), "depth_balance"), R(F.avg("v"), "value_balance"), R(F.sum("used") / F.sum("n"), "utilisation"), R(F.var_pop("n"), "breadth_variance"))
 
 
-def root_paths(nodes: DataFrame, most: int = 40) -> DataFrame:
+def root_paths(nodes: DataFrame) -> DataFrame:
     """Per node the way from its root: length, mean value along it, and the path as text."""
-    spark = nodes.sparkSession
-    nodes.select("node_id", "parent_id", "value").createOrReplaceTempView("__path_nodes")
-    return spark.sql(
-        f"WITH RECURSIVE walk MAX RECURSION LEVEL {most} AS (SELECT node_id, 1 AS length, value AS total, CAST(node_id AS STRING) AS path FROM __path_nodes WHERE parent_id IS NULL UNION ALL SELECT n.node_id, w.length + 1, w.total + n.value, concat(w.path, '>', CAST(n.node_id AS STRING)) FROM walk w JOIN __path_nodes n ON n.parent_id = w.node_id) SELECT node_id, length, round(total / length, 6) AS path_value, path FROM walk"
-    )
+    start = nodes.select("node_id", F.col("parent_id").alias("up"), F.lit(1).alias("length"), F.col("value").alias("total"), F.col("node_id").cast("string").alias("path"))
+    put = {c: F.col(f"__{c}") + F.col(c) for c in ("length", "total")} | {"path": F.concat("__path", F.lit(">"), "path")}
+    return _doubled(start, put).select("node_id", "length", R(F.col("total") / F.col("length"), "path_value"), "path")
+
 
+def backpropagated(nodes: DataFrame, rewards: DataFrame, gamma: float = 0.9) -> DataFrame:
+    """Every reward to all ancestors, times gamma for each step up: sum and number of rewards that reach a node.
 
-def backpropagated(nodes: DataFrame, rewards: DataFrame, gamma: float = 0.9, most: int = 40) -> DataFrame:
-    """Every reward to all ancestors, times gamma for each step up: sum and number of rewards that reach a node."""
-    spark = nodes.sparkSession
-    nodes.select("node_id", "parent_id").createOrReplaceTempView("__up_nodes")
-    rewards.groupBy("node_id").agg(F.sum("reward").alias("reward"), F.count("*").alias("n")).createOrReplaceTempView("__up_rewards")
-    return spark.sql(
-        f"WITH RECURSIVE up MAX RECURSION LEVEL {most} AS (SELECT node_id, reward, n FROM __up_rewards UNION ALL SELECT t.parent_id, u.reward * {gamma}D, u.n FROM up u JOIN __up_nodes t ON t.node_id = u.node_id WHERE t.parent_id IS NOT NULL) SELECT node_id, round(sum(reward) + 1e-9D, 6) AS total, CAST(sum(n) AS BIGINT) AS rewards FROM up GROUP BY node_id"
-    )
+    Doubling again: after a round a node holds what lies below it within twice as many steps, as its own
+    sum and those of the nodes that are so many steps below.
+    """
+    own = rewards.groupBy("node_id").agg(F.sum("reward").alias("total"), F.count("*").alias("n"))
+    ids = nodes.select("node_id").unionByName(nodes.where("parent_id is not null").select(F.col("parent_id").alias("node_id"))).unionByName(own.select("node_id")).distinct()
+    state = ids.join(nodes.select("node_id", F.col("parent_id").alias("up")), "node_id", "left").join(own, "node_id", "left").na.fill(0, ["total", "n"])
+    state = checkpointed(state)
+    total, steps = state.count(), 1
+    while steps <= 2 * total and not state.where("up is not null").isEmpty():
+        below = state.where("up is not null and n > 0").groupBy(F.col("up").alias("node_id")).agg(F.sum("total").alias("__total"), F.sum("n").alias("__n"))
+        above = state.select(F.col("node_id").alias("up"), F.col("up").alias("__up"))
+        grown = state.join(below, "node_id", "left").join(above, "up", "left")
+        put = F.col("total") + F.coalesce("__total", S.num(0)) * S.num(gamma**steps)
+        state = checkpointed(grown.select("node_id", F.col("__up").alias("up"), put.alias("total"), (F.col("n") + F.coalesce("__n", F.lit(0))).alias("n")))
+        steps *= 2
+    return state.where("n > 0").select("node_id", R(F.col("total") + 1e-9, "total"), F.col("n").alias("rewards"))
 
 
 def td_values(rewards: DataFrame, rate: float = 0.9) -> DataFrame:
-    """v += rate (r - v) over a node's rewards in order, from 0: an ordered fold of each node's rewards."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("run_id", "reward"))), lambda x: x["reward"])
-    fold = F.aggregate(ordered, S.num(0), lambda v, r: v + rate * (r - v))
-    return rewards.groupBy("node_id").agg(R(fold + 1e-9, "value"), F.count("*").alias("visits"))
+    """v += rate (r - v) over a node's rewards in order, from 0, in its closed form: a reward counts rate x (1 - rate) to the power of those after it."""
+    after = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("run_id"))) - 1
+    return rewards.withColumn("k", after).groupBy("node_id").agg(R(F.sum(rate * F.col("reward") * F.pow(S.num(1 - rate), F.col("k"))) + 1e-9, "value"), F.count("*").alias("visits"))
 
 
 def convergence(rewards: DataFrame, epsilon: float, k: int) -> DataFrame:
@@ -102,7 +124,7 @@ def sampling_weights(nodes: DataFrame, damping: float = 0.35) -> DataFrame:
     """Inverse-value weights, damped by observations, as shares within a surface."""
     w = (1.1 - S.clamp01(F.col("value"))) / F.pow(F.col("visits") + S.num(1), S.num(damping))
     weighted = nodes.withColumn("w", w)
-    return weighted.select("node_id", "surface", R(S.ratio(F.col("w"), F.sum("w").over(Window.partitionBy("surface"))), "share"))
+    return weighted.join(weighted.groupBy("surface").agg(F.sum("w").alias("all")), "surface").select("node_id", "surface", R(S.ratio(F.col("w"), F.col("all")), "share"))
 
 
 def subset_parents(sets: DataFrame) -> DataFrame:
@@ -111,10 +133,14 @@ def subset_parents(sets: DataFrame) -> DataFrame:
     A subset shares its least element with the set, so candidates come from an equi-join on
     (surface, element) with the subset's least element, never from all pairs.
     """
+    return subset_candidates(sets).groupBy("surface", "child").agg(F.min_by("parent", F.struct(-F.size("part"), "parent")).alias("parent"))
+
+
+def subset_candidates(sets: DataFrame) -> DataFrame:
+    """(surface, child, all, parent, part): every proper subset of every set of a surface."""
     big = sets.select("surface", F.col("key").alias("child"), F.col("items").alias("all"), F.explode("items").alias("e"))
     small = sets.select("surface", F.col("key").alias("parent"), F.col("items").alias("part"), F.array_min("items").alias("e"))
-    pairs = big.join(small, ["surface", "e"]).where((F.size("part") < F.size("all")) & (F.size(F.array_except("part", "all")) == 0))
-    return pairs.groupBy("surface", "child").agg(F.min_by("parent", F.struct(-F.size("part"), "parent")).alias("parent"))
+    return big.join(small, ["surface", "e"]).where((F.size("part") < F.size("all")) & (F.size(F.array_except("part", "all")) == 0)).drop("e")
 
 
 def novel_partners(sets: DataFrame) -> DataFrame:
@@ -130,20 +156,65 @@ def closure(edges: DataFrame, every: int = 4) -> DataFrame:
 
     A round extends the pairs that the last one found, until none is new; lineage is cut every few rounds.
     """
-    context = edges.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracemill-"))
-    edges = edges.select("src", "dst").distinct().checkpoint()
+    edges = checkpointed(edges.select("src", "dst").distinct())
     found = new = edges
     rounds = 0
     while not new.isEmpty():
         step = new.alias("a").join(edges.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst")).distinct()
         known = (F.col("s.src").eqNullSafe(F.col("f.src"))) & (F.col("s.dst").eqNullSafe(F.col("f.dst")))
-        new = step.alias("s").join(found.alias("f"), known, "left_anti").select("src", "dst").checkpoint()
+        new = checkpointed(step.alias("s").join(found.alias("f"), known, "left_anti").select("src", "dst"))
         found = found.unionByName(new)
         rounds += 1
         if rounds % every == 0:
-            found = found.checkpoint()
+            found = checkpointed(found)
     return found
+
+
+def parents_by_sets(sets: DataFrame) -> DataFrame:
+    """Parents of every set of a surface among its proper subsets: the largest one, or, where two subsets together make up the set, the first such pair.
+
+    Subsets come from subset_candidates; a pair's second part has to hold what the first one lacks, so
+    pairs are joined on the set and on the least element that the first lacks.
+    """
+    c = subset_candidates(sets)
+    left = c.select("surface", "child", "all", F.col("parent").alias("p"), F.col("part").alias("x"), F.array_min(F.array_except("all", "part")).alias("e"))
+    right = c.select("surface", "child", F.col("parent").alias("q"), F.col("part").alias("y"), F.explode("part").alias("e"))
+    whole = left.join(right, ["surface", "child", "e"]).where((F.col("p") < F.col("q")) & (F.size(F.array_except("all", F.concat("x", "y"))) == 0))
+    pair = whole.groupBy("surface", "child").agg(F.min(F.struct("p", "q")).alias("pair"))
+    single = c.groupBy("surface", "child").agg(F.min_by("parent", F.struct(-F.size("part"), "parent")).alias("largest"))
+    chosen = F.when(F.col("pair").isNotNull(), F.array("pair.p", "pair.q")).otherwise(F.array("largest"))
+    return single.join(pair, ["surface", "child"], "left").select("surface", "child", chosen.alias("parents"))
+
+
+def least_covered(nodes: DataFrame, concepts: DataFrame, observed: DataFrame) -> DataFrame:
+    """For every node the candidate concept least observed on its surface, then in fewest nodes there, then by a digest.
+
+    nodes: (node_id, surface, signature, candidates); concepts: (surface, concept) once per node that has
+    it; observed: (surface, concept) once per run.
+    """
+    count = lambda df, name: df.groupBy("surface", "concept").agg(F.count("*").alias(name))
+    each = nodes.select("node_id", "surface", "signature", F.explode("candidates").alias("concept"))
+    each = each.join(count(observed, "runs"), ["surface", "concept"], "left").join(count(concepts, "holders"), ["surface", "concept"], "left").na.fill(0, ["runs", "holders"])
+    digest = F.conv(F.substring(F.sha1(F.concat_ws("|", "surface", "signature", "concept")), 1, 8), 16, 10).cast("bigint")
+    return each.groupBy("node_id").agg(F.min_by("concept", F.struct("runs", "holders", digest, "concept")).alias("concept"))
+
+
+def first_tree(concepts: DataFrame, difficulties: DataFrame, pairs: int | None = None) -> DataFrame:
+    """Roots (difficulty x concept) and the pair nodes below them: of all pairs of concepts of a difficulty in order, or the first so many."""
+    roots = concepts.crossJoin(F.broadcast(difficulties))  # difficulties are a fixed list of five
+    a, b = (roots.select("difficulty", F.col("concept").alias(x)) for x in ("a", "b"))
+    both = a.join(b, "difficulty").where("a < b")
+    if pairs is not None:
+        first = Window.partitionBy("difficulty").orderBy("a", "b")
+        both = both.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= pairs)
+    return roots.select("difficulty", F.array("concept").alias("concepts"), F.array().cast("array<string>").alias("parents")).unionByName(both.select("difficulty", F.array("a", "b").alias("concepts"), F.array("a", "b").alias("parents")))
+
+
+def signature(nodes: DataFrame) -> DataFrame:
+    """Nodes with their signature: phase, depth, difficulty and sorted concepts."""
+    return nodes.withColumn("signature", F.format_string("p=%s|depth=%s|diff=%s|concepts=%s", F.col("phase").cast("string"), F.col("depth").cast("string"), "difficulty", F.array_join(F.array_sort("concepts"), "|")))
+
+
+def first_of_signature(nodes: DataFrame) -> DataFrame:
+    """The first node (least node_id) of every (surface, set of concepts)."""
+    return nodes.groupBy("surface", F.array_join(F.array_sort(F.array_distinct("concepts")), "|").alias("key")).agg(F.min("node_id").alias("node_id"), F.count("*").alias("nodes"))

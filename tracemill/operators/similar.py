@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import texts as T
+from .rounds import numbered
 
 
 def normal_text(x: Column) -> Column:
@@ -105,5 +106,6 @@ def standardised(vectors: DataFrame, dims: int) -> DataFrame:
 
 def folds(labelled: DataFrame, k: int) -> DataFrame:
     """Stratified folds: within each label, rows in hashed order go round robin."""
-    order = Window.partitionBy("label").orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id")
-    return labelled.select("vec_id", "label", ((F.row_number().over(order) - 1) % k).cast("int").alias("fold"))
+    hashed = labelled.select("vec_id", "label", F.md5(F.col("vec_id").cast("string")).alias("h"))
+    placed = numbered(hashed, ["label"], F.substring("h", 1, 3), ["h", "vec_id"], "place")
+    return placed.select("vec_id", "label", ((F.col("place") - 1) % k).cast("int").alias("fold"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import python_code as P
 from ..operators import learned as L
 from ..operators import scenario_rules as Q
 from ..sources import files
@@ -82,12 +81,6 @@ def _(spark, d):
     return L.collapse_duplicates(src.findings(spark, d).withColumn("ord", F.row_number().over(order).cast("bigint")).select("run_id", "ord", "line", "cwe", "severity"))
 
 
-@query("code_facts_of_documents")
-def _(spark, d):
-    code = F.concat(F.lit("def f(a):\n    return g(a) if a else "), F.concat(F.lit('"'), F.substring(F.regexp_replace("text", r'[\\"\n\r]', " "), 1, 200), F.lit('"')))
-    return src.table(spark, d, "documents").select("doc_id", P.code_facts(code).alias("f")).select("doc_id", "f.ok", "f.functions", "f.calls", "f.cyclomatic")
-
-
 @query("vector_linear_probe")
 def _(spark, d):
     v = src.table(spark, d, "embeddings")

@@ -95,7 +95,7 @@ def _(spark, d):
     return pats(spark, d).groupBy("model").agg(C.R(F.avg(C.ok()), "success_rate"), C.R(F.avg("attempts"), "avg_attempts"), F.count("*").alias("patterns"), F.count_distinct("pattern").alias("distinct_patterns"))
 
 
-@query("pattern_effectiveness", f", e AS (SELECT pattern, count(*) AS usage, avg({OK}) AS rate FROM p GROUP BY 1 HAVING count(*) > 1), m AS (SELECT avg(rate) AS mean FROM e) SELECT pattern, usage, round(rate, 6) AS effectiveness, round(rate / mean, 6) AS relative, rate / mean > 1.05e0 AS specialty FROM e, m", PATTERNS)
+@query("pattern_effectiveness", f", e AS (SELECT pattern, count(*) AS usage, avg({OK}) AS rate FROM p GROUP BY 1 HAVING count(*) > 1), m AS (SELECT avg(rate) AS mean FROM e) SELECT pattern, usage, round(rate, 6) AS effectiveness, round(rate / mean, 6) AS relative FROM e, m", PATTERNS)
 def _(spark, d):
     return C.pattern_effectiveness(pats(spark, d))
 
@@ -137,11 +137,11 @@ def _(spark, d):
 
 @query(
     "inferred_capability",
-    f", k AS (SELECT array_to_string(concepts, '|') AS combo, difficulty_rank, count(*) AS runs, avg(1 - {OK}) AS f FROM runs WHERE node_id % 40 = 1 GROUP BY 1, 2), g AS (SELECT * FROM (SELECT DISTINCT combo FROM k) CROSS JOIN (SELECT DISTINCT difficulty_rank FROM k)), x AS (SELECT combo, difficulty_rank, runs, CASE WHEN runs IS NULL THEN CASE WHEN difficulty_rank < max(CASE WHEN runs IS NOT NULL THEN difficulty_rank END) OVER (PARTITION BY combo) THEN 0e0 ELSE 1e0 END ELSE f END AS f FROM g LEFT JOIN k USING (combo, difficulty_rank)) SELECT combo, difficulty_rank, coalesce(runs, 0) AS runs, round(f, 6) AS failure_rate, f < 0.5e0 AS operational FROM x",
+    f", fine AS (SELECT *, array_to_string(concepts, '|') || '|' || node_id AS combo FROM runs), k AS (SELECT combo, difficulty_rank, count(*) AS runs, avg(1 - {OK}) AS f FROM fine GROUP BY 1, 2), g AS (SELECT * FROM (SELECT DISTINCT combo FROM k) CROSS JOIN (SELECT DISTINCT difficulty_rank FROM k)), x AS (SELECT combo, difficulty_rank, runs, CASE WHEN runs IS NULL THEN CASE WHEN difficulty_rank < max(CASE WHEN runs IS NOT NULL THEN difficulty_rank END) OVER (PARTITION BY combo) THEN 0e0 ELSE 1e0 END ELSE f END AS f FROM g LEFT JOIN k USING (combo, difficulty_rank)) SELECT combo, difficulty_rank, coalesce(runs, 0) AS runs, round(f, 6) AS failure_rate, f < 0.5e0 AS operational FROM x",
 )
 def _(spark, d):
-    # The cell table of some nodes, so that cells are missing at all: the operator is about those.
-    cells = src.runs(spark, d).where("node_id % 40 = 1").groupBy(F.array_join("concepts", "|").alias("combo"), "difficulty_rank").agg(F.count("*").alias("runs"), F.avg(1 - C.ok()).alias("failure_rate"))
+    # Combinations by node, so that cells are missing at all: the operator is about those.
+    cells = src.runs(spark, d).groupBy(F.concat_ws("|", F.array_join("concepts", "|"), F.col("node_id").cast("string")).alias("combo"), "difficulty_rank").agg(F.count("*").alias("runs"), F.avg(1 - C.ok()).alias("failure_rate"))
     return C.inferred_capability(cells, "combo")
 
 
@@ -223,3 +223,26 @@ def _(spark, d):
 def _(spark, d):
     score = S.challenge_score(F.col("functionality"), F.col("attempts"), F.col("used_fixer"))
     return src.runs(spark, d).groupBy(F.array_join("concepts", "|").alias("combo"), "difficulty").agg(C.R(F.avg(score), "score"), F.count("*").alias("n"))
+
+
+@query("pattern_strengths", f", e AS (SELECT model, pattern, count(*) AS usage, avg({OK}) AS rate FROM p GROUP BY 1, 2 HAVING count(*) > 1), s AS (SELECT model, pattern, round(rate / nullif(avg(rate) OVER (PARTITION BY model), 0e0), 6) AS score FROM e), u AS (SELECT *, CAST(row_number() OVER (PARTITION BY model ORDER BY score DESC, pattern) AS INT) AS nth, 'strength' AS side FROM s UNION ALL SELECT *, CAST(row_number() OVER (PARTITION BY model ORDER BY score, pattern DESC) AS INT), 'weakness' FROM s) SELECT * FROM u WHERE nth <= 5", PATTERNS)
+def _(spark, d):
+    return C.strengths_and_weaknesses(pats(spark, d))
+
+
+@query("pattern_specialties", f", o AS (SELECT model, pattern, avg({OK}) AS own FROM p GROUP BY 1, 2 HAVING count(*) > 1), k AS (SELECT model, pattern, concept, avg({OK}) AS rate FROM (SELECT *, unnest(concepts) AS concept FROM p) GROUP BY 1, 2, 3 HAVING count(*) > 1), s AS (SELECT model, concept, pattern, round(rate / nullif(own, 0e0), 6) AS ratio FROM k JOIN o USING (model, pattern)) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY model, concept ORDER BY ratio DESC, pattern) AS INT) AS nth FROM s WHERE ratio > 1.2e0) WHERE nth <= 3", PATTERNS)
+def _(spark, d):
+    return C.specialties(pats(spark, d))
+
+
+@query("model_progression", f", c AS (SELECT model, difficulty, concepts, avg({OK}) AS rate FROM runs GROUP BY 1, 2, 3), k AS (SELECT model, difficulty, count(*) AS combos, round(avg(rate), 6) AS success_rate, CAST(len(list_distinct(flatten(list(concepts)))) AS INT) AS concepts FROM c GROUP BY 1, 2) SELECT model, difficulty, combos, round(100 * combos / CAST(sum(combos) OVER (PARTITION BY model) AS DOUBLE), 6) AS percent, success_rate, concepts FROM k")
+def _(spark, d):
+    return C.progression(src.runs(spark, d))
+
+
+@query("outcome_breakdown", f", f AS (SELECT run_id, ['syntax_error','no_code','unresolved_target_findings'][run_id % 3 + 1] AS reason, run_id % 5 AS n FROM runs WHERE NOT success AND run_id % 4 <> 0), x AS (SELECT model, CASE WHEN success THEN 'success' WHEN reason IS NULL THEN 'unknown' WHEN reason IN ('syntax_error', 'no_code') THEN 'syntax_no_code' ELSE reason END AS segment, n FROM runs LEFT JOIN f USING (run_id)), g AS (SELECT model, segment, count(*) AS runs, coalesce(sum(n), 0) AS n FROM x GROUP BY 1, 2) SELECT model, segment, runs, round(100 * n / CAST(sum(runs) OVER (PARTITION BY model) AS DOUBLE), 6) AS findings_per_100_runs FROM g")
+def _(spark, d):
+    r = src.runs(spark, d)
+    reason = F.element_at(F.array(*map(F.lit, ("syntax_error", "no_code", "unresolved_target_findings"))), (F.col("run_id") % 3 + 1).cast("int"))
+    failed = r.where("not success and run_id % 4 <> 0").select("run_id", reason.alias("reason"), (F.col("run_id") % 5).alias("findings"))
+    return C.outcomes(r, failed)

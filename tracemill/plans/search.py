@@ -122,3 +122,35 @@ def _(spark, d):
 
     best = Window.partitionBy("phase").orderBy(F.desc("value"), F.desc("visits"), "node_id")
     return src.nodes(spark, d).select("phase", "node_id", "value", "visits", F.row_number().over(best).alias("nth")).where("nth <= 20")
+
+
+@query("pair_parents", ", c AS (SELECT c.surface, c.key AS child, c.items AS allx, p.key AS parent, p.items AS part FROM sets c JOIN sets p ON c.surface = p.surface AND len(p.items) < len(c.items) AND list_has_all(c.items, p.items)), w AS (SELECT x.surface, x.child, min(row(x.parent, y.parent)) AS pair FROM c x JOIN c y ON x.surface = y.surface AND x.child = y.child AND x.parent < y.parent AND list_has_all(list_concat(x.part, y.part), x.allx) GROUP BY 1, 2), s AS (SELECT surface, child, arg_min(parent, row(-len(part), parent)) AS largest FROM c GROUP BY 1, 2) SELECT surface, child, CASE WHEN pair IS NULL THEN largest ELSE pair[1] || '+' || pair[2] END AS parents FROM s LEFT JOIN w USING (surface, child)", SETS)
+def _(spark, d):
+    return T.parents_by_sets(sets(spark, d)).select("surface", "child", F.array_join("parents", "+").alias("parents"))
+
+
+@query("least_covered_concepts", f", k AS (SELECT surface, unnest(concepts) AS concept FROM runs), o AS (SELECT surface, concept, count(*) AS n FROM k GROUP BY 1, 2), h AS (SELECT surface, concept, count(*) AS m FROM (SELECT DISTINCT surface, node_id, unnest(concepts) AS concept FROM runs) GROUP BY 1, 2), e AS (SELECT sn.node_id, sn.surface, 'C' || (sn.node_id % 7) AS sig, 'C' || i AS concept FROM sn, range(11) r(i) WHERE 'C' || i <> 'C' || (sn.node_id % 7)) SELECT node_id, arg_min(concept, row(coalesce(n, 0), coalesce(m, 0), CAST('0x' || substr(sha1(surface || '|' || sig || '|' || concept), 1, 8) AS BIGINT), concept)) AS concept FROM e LEFT JOIN o USING (surface, concept) LEFT JOIN h USING (surface, concept) GROUP BY 1", SURFACED)
+def _(spark, d):
+    r = src.runs(spark, d)
+    sig = F.concat(F.lit("C"), (F.col("node_id") % 7).cast("string"))
+    universe = F.array(*[F.lit(f"C{i}") for i in range(11)])
+    each = surfaced(spark, d).select("node_id", "surface", sig.alias("signature"), F.array_except(universe, F.array(sig)).alias("candidates"))
+    held = r.select("surface", "node_id", F.explode("concepts").alias("concept")).distinct()
+    return T.least_covered(each, held.select("surface", "concept"), r.select("surface", F.explode("concepts").alias("concept")))
+
+
+@query("first_tree", "SELECT difficulty, 'C' || i AS concepts, '' AS parents FROM range(11) r(i), unnest(['very easy','easy','medium','hard','very hard']) t(difficulty) UNION ALL SELECT difficulty, 'C' || x || '|C' || y, 'C' || x || '|C' || y FROM (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY 'C' || x, 'C' || y) AS nth FROM range(11) a(x), range(11) b(y), unnest(['very easy','easy','medium','hard','very hard']) t(difficulty) WHERE 'C' || x < 'C' || y) WHERE nth <= 20", "one AS (SELECT 1)")
+def _(spark, d):
+    concepts = src.runs(spark, d).select(F.explode("concepts").alias("concept")).distinct()
+    levels = spark.createDataFrame([(x,) for x in src.DIFFICULTIES], "difficulty string")
+    return T.first_tree(concepts, levels, 20).select("difficulty", F.array_join("concepts", "|").alias("concepts"), F.array_join("parents", "|").alias("parents"))
+
+
+@query("node_signatures", "SELECT run_id, 'p=' || phase || '|depth=' || len(concepts) || '|diff=' || difficulty || '|concepts=' || array_to_string(concepts, '|') AS signature FROM runs", src.RUNS)
+def _(spark, d):
+    return T.signature(src.runs(spark, d).withColumn("depth", F.size("concepts"))).select("run_id", "signature")
+
+
+@query("first_of_signature", "SELECT surface, array_to_string(concepts, '|') AS key, min(node_id) AS node_id, count(*) AS nodes FROM runs GROUP BY 1, 2", src.RUNS)
+def _(spark, d):
+    return T.first_of_signature(src.runs(spark, d))

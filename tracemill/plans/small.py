@@ -52,9 +52,9 @@ for _name, _least in (("nodes_over_threshold", 0.5), ("nodes_top_when_none", 5.0
         return B.threshold_or_top(src.nodes(spark, d).select("node_id", "value"), "value", least, 5, "node_id")
 
 
-@query("description_tokens", "SELECT p_partkey AS id, array_to_string(list_filter([string_split(p_name, ' ')[1], string_split(p_name, ' ')[2]], lambda w: length(w) >= 3 AND w <> 'ring'), '|') AS n FROM part WHERE string_split(p_name, ' ')[1] < string_split(p_name, ' ')[2]", "")
+@query("description_tokens", "SELECT p_partkey AS id, array_to_string(list_filter([string_split(p_name, ' ')[1], string_split(p_name, ' ')[2]], lambda w: length(w) >= 3 AND w <> 'ring'), '|') AS n FROM part", "")
 def _(spark, d):
-    p = src.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("w"), F.concat_ws(" ", "p_name", F.lit("CWE-79 b2 ring")).alias("t")).where("w[0] < w[1]")
+    p = src.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("w"), F.concat_ws(" ", "p_name", F.lit("CWE-79 b2 ring")).alias("t"))
     return p.select("id", F.array_join(B.duplicate_tokens(F.col("t"), ["ring"]), "|").alias("n"))
 
 
@@ -66,12 +66,12 @@ def _(spark, d):
     return src.runs(spark, d).select("run_id", passed.alias("passed"), failed.alias("failed"), errored.alias("errored"))
 
 
-@query("cell_annotations", f", c AS (SELECT concepts[1] AS concept, difficulty, round(1 - avg({OK}), 6) AS f, row_number() OVER (PARTITION BY concepts[1] ORDER BY count(*) DESC, difficulty_rank DESC) = 1 AS p FROM runs WHERE len(concepts) = 1 GROUP BY concepts[1], difficulty, difficulty_rank) SELECT concept, difficulty, CASE WHEN f = 0 THEN '✓' WHEN f = 1 THEN '✗' ELSE printf('%.2f', f) END || CASE WHEN p THEN '†' ELSE '' END AS cell FROM c WHERE f * 1000 % 5 <> 0 OR f IN (0, 1)")
+@query("cell_annotations", f", c AS (SELECT concepts[1] AS concept, difficulty, round(1 - avg({OK}), 6) AS f, row_number() OVER (PARTITION BY concepts[1] ORDER BY count(*) DESC, difficulty_rank DESC) = 1 AS p FROM runs WHERE len(concepts) = 1 GROUP BY concepts[1], difficulty, difficulty_rank) SELECT concept, difficulty, CASE WHEN f = 0 THEN '✓' WHEN f = 1 THEN '✗' ELSE printf('%.2f', f) END || CASE WHEN p THEN '†' ELSE '' END AS cell FROM c")
 def _(spark, d):
     one = src.runs(spark, d).where("size(concepts) = 1").withColumn("concept", F.get("concepts", F.lit(0)))
     cells = one.groupBy("concept", "difficulty", "difficulty_rank").agg(F.count("*").alias("n"), F.round(1 - F.avg(F.col("success").cast("double")), 6).alias("f"))
     first = Window.partitionBy("concept").orderBy(F.desc("n"), F.desc("difficulty_rank"))
-    marked = cells.withColumn("p", F.row_number().over(first) == 1).where((F.col("f") * 1000 % 5 != 0) | F.col("f").isin(0, 1))
+    marked = cells.withColumn("p", F.row_number().over(first) == 1)
     return marked.select("concept", "difficulty", T.annotate(F.col("f"), F.col("p")).alias("cell"))
 
 

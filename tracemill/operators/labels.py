@@ -14,18 +14,66 @@ SPELLINGS = {"veryeasy": "very easy", "very easy": "very easy", "easy": "easy",
 GROUPS = {"very easy": "Very Easy/Easy", "easy": "Very Easy/Easy", "medium": "Medium", "hard": "Hard/Very Hard", "very hard": "Hard/Very Hard"}
 
 
+#: Attack surfaces in order, with their weights, and their further names (accents dropped, `et` as `&`).
+SURFACES = {
+    "User Inputs & Data": 1.0,
+    "Web Outputs & Rendering": 1.4,
+    "Storage & Filesystem": 1.8,
+    "Authentication & Access Control": 2.2,
+    "Data Exchange & External Services": 2.6,
+    "Execution Environment & Infrastructure": 3.0,
+}
+SURFACE_NAMES = {
+    "user input & data": "User Inputs & Data",
+    "entrees & donnees utilisateur": "User Inputs & Data",
+    "web output & rendering": "Web Outputs & Rendering",
+    "sorties web & affichage": "Web Outputs & Rendering",
+    "stockage & systeme de fichiers": "Storage & Filesystem",
+    "authentification & controle d'acces": "Authentication & Access Control",
+    "echanges de donnees & services externes": "Data Exchange & External Services",
+    "environnement d'execution & infrastructure": "Execution Environment & Infrastructure",
+}
+
+
+def plain_name(x: Column) -> Column:
+    """A label's spelling: one case, single spaces, no accents, a straight apostrophe, `et` as `&`."""
+    return F.regexp_replace(F.translate(T.normal(x), "éèêëàâôîïûç’", "eeeeaaoiiuc'"), " et ", " & ")
+
+
 def difficulty_dimension(spark) -> DataFrame:
     """spelling, difficulty, rank, group label, weight and the next harder label (the hardest keeps itself)."""
     rows = [(s, d, DIFFICULTIES.index(d), GROUPS[d], S.DIFFICULTY_WEIGHT[d], DIFFICULTIES[min(4, DIFFICULTIES.index(d) + 1)]) for s, d in SPELLINGS.items()]
     return spark.createDataFrame(rows, "spelling string, difficulty string, rank int, axis string, weight double, harder string")
 
 
+def surface_dimension(spark) -> DataFrame:
+    """spelling, surface, rank from 1 on, weight and the next surface (the last keeps itself)."""
+    names = list(SURFACES)
+    rows = [(s, x, names.index(x) + 1, SURFACES[x], names[min(names.index(x) + 1, len(names) - 1)]) for s, x in ({n.lower(): n for n in names} | SURFACE_NAMES).items()]
+    return spark.createDataFrame(rows, "spelling string, surface string, rank int, weight double, next string")
+
+
 def resolve_difficulty(df: DataFrame, column: str) -> DataFrame:
     """Rows with the difficulty that a free spelling means, `unknown` for none; the dimension has seven rows."""
     dim = F.broadcast(difficulty_dimension(df.sparkSession))
     return df.withColumn("spelling", T.normal(F.col(column))).join(dim, "spelling", "left").withColumn("difficulty", F.coalesce("difficulty", F.lit("unknown"))).drop("spelling")
 
 
+def resolve_surface(df: DataFrame, column: str) -> DataFrame:
+    """Rows with the attack surface that a free spelling means: `unknown`, rank 0, weight 1 and the first surface next for none; the dimension has fourteen rows."""
+    dim = F.broadcast(surface_dimension(df.sparkSession))
+    out = df.withColumn("spelling", plain_name(F.col(column))).join(dim, "spelling", "left").drop("spelling")
+    return out.withColumns({"surface": F.coalesce("surface", F.lit("unknown")), "rank": F.coalesce("rank", F.lit(0)), "weight": F.coalesce("weight", S.num(1)), "next": F.coalesce("next", F.lit(next(iter(SURFACES))))})
+
+
+def by_name(x: Column, names: dict[str, str]) -> Column:
+    """What a spelling stands for; null for none."""
+    out = F.lit(None).cast("string")
+    for spelling, label in names.items():
+        out = F.when(x == spelling, label).otherwise(out)
+    return out
+
+
 def succeeded(definition: str) -> Column:
     """What counts as success: `final`, `sast_clean` (no finding left) or `one_shot` (at the first attempt)."""
     return {"final": F.col("success"), "sast_clean": F.col("total_issues") == 0, "one_shot": F.col("success") & (F.col("attempts") == 1)}[definition]

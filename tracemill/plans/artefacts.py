@@ -22,28 +22,83 @@ def query(name, sql=""):
     return put
 
 
+def pick(*xs, by="run_id"):
+    return F.element_at(F.array(*map(F.lit, xs)), (F.col(by) % len(xs) + 1).cast("int"))
+
+
 def scenarios(spark, d):
-    """Written scenarios whose profile follows from the run."""
+    """Written scenarios whose difficulty profile and weaknesses follow from the run."""
     r = src.runs(spark, d)
-    pick = lambda k, *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("run_id") % k + 1).cast("int"))
     body = F.concat_ws(
-        "\n", F.concat(F.lit("Difficulty: "), "difficulty"), F.concat(F.lit("- state dependency: "), pick(3, "none", "workflow", "stateless")), F.concat(F.lit("- cross component: "), pick(2, "none", "service")), F.concat(F.lit("- branches: "), pick(4, "1", "2 multiple", "zero", "conditional")),
-        F.concat(F.lit("The scenario shows a file "), pick(5, "path", "token", "session", "html page", "shell")), F.concat(F.lit("### Security Requirements\ncover "), "target_cwe"), F.concat(F.lit("### CWE Coverage\n"), F.when(F.col("run_id") % 7 == 0, F.lit("CWE-1")).otherwise(F.col("target_cwe"))),
+        "\n", F.when(F.col("run_id") % 9 == 0, "Difficulty: medium").otherwise(F.concat(F.lit("Difficulty: "), "difficulty")), F.lit("- Security-critical inputs: one\n- Sensitive sink: log"), F.concat(F.lit("- State  dependency: "), pick("none", "workflow", "stateless")),
+        F.concat(F.lit("- Cross-component interaction: "), pick("none", "service")), F.concat(F.lit("- Security-critical branches: "), pick("1", "2 multiple", "zero", "conditional")), F.when(F.col("run_id") % 5 == 0, "- Why this difficulty:").otherwise(F.lit("- Why this difficulty: so")), F.lit("### Security Requirements"),
+        F.concat(F.lit("cover "), "target_cwe"), F.lit("### CWE Coverage"), F.when(F.col("run_id") % 7 == 0, F.lit("CWE-1")).otherwise(F.col("target_cwe")),
     )
     return r.select("run_id", body.alias("text"), "difficulty", F.lit(None).cast("string").alias("surface"), F.array("target_cwe").alias("expected"))
 
 
 @query(
     "scenario_rules",
-    f"""WITH {src.RUNS}, x AS (SELECT *, ['none','workflow','stateless'][run_id % 3 + 1] AS s, ['none','service'][run_id % 2 + 1] AS c, ['1','2 multiple','zero','conditional'][run_id % 4 + 1] AS b FROM runs)
-SELECT run_id, array_to_string(list_filter([CASE WHEN difficulty = 'very easy' AND s = 'workflow' THEN 'state' END, CASE WHEN difficulty = 'very easy' AND c = 'service' THEN 'cross_component' END, CASE WHEN difficulty = 'very easy' AND b = '2 multiple' THEN 'branching' END, CASE WHEN difficulty = 'easy' AND s = 'workflow' THEN 'state' END,
- CASE WHEN difficulty = 'easy' AND c = 'service' THEN 'cross_component' END, CASE WHEN difficulty = 'medium' AND b = 'zero' AND c = 'none' THEN 'no_branching' END, CASE WHEN difficulty = 'medium' AND s = 'workflow' THEN 'state' END, CASE WHEN difficulty = 'very hard' AND s <> 'workflow' THEN 'no_state' END, CASE WHEN difficulty = 'very hard' THEN 'no_context' END,
- CASE WHEN run_id % 7 = 0 THEN 'coverage_lacks_cwe' END, CASE WHEN run_id % 7 = 0 THEN 'coverage_adds_cwe' END], lambda v: v IS NOT NULL), ',') AS reasons FROM x""",
+    f"""WITH {src.RUNS}, x AS (SELECT *, CASE WHEN run_id % 9 = 0 THEN 'medium' ELSE difficulty END AS said, ['none','workflow','stateless'][run_id % 3 + 1] AS s, ['none','service'][run_id % 2 + 1] AS c, ['1','2 multiple','zero','conditional'][run_id % 4 + 1] AS b, run_id % 5 <> 0 AS whole FROM runs)
+SELECT run_id, array_to_string(list_filter([CASE WHEN said <> difficulty THEN 'difficulty_mismatch' END, CASE WHEN NOT whole THEN 'profile_incomplete' END, CASE WHEN whole AND said = 'very easy' AND s = 'workflow' THEN 'state' END, CASE WHEN whole AND said = 'very easy' AND c = 'service' THEN 'cross_component' END,
+ CASE WHEN whole AND said = 'very easy' AND b = '2 multiple' THEN 'branching' END, CASE WHEN whole AND said = 'easy' AND s = 'workflow' THEN 'state' END, CASE WHEN whole AND said = 'easy' AND c = 'service' THEN 'cross_component' END, CASE WHEN whole AND said = 'medium' AND b = 'zero' AND c = 'none' THEN 'no_branching' END, CASE WHEN whole AND said = 'medium' AND s = 'workflow' THEN 'state' END,
+ CASE WHEN whole AND said = 'very hard' AND s <> 'workflow' THEN 'no_state' END, CASE WHEN whole AND said = 'very hard' THEN 'no_context' END, CASE WHEN run_id % 7 = 0 THEN 'coverage_lacks_cwe' END, CASE WHEN run_id % 7 = 0 THEN 'coverage_adds_cwe' END], lambda v: v IS NOT NULL), ',') AS reasons FROM x""",
 )
 def _(spark, d):
     return Q.validate(scenarios(spark, d)).select("run_id", F.array_join("reasons", ",").alias("reasons"))
 
 
+_GOOD = {"User Inputs & Data": "form and cookie", "Web Outputs & Rendering": "html render", "Storage & Filesystem": "file path", "Authentication & Access Control": "session token", "Data Exchange & External Services": "api webhook", "Execution Environment & Infrastructure": "shell command"}
+_PROFILE = ["Entry points", "Exposure channel", "Sensitive asset / sink", "Security boundary", "External dependency / runtime context", "Why this attack surface"]
+
+
+@query(
+    "scenario_surface_rules",
+    f"""WITH {src.RUNS}, rule AS (SELECT * FROM (VALUES ('Web Outputs & Rendering', 'no_rendering'), ('Storage & Filesystem', 'no_files'), ('Authentication & Access Control', 'no_identity'), ('Data Exchange & External Services', 'no_service'), ('Execution Environment & Infrastructure', 'no_runtime')) t(surface, reason)),
+x AS (SELECT run_id, r.surface, reason, run_id % 4 AS k, run_id % 11 = 0 AS other FROM runs r LEFT JOIN rule USING (surface))
+SELECT run_id, array_to_string(list_filter([CASE WHEN other THEN 'surface_mismatch' END, CASE WHEN k = 1 THEN 'surface_profile_incomplete' END, CASE WHEN k = 2 OR k = 3 AND surface <> 'Execution Environment & Infrastructure' THEN 'under_specified' END, CASE WHEN k >= 2 THEN reason END], lambda v: v IS NOT NULL), ',') AS reasons FROM x""",
+)
+def _(spark, d):
+    r = src.runs(spark, d)
+    good = F.element_at(F.create_map(*[F.lit(x) for kv in _GOOD.items() for x in kv]), F.col("surface"))
+    profile = lambda value: F.concat_ws("\n", *[F.concat(F.lit(f"- {name}: "), value) for name in _PROFILE])
+    kind = F.col("run_id") % 4
+    body = F.when(kind == 0, profile(good)).when(kind == 1, F.concat(F.lit("- Entry points: "), good)).when(kind == 2, F.lit("nothing much here")).otherwise(profile(F.lit("plain thing")))
+    text = F.concat(F.lit("Attack surface: "), F.when(F.col("run_id") % 2 == 0, F.upper("surface")).otherwise(F.col("surface")), F.lit("\n"), body)
+    names = F.array(*map(F.lit, src.SURFACES))
+    asked = F.when(F.col("run_id") % 11 == 0, F.element_at(names, ((F.col("node_id") + 1) % 6 + 1).cast("int"))).otherwise(F.col("surface"))
+    rows = r.select("run_id", text.alias("text"), F.lit("?").alias("difficulty"), asked.alias("surface"), F.array().cast("array<string>").alias("expected"))
+    return Q.validate(rows).select("run_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(
+    "validator_verdicts",
+    f"""WITH {src.RUNS}, x AS (SELECT run_id, target_cwe AS c, run_id % 2 AS v, run_id % 3 AS k, run_id % 5 AS p, run_id % 7 AS q FROM runs)
+SELECT run_id, ['natural','contextualized','unknown'][k + 1] AS kind, array_to_string(list_filter([CASE WHEN v = 1 THEN 'rejected' END, CASE WHEN k = 2 THEN 'pair_unclear' END, CASE WHEN p = 0 THEN 'no_paths' END, CASE WHEN p = 1 THEN 'unexpected_paths' END, CASE WHEN p <= 1 THEN c || ' no_path' END,
+ CASE WHEN p > 1 AND k = 2 THEN c || ' unclear' END, CASE WHEN p > 1 AND q = 0 THEN c || ' not_credible' END, CASE WHEN p > 1 AND q = 1 THEN c || ' evidence_incomplete' END, CASE WHEN p > 1 AND k = 1 AND q = 2 THEN c || ' no_bridge' END], lambda r: r IS NOT NULL), ',') AS reasons FROM x""",
+)
+def _(spark, d):
+    r = src.runs(spark, d)
+    kind = pick("direct", "in_context", "odd")
+    p, q = F.col("run_id") % 5, F.col("run_id") % 7
+    path = F.struct(
+        F.when(p == 1, "cwe_1").otherwise(F.col("target_cwe")).alias("cwe"), kind.alias("classification"), F.when(q == 0, "no").otherwise("yes").alias("credible"), F.lit("a").alias("source"), F.lit("b").alias("trust_boundary"), F.when(q != 1, "c").alias("sensitive_sink"), F.lit("d").alias("required_control"), F.when(q != 2, "e").alias("bridge")
+    )
+    paths = F.when(p == 0, F.array().cast("array<struct<cwe:string,classification:string,credible:string,source:string,trust_boundary:string,sensitive_sink:string,required_control:string,bridge:string>>")).otherwise(F.array(path))
+    payload = F.to_json(F.struct(F.when(F.col("run_id") % 2 == 0, True).otherwise(F.lit(False)).alias("is_valid"), kind.alias("pair_classification"), paths.alias("paths")))
+    found = Q.verdict_reasons(r.select("run_id", payload.alias("payload"), F.array("target_cwe").alias("expected")))
+    return found.select("run_id", F.col("pair_classification").alias("kind"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("surface_names", "SELECT o_orderkey AS id, ['User Inputs & Data','Storage & Filesystem','Execution Environment & Infrastructure','unknown'][o_orderkey % 4 + 1] AS surface, CAST([1,3,6,0][o_orderkey % 4 + 1] AS INT) AS rank, [1.0::DOUBLE,1.8::DOUBLE,3.0::DOUBLE,1.0::DOUBLE][o_orderkey % 4 + 1] AS weight, ['Web Outputs & Rendering','Authentication & Access Control','Execution Environment & Infrastructure','User Inputs & Data'][o_orderkey % 4 + 1] AS next FROM orders")
+def _(spark, d):
+    from ..operators import labels as B
+
+    raw = pick("Entrées et  données utilisateur", " storage & filesystem", "ENVIRONNEMENT d’exécution & infrastructure", "elsewhere", by="o_orderkey")
+    o = src.table(spark, d, "orders").select("o_orderkey", raw.alias("raw"))
+    return B.resolve_surface(o, "raw").select(F.col("o_orderkey").alias("id"), "surface", "rank", "weight", "next")
+
+
 def reports(spark, d):
     """SARIF reports that hold a run's findings."""
     f = src.findings(spark, d)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import texts as T
-from .rounds import numbered
+from .rounds import checkpointed, numbered
 
 
 def normal_text(x: Column) -> Column:
@@ -26,48 +28,119 @@ def _weighted(weight: float):
     return lambda t: F.struct(t.alias("term"), S.num(weight).alias("x"))
 
 
-def term_weights(scenarios: DataFrame, most: int = 256) -> DataFrame:
+def term_weights(scenarios: DataFrame, most: int = 384, stop: tuple[str, ...] = ()) -> DataFrame:
     """Sparse unit vectors: words weigh 1, pairs 0.25, triples 0.15 for each occurrence; the `most` heaviest terms (ties: by term) stay.
 
     Counts are reduced by (doc_id, term) on the map side before any window sees them.
     """
-    words = scenarios.select("doc_id", T.tokens(normal_text(F.col("text"))).alias("w"))
+    kept = T.tokens(normal_text(F.col("text")))
+    words = scenarios.select("doc_id", (F.filter(kept, lambda w: ~w.isin(*stop)) if stop else kept).alias("w"))
     parts = [F.transform(T.ngrams(F.col("w"), n), _weighted(weight)) for n, weight in ((1, 1.0), (2, 0.25), (3, 0.15))]
-    terms = words.select("doc_id", F.explode(F.concat(*parts)).alias("t")).groupBy("doc_id", F.col("t.term").alias("term")).agg(F.sum("t.x").alias("x"))
+    terms = words.select("doc_id", F.explode(F.concat(*parts)).alias("t")).groupBy("doc_id", F.col("t.term").alias("term")).agg(F.round(F.sum("t.x"), 6).alias("x"))
     heavy = Window.partitionBy("doc_id").orderBy(F.desc("x"), "term")
     top = terms.withColumn("r", F.row_number().over(heavy)).where(F.col("r") <= most)
     norm = top.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return top.join(norm, "doc_id").select("doc_id", "term", (F.col("x") / F.col("norm")).alias("x"))
 
 
-def sparse_cosine(vectors: DataFrame, keyed: DataFrame, *bucket: str) -> DataFrame:
-    """Cosine of all pairs within a bucket that share a term, a before b."""
-    v = vectors.join(keyed.select("doc_id", *bucket), "doc_id")
-    a, b = v.select(*bucket, "term", F.col("doc_id").alias("a"), F.col("x").alias("xa")), v.select(*bucket, "term", F.col("doc_id").alias("b"), F.col("x").alias("xb"))
-    return a.join(b, [*bucket, "term"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("xa") * F.col("xb")).alias("cosine"))
+def last_k(scenarios: DataFrame, bucket: list[str], k: int) -> DataFrame:
+    """Pairs (a, b, back, first of both): b is one of the k scenarios of a's bucket before a, in order of doc_id; back tells how far.
+
+    Scenarios are numbered within a bucket and cut to blocks of k; a pair's blocks are equal or follow
+    each other, so each scenario meets 2 k others at most, whatever its bucket holds.
+    """
+    placed = numbered(scenarios.select("doc_id", *bucket), bucket, F.floor(F.col("doc_id") / 10_000), ["doc_id"], "ord").withColumn("block", F.floor(F.col("ord") / k))
+    a = placed.select(*bucket, "block", F.col("doc_id").alias("a"), F.col("ord").alias("ord_a"))
+    b = placed.select(*bucket, F.explode(F.array("block", F.col("block") + 1)).alias("block"), F.col("doc_id").alias("b"), F.col("ord").alias("ord_b"))
+    back = F.col("ord_a") - F.col("ord_b")
+    return a.join(b, [*bucket, "block"]).where((back >= 1) & (back <= k)).select(*bucket, "block", "a", "b", back.alias("back"))
+
+
+def sparse_cosine(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, cosine) of the pairs (a, b) that share a term.
+
+    The pairs are given and bounded for each scenario, so a term however common multiplies nothing.
+    """
+    left = pairs.select("a", "b").join(vectors.select(F.col("doc_id").alias("a"), "term", F.col("x").alias("xa")), "a")
+    both = left.join(vectors.select(F.col("doc_id").alias("b"), "term", F.col("x").alias("xb")), ["b", "term"])
+    return both.groupBy("a", "b").agg(F.round(F.sum(F.col("xa") * F.col("xb")), 6).alias("cosine"))
+
+
+#: Modulus of the permutations: the least prime above 2**32.
+PRIME = 4_294_967_311
+
+
+def permutation(i: int) -> tuple[int, int]:
+    """Factor and summand of the i-th permutation of 32-bit hashes, both below 2**31."""
+    return 2 * ((i + 1) * 2_654_435_761 % (1 << 30)) + 1, (i + 1) * 2_246_822_519 % (1 << 31)
+
 
+def minhash(scenarios: DataFrame, perms: int = 96, n: int = 3) -> DataFrame:
+    """(doc_id, sig): the least value of each permutation over the hashes of a text's n-word shingles; texts without words have none.
 
-def minhash(scenarios: DataFrame, perms: int = 16, n: int = 3) -> DataFrame:
-    """Signature rows (doc_id, perm, value): the least md5 of permutation and shingle over a text's shingles."""
+    A shingle is hashed once, by the first 32 bits of its MD5; a text's shingles lie in one task, so that
+    one row for each text is shuffled.
+    """
     words = F.col("w")
     grams = F.when(F.size(words) >= n, T.ngrams(words, n)).otherwise(F.array(F.array_join(words, "_")))
-    cut = scenarios.select("doc_id", T.tokens(normal_text(F.col("text"))).alias("w"))
-    shingles = cut.select("doc_id", F.explode(F.array_distinct(grams)).alias("s"))
-    return shingles.groupBy("doc_id").agg(*[F.min(F.md5(F.concat(F.lit(f"{p}|"), "s"))).alias(f"p{p}") for p in range(perms)]).unpivot(["doc_id"], [f"p{p}" for p in range(perms)], "perm", "value")
+    cut = scenarios.select("doc_id", T.tokens(normal_text(F.col("text"))).alias("w")).where(F.size("w") > 0)
+    hashed = cut.select("doc_id", F.explode(F.array_distinct(grams)).alias("s")).select("doc_id", F.conv(F.substring(F.md5("s"), 1, 8), 16, 10).cast("bigint").alias("h"))
+    least = [F.min((F.col("h") * F.lit(a).cast("bigint") + F.lit(b).cast("bigint")) % F.lit(PRIME)).alias(f"p{i}") for i, (a, b) in enumerate(map(permutation, range(perms)))]
+    return hashed.groupBy("doc_id").agg(*least).select("doc_id", F.array(*[f"p{i}" for i in range(perms)]).alias("sig"))
+
+
+def same_places(x: Column, y: Column) -> Column:
+    """The share of equal places of two signatures."""
+    return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda e: e)) / F.size(x).cast("double")
 
 
 def minhash_pairs(signatures: DataFrame, perms: int, least: float) -> DataFrame:
-    """Pairs whose signatures agree in at least the given share of places, found through equal places.
+    """Pairs whose signatures agree in at least the given share of places; equal signatures are one class, represented by its least doc_id.
 
-    Equal signatures are one class first, so that copies don't multiply pairs: each class is
-    represented by its least doc_id.
+    Signatures that miss at most d places agree in one of d + 1 bands of places at least, so that pairs
+    are found through whole bands, each several places wide, and none is lost.
+    """
+    bands = perms - math.ceil(least * perms) + 1
+    edges = [perms * i // bands for i in range(bands + 1)]
+    classes = signatures.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("sig", lo + 1, hi - lo)).alias("key")) for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
+    places = classes.select("doc_id", "sig", F.explode(keys).alias("k")).select("doc_id", "sig", "k.band", "k.key")
+    ids = places.select("doc_id", "band", "key")
+    shared = ids.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1").select("band", "key")
+    ids = ids.join(shared, ["band", "key"])
+    found = ids.withColumnRenamed("doc_id", "a").join(ids.withColumnRenamed("doc_id", "b"), ["band", "key"]).where("a < b").select("a", "b").distinct()
+    both = found.join(classes.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(classes.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b")
+    return both.select("a", "b", same_places(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def staged_matches(scenarios: DataFrame, bucket: list[str], k: int = 50, method: str = "bow", cosine: float = 0.92, places: float = 0.82, dense: float = 0.9, vectors: DataFrame | None = None) -> DataFrame:
+    """(doc_id, method, similarity, matched) of scenarios that repeat one of the last k of their bucket.
+
+    Stages in order: equal text, then sparse vectors (`bow`, `cosine`, `bow+semantic` and any other name)
+    or MinHash (`minhash`, `minhash+semantic`), then dense vectors (doc_id, embedding) where the name
+    holds `semantic`. Within a stage the oldest match wins, and a stage only speaks where those before are silent.
     """
-    whole = signatures.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("perm", "value"))).alias("sig"))
-    classes = whole.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    places = classes.select("doc_id", F.explode("sig").alias("s")).select("doc_id", "s.perm", "s.value")
-    a, b = places.withColumnRenamed("doc_id", "a"), places.withColumnRenamed("doc_id", "b")
-    same = a.join(b, ["perm", "value"]).where("a < b").groupBy("a", "b").agg((F.count("*") / F.lit(float(perms))).alias("similarity"))
-    return same.where(F.col("similarity") >= least)
+    pairs = checkpointed(last_k(scenarios, bucket, k).select("a", "b", "back"))
+    texts = scenarios.select("doc_id", F.sha2(normal_text(F.col("text")), 256).alias("hash"))
+    side = lambda df, c, name: df.select(F.col("doc_id").alias(c), F.col(name).alias(f"{name}_{c}"))
+    stages = [("hash", pairs.join(side(texts, "a", "hash"), "a").join(side(texts, "b", "hash"), "b").where("hash_a = hash_b").select("a", "b", F.lit(1.0).alias("similarity")))]
+    if method in ("minhash", "minhash+semantic"):
+        signed = minhash(scenarios)
+        near = pairs.join(side(signed, "a", "sig"), "a").join(side(signed, "b", "sig"), "b").select("a", "b", same_places(F.col("sig_a"), F.col("sig_b")).alias("similarity"))
+        stages.append(("minhash", near.where(F.col("similarity") >= places)))
+    elif method != "semantic":
+        near = sparse_cosine(term_weights(scenarios), pairs).select("a", "b", F.col("cosine").alias("similarity"))
+        stages.append(("cosine", near.where(F.col("similarity") >= cosine)))
+    if "semantic" in method and vectors is not None:
+        length = lambda v: F.sqrt(dot(v, v))
+        both = pairs.join(side(vectors, "a", "embedding"), "a").join(side(vectors, "b", "embedding"), "b")
+        near = both.select("a", "b", F.round(dot(F.col("embedding_a"), F.col("embedding_b")) / F.nullif(length(F.col("embedding_a")) * length(F.col("embedding_b")), S.num(0)), 6).alias("similarity"))
+        stages.append(("semantic", near.where(F.col("similarity") >= dense)))
+    out = None
+    for nth, (name, found) in enumerate(stages):
+        ranked = found.join(pairs, ["a", "b"]).select("a", F.struct(F.lit(nth).alias("stage"), (-F.col("back")).alias("order"), F.lit(name).alias("method"), F.col("similarity"), F.col("b").alias("matched")).alias("m"))
+        out = ranked if out is None else out.unionByName(ranked)
+    return out.groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("doc_id"), "m.method", "m.similarity", "m.matched")
 
 
 def newest(scenarios: DataFrame, bucket: list[str], order: str, k: int) -> DataFrame:

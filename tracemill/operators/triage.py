@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,17 +26,27 @@ def with_verdicts(findings: DataFrame, reviews: DataFrame) -> DataFrame:
     return out.withColumn("verdict", F.coalesce("__exact", "__loose")).drop("__exact", "__loose")
 
 
-def triaged(judged: DataFrame, guard: int = 6) -> DataFrame:
-    """What stays after review: a false positive is dropped unless severity x confidence rank reaches the guard."""
+def triaged(judged: DataFrame, guard: int = 6, review_only: bool = True) -> DataFrame:
+    """What stays after review: a false positive is dropped; where only reviews decide, unless severity x confidence rank reaches the guard."""
     weight = S.level_rank(F.col("severity")) * S.level_rank(F.col("confidence"))
-    dropped = (F.coalesce("verdict", F.lit("")) == "FP") & (weight < guard)
-    return judged.withColumns({"kept": ~dropped, "overridden": (F.coalesce("verdict", F.lit("")) == "FP") & (weight >= guard)})
+    false = F.coalesce("verdict", F.lit("")) == "FP"
+    spared = false & (weight >= guard) & F.lit(review_only)
+    return judged.withColumns({"kept": ~false | spared, "overridden": spared})
 
 
 def cross_tool(findings: DataFrame) -> DataFrame:
-    """One finding for each (run, weakness, line): worst levels, tools and tests that agree, how many were removed."""
+    """One finding for each (run, weakness, line, source line): worst levels, tools and tests that agree, how many were removed.
+
+    Findings without a weakness or a line have no key and stay as they are. `source`, the text of the
+    line, counts with its white space collapsed where findings have it.
+    """
     worst = lambda c: F.max_by(c, S.level_rank(F.col(c)))
-    return findings.groupBy("run_id", "cwe", "line").agg(worst("severity").alias("severity"), worst("confidence").alias("confidence"), T.pipe_join(F.collect_set("tool")).alias("tools"), T.pipe_join(F.collect_set("test_id")).alias("tests"), (F.count("*") - 1).alias("removed"))
+    source = T.normal(F.col("source")) if "source" in findings.columns else F.lit("")
+    keyed = F.col("cwe").isNotNull() & F.col("line").isNotNull()
+    alone = F.when(~keyed, F.monotonically_increasing_id())
+    return findings.withColumns({"source": F.coalesce(source, F.lit("")), "__alone": alone}).groupBy("run_id", "cwe", "line", "source", "__alone").agg(
+        worst("severity").alias("severity"), worst("confidence").alias("confidence"), T.pipe_join(F.collect_set("tool")).alias("tools"), T.pipe_join(F.collect_set("test_id")).alias("tests"), (F.count("*") - 1).alias("removed")
+    ).drop("__alone", *([] if "source" in findings.columns else ["source"]))
 
 
 def collapse_references(reviews: DataFrame) -> DataFrame:
@@ -45,11 +59,13 @@ def collapse_references(reviews: DataFrame) -> DataFrame:
 
 
 def heuristic_pairs(findings: DataFrame) -> DataFrame:
-    """Pairs of findings of different tools at one line of a run that share a weakness or two description tokens."""
-    x = findings.select("run_id", "line", *[F.col(c).alias(f"{c}_a") for c in ("tool", "test_id", "cwe", "tokens")])
-    y = findings.select("run_id", "line", *[F.col(c).alias(f"{c}_b") for c in ("tool", "test_id", "cwe", "tokens")])
-    pairs = x.join(y, ["run_id", "line"]).where("tool_a < tool_b")
-    return pairs.where((F.col("cwe_a") == F.col("cwe_b")) | (F.size(F.array_intersect("tokens_a", "tokens_b")) >= 2))
+    """Pairs of findings of different tools at one line of a run, with the same snippet where there is one, that share a weakness, a description or two of its tokens."""
+    place = ["run_id", "line"] + [c for c in ("snippet",) if c in findings.columns]
+    each = ["tool", "test_id", "cwe", "tokens"] + [c for c in ("description",) if c in findings.columns]
+    x, y = (findings.select(*place, *[F.col(c).alias(f"{c}_{s}") for c in each]) for s in "ab")
+    pairs = x.join(y, place).where("tool_a < tool_b")
+    same = (F.col("cwe_a") == F.col("cwe_b")) | (F.size(F.array_intersect("tokens_a", "tokens_b")) >= 2)
+    return pairs.where(same | (F.col("description_a") == F.col("description_b")) if "description" in findings.columns else same)
 
 
 def restricted(reviews: DataFrame, findings: DataFrame) -> DataFrame:
@@ -60,24 +76,58 @@ def restricted(reviews: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def rule_lookup(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Findings with their rule's level; rules are a small catalogue, broadcast by size, and unknown rules get `warning`."""
+    """Findings with their rule's level, `warning` for unknown rules; Spark broadcasts the catalogue if its size allows."""
     return findings.join(rules, "test_id", "left").withColumn("level", F.coalesce("level", F.lit("warning")))
 
 
-def knn_votes(train: DataFrame, test: DataFrame, k: int, dims: int) -> DataFrame:
-    """Label of each test vector: the majority among its k most similar train vectors (cosine; ties: higher mean similarity, then label).
+#: Query vectors that are held against the train vectors at once: bounded bytes, whatever their number.
+QUERIES_AT_ONCE = 2_000
+
 
-    `test` is the stated query set, which is broadcast behind a check of its size: every train
-    vector is scored against it as it streams by, and only k candidates for each query and task are shuffled.
+def knn_votes(train: DataFrame, test: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """Label of each test vector: the majority among its k nearest train vectors other than itself (ties: higher mean similarity, then label).
+
+    Similarity is the cosine, or minus the distance for `l2`. `test` is the stated query set: it comes in
+    blocks of QUERIES_AT_ONCE, each held against all train vectors as they stream by; a task keeps k
+    candidates for each query of the block, and only those are shuffled.
     """
-    del dims
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), S.num(0), lambda s, v: s + v)
-    norm = lambda a: F.sqrt(dot(a, a))
-    left = test.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"))
-    left = F.broadcast(left) if left.count() <= 100_000 else left
-    sims = train.select("vec_id", "label", "embedding", norm(F.col("embedding")).alias("n")).crossJoin(left)
-    scored = sims.select("query_id", "vec_id", "label", F.round(dot(F.col("embedding"), F.col("q")) / (F.col("n") * F.col("qn")), 9).alias("sim"))
+    total = test.count()
+    blocks = max(1, -(-total // QUERIES_AT_ONCE))
+    own = test.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
+    near = None
+    for block in range(blocks if total else 0):
+        rows = own.where(F.col("block") == block).toArrow()
+        ids, q = np.asarray(rows.column("query_id")), np.array(rows.column("q").to_pylist(), np.float64)
+        shared = train.sparkSession.sparkContext.broadcast((ids, q))
+        part = train.select("vec_id", "label", "embedding").mapInArrow(_nearest(shared, k, metric), "query_id bigint, vec_id bigint, label int, sim double")
+        near = part if near is None else near.unionByName(part)
+    if near is None:
+        near = train.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, label int, sim double")
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
-    near = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-    votes = near.groupBy("query_id", "label").agg(F.count("*").alias("votes"), F.round(F.avg("sim"), 6).alias("mean_sim"))
+    kept = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    votes = kept.groupBy("query_id", "label").agg(F.count("*").alias("votes"), F.round(F.avg("sim"), 6).alias("mean_sim"))
     return votes.groupBy("query_id").agg(F.max_by("label", F.struct("votes", "mean_sim", -F.col("label"))).alias("label"), F.max("votes").alias("votes"))
+
+
+def _nearest(shared, k: int, metric: str):
+    """Streams train vectors past a block of queries; keeps the k nearest for each query, by similarity, then id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        length = np.maximum(np.linalg.norm(q, axis=1), 1e-300)
+        kept = [np.zeros((len(ids), 0))] * 3  # similarity, vector, label
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            vec, label = np.asarray(batch.column(0), np.float64), np.asarray(batch.column(1), np.float64)
+            x = np.array(batch.column(2).to_pylist(), np.float64)
+            sim = q @ x.T / length[:, None] / np.maximum(np.linalg.norm(x, axis=1), 1e-300) if metric == "cosine" else -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * q @ x.T, 0))
+            sim = np.where(ids[:, None] == vec, -np.inf, np.round(sim, 9))
+            all_ = [np.concatenate([a, np.broadcast_to(b, sim.shape)], 1) for a, b in zip(kept, (sim, vec, label), strict=True)]
+            order = np.lexsort((all_[1], -all_[0]), axis=1)[:, :k]
+            kept = [np.take_along_axis(a, order, 1) for a in all_]
+        some = np.isfinite(kept[0])
+        row = np.nonzero(some)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(kept[1][some].astype(np.int64)), pa.array(kept[2][some].astype(np.int32)), pa.array(kept[0][some])], ["query_id", "vec_id", "label", "sim"])
+
+    return run

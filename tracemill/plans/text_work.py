@@ -38,10 +38,6 @@ def judged(spark, d):
     return G.with_verdicts(src.findings(spark, d), reviews(spark, d).withColumn("review_ord", F.struct("review_ord", "verdict")))
 
 
-def _weighted(weight):
-    return lambda t: F.struct(t.alias("term"), S.num(weight).alias("x"))
-
-
 def documents(spark, d):
     return src.table(spark, d, "documents").select("doc_id", "text", "lang", "source")
 
@@ -98,29 +94,40 @@ def _(spark, d):
 
 
 _GRAMS = f"""{DOCS}, w AS (SELECT doc_id, lang, source, regexp_extract_all(norm, '[a-z0-9_]{{2,}}') AS w FROM docs), t AS (SELECT doc_id, unnest(w) AS term, 1e0 AS x FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])), 0.25e0 FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || '_' || w[i + 1] || '_' || w[i + 2])), 0.15e0 FROM w),
-top AS (SELECT doc_id, term, x FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY x DESC, term) AS r FROM (SELECT doc_id, term, round(sum(x), 6) AS x FROM t GROUP BY 1, 2)) WHERE r <= 32)"""
+top AS (SELECT doc_id, term, x FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY x DESC, term) AS r FROM (SELECT doc_id, term, round(sum(x), 6) AS x FROM t GROUP BY 1, 2)) WHERE r <= 384)"""
+
+
+@query("scenario_top_terms", ", u AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM top) SELECT doc_id, count(*) AS terms, round(sum(x), 4) AS mass, arg_max(term, row(round(x, 9), term)) AS top FROM u GROUP BY 1", _GRAMS)
+def _(spark, d):
+    top = D.term_weights(documents(spark, d))
+    return top.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("x"), 4).alias("mass"), F.max_by("term", F.struct(F.round("x", 9).alias("x"), "term")).alias("top"))
+
+
+_PERMS = ", ".join(f"({i}, {a}::BIGINT, {b}::BIGINT)" for i, (a, b) in enumerate(map(D.permutation, range(96))))
+_SH = f"{DOCS}, w AS (SELECT doc_id, regexp_extract_all(norm, '[a-z0-9_]{{2,}}') AS w FROM docs), sh AS (SELECT DISTINCT doc_id, CAST('0x' || substr(md5(s), 1, 8) AS BIGINT) AS h FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || '_' || w[i + 1] || '_' || w[i + 2]) ELSE [array_to_string(w, '_')] END) AS s FROM w WHERE len(w) > 0)), perms AS (SELECT * FROM (VALUES {_PERMS}) t(i, a, b)), sig AS (SELECT doc_id, list(v ORDER BY i) AS sig FROM (SELECT doc_id, i, min((a * h + b) % {D.PRIME}) AS v FROM sh, perms GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query("scenario_minhash", "SELECT doc_id, substr(sha256(array_to_string(sig, ',')), 1, 16) AS sig FROM sig", _SH)
+def _(spark, d):
+    return D.minhash(documents(spark, d)).select("doc_id", T.sha16(F.concat_ws(",", F.col("sig").cast("array<string>"))).alias("sig"))
 
 
-@query("scenario_top_terms", "SELECT doc_id, count(*) AS terms, round(sum(x), 4) AS mass, arg_max(term, row(x, term)) AS top FROM top GROUP BY 1", _GRAMS)
+@query("scenario_minhash_pairs", ", cls AS (SELECT min(doc_id) AS doc_id, sig FROM sig GROUP BY sig), pl AS (SELECT doc_id, i, sig[i] AS v FROM cls, range(1, 97) r(i)) SELECT a.doc_id AS a, b.doc_id AS b, count(*) / 96e0 AS similarity FROM pl a JOIN pl b USING (i, v) WHERE a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 79", _SH)
 def _(spark, d):
-    words = documents(spark, d).select("doc_id", T.tokens(D.normal_text(F.col("text"))).alias("w"))
-    parts = [F.transform(T.ngrams(F.col("w"), n), _weighted(weight)) for n, weight in ((1, 1.0), (2, 0.25), (3, 0.15))]
-    terms = words.select("doc_id", F.explode(F.concat(*parts)).alias("t")).groupBy("doc_id", F.col("t.term").alias("term")).agg(F.round(F.sum("t.x"), 6).alias("x"))
-    top = terms.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("x"), "term"))).where("r <= 32")
-    return top.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("x"), 4).alias("mass"), F.max_by("term", F.struct("x", "term")).alias("top"))
+    return D.minhash_pairs(D.minhash(documents(spark, d)), 96, 0.82)
 
 
-_SH = f"{DOCS}, w AS (SELECT doc_id, regexp_extract_all(norm, '[a-z0-9_]{{2,}}') AS w FROM docs), sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || '_' || w[i + 1] || '_' || w[i + 2]) ELSE [array_to_string(w, '_')] END) AS s FROM w), sig AS (SELECT doc_id, 'p' || p AS perm, min(md5(p || '|' || s)) AS value FROM sh, (SELECT unnest(range(4)) AS p) GROUP BY 1, 2)"
+_LAST = "placed AS (SELECT doc_id, lang, source, norm, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS o FROM docs WHERE lang IS NOT NULL AND source IS NOT NULL), pr AS (SELECT x.doc_id AS a, y.doc_id AS b, x.o - y.o AS back, x.norm = y.norm AS eq FROM placed x JOIN placed y USING (lang, source) WHERE x.o - y.o BETWEEN 1 AND 8)"
 
 
-@query("scenario_minhash", "SELECT doc_id, perm, value FROM sig", _SH)
+@query("scenario_staged_bow", f", {_LAST}, u AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM top), c AS (SELECT a, b, back, round(sum(u.x * v.x), 6) AS s FROM pr JOIN u ON u.doc_id = a JOIN u v ON v.doc_id = b AND v.term = u.term GROUP BY 1, 2, 3), m AS (SELECT a, b, back, 0 AS stage, 'hash' AS method, 1e0 AS s FROM pr WHERE eq UNION ALL SELECT a, b, back, 1, 'cosine', s FROM c WHERE s >= 0.9e0) SELECT a AS doc_id, arg_min(method, row(stage, -back)) AS method, arg_min(s, row(stage, -back)) AS similarity, arg_min(b, row(stage, -back)) AS matched FROM m GROUP BY 1", _GRAMS)
 def _(spark, d):
-    return D.minhash(documents(spark, d), 4)
+    return D.staged_matches(documents(spark, d).where("lang is not null and source is not null"), ["lang", "source"], 8, "bow", cosine=0.9)
 
 
-@query("scenario_minhash_pairs", ", whole AS (SELECT doc_id, string_agg(value, ',' ORDER BY perm) AS v FROM sig GROUP BY 1), cls AS (SELECT min(doc_id) AS doc_id FROM whole GROUP BY v), pl AS (SELECT * FROM sig SEMI JOIN cls USING (doc_id)) SELECT a.doc_id AS a, b.doc_id AS b, count(*) / 4e0 AS similarity FROM pl a JOIN pl b USING (perm, value) WHERE a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) >= 3", _SH)
+@query("scenario_staged_minhash", f", {_LAST}, c AS (SELECT a, b, back, len(list_filter(list_zip(u.sig, v.sig), lambda e: e[1] = e[2])) / 96e0 AS s FROM pr JOIN sig u ON u.doc_id = a JOIN sig v ON v.doc_id = b), m AS (SELECT a, b, back, 0 AS stage, 'hash' AS method, 1e0 AS s FROM pr WHERE eq UNION ALL SELECT a, b, back, 1, 'minhash', s FROM c WHERE s >= 0.82e0) SELECT a AS doc_id, arg_min(method, row(stage, -back)) AS method, arg_min(s, row(stage, -back)) AS similarity, arg_min(b, row(stage, -back)) AS matched FROM m GROUP BY 1", _SH)
 def _(spark, d):
-    return D.minhash_pairs(D.minhash(documents(spark, d), 4), 4, 0.75)
+    return D.staged_matches(documents(spark, d).where("lang is not null and source is not null"), ["lang", "source"], 8, "minhash")
 
 
 @query("tfidf_vocabulary", ", t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM documents), n AS (SELECT count(DISTINCT doc_id) AS n FROM documents), e AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY 1), m AS (SELECT term, tf, df, ln((n + 1) / (df + 1e0)) + 1 AS idf FROM e, n) SELECT term, tf, df, round(idf, 6) AS idf, round(tf * idf, 4) AS mass FROM m ORDER BY round(tf * idf, 4) DESC, term LIMIT 50".replace(", t AS", "WITH t AS", 1))
@@ -138,13 +145,13 @@ def _(spark, d):
     return both.groupBy("vec_id", "label").agg((F.round(cosine, 6) + S.num(0)).alias("cosine"))
 
 
-_KNN = "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, t.vec_id, t.label, round(list_dot_product(q.e, t.e) / (sqrt(list_dot_product(t.e, t.e)) * sqrt(list_dot_product(q.e, q.e))), 9) AS sim FROM v q JOIN v t ON q.vec_id % 50 = 0 AND t.vec_id % 50 <> 0), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS r FROM s) WHERE r <= 5), c AS (SELECT query_id, label, count(*) AS votes, round(avg(sim), 6) AS mean_sim FROM k GROUP BY 1, 2) SELECT query_id, arg_max(label, row(votes, mean_sim, -label)) AS label, max(votes) AS votes FROM c GROUP BY 1"
+_KNN = "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, t.vec_id, t.label, round(list_dot_product(q.e, t.e) / (sqrt(list_dot_product(t.e, t.e)) * sqrt(list_dot_product(q.e, q.e))), 9) AS sim FROM v q JOIN v t ON q.vec_id % 50 = 0 AND t.vec_id <> q.vec_id), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS r FROM s) WHERE r <= 5), c AS (SELECT query_id, label, count(*) AS votes, round(avg(sim), 6) AS mean_sim FROM k GROUP BY 1, 2) SELECT query_id, arg_max(label, row(votes, mean_sim, -label)) AS label, max(votes) AS votes FROM c GROUP BY 1"
 
 
 @query("vector_knn", _KNN)
 def _(spark, d):
     v = src.table(spark, d, "embeddings")
-    return G.knn_votes(v.where("vec_id % 50 <> 0"), v.where("vec_id % 50 = 0"), 5, 64)
+    return G.knn_votes(v, v.where("vec_id % 50 = 0"), 5)
 
 
 @query("vector_standardised", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM e GROUP BY 1) SELECT vec_id, round(sum(abs((x - m) / s)), 4) AS total, round(max((x - m) / s), 5) AS most FROM e JOIN s USING (i) GROUP BY 1")

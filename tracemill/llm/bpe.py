@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .kernels import map_batches, text_of
+from .kernels import holds, map_batches, text_of
 
 _NONE = 1 << 62
 #: Pre-tokens whose pieces a Python worker remembers; the memory starts anew when it is full.
@@ -106,6 +106,8 @@ class Codec:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        plain = all(not (x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized")) and x["content"].startswith("<|") for x in spec["added_tokens"])
+        assert plain, "added tokens that are cut in another way"
         self.splits = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         steps = spec["normalizer"]["normalizers"]
         assert [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and spec.get("decoder") is None, "another kind of vocabulary"
@@ -165,6 +167,7 @@ class Codec:
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
+    holds(__name__, codec.cache_clear)
     return Codec(path)
 
 

@@ -8,6 +8,7 @@ hashes of words or character n-grams are differences of a prefix sum of ``T[byte
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Callable, Iterator
 
@@ -43,16 +44,55 @@ def crc_mod(n: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(doc_key(doc_id)) % n
 
 
+_held: dict[str, Callable[[], None]] = {}
+_entered = None
+
+
+def holds(module: str, free: Callable[[], None]) -> None:
+    """Names what frees the memory that a module's functions keep in a worker from batch to batch."""
+    _held[module] = free
+
+
+def entered(module: str) -> None:
+    """To be called where a worker begins a module's work: what other modules kept is freed, as workers live on from stage to stage."""
+    global _entered
+    if module != _entered:
+        for name, free in _held.items():
+            if name != module:
+                free()
+        _entered = module
+        released()
+
+
+def released() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = _trim()
+    if trim is not None:
+        trim(0)
+
+
+@functools.lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict | pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with `fn` applied to bounded slices of every batch; the first column of `df` ends with the text to slice by."""
     names = [x.split()[0].strip("`") for x in _fields(schema)]
 
+    module = fn.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entered(module)
         for batch in batches:
             for part in slices(batch):
                 for out in fn(part):
                     yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays([_array(out[n]) for n in names], names)
-            pa.default_memory_pool().release_unused()  # workers live on from stage to stage
+            released()
 
     return df.mapInArrow(run, schema)
 

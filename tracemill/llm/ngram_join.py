@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import anew, checkpointed, components, small
-from .kernels import lists, map_batches, mix, shingles, slices, text_of
+from .kernels import entered, lists, map_batches, mix, shingles, slices, text_of
 
 _BUCKET_BITS, _CHUNKS = 21, 128
 #: Ranges of a signature, each counted up to 15.
@@ -53,6 +53,7 @@ def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
     width = (1 << _BUCKET_BITS) // _CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entered(__name__)
         total = np.zeros(1 << _BUCKET_BITS, np.uint32)
         for batch in batches:
             for part in slices(batch):
@@ -252,18 +253,28 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
 
 
 def _postings(named: DataFrame, percent: int) -> DataFrame:
-    """Checkpointed (token, cid, n, pos, sig) of the classes' prefix shingles that may have a partner."""
-    classes = named.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("cid"), F.first(F.arrays_zip("prefix", "dense")).alias("prefix"))
-    postings = classes.select("cid", "n", F.posexplode("prefix").alias("pos", "p")).select(F.col("p.prefix").alias("token"), "cid", "n", "pos", F.col("p.dense").alias("dense"))
-    long = checkpointed(postings.where("dense").groupBy("token").count().where(F.col("count") > LONG_LIST).select("token"))
-    short, open_ = postings, None
+    """Checkpointed (token, cid, n, pos, sig) of the classes' prefix shingles that may have a partner.
+
+    A class is represented by its row of least doc_id; prefixes stay where they are, and only rows that
+    repeat another's set are looked up.
+    """
+    slim = named.select("row", "doc_id", "n", "fp1", "fp2")
+    first = slim.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    again = slim.select("row", anew("fp1").alias("k1"), anew("fp2").alias("k2"), "n").join(first.select(anew("fp1").alias("k1"), anew("fp2").alias("k2"), "n", F.col("first.row").alias("first")), ["k1", "k2", "n"])
+    again = checkpointed(again.where("row <> first").select("row"))
+    postings = named.join(small(again), "row", "left_anti").select(F.col("doc_id").alias("cid"), "n", "dense", F.posexplode("prefix").alias("pos", "token"))
+    long = checkpointed(postings.where(F.get("dense", F.col("pos"))).groupBy("token").count().where(F.col("count") > LONG_LIST).select("token"))
+    packed = postings.select("token", (F.shiftleft(F.col("n"), 32) + F.col("pos")).alias("size"), "cid", F.get("dense", F.col("pos")).alias("dense"))
+    unpacked = lambda df: df.select("token", "cid", F.shiftright("size", 32).alias("n"), F.col("size").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos"))
+    short, open_ = packed.drop("dense"), None
     if not long.isEmpty():
-        short = postings.join(small(long), "token", "left_anti")
-        open_ = postings.where("dense").join(small(long), "token", "left_semi").select("token", "cid", "n", "pos")
-    near = Window.partitionBy("token").orderBy("n", "cid", "pos")
-    sized = short.withColumns({"less": F.lag("n").over(near), "more": F.lead("n").over(near)})
-    shared = sized.where((100 * F.col("less") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("more"))).select("token", "cid", "n", "pos")
-    shared = shared.sortWithinPartitions("token", "n", "cid", "pos").mapInArrow(_with_partner(percent, NEIGHBOURS), "token long, cid long, n long, pos int")
+        short = packed.join(small(long), "token", "left_anti").drop("dense")
+        open_ = unpacked(packed.where("dense").join(small(long), "token", "left_semi"))
+    near = Window.partitionBy("token").orderBy("size", "cid")
+    n = lambda c: F.shiftright(c, 32)
+    sized = short.withColumns({"less": n(F.lag("size").over(near)), "more": n(F.lead("size").over(near))})
+    shared = unpacked(sized.where((100 * F.col("less") >= percent * n("size")) | (100 * n("size") >= percent * F.col("more"))).sortWithinPartitions("token", "size", "cid"))
+    shared = shared.mapInArrow(_with_partner(percent, NEIGHBOURS), "token long, cid long, n long, pos int")
     shared = shared if open_ is None else shared.unionByName(open_)
     signed = named.select(F.col("doc_id").alias("cid"), "n", "sig").distinct()
     return checkpointed(shared.join(signed, ["cid", "n"]).select("token", "cid", "n", "pos", "sig"))
@@ -340,7 +351,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFr
     null doc_id gets the null component and links with nothing. Ties, an empty table and further
     columns need no care. Shingles are compared by 64-bit hashes.
     """
-    rows = checkpointed(shingle_sets(docs, k, percent, shingle_counts(docs, k)))
+    rows = checkpointed(shingle_sets(docs, k, percent, shingle_counts(docs, k)).withColumn("row", F.monotonically_increasing_id()))
     named = rows.where("n > 0 and doc_id is not null")
     shared = _postings(named, percent)
     links = _linked(docs, shared, percent, k)

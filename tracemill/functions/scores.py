@@ -42,6 +42,7 @@ def mean_ci(x: Column, clamp: bool = False) -> tuple[Column, Column]:
 SEVERITY_WEIGHT = {"LOW": 1.0, "MEDIUM": 3.0, "HIGH": 6.0}
 CONFIDENCE_WEIGHT = {"LOW": 1.0, "MEDIUM": 1.5, "HIGH": 2.0}
 LEVELS = ("LOW", "MEDIUM", "HIGH")
+TARGET_MULTIPLIER = 2.0
 
 
 def by_level(level: Column, weights: dict[str, float], default: float = 1.0) -> Column:
@@ -56,7 +57,7 @@ def level_rank(level: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, LEVELS)), level), F.lit(0)).cast("int")
 
 
-def issue_weight(severity: Column, confidence: Column, is_target: Column, multiplier: float = 2.0) -> Column:
+def issue_weight(severity: Column, confidence: Column, is_target: Column, multiplier: float = TARGET_MULTIPLIER) -> Column:
     w = by_level(severity, SEVERITY_WEIGHT) * by_level(confidence, CONFIDENCE_WEIGHT)
     return F.when(is_target, w * multiplier).otherwise(w)
 

@@ -168,3 +168,16 @@ def fenced(x: Column) -> Column:
     found = lambda p: stripped(F.regexp_extract(x, p, 1))
     first, second = found(r"(?is)```python\s*(.*?)```"), found(r"(?is)```\s*(.*?)```")
     return F.when(first != "", first).when(second != "", second)
+
+
+#: Keys that may name a repeat, and keys whose paths may.
+RUN_KEYS = ("run_id", "trial_id", "replicate", "repeat", "seed", "rng_seed", "run", "fold")
+PATH_KEYS = ("output_dir", "log_dir", "save_dir", "path", "file", "fname")
+
+
+def run_name(columns: list[str]) -> Column:
+    """What a record calls its repeat: its first filled key, else `run_3` or the like in its first path that has it, else `run_0`."""
+    filled = lambda x: F.when(F.trim(x) != "", F.trim(x))
+    keys = [filled(F.col(c).cast("string")) for c in RUN_KEYS if c in columns]
+    paths = [filled(F.regexp_extract(F.col(c).cast("string"), r"(?i)((?:run|seed|trial)[_\-][0-9]+)", 1)) for c in PATH_KEYS if c in columns]
+    return F.coalesce(*keys, *paths, F.lit("run_0"))

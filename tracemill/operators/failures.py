@@ -53,6 +53,49 @@ def failure_rows(recs: DataFrame, findings: DataFrame, threshold: float = 0.7) -
     return rows.withColumn("anchor", anchor()).withColumn("pattern_id", F.when(F.col("anchor").isNull(), F.col("primary_reason")).otherwise(F.concat("primary_reason", F.lit("::sast_test:"), "anchor")))
 
 
+#: What a reason is called; unresolved findings with the anchor that they have, if any.
+LABELS = {
+    "no_code": "No code returned",
+    "syntax_error": "Syntax errors in generated code",
+    "sast_tool_error": "SAST tool execution failures",
+    "functionality_low": "Functionality regressions after generation/fixing",
+    "judge_error": "Judge execution failures",
+    "judge_insecure_no_sast": "Insecure behavior missed by SAST",
+    "unknown_failure": "Unclassified failed runs",
+    "success_first_try": "Secure success on the first try",
+    "success_after_fixer": "Secure success after fixing",
+}
+ANCHORED = {
+    "unresolved_target_findings": ("Persistent target findings on ", "Persistent target findings for ", "Persistent target-CWE findings"),
+    "unresolved_off_target_findings": ("Off-target findings introduced via ", "Off-target findings for ", "Off-target vulnerabilities introduced"),
+}
+
+
+def pattern_label(reason: Column, anchor_type: Column, anchor_value: Column) -> Column:
+    """What a failure pattern is called; anchor_type is `sast_test`, `cwe` or anything else."""
+    words = F.regexp_replace(reason, "_", " ")
+    out = F.concat(F.upper(F.substring(words, 1, 1)), F.lower(F.substring(words, 2, 1000)))
+    for name, label in LABELS.items():
+        out = F.when(reason == name, label).otherwise(out)
+    filled = F.coalesce(anchor_value != "", F.lit(False))
+    for name, (test, cwe, plain) in ANCHORED.items():
+        text = F.when((anchor_type == "sast_test") & filled, F.concat(F.lit(test), anchor_value)).when((anchor_type == "cwe") & filled, F.concat(F.lit(cwe), anchor_value)).otherwise(plain)
+        out = F.when(reason == name, text).otherwise(out)
+    return out
+
+
+def overlay(analyses: DataFrame) -> DataFrame:
+    """Analyses with what is computed in place of what a model said: no code has a fixed analysis, other rows keep summary and tags.
+
+    analyses: (reason, code, persistent, resolved, introduced, summary, tags, confidence).
+    """
+    none = (F.col("reason") == "no_code") | (F.coalesce(F.trim("code"), F.lit("")) == "")
+    return analyses.withColumns({
+        "success": F.col("reason").startswith("success"), "reason": F.when(none & F.col("reason").isNull(), "no_code").otherwise(F.col("reason")), "tags": F.when(none, F.array(F.lit("no_code_output"), F.lit("generation_failure"))).otherwise(F.col("tags")),
+        "summary": F.when(none, "No code was returned, so patterns were not analysed.").otherwise(F.col("summary")), "confidence": F.when(none, "HIGH").otherwise(F.col("confidence")),
+    }).drop("code")
+
+
 def anchor() -> Column:
     """For unresolved findings: the first persistent test id, else the first final one."""
     return F.when(F.col("primary_reason").startswith("unresolved"), F.coalesce(F.get("persistent_ids", F.lit(0)), F.get("final_ids", F.lit(0))))

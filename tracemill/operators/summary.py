@@ -11,18 +11,21 @@ from ..functions import scores as S
 def finding_sums(findings: DataFrame, targets: DataFrame) -> DataFrame:
     """Per run: counts by level, distinct weaknesses and tests, weight sums split by target. targets: (run_id, target_cwe).
 
-    Findings are joined to the narrow target table and reduced to one row per run before anything
-    else joins them.
+    Findings are reduced by (run, weakness, test) before they meet the targets, so that distinct counts are
+    of few rows and no finding is copied for them.
     """
-    f = findings.join(targets.select("run_id", "target_cwe"), "run_id")
-    hit = F.col("cwe") == F.col("target_cwe")
-    w = S.issue_weight(F.col("severity"), F.col("confidence"), hit)
     level = lambda c, k: F.count_if(F.col(c) == k).alias(f"{c}_{k.lower()}")
-    return f.groupBy("run_id").agg(
-        F.count("*").alias("total_issues"), F.count_if(hit).alias("target_issues"), F.count_if(~hit).alias("off_target_issues"), *[level(c, k) for c in ("severity", "confidence") for k in S.LEVELS],
-        F.count_distinct("cwe").alias("distinct_cwes"), F.count_distinct("test_id").alias("distinct_tests"),
-        F.sum(w).alias("weight"), F.coalesce(F.sum(F.when(hit, w)), S.num(0)).alias("weight_target"), F.coalesce(F.sum(F.when(~hit, w)), S.num(0)).alias("weight_off_target"),
+    plain = S.issue_weight(F.col("severity"), F.col("confidence"), F.lit(False))
+    cells = findings.groupBy("run_id", "cwe", "test_id").agg(F.count("*").alias("n"), *[level(c, k) for c in ("severity", "confidence") for k in S.LEVELS], F.sum(plain).alias("w"))
+    f = cells.join(targets.select("run_id", "target_cwe"), "run_id")
+    hit = F.col("cwe") == F.col("target_cwe")
+    target, other = F.coalesce(F.sum(F.when(hit, F.col("w") * S.TARGET_MULTIPLIER)), S.num(0)), F.coalesce(F.sum(F.when(~hit, F.col("w"))), S.num(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    sums = f.groupBy("run_id").agg(
+        F.sum("n").alias("total_issues"), total(F.when(hit, F.col("n"))).alias("target_issues"), total(F.when(~hit, F.col("n"))).alias("off_target_issues"), *[F.sum(f"{c}_{k.lower()}").alias(f"{c}_{k.lower()}") for c in ("severity", "confidence") for k in S.LEVELS],
+        F.size(F.collect_set("cwe")).cast("bigint").alias("distinct_cwes"), F.size(F.collect_set("test_id")).cast("bigint").alias("distinct_tests"), target.alias("weight_target"), other.alias("weight_off_target"),
     )
+    return sums.withColumn("weight", F.col("weight_target") + F.col("weight_off_target"))
 
 
 def records(runs: DataFrame, findings: DataFrame) -> DataFrame:
@@ -32,7 +35,7 @@ def records(runs: DataFrame, findings: DataFrame) -> DataFrame:
     counts = [c for c in sums.columns if c != "run_id"]
     filled = joined.na.fill(0, counts)
     return filled.withColumns({"risk_sast": S.risk(F.col("weight"))}).withColumns(
-        {"risk": S.combined_risk(F.col("risk_sast"), F.col("judge_risk")), "risk_max": S.combined_risk(F.col("risk_sast"), F.col("judge_risk"), "max")}
+        {"risk": S.combined_risk(F.col("risk_sast"), F.col("judge_risk")), "risk_max": S.combined_risk(F.col("risk_sast"), F.col("judge_risk"), "max"), "total_issues_raw": F.col("total_issues") + F.col("false_positives")}
     )
 
 
@@ -60,6 +63,10 @@ def measures() -> list[Column]:
         r6(F.avg("risk"), "avg_risk"), r6(risk_low, "avg_risk_low"), r6(risk_high, "avg_risk_high"), r6(F.median("risk"), "median_risk"), r6(F.avg("total_issues"), "avg_total_issues"), r6(F.median("total_issues"), "median_total_issues"),
         r6(F.avg("attempts"), "avg_attempts"), r6(share(F.col("used_fixer")), "fixer_rate"), r6(share(F.col("target_issues") > 0), "target_issue_rate"), r6(share(F.col("off_target_issues") > 0), "off_target_issue_rate"),
         r6(F.avg("off_target_issues"), "avg_off_target_issues"), r6(F.avg("functionality"), "avg_functionality"), r6(S.ratio(F.count_if("judge_is_secure"), judged), "judge_secure_rate"),
+        r6(F.avg("total_issues_raw"), "avg_total_issues_raw"), r6(F.median("total_issues_raw"), "median_total_issues_raw"), r6(F.avg("false_positives"), "avg_false_positives"), r6(F.median("false_positives"), "median_false_positives"),
+        r6(F.avg(S.ratio(F.col("false_positives"), F.col("total_issues_raw"))), "avg_false_positive_rate"), r6(share(F.col("scan_failed")), "scan_error_rate"), r6(F.avg("loc"), "avg_loc"),
+        r6(F.avg(S.ratio(F.col("total_issues"), F.col("loc"))), "avg_issue_density"), r6(F.avg(F.when(F.col("parses"), F.col("cyclomatic"))), "avg_cyclomatic"), r6(F.avg("risk_delta"), "avg_risk_delta"),
+        r6(S.ratio(F.count_if(F.col("risk_delta") > 0), F.count("risk_delta")), "improved_risk_rate"),
     ]
 
 

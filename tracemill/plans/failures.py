@@ -145,3 +145,19 @@ def _(spark, d):
 
 
 _ = reports
+
+
+@query("pattern_labels", "SELECT id, CASE r WHEN 'no_code' THEN 'No code returned' WHEN 'odd_reason' THEN 'Odd reason' WHEN 'unresolved_target_findings' THEN CASE t WHEN 'sast_test' THEN 'Persistent target findings on V' WHEN 'cwe' THEN 'Persistent target findings for V' ELSE 'Persistent target-CWE findings' END ELSE CASE t WHEN 'sast_test' THEN 'Off-target findings introduced via V' WHEN 'cwe' THEN 'Off-target findings for V' ELSE 'Off-target vulnerabilities introduced' END END AS label FROM x", "x AS (SELECT o_orderkey AS id, ['no_code','unresolved_target_findings','unresolved_off_target_findings','odd_reason'][o_orderkey % 4 + 1] AS r, ['sast_test','cwe','none'][o_orderkey % 3 + 1] AS t FROM orders)")
+def _(spark, d):
+    o = src.table(spark, d, "orders")
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("o_orderkey") % len(xs) + 1).cast("int"))
+    return o.select(F.col("o_orderkey").alias("id"), X.pattern_label(pick("no_code", "unresolved_target_findings", "unresolved_off_target_findings", "odd_reason"), pick("sast_test", "cwe", "none"), F.lit("V")).alias("label"))
+
+
+@query("analysis_overlay", "SELECT o_orderkey AS id, o_orderkey % 3 = 1 AS success, ['no_code','success_first_try','syntax_error'][o_orderkey % 3 + 1] AS reason, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 THEN 'no_code_output|generation_failure' ELSE 'said' END AS tags, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM orders", "one AS (SELECT 1)")
+def _(spark, d):
+    o = src.table(spark, d, "orders")
+    reason = F.element_at(F.array(*map(F.lit, ("no_code", "success_first_try", "syntax_error"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    code = F.when(F.col("o_orderkey") % 2 == 0, " ").otherwise("x = 1")
+    rows = o.select(F.col("o_orderkey").alias("id"), reason.alias("reason"), code.alias("code"), F.lit("words").alias("summary"), F.array(F.lit("said")).alias("tags"), F.lit("LOW").alias("confidence"))
+    return X.overlay(rows).select("id", "success", "reason", F.array_join("tags", "|").alias("tags"), "confidence")

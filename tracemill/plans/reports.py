@@ -22,7 +22,7 @@ sums AS (SELECT run_id, count(*) AS total_issues, count(*) FILTER (hit) AS targe
 base AS (SELECT r.*, coalesce(total_issues, 0) AS total_issues, coalesce(target_issues, 0) AS target_issues, coalesce(off_target_issues, 0) AS off_target_issues, coalesce(severity_low, 0) AS severity_low, coalesce(severity_medium, 0) AS severity_medium,
  coalesce(severity_high, 0) AS severity_high, coalesce(confidence_low, 0) AS confidence_low, coalesce(confidence_medium, 0) AS confidence_medium, coalesce(confidence_high, 0) AS confidence_high, coalesce(distinct_cwes, 0) AS distinct_cwes,
  coalesce(distinct_tests, 0) AS distinct_tests, coalesce(weight, 0e0) AS weight, coalesce(weight_target, 0e0) AS weight_target, coalesce(weight_off_target, 0e0) AS weight_off_target, coalesce(weight, 0e0) / (coalesce(weight, 0e0) + 10e0) AS risk_sast FROM runs r LEFT JOIN sums s USING (run_id)),
-recs AS (SELECT *, CASE WHEN judge_risk IS NULL THEN risk_sast ELSE risk_sast * 0.6e0 + judge_risk * 0.4e0 END AS risk, CASE WHEN judge_risk IS NULL THEN risk_sast ELSE greatest(risk_sast, judge_risk) END AS risk_max FROM base)"""
+recs AS (SELECT *, CASE WHEN judge_risk IS NULL THEN risk_sast ELSE risk_sast * 0.6e0 + judge_risk * 0.4e0 END AS risk, CASE WHEN judge_risk IS NULL THEN risk_sast ELSE greatest(risk_sast, judge_risk) END AS risk_max, total_issues + false_positives AS total_issues_raw FROM base)"""
 
 _N, _SUC = "count(*)", "count(*) FILTER (success)"
 _P = f"({_SUC} / CAST({_N} AS DOUBLE))"
@@ -33,7 +33,10 @@ MEASURES = f"""{_N} AS runs, round({_P}, 6) AS success_rate, round(greatest(0e0,
  round(count(*) FILTER (success AND attempts = 1) / CAST(count(*) AS DOUBLE), 6) AS first_attempt_success_rate, round(avg(risk), 6) AS avg_risk, round(greatest(0e0, avg(risk) - {_CI}), 6) AS avg_risk_low, round(least(1e0, avg(risk) + {_CI}), 6) AS avg_risk_high,
  round(median(risk), 6) AS median_risk, round(avg(total_issues), 6) AS avg_total_issues, round(median(total_issues), 6) AS median_total_issues, round(avg(attempts), 6) AS avg_attempts, round(count(*) FILTER (used_fixer) / CAST(count(*) AS DOUBLE), 6) AS fixer_rate,
  round(count(*) FILTER (target_issues > 0) / CAST(count(*) AS DOUBLE), 6) AS target_issue_rate, round(count(*) FILTER (off_target_issues > 0) / CAST(count(*) AS DOUBLE), 6) AS off_target_issue_rate, round(avg(off_target_issues), 6) AS avg_off_target_issues,
- round(avg(functionality), 6) AS avg_functionality, round(count(*) FILTER (judge_is_secure) / CAST(nullif(count(judge_is_secure), 0) AS DOUBLE), 6) AS judge_secure_rate"""
+ round(avg(functionality), 6) AS avg_functionality, round(count(*) FILTER (judge_is_secure) / CAST(nullif(count(judge_is_secure), 0) AS DOUBLE), 6) AS judge_secure_rate,
+ round(avg(total_issues_raw), 6) AS avg_total_issues_raw, round(median(total_issues_raw), 6) AS median_total_issues_raw, round(avg(false_positives), 6) AS avg_false_positives, round(median(false_positives), 6) AS median_false_positives,
+ round(avg(false_positives / CAST(nullif(total_issues_raw, 0) AS DOUBLE)), 6) AS avg_false_positive_rate, round(count(*) FILTER (scan_failed) / CAST(count(*) AS DOUBLE), 6) AS scan_error_rate, round(avg(loc), 6) AS avg_loc, round(avg(total_issues / CAST(loc AS DOUBLE)), 6) AS avg_issue_density,
+ round(avg(cyclomatic) FILTER (parses), 6) AS avg_cyclomatic, round(avg(risk_delta), 6) AS avg_risk_delta, round(count(*) FILTER (risk_delta > 0) / CAST(nullif(count(risk_delta), 0) AS DOUBLE), 6) AS improved_risk_rate"""
 
 
 def query(name: str, sql: str, prelude: str = RECORDS):
@@ -197,3 +200,16 @@ def _(spark, d):
         "challenge": S.challenge_score(F.col("functionality"), F.col("attempts"), F.col("used_fixer")), "performance": S.performance_score(rate, F.col("attempts"), F.col("used_fixer")),
     }
     return r.select("run_id", *[F.round(c, 6).alias(n) for n, c in out.items()])
+
+
+@query("single_weakness_attribution", "SELECT model, cwe, count(*) AS n, count(*) FILTER (success) AS ok FROM (SELECT model, success, concepts[1] AS cwe FROM runs WHERE len(concepts) = 1) GROUP BY 1, 2", src.RUNS)
+def _(spark, d):
+    one = src.runs(spark, d).where(F.size("concepts") == 1).withColumn("cwe", F.get("concepts", F.lit(0)))
+    return one.groupBy("model", "cwe").agg(F.count("*").alias("n"), F.count_if("success").alias("ok"))
+
+
+@query("model_surface_rollup", "SELECT model, surface, CAST(grouping(model, surface) AS BIGINT) AS level, count(*) AS n, count(DISTINCT node_id) BETWEEN 1 AND count(*) AS plausible FROM runs GROUP BY ROLLUP (model, surface)", src.RUNS)
+def _(spark, d):
+    # An approximate count of nodes lies, as an exact one does, between one and the number of runs (within its error of 5 %).
+    about = F.approx_count_distinct("node_id", 0.05)
+    return src.runs(spark, d).rollup("model", "surface").agg(F.grouping_id().cast("bigint").alias("level"), F.count("*").alias("n"), ((about >= 1) & (about <= F.count("*") * 1.2 + 1)).alias("plausible"))

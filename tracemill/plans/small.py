@@ -167,4 +167,5 @@ def _(spark, d):
     o = src.table(spark, d, "orders")
     key = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("k"), F.col("o_orderkey").cast("string")))
     path = F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("/a/run_"), F.col("o_custkey").cast("string"), F.lit("/x.json"))).otherwise(F.lit("/a/b"))
-    return o.select(F.col("o_orderkey").alias("id"), F.coalesce(key, F.nullif(F.regexp_extract(path, r"(run_\d+)", 1), F.lit("")), F.lit("run_0")).alias("run"))
+    named = o.select(F.col("o_orderkey").alias("id"), F.lit(" ").alias("trial_id"), key.alias("seed"), path.alias("log_dir"))
+    return named.select("id", T.run_name(named.columns).alias("run"))

@@ -27,6 +27,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") != "P", (node % 100) / F.lit(128.0)).alias("judge_risk"), ((run % 101) / F.lit(128.0)).alias("functionality"),
         F.array_sort(F.array_distinct(F.array(F.concat(F.lit("C"), (node % 7).cast("string")), F.concat(F.lit("C"), (run % 11).cast("string"))))).alias("concepts"),
         F.concat(F.lit("CWE-"), (20 + node % 25).cast("string")).alias("target_cwe"), F.col("o_totalprice").alias("value"), F.col("o_orderdate").alias("at"),
+        (run % 4).alias("false_positives"), (run % 50 == 0).alias("scan_failed"), (5 + run % 120).alias("loc"), (run % 10 != 0).alias("parses"), (1 + run % 17).alias("cyclomatic"), F.when(run % 4 != 0, (run % 21 - 10) / F.lit(16.0)).alias("risk_delta"),
     )
 
 
@@ -36,7 +37,7 @@ RUNS = """runs AS (SELECT o_orderkey AS run_id, o_custkey AS node_id, c_mktsegme
  CAST(1 + o_orderkey % 3 AS INT) AS phase, o_orderstatus = 'F' AS success, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS judge_is_secure,
  CAST(1 + o_orderkey % 4 AS INT) AS attempts, o_orderkey % 5 = 0 AS used_fixer, CASE WHEN o_orderstatus <> 'P' THEN (o_custkey % 100) / 128e0 END AS judge_risk,
  (o_orderkey % 101) / 128e0 AS functionality, list_sort(list_distinct(['C' || (o_custkey % 7), 'C' || (o_orderkey % 11)])) AS concepts,
- 'CWE-' || (20 + o_custkey % 25) AS target_cwe, o_totalprice AS value, o_orderdate AS "at" FROM orders JOIN customer ON o_custkey = c_custkey)"""
+ 'CWE-' || (20 + o_custkey % 25) AS target_cwe, o_totalprice AS value, o_orderdate AS "at", o_orderkey % 4 AS false_positives, o_orderkey % 50 = 0 AS scan_failed, 5 + o_orderkey % 120 AS loc, o_orderkey % 10 <> 0 AS parses, 1 + o_orderkey % 17 AS cyclomatic, CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 21 - 10) / 16e0 END AS risk_delta FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,12 +62,22 @@ def test_ordered_collapse(spark):
     assert sorted(tuple(r) for r in L.collapse_duplicates(f).collect()) == [(1, 1, 4, "C", "HIGH", 1), (1, 3, 5, "C", "LOW", 0)]
 
 
+PROFILE = "Difficulty: hard\nSurface d’attaque: authentification et contrôle d'accès\n- Security-critical inputs: a\n- Sensitive sink: b\n- Security-critical branches: 2\n- State dependency: workflow\n- Cross-component interaction: service\n- Why this difficulty: c\nlogin session role token path\n"
+
+
 def test_scenario_rules(spark):
-    good = "Difficulty: hard\n- state dependency: workflow\n- cross component: service\n- branches: 2\nlogin session role token path\n### Security Requirements\nCWE-79 and cwe_22\n### CWE Coverage\n- CWE-79\n- CWE-22\n"
+    good = PROFILE + "### Security Requirements\nCWE-79 and cwe_22\n### CWE Coverage\n- CWE-79\n- CWE-22\n"
     bad = "short text\n### Security Requirements\nCWE-79"
-    df = spark.createDataFrame([(1, good, "hard", "Authentication & Access Control", ["CWE-79", "CWE-22"]), (2, bad, "easy", "Storage & Filesystem", ["CWE-22"])], "id int, text string, difficulty string, surface string, expected array<string>")
-    a, b = Q.validate(df).orderBy("id").collect()
-    assert a.valid and a.reasons == [] and b.reasons == ["profile_incomplete", "under_specified", "security_lacks_cwe", "no_coverage_section"]
+    df = spark.createDataFrame([(1, good, "hard", "Authentication & Access Control", ["CWE-79", "CWE-22"]), (2, bad, "easy", "Storage & Filesystem", ["CWE-22"]), (3, None, None, None, [])], "id int, text string, difficulty string, surface string, expected array<string>")
+    a, b, c = Q.validate(df).orderBy("id").collect()
+    assert a.valid and a.reasons == [] and c.valid
+    assert b.reasons == ["difficulty_mismatch", "surface_mismatch", "profile_incomplete", "under_specified", "no_files", "security_lacks_cwe", "no_coverage_section"]
+
+
+def test_verdicts_that_are_no_objects(spark):
+    df = spark.createDataFrame([(1, "none", ["CWE-1"]), (2, '```{"is_valid": "yes", "classification": "natural", "cwe_paths": []}```', [])], "id int, payload string, expected array<string>")
+    a, b = Q.verdict_reasons(df).orderBy("id").collect()
+    assert a.reasons == ["no_object"] and a.pair_classification == "unknown" and b.valid and b.pair_classification == "natural"
 
 
 def test_intervals_bracket_and_scores_order(spark):

@@ -39,3 +39,25 @@ def test_bounded_memory_of_scenarios(spark, tmp_path):
     found = {r.doc_id: (r.duplicate, r.of) for r in run_once(S.remembered_duplicates(stream, 2), "memory", "append", tmp_path / "c3").collect()}
     # Two hashes are remembered in each bucket: when z comes, x goes, so the last x is new again.
     assert found == {1: (False, None), 2: (False, None), 3: (True, 1), 4: (False, None), 5: (False, None), 6: (False, None)}
+
+
+def test_failures_join_their_index_lines(spark, tmp_path):
+    rows = [(1, "2026-01-01 10:00:00"), (2, "2026-01-01 10:01:00"), (3, "2026-01-01 12:00:00")]
+    failed = [(1, "2026-01-01 10:02:00", "x"), (2, "2026-01-01 10:30:00", "y"), (9, "2026-01-01 12:30:00", "z")]
+    spark.createDataFrame(rows, "run_id bigint, at string").selectExpr("run_id", "timestamp(at) as at").write.parquet(str(tmp_path / "i"))
+    spark.createDataFrame(failed, "run_id bigint, at string, reason string").selectExpr("run_id", "timestamp(at) as at", "reason").write.parquet(str(tmp_path / "f"))
+    index, failures = (spark.readStream.schema(x).parquet(str(tmp_path / n)) for n, x in (("i", "run_id bigint, at timestamp"), ("f", "run_id bigint, at timestamp, reason string")))
+    q = S.with_failures(index, failures).writeStream.format("memory").queryName("joined").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination()
+    found = {r.run_id: r.reason for r in spark.table("joined").collect()}
+    assert found[1] == "x" and found.get(2) is None and 9 not in found
+
+
+def test_snapshots_of_counts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        spark.createDataFrame([(k, "m", "easy", True, 1)], "run_id bigint, model string, difficulty string, success boolean, attempts int").write.mode("append").json(str(tmp_path / "in"))
+    q = S.snapshots(S.read_index(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    row = spark.read.parquet(str(tmp_path / "out")).first()
+    assert (row.runs, row.ok, row.snapshot) == (2, 2, 0)

@@ -75,3 +75,37 @@ def scanner_b_findings(reports: DataFrame, most: int = 800) -> DataFrame:
     each = reports.select("run_id", F.posexplode(F.from_json("report", schema)["results"]).alias("ord", "x"))
     meta = F.col("x.extra.metadata")
     return each.select("run_id", "ord", F.col("x.check_id").alias("test_id"), T.cwe_of(F.array_join(meta["cwe"], " ")).alias("cwe"), level_of(F.col("x.extra.severity")).alias("severity"), level_of(meta["confidence"]).alias("confidence"), F.col("x.start.line").alias("line"), F.substring(F.coalesce("x.extra.lines", F.lit("")), 1, most).alias("code"), F.col("x.extra.message").alias("description"))
+
+
+def find_experiments(spark: SparkSession, path: str) -> DataFrame:
+    """Folders of experiments below a root, by what lies in them: kind (`phase`, `index`, `result`), folder and phase, from names only."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    phase = F.regexp_extract("path", r"^(.*/PHASE_[^/]*)/", 1)
+    entry = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.alias("folder"))
+    kinds = F.array(entry("phase", F.nullif(phase, F.lit(""))), entry("index", F.when(name == "runs_index.jsonl", folder)), entry("result", F.when(name == "result.json", folder)))
+    return files.select(F.explode(kinds).alias("k")).where("k.folder is not null").select("k.kind", "k.folder", F.regexp_extract("k.folder", r"PHASE_([^/]*)", 1).alias("phase")).distinct()
+
+
+def read_metric_grid(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Metric documents laid out as model=.../phase=.../run=.../*.json, with these three as columns; the layout prunes what a filter on them leaves out."""
+    return spark.read.schema(f"{schema}, model string, phase string, run string").option("multiLine", "true").option("pathGlobFilter", "*.json").json(path)
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A small YAML (or JSON) configuration, read through Spark's file system and parsed on the driver; {} for an empty one."""
+    text = "\n".join(r.value for r in spark.read.option("wholetext", "true").text(path).collect())
+    try:
+        import yaml
+    except ModuleNotFoundError:  # JSON is the part of YAML that needs no parser of its own
+        import json
+
+        return json.loads(text or "{}")
+    return yaml.safe_load(text) or {}
+
+
+def config_dimension(spark: SparkSession, config: dict, section: str) -> DataFrame:
+    """A section of a configuration (name -> fields) as a table (name, fields: map of strings), to join facts with."""
+    rows = [(str(k), {str(f): str(x) for f, x in v.items()} if isinstance(v, dict) else {"value": str(v)}) for k, v in (config.get(section) or {}).items()]
+    return spark.createDataFrame(rows, "name string, fields map<string, string>")

@@ -64,3 +64,24 @@ OUTPUT = StructType([StructField("bucket", StringType()), StructField("doc_id",
 def remembered_duplicates(stream: DataFrame, most: int = 200) -> DataFrame:
     """(bucket, doc_id, duplicate, of) for a stream of (bucket, doc_id, hash), with a bounded memory in each bucket."""
     return stream.groupBy("bucket").transformWithStateInPandas(Memory(most), OUTPUT, "Append", "None")
+
+
+def with_failures(index: DataFrame, failures: DataFrame, late: str = "10 minutes", within: str = "5 minutes") -> DataFrame:
+    """Index lines with the failure lines of their run that come within a span of time after them; both streams have run_id and `at`.
+
+    Watermarks on both sides bound what is kept: a line waits no longer than its counterpart can come.
+    """
+    left = index.withWatermark("at", late).alias("i")
+    right = failures.select(F.col("run_id").alias("failed_run"), F.col("at").alias("failed_at"), "reason").withWatermark("failed_at", late)
+    near = F.expr(f"failed_run = run_id AND failed_at >= at AND failed_at <= at + interval {within}")
+    return left.join(right, near, "leftOuter").drop("failed_run")
+
+
+def snapshots(stream: DataFrame, path: str, checkpoint: str, every: int = 10):
+    """A query that writes the counts so far under snapshot=<batch> after every so many batches."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        if number % every == 0:
+            batch.write.mode("overwrite").parquet(f"{path}/snapshot={number}")
+
+    return success_counts(stream).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)

@@ -165,7 +165,7 @@ def weighted_failure(df: DataFrame) -> DataFrame:
 
 def inferred_capability(cells: DataFrame, item: str) -> DataFrame:
     """Item x difficulty with failure rates; unattempted cells count as mastered below the highest attempted group and as failed above it."""
-    grid = cells.select(item).distinct().crossJoin(F.broadcast(cells.select("difficulty_rank").distinct()))
+    grid = cells.select(item).distinct().crossJoin(cells.select("difficulty_rank").distinct())
     full = grid.join(cells, [item, "difficulty_rank"], "left")
     highest = F.max(F.when(F.col("runs").isNotNull(), F.col("difficulty_rank"))).over(Window.partitionBy(item))
     filled = F.when(F.col("runs").isNull(), F.when(F.col("difficulty_rank") < highest, S.num(0)).otherwise(S.num(1))).otherwise(F.col("failure_rate"))
@@ -199,6 +199,8 @@ def overview(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count("*").alias("runs"), R(F.avg(ok()), "success_rate"), R(F.avg((F.col("success") & (F.col("attempts") == 1)).cast("double")), "first_attempt_success_rate"), R(S.ratio(recovered, later), "recovery_rate"),
         R(F.avg("attempts"), "avg_attempts"), R(F.avg("risk"), "avg_risk"), R(F.avg("total_issues"), "findings_per_run"), R(S.ratio(F.count_if(F.col("total_issues") > 0), F.count("*")), "residual_issue_rate"),
+        R(F.avg(ok()) - F.avg((F.col("success") & (F.col("attempts") == 1)).cast("double")), "feedback_gain"), R(S.ratio(F.count_if(F.col("target_issues") > 0), F.count("*")), "target_issue_rate"), R(S.ratio(F.count_if(F.col("off_target_issues") > 0), F.count("*")), "off_target_issue_rate"),
+        R(F.avg(F.col("used_fixer").cast("double")), "fixer_rate"),
     )
 
 
@@ -220,6 +222,35 @@ def class_scores(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return scored.crossJoin(F.broadcast(whole)).select("label", "support", R(F.col("p"), "precision"), R(F.col("r"), "recall"), R(F.col("f"), "f1"), R(F.col("macro"), "macro_f1"), R(F.col("acc"), "accuracy"))
 
 
+def fold_scores(df: DataFrame, truth: str, guess: str, fold: str) -> DataFrame:
+    """Mean and sample deviation over folds of accuracy and macro F1 (the mean F1 of the classes of a fold)."""
+    cells = df.groupBy(fold, truth, guess).agg(F.count("*").alias("n"))
+    hit = F.when(F.col(truth) == F.col(guess), F.col("n")).otherwise(0)
+    told = cells.groupBy(fold, F.col(truth).alias("label")).agg(F.sum("n").alias("support"), F.sum(hit).alias("tp"))
+    guessed = cells.groupBy(fold, F.col(guess).alias("label")).agg(F.sum("n").alias("guessed"))
+    both = told.join(guessed, [fold, "label"], "full").na.fill(0)
+    f1 = F.coalesce(S.ratio(2 * F.col("tp"), F.col("support") + F.col("guessed")), S.num(0))  # equal to 2 p r / (p + r)
+    each = both.withColumn("f", f1).groupBy(fold).agg(F.avg("f").alias("macro"), S.ratio(F.sum("tp"), F.sum("support")).alias("acc"))
+    spread = lambda c: R(F.coalesce(F.stddev_samp(c), S.num(0)), f"{c}_std")
+    return each.agg(F.count("*").alias("folds"), R(F.avg("acc"), "acc_mean"), spread("acc"), R(F.avg("macro"), "macro_mean"), spread("macro"))
+
+
+def family_table(rows: DataFrame, k: int) -> DataFrame:
+    """Counts of (model, family) for the families that are among the k most frequent of any model, 0 where a model has none. rows: (model, family)."""
+    each = rows.groupBy("model", "family").agg(F.count("*").alias("n"))
+    best = Window.partitionBy("model").orderBy(F.desc("n"), "family")
+    top = each.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("family").distinct()
+    return each.select("model").distinct().crossJoin(top).join(each, ["model", "family"], "left").na.fill(0, ["n"])
+
+
+def top_families(rows: DataFrame, k: int = 3) -> DataFrame:
+    """Per model and surface its findings and its k most frequent families, as text. rows: (model, surface, family)."""
+    each = rows.groupBy("model", "surface", "family").agg(F.count("*").alias("n"))
+    best = F.row_number().over(Window.partitionBy("model", "surface").orderBy(F.desc("n"), "family"))
+    named = each.withColumn("nth", best).withColumn("s", F.when(F.col("nth") <= k, F.struct("nth", F.concat("family", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("t"))))
+    return named.groupBy("model", "surface").agg(F.sum("n").alias("findings"), F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["t"]), "; ").alias("top"))
+
+
 def align_models(df: DataFrame, models: list[str], *keys: str) -> DataFrame:
     """One row per key with each model's success rate, null where a model has no run."""
     return df.groupBy(*keys).pivot("model", models).agg(F.round(F.avg(ok()), 6))
@@ -244,7 +275,7 @@ def cell_scores(elites: DataFrame, surfaces: list[str], sizes: int, w_coverage:
     grid = spark.createDataFrame([(s, k) for s in surfaces for k in range(1, sizes + 1)], "surface string, size int")
     low, high = F.min("value").over(Window.partitionBy(F.lit(0))), F.max("value").over(Window.partitionBy(F.lit(0)))
     promise = F.when(high <= low, S.num(1)).otherwise((F.col("value") - low) / (high - low))
-    full = F.broadcast(grid).join(elites.withColumn("promise", promise), ["surface", "size"], "left")
+    full = grid.join(elites.withColumn("promise", promise), ["surface", "size"], "left")
     score = w_coverage / (1 + F.coalesce("observations", F.lit(0)).cast("double")) + w_promise * F.coalesce("promise", S.num(0)) + F.when(F.col("elite").isNull(), S.num(bonus)).otherwise(S.num(0))
     best: Column = F.max("score").over(Window.partitionBy(F.lit(0))) - F.col("score") <= 1e-9
     return full.withColumn("score", score).select("surface", "size", R(F.col("score"), "score"), best.alias("best"))

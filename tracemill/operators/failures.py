@@ -106,7 +106,7 @@ def reason_counts(rows: DataFrame, *by: str) -> DataFrame:
     failed = rows.where("not success")
     cells = failed.groupBy(*by, "primary_reason").agg(F.count("*").alias("n"))
     if by:
-        grid = failed.select(*by).distinct().crossJoin(F.broadcast(failed.select("primary_reason").distinct()))
+        grid = failed.select(*by).distinct().crossJoin(failed.select("primary_reason").distinct())
         cells = grid.join(cells, [*by, "primary_reason"], "left").na.fill(0, ["n"])
     total = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     return cells.withColumn("rate", F.round(S.ratio(F.col("n"), F.sum("n").over(total)), 6))
@@ -154,7 +154,7 @@ def specificity(rows: DataFrame, by: str, k: int = 5) -> DataFrame:
     group = failed.groupBy(by, "pattern_id").agg(F.count("*").alias("support"))
     totals = group.groupBy(by).agg(F.sum("support").alias("in_group"))
     everything = overall.agg(F.sum("overall").alias("all"))
-    x = group.join(overall, "pattern_id").join(F.broadcast(totals), by).crossJoin(F.broadcast(everything))
+    x = group.join(overall, "pattern_id").join(totals, by).crossJoin(F.broadcast(everything))
     x = x.withColumn("lift", S.ratio(F.col("support"), F.col("in_group")) / S.ratio(F.col("overall"), F.col("all")))
     best = Window.partitionBy(by).orderBy(F.desc(F.round("lift", 9)), F.desc("support"), "pattern_id")
     return x.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select(by, "pattern_id", "support", "overall", F.round("lift", 6).alias("lift"), "nth")
@@ -172,6 +172,25 @@ def evidence_summary(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy("cwe").agg(F.count("*").alias("patterns"), F.sum("frequency").alias("frequency"), F.round(F.avg("frequency"), 6).alias("avg_frequency"), F.max_by("test_id", F.struct("frequency", "test_id")).alias("top_test"))
 
 
+def evidence_by_difficulty(patterns: DataFrame) -> DataFrame:
+    """How many patterns occur at a difficulty, from their by_difficulty lists."""
+    return patterns.select(F.explode(F.split("by_difficulty", ",")).alias("d")).select(F.split("d", "=")[0].alias("difficulty")).groupBy("difficulty").agg(F.count("*").alias("patterns"))
+
+
+def evidence_totals(patterns: DataFrame, k: int = 10) -> DataFrame:
+    """Patterns, weaknesses, mean frequency, and the k most frequent patterns, in one row."""
+    top = patterns.orderBy(F.desc("frequency"), "pattern_id").limit(k).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("frequency")).alias("f"), "pattern_id"))), lambda x: x["pattern_id"]), ",").alias("most_common"))
+    return patterns.agg(F.count("*").alias("patterns"), F.count_distinct("cwe").alias("cwes"), F.round(F.avg("frequency"), 6).alias("avg_frequency")).crossJoin(top)
+
+
+def in_order(rows: DataFrame, column: str, order: list[str]) -> DataFrame:
+    """Rows with `place`: the given values in their order, then all others by name."""
+    known = F.array_position(F.array(*map(F.lit, order)), F.col(column))
+    later = rows.where(known == 0).select(column).distinct()
+    place = later.withColumn("__place", len(order) + F.row_number().over(Window.orderBy(column)))
+    return rows.join(place, column, "left").withColumn("place", F.coalesce("__place", known.cast("int"))).drop("__place")
+
+
 def top_or_other(df: DataFrame, column: str, k: int, *by: str) -> DataFrame:
     """Counts by the k most frequent values, all others as `other`; ties in order of value."""
     counts = df.groupBy(column).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), column).limit(k).select(F.col(column).alias("__v"))

@@ -1,8 +1,7 @@
-"""Order-dependent and learned operators: collapse of judged duplicates, linear probe, principal components."""
+"""Collapse of judged duplicates, linear probe, principal components."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,26 +10,18 @@ from pyspark.sql import functions as F
 
 
 def collapse_duplicates(findings: DataFrame) -> DataFrame:
-    """Findings of a run folded in order (ord): one that repeats an earlier one's weakness at its line joins it, the worst level stays.
+    """Findings of a run by weakness and line: the first (ord) stays, with the worst level, and how many joined it.
 
-    The fold depends on order and merges change the canonical row, so a run is one group of pandas
-    rows; a run's findings are bounded by one report.
+    Where findings have `duplicate_of`, the ord of another finding of the run, that one's place counts
+    for them, one step far.
     """
     rank = {"LOW": 1, "MEDIUM": 2, "HIGH": 3}
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        kept: dict[tuple, dict] = {}
-        for r in group.sort_values("ord").to_dict("records"):
-            key = (r["line"], r["cwe"])
-            if key in kept:
-                c = kept[key]
-                c["merged"] += 1
-                c["severity"] = max(c["severity"], r["severity"], key=lambda x: rank.get(x, 0))
-            else:
-                kept[key] = r | {"merged": 0}
-        return pd.DataFrame([{k: c[k] for k in ("run_id", "ord", "line", "cwe", "severity", "merged")} for c in kept.values()])
-
-    return findings.groupBy("run_id").applyInPandas(fold, "run_id bigint, ord bigint, line int, cwe string, severity string, merged int")
+    by_rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]), F.col("severity")), F.lit(0))
+    place = findings
+    if "duplicate_of" in findings.columns:
+        there = findings.select("run_id", F.col("ord").alias("duplicate_of"), F.col("line").alias("__line"), F.col("cwe").alias("__cwe"))
+        place = findings.join(there, ["run_id", "duplicate_of"], "left").withColumns({"line": F.coalesce("__line", "line"), "cwe": F.coalesce("__cwe", "cwe")})
+    return place.groupBy("run_id", "line", "cwe").agg(F.min("ord").alias("ord"), F.max_by("severity", F.struct(by_rank, -F.col("ord"))).alias("severity"), (F.count("*") - 1).cast("int").alias("merged")).select("run_id", "ord", "line", "cwe", "severity", "merged")
 
 
 def linear_probe(train: DataFrame, test: DataFrame) -> DataFrame:

@@ -218,3 +218,31 @@ def signature(nodes: DataFrame) -> DataFrame:
 def first_of_signature(nodes: DataFrame) -> DataFrame:
     """The first node (least node_id) of every (surface, set of concepts)."""
     return nodes.groupBy("surface", F.array_join(F.array_sort(F.array_distinct("concepts")), "|").alias("key")).agg(F.min("node_id").alias("node_id"), F.count("*").alias("nodes"))
+
+
+def path_success(nodes: DataFrame) -> DataFrame:
+    """Nodes below a root (node_id, length, success): the share of nodes on their way to the root that ever succeeded. nodes: (node_id, parent_id, solved)."""
+    start = nodes.select("node_id", F.col("parent_id").alias("up"), F.lit(1).alias("length"), F.col("solved").cast("double").alias("solved"))
+    whole = _doubled(start, {c: F.col(c) + F.col(f"__{c}") for c in ("length", "solved")})
+    return whole.where("length > 1").select("node_id", "length", R(F.col("solved") / F.col("length"), "success"))
+
+
+def path_success_by(paths: DataFrame, *by: str) -> DataFrame:
+    """Mean success of paths by key and length."""
+    return paths.groupBy(*by, "length").agg(F.count("*").alias("paths"), R(F.avg("success"), "success"))
+
+
+def path_ratio(paths: DataFrame) -> DataFrame:
+    """Mean length of paths with more than half of their nodes solved, over that of the others; 1 without others. And the depths used of the deepest."""
+    good = F.col("success") > 0.5
+    ratio = F.coalesce(S.ratio(F.avg(F.when(good, F.col("length"))), F.avg(F.when(~good, F.col("length")))), S.num(1))
+    return paths.agg(R(ratio, "path_length_ratio"), R(S.ratio(F.count_distinct("length") + 1, F.max("length") - 1), "depth_utilisation"))
+
+
+def challenge_bounds(nodes: DataFrame, challenges: DataFrame, weight: float = 1.414) -> DataFrame:
+    """(node_id, ucb): mean challenge plus exploration by the visits of its parent (1 without any); a node without visits has no bound but infinity."""
+    mean = challenges.groupBy("node_id").agg(F.avg("challenge").alias("mean"))
+    above = nodes.select(F.col("node_id").alias("parent_id"), F.col("visits").alias("above"))
+    each = nodes.join(mean, "node_id", "left").join(above, "parent_id", "left")
+    around = F.sqrt(F.log(F.greatest(F.coalesce("above", F.lit(1)), F.lit(1)).cast("double")) / F.nullif(F.col("visits").cast("double"), S.num(0)))
+    return each.select("node_id", F.when(F.col("visits") == 0, S.num(float("inf"))).otherwise(F.round(F.coalesce("mean", S.num(0)) + weight * around, 6)).alias("ucb"))

@@ -169,12 +169,18 @@ def tfidf_vocabulary(scenarios: DataFrame, k: int) -> DataFrame:
     return terms.select("term", "tf", "df", F.round(idf, 6).alias("idf"), F.round(F.col("tf") * idf, 4).alias("mass")).orderBy(F.desc("mass"), "term").limit(k)
 
 
-def standardised(vectors: DataFrame, dims: int) -> DataFrame:
-    """Vectors as (vec_id, dim, z): each dimension minus its mean, over its deviation (0 where that is 0)."""
-    long = vectors.select("vec_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    stats = long.groupBy("dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    del dims
-    return long.join(F.broadcast(stats), "dim").select("vec_id", "dim", F.when(F.col("s") > 0, (F.col("x") - F.col("m")) / F.col("s")).otherwise(S.num(0)).alias("z"))
+def _long(vectors: DataFrame) -> DataFrame:
+    return vectors.select("vec_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+
+
+def fit_scaling(vectors: DataFrame) -> DataFrame:
+    """(dim, m, s): mean and deviation of each dimension."""
+    return _long(vectors).groupBy("dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+
+
+def standardised(vectors: DataFrame, scaling: DataFrame) -> DataFrame:
+    """Vectors as (vec_id, dim, z): each dimension minus its mean, over its deviation (0 where that is 0), by a scaling that may come from other vectors."""
+    return _long(vectors).join(scaling, "dim").select("vec_id", "dim", F.when(F.col("s") > 0, (F.col("x") - F.col("m")) / F.col("s")).otherwise(S.num(0)).alias("z"))
 
 
 def folds(labelled: DataFrame, k: int) -> DataFrame:

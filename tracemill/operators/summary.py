@@ -115,7 +115,7 @@ def spearman(df: DataFrame, a: str, b: str, by: str) -> DataFrame:
 def capability(recs: DataFrame, item: str, group: str, order: str) -> DataFrame:
     """Item x group: runs, success, failure and mean risk, null for empty cells; primary marks an item's group with most runs (ties: the harder)."""
     cells = recs.groupBy(item, group, order).agg(F.count("*").alias("runs"), F.count_if("success").alias("ok"), F.avg("risk").alias("risk"))
-    grid = recs.select(item).distinct().crossJoin(F.broadcast(recs.select(group, order).distinct()))
+    grid = recs.select(item).distinct().crossJoin(recs.select(group, order).distinct())
     full = grid.join(cells, [item, group, order], "left")
     first = Window.partitionBy(item).orderBy(F.desc_nulls_last("runs"), F.desc(order))
     return full.withColumn("primary", (F.row_number().over(first) == 1) & F.col("runs").isNotNull()).select(

@@ -165,7 +165,7 @@ def _(spark, d):
     return C.by_support(src.findings(spark, d), "cwe")
 
 
-_OV = f"count(*) AS runs, round(avg({OK}), 6) AS success_rate, round(avg(CASE WHEN success AND attempts = 1 THEN 1e0 ELSE 0e0 END), 6) AS first_attempt_success_rate, round(count(*) FILTER (success AND attempts > 1) / CAST(nullif(count(*) FILTER (attempts > 1 OR NOT success), 0) AS DOUBLE), 6) AS recovery_rate, round(avg(attempts), 6) AS avg_attempts, round(avg(risk), 6) AS avg_risk, round(avg(total_issues), 6) AS findings_per_run, round(count(*) FILTER (total_issues > 0) / CAST(count(*) AS DOUBLE), 6) AS residual_issue_rate"
+_OV = f"count(*) AS runs, round(avg({OK}), 6) AS success_rate, round(avg(CASE WHEN success AND attempts = 1 THEN 1e0 ELSE 0e0 END), 6) AS first_attempt_success_rate, round(count(*) FILTER (success AND attempts > 1) / CAST(nullif(count(*) FILTER (attempts > 1 OR NOT success), 0) AS DOUBLE), 6) AS recovery_rate, round(avg(attempts), 6) AS avg_attempts, round(avg(risk), 6) AS avg_risk, round(avg(total_issues), 6) AS findings_per_run, round(count(*) FILTER (total_issues > 0) / CAST(count(*) AS DOUBLE), 6) AS residual_issue_rate, round(avg(CASE WHEN success THEN 1e0 ELSE 0e0 END) - avg(CASE WHEN success AND attempts = 1 THEN 1e0 ELSE 0e0 END), 6) AS feedback_gain, round(count(*) FILTER (target_issues > 0) / CAST(count(*) AS DOUBLE), 6) AS target_issue_rate, round(count(*) FILTER (off_target_issues > 0) / CAST(count(*) AS DOUBLE), 6) AS off_target_issue_rate, round(avg(CASE WHEN used_fixer THEN 1e0 ELSE 0e0 END), 6) AS fixer_rate"
 
 
 @query("model_overview", f"SELECT model, {_OV} FROM recs GROUP BY model", RECORDS)
@@ -246,3 +246,25 @@ def _(spark, d):
     reason = F.element_at(F.array(*map(F.lit, ("syntax_error", "no_code", "unresolved_target_findings"))), (F.col("run_id") % 3 + 1).cast("int"))
     failed = r.where("not success and run_id % 4 <> 0").select("run_id", reason.alias("reason"), (F.col("run_id") % 5).alias("findings"))
     return C.outcomes(r, failed)
+
+
+@query("fold_scores", f", x AS (SELECT run_id % 5 AS fold, difficulty AS t, {src.DIFFICULTIES}[(difficulty_rank + CASE WHEN run_id % 3 = 0 THEN 1 ELSE 0 END) % 5 + 1] AS g FROM runs), l AS (SELECT DISTINCT fold, t AS label FROM x UNION SELECT DISTINCT fold, g FROM x), s AS (SELECT l.fold, label, count(*) FILTER (t = label AND g = label) AS tp, count(*) FILTER (t = label) AS support, count(*) FILTER (g = label) AS guessed FROM l JOIN x USING (fold) GROUP BY 1, 2), e AS (SELECT fold, avg(2 * tp / CAST(support + guessed AS DOUBLE)) AS macro, sum(tp) / CAST(sum(support) AS DOUBLE) AS acc FROM s GROUP BY 1) SELECT count(*) AS folds, round(avg(acc), 6) AS acc_mean, round(stddev_samp(acc), 6) AS acc_std, round(avg(macro), 6) AS macro_mean, round(stddev_samp(macro), 6) AS macro_std FROM e")
+def _(spark, d):
+    return C.fold_scores(_guessed(spark, d).withColumn("fold", F.col("run_id") % 5), "difficulty", "guess", "fold")
+
+
+_FAMILY = "SELECT model, surface, 'family ' || (node_id % 9) AS family FROM runs WHERE NOT success"
+
+
+def families(spark, d):
+    return src.runs(spark, d).where("not success").select("model", "surface", F.concat(F.lit("family "), (F.col("node_id") % 9).cast("string")).alias("family"))
+
+
+@query("family_table", f", x AS ({_FAMILY}), e AS (SELECT model, family, count(*) AS n FROM x GROUP BY 1, 2), t AS (SELECT DISTINCT family FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY n DESC, family) AS nth FROM e) WHERE nth <= 3) SELECT m.model, t.family, coalesce(n, 0) AS n FROM (SELECT DISTINCT model FROM e) m CROSS JOIN t LEFT JOIN e ON e.model = m.model AND e.family = t.family")
+def _(spark, d):
+    return C.family_table(families(spark, d), 3)
+
+
+@query("top_families", f", x AS ({_FAMILY}), e AS (SELECT *, row_number() OVER (PARTITION BY model, surface ORDER BY n DESC, family) AS nth FROM (SELECT model, surface, family, count(*) AS n FROM x GROUP BY 1, 2, 3)) SELECT model, surface, CAST(sum(n) AS BIGINT) AS findings, string_agg(family || ' (' || n || ')', '; ' ORDER BY nth) FILTER (nth <= 3) AS top FROM e GROUP BY 1, 2")
+def _(spark, d):
+    return C.top_families(families(spark, d))

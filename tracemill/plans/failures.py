@@ -161,3 +161,22 @@ def _(spark, d):
     code = F.when(F.col("o_orderkey") % 2 == 0, " ").otherwise("x = 1")
     rows = o.select(F.col("o_orderkey").alias("id"), reason.alias("reason"), code.alias("code"), F.lit("words").alias("summary"), F.array(F.lit("said")).alias("tags"), F.lit("LOW").alias("confidence"))
     return X.overlay(rows).select("id", "success", "reason", F.array_join("tags", "|").alias("tags"), "confidence")
+
+
+_EVIDENCE = f"{src.RUNS}, {src.FINDINGS}, e AS (SELECT cwe, test_id, substr(sha256(cwe || '|' || test_id), 1, 16) AS pattern_id, count(DISTINCT run_id) AS frequency FROM findings GROUP BY 1, 2)"
+
+
+@query("evidence_by_difficulty", "SELECT difficulty, count(*) AS patterns FROM (SELECT DISTINCT difficulty, cwe, test_id FROM findings JOIN runs USING (run_id)) GROUP BY 1", _EVIDENCE)
+def _(spark, d):
+    return X.evidence_by_difficulty(X.evidence_patterns(src.findings(spark, d), src.runs(spark, d)))
+
+
+@query("evidence_totals", "SELECT count(*) AS patterns, count(DISTINCT cwe) AS cwes, round(avg(frequency), 6) AS avg_frequency, (SELECT string_agg(pattern_id, ',' ORDER BY frequency DESC, pattern_id) FROM (SELECT * FROM e ORDER BY frequency DESC, pattern_id LIMIT 10)) AS most_common FROM e", _EVIDENCE)
+def _(spark, d):
+    return X.evidence_totals(X.evidence_patterns(src.findings(spark, d), src.runs(spark, d)))
+
+
+@query("weaknesses_in_order", "SELECT target_cwe, count(*) AS n, CAST(CASE target_cwe WHEN 'CWE-40' THEN 1 WHEN 'CWE-22' THEN 2 ELSE 2 + dense_rank() OVER (PARTITION BY target_cwe IN ('CWE-40', 'CWE-22') ORDER BY target_cwe) END AS INT) AS place FROM runs GROUP BY 1", src.RUNS)
+def _(spark, d):
+    counts = src.runs(spark, d).groupBy("target_cwe").agg(F.count("*").alias("n"))
+    return X.in_order(counts, "target_cwe", ["CWE-40", "CWE-22"])

@@ -154,3 +154,28 @@ def _(spark, d):
 @query("first_of_signature", "SELECT surface, array_to_string(concepts, '|') AS key, min(node_id) AS node_id, count(*) AS nodes FROM runs GROUP BY 1, 2", src.RUNS)
 def _(spark, d):
     return T.first_of_signature(src.runs(spark, d))
+
+
+_PATHS = f"RECURSIVE {src.RUNS}, {src.NODES}, walk AS (SELECT node_id, model, 1 AS length, CASE WHEN value > 0.5 THEN 1e0 ELSE 0e0 END AS solved FROM nodes WHERE parent_id IS NULL UNION ALL SELECT n.node_id, n.model, w.length + 1, w.solved + CASE WHEN n.value > 0.5 THEN 1e0 ELSE 0e0 END FROM walk w JOIN nodes n ON n.parent_id = w.node_id), p AS (SELECT node_id, model, length, round(solved / length, 6) AS success FROM walk WHERE length > 1)"
+
+
+def paths(spark, d):
+    n = src.nodes(spark, d)
+    return T.path_success(n.withColumn("solved", F.col("value") > 0.5)).join(n.select("node_id", "model"), "node_id")
+
+
+@query("path_success_by_model", "SELECT model, length, count(*) AS paths, round(avg(success), 6) AS success FROM p GROUP BY 1, 2", _PATHS)
+def _(spark, d):
+    return T.path_success_by(paths(spark, d), "model")
+
+
+@query("path_ratio", "SELECT round(coalesce(avg(length) FILTER (success > 0.5) / avg(length) FILTER (success <= 0.5), 1e0), 6) AS path_length_ratio, round((count(DISTINCT length) + 1) / CAST(max(length) - 1 AS DOUBLE), 6) AS depth_utilisation FROM p", _PATHS)
+def _(spark, d):
+    return T.path_ratio(paths(spark, d))
+
+
+@query("challenge_bounds", ", m AS (SELECT node_id, avg(1 - functionality) AS mean FROM runs GROUP BY 1) SELECT n.node_id, CASE WHEN n.visits = 0 THEN -1e0 ELSE round(coalesce(mean, 0e0) + 1.414e0 * sqrt(ln(greatest(coalesce(p.visits, 1), 1)) / n.visits), 6) END AS ucb FROM nodes n LEFT JOIN m ON m.node_id = n.node_id LEFT JOIN nodes p ON p.node_id = n.parent_id", f"{src.RUNS}, {src.NODES}")
+def _(spark, d):
+    challenges = src.runs(spark, d).select("node_id", (1 - F.col("functionality")).alias("challenge"))
+    found = T.challenge_bounds(src.nodes(spark, d), challenges)
+    return found.select("node_id", F.when(F.col("ucb") == float("inf"), F.lit(-1.0)).otherwise(F.col("ucb")).alias("ucb"))

@@ -140,7 +140,7 @@ def _(spark, d):
     v = src.table(spark, d, "embeddings")
     long = v.select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
     centre = long.groupBy("label", "i").agg(F.avg("x").alias("m"))
-    both = long.join(F.broadcast(centre), ["label", "i"])
+    both = long.join(centre, ["label", "i"])
     cosine = F.sum(F.col("x") * F.col("m")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("m") * F.col("m")))
     return both.groupBy("vec_id", "label").agg((F.round(cosine, 6) + S.num(0)).alias("cosine"))
 
@@ -156,7 +156,8 @@ def _(spark, d):
 
 @query("vector_standardised", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM e GROUP BY 1) SELECT vec_id, round(sum(abs((x - m) / s)), 4) AS total, round(max((x - m) / s), 5) AS most FROM e JOIN s USING (i) GROUP BY 1")
 def _(spark, d):
-    z = D.standardised(src.table(spark, d, "embeddings"), 64)
+    v = src.table(spark, d, "embeddings")
+    z = D.standardised(v, D.fit_scaling(v))
     return z.groupBy("vec_id").agg(F.round(F.sum(F.abs("z")), 4).alias("total"), F.round(F.max("z"), 5).alias("most"))
 
 

@@ -126,8 +126,8 @@ def _sample(docs: DataFrame, labels: DataFrame, toxic: int, other: int) -> tuple
     h = F.pmod(F.xxhash64(doc_key()), F.lit(1 << 30))
     some = lambda c, most: ids.where((F.col("toxic") == c) & (h + 0.0 < min(1.0, 1.1 * most / n[c]) * (1 << 30))).orderBy(h, "doc_id").limit(most).select("doc_id", "toxic")
     chosen = some(1, toxic).unionByName(some(0, other))  # 9,000 ids at most
-    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).distinct().join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    texts = checkpointed(texts)
+    texts = docs.where("text is not null").select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").distinct()
+    texts = checkpointed(texts.select("text", "toxic"))
     return texts, n, {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
 
 

@@ -70,7 +70,7 @@ def test_jaccard_components_equal_brute_force(spark, seed):
 
 def test_blocks_of_one_token_lose_no_pair(spark, monkeypatch):
     texts = noisy_groups(3)
-    for name, value in {"BLOCK": 3, "LEADERS": 1, "NEIGHBOURS": 2, "LONG_LIST": 9, "DEALT": 0, "ROUNDS": 2}.items():
+    for name, value in {"BLOCK": 3, "LEADERS": 1, "NEIGHBOURS": 2, "LONG_LIST": 9, "DEALT": 0, "ROUNDS": 2, "FINE": 8}.items():
         monkeypatch.setattr(ngram_join, name, value)
     monkeypatch.setattr(graph, "BROADCAST_ROWS", 0)
     docs = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")

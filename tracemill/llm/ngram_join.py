@@ -18,7 +18,7 @@ Steps, none of which holds more than a bounded slice, a bounded block or a fixed
 
 Filters for sizes x, y and overlap bound a = ceil(t / (1 + t) * (x + y)): length (t max <= min),
 positional (1 + what follows the common shingle reaches a) and suffix (the signatures' differences
-bound the overlap from above).
+bound the overlap from above; for long texts again by finer signatures, before sets are moved).
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from .kernels import entered, lists, map_batches, mix, shingles, slices, text_of
 _BUCKET_BITS, _CHUNKS = 21, 128
 #: Ranges of a signature, each counted up to 15.
 SIGNATURE = 256
+#: Shingles from which on a text has a fine signature too, of as many ranges as an eighth of its shingles or up to twice that.
+FINE = 1024
 #: Postings of one shingle that a task compares at once; longer lists are cut to blocks and paired.
 BLOCK = 256
 #: Leaders that a class is verified against in one round, and rounds at most; what they leave is compared afterwards.
@@ -101,12 +103,20 @@ def shingle_sets(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> D
         place = np.arange(len(h)) - np.repeat(begin, n)
         first = order[place < np.repeat(size, n)]
         dense = (shared.value[1][bucket[first] >> 3] >> (7 - (bucket[first] & 7)).astype(np.uint8) & 1).astype(bool)
+        fine = [_fine(h[a : a + k]) if k >= FINE else b"" for a, k in zip(begin.tolist(), n.tolist(), strict=True)]
         yield {
-            "doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "fp1": pa.array(fp[0]), "fp2": pa.array(fp[1]), "prefix": lists(h[first].view(np.int64), size, pa.int64()), "dense": lists(dense, size, pa.bool_()),
+            "fine": pa.array(fine, pa.binary()), "doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "fp1": pa.array(fp[0]), "fp2": pa.array(fp[1]), "prefix": lists(h[first].view(np.int64), size, pa.int64()), "dense": lists(dense, size, pa.bool_()),
             "sig": pa.FixedSizeBinaryArray.from_buffers(pa.binary(SIGNATURE // 2), rows, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary()),
         }
 
-    return map_batches(_rows(docs), run, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, dense array<boolean>, sig binary")
+    return map_batches(_rows(docs), run, "doc_id long, n long, fp1 long, fp2 long, prefix array<long>, dense array<boolean>, sig binary, fine binary")
+
+
+def _fine(h: np.ndarray) -> bytes:
+    """How many hashes fall to each range by their last bits; empty if a count doesn't fit."""
+    size = 1 << int(len(h) // 8).bit_length()
+    counts = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return counts.astype(np.uint16).tobytes() if counts.max() < 65536 else b""
 
 
 def _pass(percent: int, nx: np.ndarray, ny: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,6 +248,30 @@ def _across(percent: int):
     return run
 
 
+def _finer(percent: int):
+    """Streams pairs with sizes and fine signatures; those stay whose common ranges allow the overlap that they need, or that lack a signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (np.asarray(batch.column(c), np.int64) for c in ("na", "nb"))
+            need = -(-percent * (na + nb) // (100 + percent))
+            keep = np.ones(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)):
+                if x and y:
+                    x, y = (np.frombuffer(v, np.uint16).astype(np.int64) for v in (x, y))
+                    size = min(len(x), len(y))  # ranges go by last bits, so a longer signature folds to a shorter one
+                    keep[i] = np.minimum(x.reshape(-1, size).sum(0), y.reshape(-1, size).sum(0)).sum() >= need[i]
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def fitting(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that a finer suffix filter lets pass; long texts fill the short signature, so that it tells them apart no more."""
+    side = lambda c: named.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"f{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(_finer(percent), "a long, b long").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the checkpointed pairs (a, b) whose shingle sets reach the similarity, each set made anew from its text."""
     need = checkpointed(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
@@ -260,7 +294,7 @@ def _postings(named: DataFrame, percent: int) -> DataFrame:
     """
     slim = named.select("row", "doc_id", "n", "fp1", "fp2")
     first = slim.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    again = slim.select("row", anew("fp1").alias("k1"), anew("fp2").alias("k2"), "n").join(first.select(anew("fp1").alias("k1"), anew("fp2").alias("k2"), "n", F.col("first.row").alias("first")), ["k1", "k2", "n"])
+    again = slim.select("row", anew("fp1").alias("k1"), anew("fp2").alias("k2"), "n").join(first.select(anew("fp1").alias("k1"), anew("fp2").alias("k2"), "n", F.col("first.row").alias("first")).hint("merge"), ["k1", "k2", "n"])
     again = checkpointed(again.where("row <> first").select("row"))
     postings = named.join(small(again), "row", "left_anti").select(F.col("doc_id").alias("cid"), "n", "dense", F.posexplode("prefix").alias("pos", "token"))
     long = checkpointed(postings.where(F.get("dense", F.col("pos"))).groupBy("token").count().where(F.col("count") > LONG_LIST).select("token"))
@@ -305,7 +339,7 @@ def _led(shared: DataFrame, placed: DataFrame, percent: int, turn: int) -> DataF
     return chosen.select("a", "b").distinct()
 
 
-def _linked(docs: DataFrame, shared: DataFrame, percent: int, k: int) -> DataFrame:
+def _linked(docs: DataFrame, named: DataFrame, shared: DataFrame, percent: int, k: int) -> DataFrame:
     """Links (a, b) of classes that give the same components as all links."""
     total = shared.count()
     links = tried = None
@@ -319,7 +353,7 @@ def _linked(docs: DataFrame, shared: DataFrame, percent: int, k: int) -> DataFra
             if dealt <= DEALT * total or not new or turn == ROUNDS:
                 break
         pairs = _led(shared, placed, percent, turn)
-        pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = checkpointed(fitting(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), named, percent))
         found = verified(docs, pairs, k, percent)
         new = found.count()
         links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
@@ -337,7 +371,7 @@ def _linked(docs: DataFrame, shared: DataFrame, percent: int, k: int) -> DataFra
     units = open_.withColumn("own", own).withColumn("u", F.explode(F.when(is_major, with_others).otherwise(F.concat(with_major, among))))
     dealt = units.select("token", "band", F.col("u.pair").alias("pair"), F.col("u.side").alias("side"), "visits", "cid", "n", "pos", "sig", "comp")
     crossed = dealt.repartition("token", "band", "pair").sortWithinPartitions("token", "band", "pair").mapInArrow(_across(percent), "a long, b long, gap long")
-    second = checkpointed(crossed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+    second = checkpointed(fitting(crossed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), named, percent))
     return links.unionByName(verified(docs, second, k, percent))
 
 
@@ -354,13 +388,13 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFr
     rows = checkpointed(shingle_sets(docs, k, percent, shingle_counts(docs, k)).withColumn("row", F.monotonically_increasing_id()))
     named = rows.where("n > 0 and doc_id is not null")
     shared = _postings(named, percent)
-    links = _linked(docs, shared, percent, k)
+    links = _linked(docs, named, shared, percent, k)
     reached = components(links)
 
     label = named.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("cid")).join(reached.withColumnRenamed("id", "cid"), "cid", "left")
     label = checkpointed(label.select("fp1", "fp2", "n", F.coalesce("component", "cid").alias("component")))
     key = [anew("fp1").alias("k1"), anew("fp2").alias("k2"), F.col("n").alias("k3")]
-    found = rows.select("doc_id", "n", *key).join(label.select(*key, "component"), ["k1", "k2", "k3"], "left")
+    found = rows.select("doc_id", "n", *key).join(label.select(*key, "component").hint("merge"), ["k1", "k2", "k3"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of two or three longs up to which a table may be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -61,6 +61,18 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Checkpointed (id, component) after further links: only these, between the components known so far, are contracted."""
+    if labels is None:
+        return checkpointed(components(links))
+    label = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c"))
+    between = links.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+    roots = checkpointed(components(between))
+    fresh = roots.join(labels.select("id"), "id", "left_anti").select("id", "component")
+    onward = roots.select(F.col("id").alias("component"), F.col("component").alias("root"))
+    return checkpointed(labels.join(onward, "component", "left").select("id", F.coalesce("root", "component").alias("component")).unionByName(fresh))
+
+
 def _to_least(edges: DataFrame) -> DataFrame:
     """Edges with m, the least of u and all its neighbours."""
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

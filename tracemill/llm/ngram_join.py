@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import anew, checkpointed, components, small
+from .graph import anew, checkpointed, merged, small
 from .kernels import entered, lists, map_batches, mix, shingles, slices, text_of
 
 _BUCKET_BITS, _CHUNKS = 21, 128
@@ -340,13 +340,13 @@ def _led(shared: DataFrame, placed: DataFrame, percent: int, turn: int) -> DataF
 
 
 def _linked(docs: DataFrame, named: DataFrame, shared: DataFrame, percent: int, k: int) -> DataFrame:
-    """Links (a, b) of classes that give the same components as all links."""
+    """(id, component) of the classes that any link joins; a round's links are merged into the components of those before."""
     total = shared.count()
-    links = tried = None
+    labels = tried = None
     for turn in range(ROUNDS + 1):
         placed = shared.withColumn("comp", F.col("cid"))
-        if links is not None:
-            known = checkpointed(components(links).withColumnRenamed("id", "cid").withColumnRenamed("component", "comp"))
+        if labels is not None:
+            known = labels.withColumnRenamed("id", "cid").withColumnRenamed("component", "comp")
             placed = shared.join(small(known), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
             spread, mixed = _mixed(placed, percent)
             dealt = mixed.agg(F.sum(F.col("mc") * F.col("bo") + (F.col("m") - F.col("mc")) * (F.col("bm") + F.col("bo")))).first()[0] or 0
@@ -356,7 +356,7 @@ def _linked(docs: DataFrame, named: DataFrame, shared: DataFrame, percent: int,
         pairs = checkpointed(fitting(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), named, percent))
         found = verified(docs, pairs, k, percent)
         new = found.count()
-        links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
+        labels, tried = merged(labels, found), pairs if tried is None else tried.unionByName(pairs)
 
     open_ = spread.withColumn("key", anew("token")).join(small(mixed.select(anew("token").alias("key"), "band", "major", "bm", "bo")), ["key", "band"]).drop("key")
     is_major = F.col("comp") == F.col("major")
@@ -372,7 +372,7 @@ def _linked(docs: DataFrame, named: DataFrame, shared: DataFrame, percent: int,
     dealt = units.select("token", "band", F.col("u.pair").alias("pair"), F.col("u.side").alias("side"), "visits", "cid", "n", "pos", "sig", "comp")
     crossed = dealt.repartition("token", "band", "pair").sortWithinPartitions("token", "band", "pair").mapInArrow(_across(percent), "a long, b long, gap long")
     second = checkpointed(fitting(crossed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), named, percent))
-    return links.unionByName(verified(docs, second, k, percent))
+    return merged(labels, verified(docs, second, k, percent))
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:
@@ -388,8 +388,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFr
     rows = checkpointed(shingle_sets(docs, k, percent, shingle_counts(docs, k)).withColumn("row", F.monotonically_increasing_id()))
     named = rows.where("n > 0 and doc_id is not null")
     shared = _postings(named, percent)
-    links = _linked(docs, named, shared, percent, k)
-    reached = components(links)
+    reached = _linked(docs, named, shared, percent, k)
 
     label = named.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("cid")).join(reached.withColumnRenamed("id", "cid"), "cid", "left")
     label = checkpointed(label.select("fp1", "fp2", "n", F.coalesce("component", "cid").alias("component")))

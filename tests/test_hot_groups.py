@@ -34,7 +34,7 @@ def test_trees_of_any_depth(spark):
         for step, k in enumerate(ways[i]):
             total[k] = total.get(k, 0) + r * 0.9**step
     found = T.backpropagated(nodes, spark.createDataFrame(rewards, "node_id bigint, reward double")).collect()
-    assert {r.node_id for r in found} == total.keys() and all(r.total == pytest.approx(total[r.node_id], abs=1e-5) for r in found)
+    assert {r.node_id for r in found} == total.keys() and all(float(r.total) == pytest.approx(total[r.node_id], abs=1e-5) for r in found)
 
 
 def test_numbers_of_a_hot_group(spark):

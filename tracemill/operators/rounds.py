@@ -28,11 +28,15 @@ def numbered(df: DataFrame, by: list[str], stretch: Column, order: list, name: s
     """df with the place of each row in its group, from 1 on, in the order of `stretch`, then `order`.
 
     stretch cuts a group to parts that follow each other: parts are counted first, and only one part is
-    ever sorted in a task, so a group may hold a third of all rows. Keys are not null.
+    ever sorted in a task, so a group may hold a third of all rows. Rows whose keys or stretch are null are
+    groups and parts like others, null stretches first.
     """
     cut = df.withColumn("__stretch", stretch)
     counts = cut.groupBy(*by, "__stretch").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
     ahead = counts.select(*by, "__stretch", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
     inside = F.row_number().over(Window.partitionBy(*by, "__stretch").orderBy(*order))
-    return cut.withColumn("__inside", inside).join(ahead, [*by, "__stretch"]).withColumn(name, F.col("__inside") + F.col("__ahead")).drop("__stretch", "__inside", "__ahead")
+    keys = {c: f"__of_{k}" for k, c in enumerate([*by, "__stretch"])}
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
+    both = cut.withColumn("__inside", inside).join(ahead.withColumnsRenamed(keys), same)
+    return both.withColumn(name, F.col("__inside") + F.col("__ahead")).drop("__stretch", "__inside", "__ahead", *keys.values())

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from decimal import Decimal
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -11,21 +16,35 @@ from .rounds import checkpointed
 R = lambda c, n: F.round(c, 6).alias(n)
 
 
+def _joined(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _doubled(state: DataFrame, carry: dict) -> DataFrame:
     """Rounds of pointer doubling over (node_id, up, ...): each doubles the steps from a node to `up`, until every `up` is null.
 
     carry: column -> what it is after its node's and its ancestor's part (named with a leading __) are put
-    together. A chain of n steps takes log2(n) rounds, each checkpointed; nodes of a cycle, or below a
-    parent that isn't there, have no root and are left out.
+    together. Rows that have reached their root are set aside: only active ones, whose `up` is not null,
+    are joined and written again, so no join has a null or finished key. A chain of n steps takes log2(n)
+    rounds, each checkpointed, a star one; nodes of a cycle, or below a parent that isn't there, have no
+    root and are left out (see `rootless`).
     """
-    state = checkpointed(state)
-    total, steps = state.count(), 1
-    while steps <= 2 * total and not state.where("up is not null").isEmpty():
-        t = state.select(F.col("node_id").alias("up"), F.col("up").alias("__up"), F.lit(True).alias("__there"), *[F.col(c).alias(f"__{c}") for c in carry])
-        both = state.join(t, "up", "left").where("up is null or __there")
-        state = checkpointed(both.select("node_id", F.col("__up").alias("up"), *[F.when(F.col("up").isNull(), F.col(c)).otherwise(e).alias(c) for c, e in carry.items()]))
+    active = checkpointed(state.where("up is not null"))
+    done = [checkpointed(state.where("up is null"))]
+    total, steps = active.count(), 1
+    while steps <= 2 * total and not active.isEmpty():
+        t = _joined([*done, active]).select(F.col("node_id").alias("up"), F.col("up").alias("__up"), *[F.col(c).alias(f"__{c}") for c in carry])
+        moved = checkpointed(active.join(t, "up").select("node_id", F.col("__up").alias("up"), *[e.alias(c) for c, e in carry.items()]))
+        done.append(moved.where("up is null"))
+        active = moved.where("up is not null")
         steps *= 2
-    return state.where("up is null").drop("up")
+    return _joined(done).drop("up")
+
+
+def rootless(nodes: DataFrame) -> DataFrame:
+    """Nodes of a cycle, or that lead to one or to a parent that isn't there: those that other measures of trees leave out."""
+    start = nodes.select("node_id", F.col("parent_id").alias("up"))
+    return nodes.join(_doubled(start, {}), "node_id", "left_anti")
 
 
 def with_depth(nodes: DataFrame) -> DataFrame:
@@ -61,37 +80,48 @@ def balance(nodes: DataFrame) -> DataFrame:
 
 
 def root_paths(nodes: DataFrame) -> DataFrame:
-    """Per node the way from its root: length, mean value along it, and the path as text."""
-    start = nodes.select("node_id", F.col("parent_id").alias("up"), F.lit(1).alias("length"), F.col("value").alias("total"), F.col("node_id").cast("string").alias("path"))
-    put = {c: F.col(f"__{c}") + F.col(c) for c in ("length", "total")} | {"path": F.concat("__path", F.lit(">"), "path")}
-    return _doubled(start, put).select("node_id", "length", R(F.col("total") / F.col("length"), "path_value"), "path")
+    """Per node the way from its root: length, mean value along it, and the path as text.
+
+    Values add up as decimals of six places, so that the order of additions doesn't matter.
+    """
+    start = nodes.select("node_id", F.col("parent_id").alias("up"), F.lit(1).alias("length"), F.col("value").cast("decimal(28,6)").alias("total"), F.col("node_id").cast("string").alias("path"))
+    put = {"length": F.col("__length") + F.col("length"), "total": (F.col("__total") + F.col("total")).cast("decimal(28,6)"), "path": F.concat("__path", F.lit(">"), "path")}
+    return _doubled(start, put).select("node_id", "length", F.round(F.col("total") / F.col("length"), 6).cast("double").alias("path_value"), "path")
+
+
+#: Decimal places in which rewards add up.
+PLACES = "decimal(28,16)"
 
 
 def backpropagated(nodes: DataFrame, rewards: DataFrame, gamma: float = 0.9) -> DataFrame:
-    """Every reward to all ancestors, times gamma for each step up: sum and number of rewards that reach a node.
+    """Every reward to all ancestors, times gamma for each step up: sum (a decimal) and number of rewards that reach a node.
 
     Doubling again: after a round a node holds what lies below it within twice as many steps, as its own
-    sum and those of the nodes that are so many steps below.
+    sum and those of the nodes that are so many steps below. Only pointers that haven't passed their root
+    are joined and kept. A parent without a row of its own is a root. Nodes of a cycle, or that lead to
+    one, are left out: their rewards reach only each other.
     """
-    own = rewards.groupBy("node_id").agg(F.sum("reward").alias("total"), F.count("*").alias("n"))
-    ids = nodes.select("node_id").unionByName(nodes.where("parent_id is not null").select(F.col("parent_id").alias("node_id"))).unionByName(own.select("node_id")).distinct()
-    state = ids.join(nodes.select("node_id", F.col("parent_id").alias("up")), "node_id", "left").join(own, "node_id", "left").na.fill(0, ["total", "n"])
-    state = checkpointed(state)
-    total, steps = state.count(), 1
-    while steps <= 2 * total and not state.where("up is not null").isEmpty():
-        below = state.where("up is not null and n > 0").groupBy(F.col("up").alias("node_id")).agg(F.sum("total").alias("__total"), F.sum("n").alias("__n"))
-        above = state.select(F.col("node_id").alias("up"), F.col("up").alias("__up"))
-        grown = state.join(below, "node_id", "left").join(above, "up", "left")
-        put = F.col("total") + F.coalesce("__total", S.num(0)) * S.num(gamma**steps)
-        state = checkpointed(grown.select("node_id", F.col("__up").alias("up"), put.alias("total"), (F.col("n") + F.coalesce("__n", F.lit(0))).alias("n")))
+    own = rewards.groupBy("node_id").agg(F.sum(F.col("reward").cast(PLACES)).cast(PLACES).alias("total"), F.count("*").alias("n"))
+    edges = checkpointed(nodes.where("parent_id is not null").select("node_id", F.col("parent_id").alias("up")))
+    ids = nodes.select("node_id").unionByName(edges.select(F.col("up").alias("node_id"))).unionByName(own.select("node_id")).distinct()
+    state = checkpointed(ids.join(own, "node_id", "left").select("node_id", F.coalesce("total", F.lit(0).cast(PLACES)).alias("total"), F.coalesce("n", F.lit(0).cast("long")).alias("n")))
+    active, total, steps = edges, edges.count(), 1
+    while steps <= 2 * total and not active.isEmpty():
+        factor = F.lit(str((Decimal(str(gamma)) ** steps).quantize(Decimal("1e-18")))).cast("decimal(19,18)")
+        passed = active.join(state.where("n > 0"), "node_id").groupBy(F.col("up").alias("node_id")).agg(F.sum("total").cast(PLACES).alias("__total"), F.sum("n").alias("__n"))
+        grown = state.join(passed, "node_id", "left")
+        more = (F.coalesce("__total", F.lit(0).cast(PLACES)) * factor).cast(PLACES)
+        state = checkpointed(grown.select("node_id", (F.col("total") + more).cast(PLACES).alias("total"), (F.col("n") + F.coalesce("__n", F.lit(0))).alias("n")))
+        active = checkpointed(active.join(active.select(F.col("node_id").alias("up"), F.col("up").alias("__up")), "up").select("node_id", F.col("__up").alias("up")))
         steps *= 2
-    return state.where("n > 0").select("node_id", R(F.col("total") + 1e-9, "total"), F.col("n").alias("rewards"))
+    return state.where("n > 0").join(active.select("node_id"), "node_id", "left_anti").select("node_id", "total", F.col("n").alias("rewards"))
 
 
 def td_values(rewards: DataFrame, rate: float = 0.9) -> DataFrame:
-    """v += rate (r - v) over a node's rewards in order, from 0, in its closed form: a reward counts rate x (1 - rate) to the power of those after it."""
+    """v += rate (r - v) over a node's rewards in order, from 0, in its closed form (a decimal): a reward counts rate x (1 - rate) to the power of those after it."""
     after = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("run_id"))) - 1
-    return rewards.withColumn("k", after).groupBy("node_id").agg(R(F.sum(rate * F.col("reward") * F.pow(S.num(1 - rate), F.col("k"))) + 1e-9, "value"), F.count("*").alias("visits"))
+    part = (rate * F.col("reward") * F.pow(S.num(1 - rate), F.col("k"))).cast("decimal(24,15)")
+    return rewards.withColumn("k", after).groupBy("node_id").agg(F.sum(part).alias("value"), F.count("*").alias("visits"))
 
 
 def convergence(rewards: DataFrame, epsilon: float, k: int) -> DataFrame:
@@ -127,6 +157,55 @@ def sampling_weights(nodes: DataFrame, damping: float = 0.35) -> DataFrame:
     return weighted.join(weighted.groupBy("surface").agg(F.sum("w").alias("all")), "surface").select("node_id", "surface", R(S.ratio(F.col("w"), F.col("all")), "share"))
 
 
+def uniform(seed: int, key: str) -> Column:
+    """A number in (0, 1) that follows from the seed and the key alone."""
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+#: Candidates that a task holds before it passes on the best of each group.
+HELD = 200_000
+
+
+def _least(k: int):
+    """Keeps the k least (key, id) of each group; what it yields early is merged by the next step, which sees all."""
+
+    def best(table: pa.Table) -> pa.Table:
+        order = table.sort_by([("group", "ascending"), ("key", "ascending"), ("id", "ascending")])
+        codes = np.asarray(order.column("group").combine_chunks().dictionary_encode(null_encoding="encode").indices)
+        first = np.flatnonzero(np.diff(codes, prepend=-1)) if len(codes) else codes
+        place = np.arange(len(codes)) - np.repeat(first, np.diff(first, append=len(codes)))
+        return order.filter(pa.array(place < k))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = best(pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None else pa.Table.from_batches([batch]))
+            if held.num_rows > HELD:
+                yield from held.combine_chunks().to_batches()
+                held = None
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    return run
+
+
+def weighted_draws(items: DataFrame, group: str, key: str, weight: str, k: int, seed: int = 0) -> DataFrame:
+    """k items of each group without replacement, in order of the draw: group, key, place (from 1 on).
+
+    An item's key is -ln(u) / weight, u a seeded hash of its id: the k least are such a draw, whatever the
+    partitioning. Each task passes on the k least of a group, so a hot group costs k rows for each task.
+    Rows of weight 0 or less, or null, are never drawn; a null group is a group; ids are distinct within a
+    group, and of equal keys the lesser id comes first.
+    """
+    kind = dict(items.dtypes)
+    rows = items.where(F.col(weight) > 0).select(F.col(group).alias("group"), F.col(key).alias("id"), (-F.log(uniform(seed, key)) / F.col(weight)).alias("key"))
+    schema = f"`group` {kind[group]}, id {kind[key]}, key double"
+    few = rows.mapInArrow(_least(k), schema)
+    # the last step is exact: its rows are sorted, and of a group only the first k pass
+    merged = few.groupBy("group").agg(F.slice(F.array_sort(F.collect_list(F.struct("key", "id"))), 1, k).alias("best"))
+    return merged.select("group", F.posexplode("best").alias("place", "b")).select(F.col("group").alias(group), F.col("b.id").alias(key), (F.col("place") + 1).alias("place"))
+
+
 def subset_parents(sets: DataFrame) -> DataFrame:
     """For every set of a surface its largest proper subset there (ties: least key), found through shared elements.
 

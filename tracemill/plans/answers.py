@@ -163,3 +163,25 @@ def _(spark, d):
 @query("challenging_combinations", f"WITH {src.RUNS} SELECT array_to_string(concepts, '+') AS combo, difficulty, round(avg(1 - functionality), 6) AS score, count(*) AS count FROM runs GROUP BY 1, 2 ORDER BY 3 DESC, 4 DESC, 1, 2 LIMIT 15")
 def _(spark, d):
     return A.challenging(src.runs(spark, d).withColumn("challenge", 1 - F.col("functionality")), 15)
+
+
+_SAID = "CASE run_id % 7 WHEN 1 THEN 'calls \"' || target_cwe || '\", then \"run\" twice' WHEN 2 THEN 'it''s ' || model ELSE 'seen in ' || surface END"
+
+
+@query("loose_payloads", f"WITH {src.RUNS} SELECT run_id, target_cwe AS verdict, attempts / 4e0 AS score, {_SAID} AS evidence, success AS secure, array_to_string(concepts, '+') AS tags FROM runs")
+def _(spark, d):
+    """Payloads in seven shapes: strict, with unescaped quotations, as Python, as block YAML, fenced with bare keys, tagged and escaped, and in prose."""
+    k = F.col("run_id") % 7
+    said = F.when(k == 1, F.concat(F.lit('calls "'), "target_cwe", F.lit('", then "run" twice'))).when(k == 2, F.concat(F.lit("it's "), "model")).otherwise(F.concat(F.lit("seen in "), "surface"))
+    score, secure = (F.col("attempts") / 4.0).cast("string"), F.col("success").cast("string")
+    listed = lambda q: F.concat(F.lit("["), F.array_join(F.transform("concepts", lambda c: F.concat(F.lit(q), c, F.lit(q))), ", "), F.lit("]"))
+    put = lambda form, *xs: F.format_string(form, *xs)
+    strict = put('{"verdict": "%s", "score": %s, "evidence": "%s", "secure": %s, "tags": %s}', "target_cwe", score, said, secure, listed('"'))
+    python = put("{'verdict': '%s', 'score': %s, 'evidence': '%s', 'secure': %s, 'tags': %s,}", "target_cwe", score, F.replace(said, F.lit("'"), F.lit("''")), F.initcap(secure), listed("'"))
+    block = put("verdict: %s\nscore: %s  # of one\nevidence: >-\n  %s\nsecure: %s\ntags:\n%s\n", "target_cwe", score, said, F.when(F.col("success"), "yes").otherwise("no"), F.array_join(F.transform("concepts", lambda c: F.concat(F.lit("- "), c)), "\n"))
+    bare = put('```json\n{verdict: %s, score: %s, evidence: "%s", secure: %s, tags: %s, }\n```', "target_cwe", score, said, secure, listed(""))
+    tagged = F.concat(F.lit("I think.\n<judge\\_result>"), F.replace(strict, F.lit('"'), F.lit("&quot;")), F.lit("</judge\\_result> So it is."))
+    prose = F.concat(F.lit("The set {x; y} aside: "), strict, F.lit(" Done."))
+    text = F.when(k == 2, python).when(k == 3, block).when(k == 4, bare).when(k == 5, tagged).when(k == 6, prose).otherwise(strict)
+    found = src.runs(spark, d).select("run_id", F.from_json(P.repaired_json(text), "verdict string, score double, evidence string, secure boolean, tags array<string>").alias("j"))
+    return found.select("run_id", "j.verdict", "j.score", "j.evidence", "j.secure", F.array_join("j.tags", "+").alias("tags"))

@@ -58,19 +58,19 @@ def _(spark, d):
     return T.balance(deep(spark, d))
 
 
-@query("root_paths", "SELECT node_id, length, round(total / length, 6) AS path_value, path FROM walk", f"RECURSIVE {src.RUNS}, {src.NODES}, walk AS (SELECT node_id, 1 AS length, value AS total, CAST(node_id AS VARCHAR) AS path FROM nodes WHERE parent_id IS NULL UNION ALL SELECT n.node_id, w.length + 1, w.total + n.value, w.path || '>' || n.node_id FROM walk w JOIN nodes n ON n.parent_id = w.node_id)")
+@query("root_paths", "SELECT node_id, length, ((2 * total + length) // (2 * length)) / 1e6 AS path_value, path FROM walk", f"RECURSIVE {src.RUNS}, {src.NODES}, walk AS (SELECT node_id, 1 AS length, CAST(round(value * 1e6) AS BIGINT) AS total, CAST(node_id AS VARCHAR) AS path FROM nodes WHERE parent_id IS NULL UNION ALL SELECT n.node_id, w.length + 1, w.total + CAST(round(n.value * 1e6) AS BIGINT), w.path || '>' || n.node_id FROM walk w JOIN nodes n ON n.parent_id = w.node_id)")
 def _(spark, d):
     return T.root_paths(src.nodes(spark, d))
 
 
-@query("backpropagation", "SELECT node_id, round(sum(reward) + 1e-9, 6) AS total, sum(n)::BIGINT AS rewards FROM up GROUP BY node_id", f"RECURSIVE {REWARDS}, {src.NODES}, up AS (SELECT node_id, sum(reward) AS reward, count(*) AS n FROM rw GROUP BY 1 UNION ALL SELECT t.parent_id, u.reward * 0.9e0, u.n FROM up u JOIN nodes t ON t.node_id = u.node_id WHERE t.parent_id IS NOT NULL)")
+@query("backpropagation", "SELECT node_id, CAST(round(sum(reward), 6) AS DOUBLE) AS total, sum(n)::BIGINT AS rewards FROM up GROUP BY node_id", f"RECURSIVE {REWARDS}, {src.NODES}, up AS (SELECT node_id, CAST(sum(CAST(reward AS DECIMAL(28,16))) AS DECIMAL(28,16)) AS reward, count(*) AS n FROM rw GROUP BY 1 UNION ALL SELECT t.parent_id, CAST(u.reward * 0.9 AS DECIMAL(28,16)), u.n FROM up u JOIN nodes t ON t.node_id = u.node_id WHERE t.parent_id IS NOT NULL)")
 def _(spark, d):
-    return T.backpropagated(src.nodes(spark, d), rewards(spark, d))
+    return T.backpropagated(src.nodes(spark, d), rewards(spark, d)).withColumn("total", F.round("total", 6).cast("double"))
 
 
-@query("td_values", "SELECT node_id, round(sum(0.9e0 * reward * pow(0.1e0, n - i)) + 1e-9, 6) AS value, count(*) AS visits FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY run_id) AS i, count(*) OVER (PARTITION BY node_id) AS n FROM rw) GROUP BY node_id", REWARDS)
+@query("td_values", "SELECT node_id, CAST(round(sum(CAST(0.9e0 * reward * pow(0.1e0, n - i) AS DECIMAL(24,15))), 6) AS DOUBLE) AS value, count(*) AS visits FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY run_id) AS i, count(*) OVER (PARTITION BY node_id) AS n FROM rw) GROUP BY node_id", REWARDS)
 def _(spark, d):
-    return T.td_values(rewards(spark, d))
+    return T.td_values(rewards(spark, d)).withColumn("value", F.round("value", 6).cast("double"))
 
 
 @query("convergence_points", ", a AS (SELECT *, coalesce(abs(reward - lag(reward) OVER (PARTITION BY node_id ORDER BY run_id)) < 0.1e0, false) AS calm FROM rw), b AS (SELECT *, sum(CASE WHEN calm THEN 0 ELSE 1 END) OVER (PARTITION BY node_id ORDER BY run_id) AS island FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY node_id, island, calm ORDER BY run_id) AS len FROM b) SELECT node_id, min(run_id) AS converged_at FROM c WHERE calm AND len >= 2 GROUP BY 1", REWARDS)
@@ -179,3 +179,16 @@ def _(spark, d):
     challenges = src.runs(spark, d).select("node_id", (1 - F.col("functionality")).alias("challenge"))
     found = T.challenge_bounds(src.nodes(spark, d), challenges)
     return found.select("node_id", F.when(F.col("ucb") == float("inf"), F.lit(-1.0)).otherwise(F.col("ucb")).alias("ucb"))
+
+
+@query("weighted_draws", ", w AS (SELECT node_id, surface, (1.1e0 - least(greatest(value, 0), 1)) / pow(visits + 1e0, 0.35e0) AS w FROM sn), k AS (SELECT *, -ln((CAST('0x' || substr(md5('7:' || node_id), 1, 12) AS BIGINT) + 0.5e0) / 281474976710656e0) / w AS key FROM w WHERE w > 0), p AS (SELECT surface, node_id, row_number() OVER (PARTITION BY surface ORDER BY key, node_id) AS place FROM k) SELECT surface, node_id, place FROM p WHERE place <= 20", SURFACED)
+def _(spark, d):
+    nodes = surfaced(spark, d).withColumn("w", (1.1 - F.least(F.greatest("value", F.lit(0.0)), F.lit(1.0))) / F.pow(F.col("visits") + 1.0, F.lit(0.35)))
+    return T.weighted_draws(nodes, "surface", "node_id", "w", 20, seed=7)
+
+
+@query("rootless_nodes", ", n2 AS (SELECT node_id, CASE WHEN node_id % 97 = 5 THEN node_id * 4 WHEN node_id % 89 = 3 THEN -node_id ELSE parent_id END AS parent_id FROM nodes), ok AS (SELECT node_id FROM n2 WHERE parent_id IS NULL UNION ALL SELECT n2.node_id FROM n2 JOIN ok ON n2.parent_id = ok.node_id) SELECT node_id FROM n2 ANTI JOIN ok USING (node_id)", f"RECURSIVE {src.RUNS}, {src.NODES}")
+def _(spark, d):
+    n = src.nodes(spark, d)
+    k = F.col("node_id")
+    return T.rootless(n.select("node_id", F.when(k % 97 == 5, k * 4).when(k % 89 == 3, -k).otherwise(F.col("parent_id")).alias("parent_id"))).select("node_id")

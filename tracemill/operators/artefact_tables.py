@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import python_code as P
 from ..functions import scores as S
 from ..functions import texts as T
+from .rounds import numbered
 
 REVIEW = "struct<verdict: string, classification: string, test_id: string, bandit_test_id: string, line_number: string, reason: string, rationale: string, fix: string, fix_suggestion: string, suggested_fix: string, duplicate_of: string>"
 PAYLOAD = f"security_score string, functionality_score string, overall_risk string, target_cwe_risk string, is_secure string, findings array<string>, sast_review array<{REVIEW}>"
@@ -86,16 +87,18 @@ def without_prefixes(df: DataFrame, column: str, prefixes: tuple[str, ...] = ("f
     return df.where(~F.col(column).rlike("^(?:" + "|".join(prefixes) + ")"))
 
 
-def problem_index(nodes: DataFrame) -> DataFrame:
-    """Problems by concept, by difficulty and by combination: kind, key, number, and the ids in order of title.
+def problem_index(nodes: DataFrame, length: int = 1_000) -> DataFrame:
+    """Problems by concept, by difficulty and by combination: kind, key, chunk, number of problems in it, and their ids in order of title, then id.
 
-    An index holds the ids of a key in one array, so it is meant for a report; counts come from the same rows.
+    A key's list comes in numbered chunks (from 0 on) of `length` ids, so that no array grows with the data;
+    places are counted by the titles' beginnings first, so no task sorts a whole key.
     """
     entry = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
     keys = F.concat(F.transform("concepts", lambda c: entry("concept", c)), F.array(entry("difficulty", F.col("difficulty")), entry("combination", F.array_join(F.array_sort("concepts"), "+"))))
-    each = nodes.select("node_id", "title", F.explode(keys).alias("k"))
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("title", "node_id"))), lambda x: x["node_id"])
-    return each.groupBy("k.kind", "k.key").agg(F.count("*").alias("problems"), ids.alias("node_ids"))
+    each = nodes.select("node_id", "title", F.explode(keys).alias("k")).select("k.kind", "k.key", "title", "node_id")
+    placed = numbered(each, ["kind", "key"], F.struct(F.substring("title", 1, 3).alias("head"), F.when(F.length("title") <= 3, F.floor(F.col("node_id") / 10_000)).otherwise(F.lit(1 << 62)).alias("range")), ["title", "node_id"], "place")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("place", "node_id"))), lambda x: x["node_id"])
+    return placed.withColumn("chunk", F.floor((F.col("place") - 1) / length)).groupBy("kind", "key", "chunk").agg(F.count("*").alias("problems"), ids.alias("node_ids"))
 
 
 def shared_concepts(groups: DataFrame, by: str) -> DataFrame:

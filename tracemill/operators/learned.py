@@ -8,19 +8,44 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rounds import checkpointed
+from .search_tree import _doubled
+
+
+def duplicate_roots(findings: DataFrame) -> DataFrame:
+    """(run_id, ord, root): the finding that a chain of `duplicate_of` (ords of the same run) ends at, of any length.
+
+    A finding without one, or whose target isn't there, is a root. Of a cycle, and of what leads to it, the
+    root is the cycle's least ord. Chains are followed by doubling, on those that aren't at their end yet.
+    """
+    node = lambda o: F.struct("run_id", F.col(o).cast("bigint").alias("ord"))
+    named = findings.select(node("ord").alias("node_id"), F.when(F.col("duplicate_of") != F.col("ord"), node("duplicate_of")).alias("up")).dropDuplicates(["node_id"])
+    there = named.select(F.col("node_id").alias("up"), F.lit(True).alias("there"))
+    linked = checkpointed(named.join(there, "up", "left").select("node_id", F.when(F.col("there"), F.col("up")).alias("up")))
+    ends = _doubled(linked.withColumn("root", F.col("node_id")), {"root": F.col("__root")})
+    ring = checkpointed(linked.join(ends.select("node_id"), "node_id", "left_anti").withColumn("least", F.col("node_id")))
+    total, steps = ring.count(), 1
+    while steps <= total:  # of n hops, the last is on the cycle, and n from there see all of it
+        onward = ring.select(F.col("node_id").alias("up"), F.col("up").alias("__up"), F.col("least").alias("__least"))
+        ring = checkpointed(ring.join(onward, "up").select("node_id", F.col("__up").alias("up"), F.least("least", "__least").alias("least")))
+        steps *= 2
+    cycles = ring.join(ring.select(F.col("node_id").alias("up"), F.col("least").alias("root")), "up").select("node_id", "root")
+    return ends.select("node_id", "root").unionByName(cycles).select("node_id.run_id", "node_id.ord", F.col("root.ord").alias("root"))
+
 
 def collapse_duplicates(findings: DataFrame) -> DataFrame:
     """Findings of a run by weakness and line: the first (ord) stays, with the worst level, and how many joined it.
 
-    Where findings have `duplicate_of`, the ord of another finding of the run, that one's place counts
-    for them, one step far.
+    Where findings have `duplicate_of`, the ord of another finding of the run, the place of the one at the
+    end of that chain counts for them (see `duplicate_roots`).
     """
     rank = {"LOW": 1, "MEDIUM": 2, "HIGH": 3}
     by_rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in rank.items() for x in kv]), F.col("severity")), F.lit(0))
     place = findings
     if "duplicate_of" in findings.columns:
-        there = findings.select("run_id", F.col("ord").alias("duplicate_of"), F.col("line").alias("__line"), F.col("cwe").alias("__cwe"))
-        place = findings.join(there, ["run_id", "duplicate_of"], "left").withColumns({"line": F.coalesce("__line", "line"), "cwe": F.coalesce("__cwe", "cwe")})
+        there = findings.select("run_id", F.col("ord").cast("bigint").alias("root"), F.col("line").alias("__line"), F.col("cwe").alias("__cwe"))
+        led = findings.join(duplicate_roots(findings), ["run_id", "ord"])
+        place = led.join(there, ["run_id", "root"]).withColumns({"line": F.col("__line"), "cwe": F.col("__cwe")})
     return place.groupBy("run_id", "line", "cwe").agg(F.min("ord").alias("ord"), F.max_by("severity", F.struct(by_rank, -F.col("ord"))).alias("severity"), (F.count("*") - 1).cast("int").alias("merged")).select("run_id", "ord", "line", "cwe", "severity", "merged")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import python_code as P
 from ..functions import texts as T
 from ..operators import artefact_tables as A
+from ..operators import error_text as E
+from ..operators import nested as N
 from ..sources import surrogate as src
 
 QUERIES, ORACLES = {}, {}
@@ -147,12 +149,12 @@ def _(spark, d):
     return A.without_prefixes(src.runs(spark, d).select(kind.alias("kind")), "kind").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("problem_index", f"WITH {src.RUNS}, x AS (SELECT DISTINCT node_id, 'N' || (node_id % 10) AS title, 'C' || (node_id % 7) AS a, ['easy','hard'][node_id % 2 + 1] AS difficulty FROM runs), k AS (SELECT node_id, title, 'concept' AS kind, a AS key FROM x UNION ALL SELECT node_id, title, 'concept', 'X' FROM x UNION ALL SELECT node_id, title, 'difficulty', difficulty FROM x UNION ALL SELECT node_id, title, 'combination', a || '+X' FROM x) SELECT kind, key, count(*) AS problems, list(node_id ORDER BY title, node_id) AS node_ids FROM k GROUP BY 1, 2")
+@query("problem_index", f"WITH {src.RUNS}, x AS (SELECT DISTINCT node_id, 'N' || (node_id % 10) AS title, 'C' || (node_id % 7) AS a, ['easy','hard'][node_id % 2 + 1] AS difficulty FROM runs), k AS (SELECT node_id, title, 'concept' AS kind, a AS key FROM x UNION ALL SELECT node_id, title, 'concept', 'X' FROM x UNION ALL SELECT node_id, title, 'difficulty', difficulty FROM x UNION ALL SELECT node_id, title, 'combination', a || '+X' FROM x), p AS (SELECT *, (row_number() OVER (PARTITION BY kind, key ORDER BY title, node_id) - 1) // 100 AS chunk FROM k) SELECT kind, key, chunk, count(*) AS problems, list(node_id ORDER BY title, node_id) AS node_ids FROM p GROUP BY 1, 2, 3")
 def _(spark, d):
     n = src.runs(spark, d).select("node_id").distinct()
     level = F.when(F.col("node_id") % 2 == 0, "easy").otherwise("hard")
     concepts = F.array(F.lit("X"), F.concat(F.lit("C"), (F.col("node_id") % 7).cast("string")))
-    return A.problem_index(n.select("node_id", F.concat(F.lit("N"), (F.col("node_id") % 10).cast("string")).alias("title"), concepts.alias("concepts"), level.alias("difficulty")))
+    return A.problem_index(n.select("node_id", F.concat(F.lit("N"), (F.col("node_id") % 10).cast("string")).alias("title"), concepts.alias("concepts"), level.alias("difficulty")), 100)
 
 
 @query("shared_concepts", f"WITH {src.RUNS} SELECT concept, array_to_string(list_sort(list_distinct(list(model))), '|') AS groups FROM (SELECT model, unnest(concepts) AS concept FROM runs) GROUP BY 1")
@@ -185,3 +187,52 @@ def _(spark, d):
     text = F.when(k == 2, python).when(k == 3, block).when(k == 4, bare).when(k == 5, tagged).when(k == 6, prose).otherwise(strict)
     found = src.runs(spark, d).select("run_id", F.from_json(P.repaired_json(text), "verdict string, score double, evidence string, secure boolean, tags array<string>").alias("j"))
     return found.select("run_id", "j.verdict", "j.score", "j.evidence", "j.secure", F.array_join("j.tags", "+").alias("tags"))
+
+
+_NESTED = (
+    "json_object('run', json_object('attempts', attempts, 'ok', success, 'risk', judge_risk, 'name', model, 'deep', json_object('a/b', json_object('x~', CAST(value AS DOUBLE) / 4, 'none', NULL))), "
+    "'levels', json_array(json_object('difficulty', difficulty, 'rate', functionality, 'at', json_object('loc', loc)), json_object('rate', attempts)), "
+    "'steps', json_array(json_object('k', loc, 'more', json_array(1, attempts, phase)), json_object('k', cyclomatic)), 'series', json_array(attempts, loc, functionality), 'words', json_array('a', 1), 'empty', json_array())"
+)
+_NUMERIC = "('UBIGINT', 'BIGINT', 'DOUBLE')"
+
+
+@query(
+    "nested_metrics",
+    f"WITH RECURSIVE {src.RUNS}, t AS (SELECT model, '' AS path, {_NESTED}::JSON AS v FROM runs UNION ALL SELECT t.model, t.path || '/' || replace(replace(CASE WHEN json_type(t.v) = 'ARRAY' AND json_exists(t.v, '$[0].difficulty') THEN coalesce(e.value ->> 'difficulty', '_none_') ELSE e.key END, '~', '~0'), '/', '~1'), e.value FROM t, json_each(t.v) e"
+    " WHERE json_type(t.v) = 'OBJECT' OR json_type(t.v) = 'ARRAY' AND json_type(t.v, '$[0]') = 'OBJECT' AND json_type(e.value) = 'OBJECT'), "
+    f"n AS (SELECT model, path, unnest(CASE WHEN json_type(v) = 'ARRAY' THEN CASE WHEN json_type(v, '$[0]') IN {_NUMERIC} THEN v::DOUBLE[] END WHEN json_type(v) = 'BOOLEAN' THEN [CASE WHEN v::BOOLEAN THEN 1e0 ELSE 0e0 END] WHEN json_type(v) IN {_NUMERIC} THEN [v::DOUBLE] END) AS x FROM t)"
+    " SELECT model, path, round(sum(x) / count(x), 6) AS mean, round(sum(x), 6) AS total, count(x) AS n FROM n GROUP BY 1, 2",
+)
+def _(spark, d):
+    r = src.runs(spark, d)
+    c = F.col
+    deep = F.struct(F.struct((c("value").cast("double") / 4).alias("x~"), F.lit(None).cast("int").alias("none")).alias("a/b"))
+    run = F.struct("attempts", c("success").alias("ok"), c("judge_risk").alias("risk"), c("model").alias("name"), deep.alias("deep"))
+    listed = lambda *xs: F.concat(F.lit("["), F.concat_ws(",", *map(F.to_json, xs)), F.lit("]"))
+    levels = listed(F.struct("difficulty", c("functionality").alias("rate"), F.struct("loc").alias("at")), F.struct(c("attempts").alias("rate")))
+    steps = listed(F.struct(c("loc").alias("k"), F.array(F.lit(1), "attempts", "phase").alias("more")), F.struct(c("cyclomatic").alias("k")))
+    series = F.array(c("attempts").cast("double"), c("loc").cast("double"), "functionality")
+    text = F.concat(F.lit('{"run":'), F.to_json(run), F.lit(',"levels":'), levels, F.lit(',"steps":'), steps, F.lit(',"series":'), F.to_json(series), F.lit(',"words":["a",1],"empty":[]}'))
+    return N.nested_averages(r.select("model", text.alias("j")), "j", "model")
+
+
+#: Kinds and keywords that stand for those of a table of error kinds.
+_KINDS = [("naming", "identifier words"), ("naming", "called"), ("joint", "and the"), ("other", "contents"), ("other", "testing"), ("place", "in")]
+_THIRDS = "SELECT lang, source, 'Test Failures:' || substr(text, 1, length(text) // 3) || ' Root Causes: ' || substr(text, length(text) // 3 + 1, length(text) // 3) || ' Suggested Areas to Investigate: ' || substr(text, 2 * (length(text) // 3) + 1) AS r FROM documents"
+_BODIES = ", ".join(f"regexp_extract(r, '(?is){head}(.*?)(?:{'|'.join(ends)}|\\z)', 1)" for head, (_, ends) in E.SECTIONS.items())
+
+
+@query(
+    "error_sentences",
+    f"WITH d AS ({_THIRDS}), s AS (SELECT lang, source, unnest(['', 'root_', 'fix_']) AS prefix, unnest([{_BODIES}]) AS body FROM d), "
+    f"p AS (SELECT row_number() OVER () AS id, * FROM (SELECT lang, source, prefix, unnest(regexp_split_to_array(lower(body), '{E.SENTENCE_END}')) AS sentence FROM s) WHERE trim(sentence) <> ''), w AS (SELECT DISTINCT id, lang, source, prefix, unnest(regexp_extract_all(sentence, '[a-z]+')) AS w FROM p), "
+    f"u AS (SELECT w, {E.lemma_sql('w')} AS lemma FROM (SELECT DISTINCT w FROM w)), k AS (SELECT DISTINCT kind, {E.lemma_sql('w')} AS lemma FROM (SELECT kind, unnest(regexp_extract_all(keyword, '[a-z]+')) AS w FROM (VALUES {', '.join(map(str, _KINDS))}) t(kind, keyword))), "
+    "h AS (SELECT DISTINCT id, lang, source, prefix || kind AS error FROM w JOIN u USING (w) JOIN k USING (lemma)) "
+    "SELECT 'lang' AS level, lang, NULL AS source, error, count(*) AS n FROM h GROUP BY lang, error UNION ALL SELECT 'source', NULL, source, error, count(*) FROM h GROUP BY source, error UNION ALL SELECT 'total', NULL, NULL, error, count(*) FROM h GROUP BY error",
+)
+def _(spark, d):
+    third = F.floor(F.length("text") / 3).cast("int")
+    text = F.concat(F.lit("Test Failures:"), F.substr("text", F.lit(1), third), F.lit(" Root Causes: "), F.substr("text", third + 1, third), F.lit(" Suggested Areas to Investigate: "), F.substr("text", 2 * third + 1, F.length("text")))
+    reports = src.table(spark, d, "documents").select("lang", "source", text.alias("r"))
+    return E.error_counts(reports, "r", spark.createDataFrame(_KINDS, "kind string, keyword string"), "lang", "source")

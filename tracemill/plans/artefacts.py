@@ -136,6 +136,23 @@ def _(spark, d):
     return L.collapse_duplicates(src.findings(spark, d).withColumn("ord", F.row_number().over(order).cast("bigint")).select("run_id", "ord", "line", "cwe", "severity"))
 
 
+@query(
+    "collapsed_chains",
+    f"WITH RECURSIVE {src.FINDINGS}, o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY attempt, part, supp, line, severity, confidence) AS ord FROM findings), l AS (SELECT *, CASE WHEN ord % 4 = 0 THEN ord + 1 WHEN ord % 4 IN (1, 2) THEN ord - 1 WHEN ord % 5 = 0 THEN 99 END AS dup FROM o), "
+    "e AS (SELECT a.*, b.ord AS up FROM l a LEFT JOIN l b ON a.run_id = b.run_id AND a.dup = b.ord), walk AS (SELECT run_id, ord, ord AS spot, up, 0 AS step FROM e UNION ALL SELECT w.run_id, w.ord, e.ord, e.up, step + 1 FROM walk w JOIN e ON e.run_id = w.run_id AND e.ord = w.up WHERE step < 40), "
+    "fin AS (SELECT run_id, ord, coalesce(max(spot) FILTER (WHERE up IS NULL), min(spot) FILTER (WHERE step > 20)) AS root FROM walk GROUP BY 1, 2), p AS (SELECT f.run_id, f.ord, r.line, r.cwe, l.severity FROM fin f JOIN l USING (run_id, ord) JOIN l r ON r.run_id = f.run_id AND r.ord = f.root) "
+    "SELECT run_id, min(ord) AS ord, line, cwe, ['LOW','MEDIUM','HIGH'][max(CASE severity WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END)] AS severity, CAST(count(*) - 1 AS INT) AS merged FROM p GROUP BY run_id, line, cwe",
+)
+def _(spark, d):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("run_id").orderBy("attempt", "part", "supp", "line", "severity", "confidence")
+    found = src.findings(spark, d).withColumn("ord", F.row_number().over(order).cast("bigint"))
+    k = F.col("ord")
+    to = F.when(k % 4 == 0, k + 1).when((k % 4).isin(1, 2), k - 1).when(k % 5 == 0, 99)
+    return L.collapse_duplicates(found.select("run_id", "ord", "line", "cwe", "severity", to.alias("duplicate_of")))
+
+
 @query("vector_linear_probe")
 def _(spark, d):
     v = src.table(spark, d, "embeddings")

@@ -103,6 +103,29 @@ def test_main_text_of_furnished_page():
     assert html_text.main_text("") == "" and html_text.main_text("<p>just < text &am") == "just < text &am"
 
 
+_TEASERS = ["Read also, and more, how the town of Bern, in the spring, has opened a new bridge over the river.", "Ten things, one by one, that you should know, and share with all of your friends, before it is late."]
+_STORY = ["Plain text of a story, with some commas, that goes on for a while.", "A second paragraph follows, and it has words of its own."]
+
+
+@pytest.mark.parametrize("where", ["beside article", "inside article", "beside main", "without"])
+@pytest.mark.parametrize("name,many", [("sidebar", 1), ("sidebar", 2), ("sidebar", 5), ("sidebar", 8), ("cookie-notice", 6), ("notice", 6), ("newsletter", 6), ("menu", 6), ("menu", 40), ("related-posts", 4), ("ad-box", 3)])
+def test_named_furniture_of_any_length_is_dropped(where, name, many):
+    extra = f'<div class="{name}">' + "".join(f"<p>{_TEASERS[k % 2]}" for k in range(many)) + "</div>"
+    story = "<h1>Story</h1>" + "".join(f"<p>{x}</p>" for x in _STORY)
+    body = {"beside article": f"{extra}<article>{story}</article>{extra}", "inside article": f"<article>{story}{extra}</article>", "beside main": f"<main><div>{story}</div></main>{extra}", "without": f"<div id=page><div>{story}</div>{extra}</div>"}[where]
+    assert html_text.main_text(f"<html><body>{body}</body></html>").split("\n\n") == ["Story", *_STORY]
+
+
+@pytest.mark.parametrize("name", ["sidebar", "notice", "menu", "widget", "promo-box", "newsletter", "banner", "share"])
+def test_articles_in_elements_of_furniture_names_stay(name):
+    story = "<h1>Story</h1>" + "".join(f"<p>{x}</p>" for x in _STORY)
+    assert html_text.main_text(f'<body><h2>Site</h2><div class="{name}">{story}</div></body>').split("\n\n")[-3:] == ["Story", *_STORY]
+    nested = f'<body><div class="{name}"><div class="{name}">{story}<div class="{name}"><p>{_TEASERS[0]}</div></div></div></body>'
+    assert html_text.main_text(nested).split("\n\n") == ["Story", *_STORY]
+    held = f'<body><div class="{name}"><article>{story}{"<p>" + _STORY[0]}</article></div><p>{_STORY[1]}</p></body>'
+    assert _STORY[0] in html_text.main_text(held)
+
+
 def test_page_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, None, "", "x"), (None, "u", "<article><p>a", "x")], "page_id bigint, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html_text.extract_pages(pages).collect()) == [("", 0), ("", 0), ("a", 1)]

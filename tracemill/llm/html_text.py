@@ -7,8 +7,8 @@ read as text themselves.
 
 Elements that are furniture (menus, page headers, footers, sidebars, notices, adverts, forms, comments)
 give and keep nothing. Tags, roles and reader comments are enough for that; class names and ids count
-only as whole words, and never for an element that holds most of the page's text. Time and memory are
-linear in the page, however deep it is.
+only as whole words, and not for an element without which no article, main element or running text would
+be left. Time and memory are linear in the page, however deep it is.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ _COMMENTS = frozenset("comment comments commentlist disqus replies reply respond
 _PLAIN = frozenset(
     "site page main global primary secondary top bottom left right upper lower box bar list block area section wrapper wrap container inner outer link links item items col column panel post posts article articles story stories entry blog user users reader readers button buttons icon icons form text message messages slot unit wide small big mobile desktop fixed sticky thread js".split()
 )
+#: Characters outside links from which on a block, but for a heading, counts as running text.
+PROSE = 40
 _PAGE_HEADER = frozenset("header siteheader pageheader top".split())
 #: Class words of containers that hold articles whatever else they are called.
 _CONTENT = frozenset("content layout article entry-content post-content article-content article-body page-content main-content story-body".split())
@@ -180,14 +182,10 @@ class _Page:
             self._stack.append(k)
 
     def _assemble(self) -> None:
-        chars = [0] * len(self.tag)
-        for pieces in self._pieces:
-            for k, text in pieces:
-                chars[k] += len(text)
-        chars = self.summed(chars)
+        kept = self._kept_furniture()
         drop = [False] * len(self.tag)
         for k in range(1, len(self.tag)):
-            drop[k] = drop[self.parent[k]] or self._soft[k] and 2 * chars[k] <= chars[0]
+            drop[k] = drop[self.parent[k]] or self._soft[k] and k not in kept
         self.blocks = []
         for pieces in self._pieces:
             kept = [(k, text) for k, text in pieces if not drop[k]]
@@ -195,6 +193,54 @@ class _Page:
             if text:
                 self.blocks.append((self._block[kept[-1][0]], text, min(sum(len(t) for k, t in kept if self._link[k]), len(text))))
 
+    def _kept_furniture(self) -> set[int]:
+        """Elements that are furniture by class or id alone but hold the article, as nothing outside such elements does.
+
+        From the root down: elements so named are dropped where the rest holds an article or main element with
+        text, or running text of its own that is longer than any article inside one of them. Else the one with
+        the longest article, or else with the most running text, is no furniture, and the same is asked inside
+        it. All sums are made in one pass over the elements.
+        """
+        n, tag, parent, soft = len(self.tag), self.tag, self.parent, self._soft
+        chars, prose = [0] * n, [0] * n
+        for pieces in self._pieces:
+            said = sum(len(t) for k, t in pieces if not self._link[k])
+            runs = pieces and said >= PROSE and tag[self._block[pieces[-1][0]]] not in _HEADINGS
+            for k, text in pieces:
+                size = 0 if text.isspace() else len(text)
+                chars[k] += size
+                prose[k] += size if runs and not self._link[k] else 0
+        whole = self.summed(prose)
+        every = self.summed(chars)
+        article = [0] * n  # text of article and main elements in each one, outside of furniture and with it
+        among = [0] * n
+        longest, most, fullest = [(0, 0)] * n, [(0, 0)] * n, [(0, 0)] * n  # of the outermost furniture below: by article, running text, text
+        for k in range(n - 1, -1, -1):
+            if tag[k] in ("article", "main"):
+                article[k], among[k] = chars[k], every[k]
+            if k:
+                up = parent[k]
+                among[up] += among[k]
+                if soft[k]:
+                    longest[up], most[up], fullest[up] = max(longest[up], (among[k], -k)), max(most[up], (whole[k], -k)), max(fullest[up], (every[k], -k))
+                else:
+                    longest[up], most[up], fullest[up] = max(longest[up], longest[k]), max(most[up], most[k]), max(fullest[up], fullest[k])
+                    chars[up] += chars[k]
+                    prose[up] += prose[k]
+                    article[up] += article[k]
+        kept, k = set(), 0
+        while not article[k]:
+            if longest[k][0] > prose[k]:
+                k = -longest[k][1]
+            elif not prose[k] and most[k][0]:
+                k = -most[k][1]
+            elif not chars[k] and fullest[k][0]:
+                k = -fullest[k][1]
+            else:
+                break
+            kept.add(k)
+        return kept
+
     def summed(self, values: list) -> list:
         """The values of every element with those of all below it."""
         out = list(values)
@@ -203,6 +249,7 @@ class _Page:
         return out
 
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 legend summary".split())
 _LEAVES = frozenset("p pre li blockquote h1 h2 h3 h4 h5 h6 td dd dt".split())
 
 

@@ -6,6 +6,7 @@ import random
 import re
 from array import array
 
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -187,12 +188,12 @@ def test_passages_exact_and_edited(spark):
     index = decontaminate.index(list(range(12)), items)
     for i, text in docs:
         plain = re.sub(r"[^a-z0-9é]+", " ", text.lower())
-        expected |= {(i, k) for k in range(12) if edits(items[k].encode(), plain.encode()) <= index.edits[k]}
+        expected |= {(i, k) for k in range(12) if edits(items[k].encode(), plain.encode()) <= int(decontaminate.RATE * len(items[k]))}
     frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([*enumerate(items), (50, None), (51, ""), (52, "short")], "item_id bigint, text string")
     found = decontaminate.find_passages(*frames).collect()
     assert {(r.doc_id, r.item_id) for r in found} == expected and len(expected) >= 24
     for r in found:
-        assert edits(items[r.item_id].encode(), re.sub(r"[^a-z0-9é]+", " ", docs[r.doc_id][1].lower()[r.start : r.end]).encode()) <= index.edits[r.item_id]
+        assert edits(items[r.item_id].encode(), re.sub(r"[^a-z0-9é]+", " ", docs[r.doc_id][1].lower()[r.start : r.end]).encode()) <= int(decontaminate.RATE * len(items[r.item_id]))
     kept = {r.doc_id for r in decontaminate.drop_contaminated(*frames).collect()}
     assert kept == {i for i, _ in docs} - {i for i, _ in expected}
 
@@ -225,6 +226,27 @@ def test_odd_rows_of_map_operators(spark):
     assert list(kernels.slices(odd(spark).select("text").toArrow().to_batches()[0], limit=10))
 
 
+def test_passages_of_every_length_have_their_whole_budget():
+    """From 1 to 200 bytes, with as many edits as 6 % of the bytes are, and one more, by plain edit distance."""
+    rng = random.Random(12)
+    items = ["".join(rng.choice("abcdefghijklmnop") for _ in range(m)) for m in range(1, 201)] + ["red apples fall down"]
+    index, texts, owners = decontaminate.index(list(range(len(items))), items), [], []
+    for k, item in enumerate(items):
+        m = len(item)
+        for more in (0, 0, 0, 1):
+            passage = list(item)
+            for p in sorted(rng.sample(range(1, m - 1), min(int(decontaminate.RATE * m) + more, max(0, m - 2))), reverse=True) if m > 16 else ():
+                passage[p : p + rng.randrange(2)] = rng.choice(["", "z", "y"]) if rng.random() < 0.5 else "x"
+            texts.append(f"{'qrst uvw ' * 3}{''.join(passage)} {'rstu vwq ' * 3}")
+            owners.append(k)
+    texts.append("the red apples fell down here")
+    owners.append(200)
+    found = {(r, o) for r, o, *_ in decontaminate.matches(pa.array(texts), index)}
+    least = [edits(items[k].encode(), t.encode()) for k, t in zip(owners, texts)]
+    expected = {(r, k) for r, k in enumerate(owners) if least[r] <= int(decontaminate.RATE * len(items[k])) and (len(items[k]) >= 12 or f" {items[k]} " in texts[r])}
+    assert {(r, o) for r, o in found if o == owners[r]} == expected and sum(least[r] == int(0.06 * len(items[k])) for r, k in expected) > 300 and (len(texts) - 1, 200) in found
+
+
 def test_brief_passages_are_found_as_whole_words(spark):
     bench = spark.createDataFrame([(1, "Ja, klar."), (2, "x1"), (3, "ja klar"), (4, "?!")], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, "Na: ja,  KLAR! Und x1"), (2, "naja klar"), (3, "ja klarer x12"), (4, "ja klar"), (5, "?!")], "doc_id bigint, text string")

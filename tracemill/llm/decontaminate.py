@@ -7,7 +7,9 @@ k + 1 apart; bands that reach the bound are verified by an alignment inside the
 passages are compared in lower case, with every run of characters other than letters and digits as
 one space.
 
-A passage of fewer than q bytes has no q-gram; it is found where it stands exactly, as whole words.
+Where the bound of a short passage would ask for few q-grams or none, its q-grams are half as long, so
+that every passage has its whole edit budget. A passage of fewer than q bytes has no q-gram and no edits;
+it is found where it stands exactly, as whole words.
 
 The passages are the stated query set: they are taken in blocks of bounded size, one after the other.
 Each block is indexed, broadcast, held against all documents, and freed once its finds are written.
@@ -31,6 +33,8 @@ from .kernels import Sums, map_batches, raw, slices, text_of
 Q = 12
 #: Edits for each byte of a passage in UTF-8; insertions, deletions and changes of a byte count one each.
 RATE = 0.06
+#: Shared q-grams that a passage's bound has to ask for where edits are allowed; below that, its q-grams are halved.
+SHARED = 4
 #: Characters of the passages of one block, about.
 BLOCK_CHARS = 4_000_000
 #: Shared q-grams (place in a text, place in a passage) that are held at once.
@@ -72,6 +76,8 @@ class Index:
     place: np.ndarray
     filter: np.ndarray
     brief: dict[int, list[int]]  # passages of fewer than q bytes by their length
+    q: int = Q
+    more: tuple[Index, ...] = ()  # of the same lists, with shorter q-grams
 
     def halves(self) -> list[Index]:
         """The q-grams of the passages below the middle one, and the others."""
@@ -83,23 +89,30 @@ def index(items: list[int | None], texts: list[str], q: int = Q, rate: float = R
     data, offs, _, _ = normal(pa.array([t or "" for t in texts], pa.string()))
     parts = [bytes(data[a:b]).strip() for a, b in zip(offs[:-1], offs[1:], strict=True)]
     m = np.array([len(p) for p in parts], np.int64)
-    edits = np.clip(np.minimum((rate * m).astype(np.int64), (m - 3) // q - 1), 0, None)
-    hashes, owner, place = [], [], []
+    edits = (rate * m).astype(np.int64)
     brief: dict[int, list[int]] = {}
+    by: dict[int, list[int]] = {q: []}
     for i, p in enumerate(parts):
-        if 0 < len(p) < q:
+        if 0 < len(p) < q and not edits[i]:
             brief.setdefault(len(p), []).append(i)
         elif p:
-            g = Sums(np.frombuffer(p, np.uint8)).grams(q)
-            hashes.append(g)
-            owner.append(np.full(len(g), i))
-            place.append(np.arange(len(g)))
-    h, o, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, owner, place))
-    h = h.astype(np.uint64)
+            size = q
+            while edits[i] and m[i] + 1 - size * (edits[i] + 1) < SHARED and size > 2:
+                size //= 2
+            by.setdefault(size, []).append(i)
+    made = [_grams(list(items), parts, m, edits, own, size, brief) for size, own in by.items()]
+    return replace(made[0], more=tuple(made[1:]))
+
+
+def _grams(items: list, parts: list[bytes], m: np.ndarray, edits: np.ndarray, own: list[int], q: int, brief: dict) -> Index:
+    grams = [Sums(np.frombuffer(parts[i], np.uint8)).grams(q) for i in own]
+    h = np.concatenate([*grams, np.zeros(0, np.uint64)]).astype(np.uint64)
+    owner = np.repeat(np.array(own, np.int64), np.array([len(g) for g in grams], np.int64))
+    place = np.concatenate([*map(np.arange, map(len, grams)), np.zeros(0, np.int64)]).astype(np.int64)
     order = np.argsort(h, kind="stable")
     seen = np.zeros(1 << _FILTER_BITS, bool)
     seen[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return Index(list(items), parts, edits, np.maximum(m + 1 - q * (edits + 1), 1), h[order], o[order], s[order], np.packbits(seen), brief)
+    return Index(items, parts, edits, np.maximum(m + 1 - q * (edits + 1), 1), h[order], owner[order], place[order], np.packbits(seen), brief, q)
 
 
 def _costs(patterns: list[bytes], windows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,34 +211,41 @@ def _brief(data: np.ndarray, offs: np.ndarray, x: Index) -> Iterator[tuple[int,
                 yield r, owners[k], a - int(offs[r]), a - int(offs[r]) + m
 
 
-def matches(texts: pa.Array, x: Index, q: int = Q) -> list[tuple[int, int | None, int, int, int, int]]:
+def _held(data: np.ndarray, offs: np.ndarray, x: Index, found: dict) -> None:
+    """Adds the passages that bands of shared q-grams lead to."""
+    todo, q = [], x.q
+    if len(data) < q or not len(x.hash):
+        return
+    g = Sums(data).grams(q)
+    top = (g >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+    maybe = np.flatnonzero((x.filter[top >> 3] >> (7 - (top & 7)).astype(np.uint8)) & 1)
+    row = np.searchsorted(offs, maybe, "right") - 1
+    ok = maybe + q <= offs[row + 1]
+    maybe, row = maybe[ok], row[ok]
+    for r, o, b, s in _bands(maybe, row, g[maybe], x, offs) if len(maybe) else ():
+        k, m = int(x.edits[o]), len(x.text[o])
+        left = b * (k + 1) - k
+        width = 2 * (k + 1) + 2 * k + 1
+        begin, stop = int(offs[r]) + left, int(offs[r]) + left + m + width
+        body = bytes(max(0, offs[r] - begin)) + data[max(begin, offs[r]) : min(stop, offs[r + 1])].tobytes()
+        hit = body.find(x.text[o])
+        if hit >= 0:
+            found.setdefault((r, o, left + hit), (left + hit + m, 0, s))
+        else:
+            todo.append((r, o, left, width, s, body.ljust(m + width, b"\0")))
+        if len(todo) == 256:
+            _verify(todo, x, found)
+            todo = []
+    if todo:
+        _verify(todo, x, found)
+
+
+def matches(texts: pa.Array, x: Index) -> list[tuple[int, int | None, int, int, int, int]]:
     """(row, item, start, end, edits, shared q-grams) of every passage found; code points of the lower-cased text."""
     data, offs, at, lower = normal(texts)
     found: dict[tuple[int, int, int], tuple[int, int, int]] = {(r, o, a): (b, 0, 0) for r, o, a, b in _brief(data, offs, x)}
-    todo = []
-    if len(data) >= q and len(x.hash):
-        g = Sums(data).grams(q)
-        top = (g >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
-        maybe = np.flatnonzero((x.filter[top >> 3] >> (7 - (top & 7)).astype(np.uint8)) & 1)
-        row = np.searchsorted(offs, maybe, "right") - 1
-        ok = maybe + q <= offs[row + 1]
-        maybe, row = maybe[ok], row[ok]
-        for r, o, b, s in _bands(maybe, row, g[maybe], x, offs) if len(maybe) else ():
-            k, m = int(x.edits[o]), len(x.text[o])
-            left = b * (k + 1) - k
-            width = 2 * (k + 1) + 2 * k + 1
-            begin, stop = int(offs[r]) + left, int(offs[r]) + left + m + width
-            body = bytes(max(0, offs[r] - begin)) + data[max(begin, offs[r]) : min(stop, offs[r + 1])].tobytes()
-            hit = body.find(x.text[o])
-            if hit >= 0:
-                found.setdefault((r, o, left + hit), (left + hit + m, 0, s))
-            else:
-                todo.append((r, o, left, width, s, body.ljust(m + width, b"\0")))
-            if len(todo) == 256:
-                _verify(todo, x, found)
-                todo = []
-    if todo:
-        _verify(todo, x, found)
+    for part in (x, *x.more):
+        _held(data, offs, part, found)
     if not found:
         return []
     points = np.zeros(len(lower) + 1, np.int64)

@@ -279,9 +279,20 @@ def test_languages_without_letters_or_with_many_names(spark):
     rows = [(i, "12 345 !", "xx") for i in range(30)]
     found = language_id.identify_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
     assert {(r.lang_pred, r.score) for r in found} == {("und", 0.0)} and len(found) == 30
-    many = [(i, f"wort{i % 90} und so", f"l{i % 90}") for i in range(900)]
-    model = language_id.learn(spark.createDataFrame(many, "doc_id bigint, text string, lang string"), per_lang=5)
-    assert len(model.langs) == language_id.LANGUAGES
+    # 90 languages, each with words of its own; every one is learned and found again
+    letters = [chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0x430, 0x450)] + [chr(c) for c in range(0x3B1, 0x3C9) if c != 0x3C2]
+    rng = random.Random(5)
+    words = {k: ["".join(rng.choice(letters) for _ in range(5)) for _ in range(12)] for k in range(90)}
+    many = [(i, " ".join(rng.choice(words[i % 90]) for _ in range(30)) * (1 if i < 1797 else 400), f"l{i % 90}") for i in range(1800)]
+    found = language_id.identify_documents(spark.createDataFrame(many, "doc_id bigint, text string, lang string")).collect()
+    out = [r.lang_pred == f"l{r.doc_id % 90}" for r in found if r.held_out]
+    assert len({r.lang_pred for r in found}) == 90 and sum(out) / len(out) > 0.95
+
+
+def test_a_language_of_long_texts_alone_is_learned(spark):
+    rows = [(i, ("kurz und gut " if i % 5 else "alabama ") * (20 if i % 5 else 30_000), "de" if i % 5 else "xx") for i in range(60)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), 20_000)
+    assert model.langs == ["de", "xx"]
 
 
 def test_languages_equal_plain_forward_backward(spark):

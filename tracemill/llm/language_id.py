@@ -14,23 +14,25 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import Sums, crc_mod, doc_key, map_batches, raw, text_of, words
+from .kernels import Sums, crc_mod, doc_key, map_batches, raw, slices, text_of, words
 
 BITS = 17
-#: Documents of a language that the model is fitted on at most, and characters of each (a window at a hashed place).
-SAMPLE_DOCS, SAMPLE_CHARS = 250, 1500
-#: Languages that are learned at most, those of most labelled documents; each has a column in every table of the model.
-LANGUAGES = 64
+#: Characters of the labelled texts that the model is fitted on, about, shared out evenly to the languages; with more than
+#: WIDE languages they are fewer, as every word then costs more. Texts are whole: a language is learned from one at least.
+SAMPLE_CHARS, WIDE = 1_500_000, 16
+#: Words times languages that are labelled at once.
+CELLS = 1 << 21
 UNKNOWN = "und"
 
 
 @dataclass
 class Model:
     langs: list[str]
-    grams: np.ndarray  # 2 tables (3-grams, 4-grams) of 2**BITS rows
+    index: list[np.ndarray]  # for 3-grams and 4-grams: the table's row of each of 2**BITS buckets; the last row, of zeros, for buckets not seen
+    grams: list[np.ndarray]  # their tables
     lexicon: np.ndarray  # hashes of the words that are features themselves, sorted
     whole: np.ndarray  # their weights
     move: np.ndarray  # transition scores
@@ -77,8 +79,8 @@ def _lexical(hashes: np.ndarray, lexicon: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _emissions(w: _Words, m: Model) -> np.ndarray:
-    each = m.grams[0][w.three]
-    each[w.inner] += m.grams[1][w.four[w.inner]]
+    each = m.grams[0][m.index[0][w.three]]
+    each[w.inner] += m.grams[1][m.index[1][w.four[w.inner]]]
     out = np.add.reduceat(each, w.begin, axis=0).astype(np.float64)
     at, k = _lexical(w.hash, m.lexicon)
     out[at] += m.whole[k]
@@ -90,10 +92,12 @@ def marginals(scores: np.ndarray, counts: np.ndarray, move: np.ndarray, block: i
 
     scores: emission scores of all words, sequence after sequence; counts: words of each. Sequences
     are cut to blocks. All blocks advance together, first to get each block's transfer matrix, then,
-    with the messages that enter it, to get the messages of its words. This is exact.
+    with the messages that enter it, to get the messages of its words. This is exact. With many labels,
+    whose matrices would be large, a sequence is one block and needs none.
     """
     n, k = scores.shape
     counts = counts[counts > 0]
+    block = block if k <= WIDE else int(counts.max())
     psi = np.exp(scores - scores.max(1, keepdims=True))
     trans = np.exp(move)
     blocks = -(-counts // block)
@@ -104,8 +108,8 @@ def marginals(scores: np.ndarray, counts: np.ndarray, move: np.ndarray, block: i
     size = np.minimum(np.repeat(np.cumsum(counts), blocks) - start, block)
     idx = np.minimum(start[:, None] + np.arange(block), n - 1)
     live = np.arange(block) < size[:, None]
-    matrix = np.tile(np.eye(k), (total, 1, 1))
-    for j in range(min(block, int(size.max()))):
+    matrix = np.tile(np.eye(k), (total, 1, 1)) if total > len(counts) else None
+    for j in range(min(block, int(size.max())) if matrix is not None else 0):
         now = (matrix.reshape(-1, k) @ trans).reshape(total, k, k) * psi[idx[:, j]][:, None, :]
         now /= now.max((1, 2), keepdims=True)
         matrix = np.where(live[:, j, None, None], now, matrix)
@@ -155,7 +159,11 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, rounds: int = 30, ru
     value, at, times = np.unique(w.hash, return_index=True, return_counts=True)
     lexicon = value[times >= 3]
     word_at, word_k = _lexical(w.hash, lexicon)
-    m = Model(langs, np.zeros((2, 1 << BITS, k), np.float32), lexicon, np.zeros((len(lexicon), k)), np.zeros((k, k)))
+    seen = [np.unique(x, return_inverse=True) for x in (w.three, w.four[w.inner])]
+    index = [np.full(1 << BITS, len(x), np.int32) for x, _ in seen]
+    for to, (x, _) in zip(index, seen, strict=True):
+        to[x] = np.arange(len(x))
+    m = Model(langs, index, [np.zeros((len(x) + 1, k), np.float32) for x, _ in seen], lexicon, np.zeros((len(lexicon), k)), np.zeros((k, k)))
     owner = np.repeat(np.arange(n), w.length)
     squares = [np.full(x.shape, 1e-6) for x in (m.grams[0], m.grams[1], m.whole, m.move)]
     onehot = np.eye(k)[gold]
@@ -172,8 +180,8 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, rounds: int = 30, ru
         two = alpha[:-1][~head[1:], :, None] * np.exp(m.move) * back[1:][~head[1:], None, :]
         expected = (two / two.sum((1, 2), keepdims=True)).sum(0)
         steps = [
-            np.stack([np.bincount(w.three, grad[owner, c], 1 << BITS) for c in range(k)], 1),
-            np.stack([np.bincount(w.four[w.inner], grad[owner[w.inner], c], 1 << BITS) for c in range(k)], 1),
+            np.stack([np.bincount(seen[0][1], grad[owner, c], len(m.grams[0])) for c in range(k)], 1),
+            np.stack([np.bincount(seen[1][1], grad[owner[w.inner], c], len(m.grams[1])) for c in range(k)], 1),
             np.stack([np.bincount(word_k, grad[word_at, c], len(lexicon)) for c in range(k)], 1) if len(lexicon) else np.zeros((0, k)),
             pair - expected,
         ]
@@ -184,25 +192,33 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, rounds: int = 30, ru
     return m
 
 
-def learn(docs: DataFrame, per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> Model | None:
-    """A model fitted on labelled rows that aren't held out: at most per_lang of each language, a window of each; None without any letter.
+def learn(docs: DataFrame, chars: int = SAMPLE_CHARS) -> Model | None:
+    """A model of all values of lang, fitted on labelled rows that aren't held out; None without any letter.
 
-    Of more than `languages` values of lang those of most rows are learned.
+    A language's rows are taken whole, in the order of a hash, while they fit into its share of `chars`;
+    a row longer than that is taken only where a language has no shorter one.
     """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), crc_mod(4).alias("m"), F.xxhash64(doc_key(), "text").alias("h"))
     rows = rows.where("m <> 2 and lang is not null").where(F.col("text").rlike(r"\p{L}"))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not common:
+    size = F.floor(F.log2(F.length("text").cast("double"))).cast("int")
+    sizes = rows.groupBy("lang", size.alias("size")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    known = sorted({r["lang"] for r in sizes})
+    if not known:
         return None
-    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.5 * per_lang / r["count"])) for r in common], "lang string, rate double")
-    place = F.pmod("h", F.greatest(F.length("text") - chars, F.lit(0)) + 1).cast("int") + 1
-    some = rows.join(F.broadcast(rates), "lang").where(F.pmod(F.col("h"), F.lit(1 << 20)) + 0.0 < F.col("rate") * (1 << 20)).select("lang", F.substr("text", place, F.lit(chars)).alias("text"), "h")
-    taken: dict[str, list[str]] = {r["lang"]: [] for r in common}
-    for r in some.orderBy("h", "lang", "text").limit(2 * per_lang * len(common)).collect():
-        if len(taken[r["lang"]]) < per_lang:
-            taken[r["lang"]].append(r["text"])
-    pairs = [(t, k) for k in sorted(taken) for t in taken[k]]
-    return fit([t for t, _ in pairs], [k for _, k in pairs])
+    share = int(chars * min(1.0, WIDE / len(known))) // len(known)
+    rates = []
+    for lang in known:
+        own = [r for r in sizes if r["lang"] == lang]
+        top = max(share.bit_length() - 2, min(r["size"] for r in own))  # the lengths of 2**size to 2**(size + 1) that fit
+        n, total = (sum(r[c] for r in own if r["size"] <= top) for c in ("n", "chars"))
+        rates.append((lang, top, 1.0 if n <= 50 else min(1.0, 4 * share / total + 30 / n)))  # rows of about four shares, so that one is filled
+    some = rows.join(docs.sparkSession.createDataFrame(rates, "lang string, top int, rate double"), "lang").where((size <= F.col("top")) & (F.pmod(F.col("h"), F.lit(1 << 20)) + 0.0 < F.col("rate") * (1 << 20)))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    ahead = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # the first row stays whatever its length
+    taken = some.withColumns({"ahead": ahead, "nth": F.row_number().over(order)}).where((F.col("ahead") <= share) | (F.col("nth") == 1))
+    pairs = sorted((r["lang"], r["h"], r["text"]) for r in taken.select("lang", "h", "text").collect())
+    return fit([t for _, _, t in pairs], [k for k, _, _ in pairs]) if pairs else None
 
 
 def label_words(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +229,7 @@ def label_words(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return w.row, marginals(_emissions(w, model), np.bincount(w.row, minlength=len(texts)), model.move)[0]
 
 
-def identify_documents(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> DataFrame:
+def identify_documents(docs: DataFrame, chars: int = SAMPLE_CHARS) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, n_words, n_switches.
 
     The model learns from rows whose crc32(doc_id as text) mod 4 is not 2; held_out marks the others.
@@ -223,11 +239,17 @@ def identify_documents(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> DataFram
     counts as the empty text; repeated rows, an empty table and further columns need no care. Equal
     sums go to the language first in the alphabet.
     """
-    model = learn(docs, per_lang)
+    model = learn(docs, chars)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batch: pa.RecordBatch):
-        texts, m, n = text_of(batch), shared.value, batch.num_rows
+    def run(whole: pa.RecordBatch):
+        m = shared.value
+        least = CELLS if m is None else max(1, 6 * CELLS // len(m.langs))  # bytes of text
+        for batch in slices(whole, limit=least):
+            yield label(batch, m)
+
+    def label(batch: pa.RecordBatch, m: Model | None) -> dict:
+        texts, n = text_of(batch), batch.num_rows
         lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
         count, switches = np.zeros(n, np.int64), np.zeros(n, np.int64)
         if m is not None:
@@ -241,7 +263,7 @@ def identify_documents(docs: DataFrame, per_lang: int = SAMPLE_DOCS) -> DataFram
             word = post.argmax(1)
             moved = np.flatnonzero((row[1:] == row[:-1]) & (word[1:] != word[:-1]))
             switches = np.bincount(row[moved], minlength=n)
-        yield {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "n_words": pa.array(count, pa.int64()), "n_switches": pa.array(switches, pa.int64())}
+        return {"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score), "n_words": pa.array(count, pa.int64()), "n_switches": pa.array(switches, pa.int64())}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(4) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
     return map_batches(rows, run, "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long")

@@ -152,7 +152,11 @@ def encode(votes: np.ndarray) -> np.ndarray:
 
 
 def decode(codes: np.ndarray, voters: int) -> np.ndarray:
-    return (codes[:, None] // 3 ** np.arange(voters, dtype=np.int64)) % 3 - 1
+    """The votes of patterns, a byte each, voter by voter."""
+    out = np.empty((len(codes), voters), np.int8)
+    for k in range(voters):
+        out[:, k] = codes // 3**k % 3 - 1
+    return out
 
 
 def pattern_counts(texts: DataFrame, votes: Votes) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +189,8 @@ def sampled(texts: DataFrame, votes: Votes, features: Callable, model: LabelMode
     """Features and posteriors of a part of the rows (h, text), of each likelier class by its rate; h: a hash below 2**30.
 
     Votes and features are those of whole texts, found in tasks; only hashed features come here. `most`
-    bounds the rows where repeated ones have equal hashes.
+    bounds the rows where repeated ones have equal hashes: the first by h, then by the text's digest, so
+    that the sample doesn't depend on the partitioning.
     """
     shared = texts.sparkSession.sparkContext.broadcast(model)
     limit = np.array(rates) * (1 << 30)
@@ -198,9 +203,11 @@ def sampled(texts: DataFrame, votes: Votes, features: Callable, model: LabelMode
             count = np.bincount(row, minlength=len(on))
             order = np.argsort(row, kind="stable")
             value = np.zeros(0, np.float32) if value is None else value[order].astype(np.float32)
-            yield {"h": batch.column(0).take(pa.array(on)), "target": pa.array(p[on]), "bucket": lists(bucket[order].astype(np.int32), count, pa.int32()), "value": lists(value, count if len(value) else 0 * count, pa.float32())}
+            yield {"h": batch.column(0).take(pa.array(on)), "digest": batch.column(1).take(pa.array(on)), "target": pa.array(p[on]), "bucket": lists(bucket[order].astype(np.int32), count, pa.int32()), "value": lists(value, count if len(value) else 0 * count, pa.float32())}
 
-    found = map_batches(texts.select("h", "text"), run, "h long, target double, bucket array<int>, value array<float>").limit(most).toArrow().sort_by([("h", "ascending"), ("target", "ascending")])
+    rows = texts.select("h", F.xxhash64("text").alias("digest"), "text")
+    drawn = map_batches(rows, run, "h long, digest long, target double, bucket array<int>, value array<float>")
+    found = drawn.orderBy("h", "digest").limit(most).toArrow().sort_by([("h", "ascending"), ("digest", "ascending")])
     bucket, value = found.column("bucket").combine_chunks(), found.column("value").combine_chunks()
     count = np.diff(np.asarray(bucket.offsets)) if len(bucket) else np.zeros(0, np.int64)
     values = np.asarray(value.flatten()) if len(value) and len(value.flatten()) else None

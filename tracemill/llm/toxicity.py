@@ -213,7 +213,7 @@ def mine(docs: DataFrame, labels: DataFrame, toxic: int = MINED_TOXIC, other: in
     sure = (share + 1.92 / total - 1.96 * np.sqrt(share * (1 - share) / total + 0.96 / total**2)) / (1 + 3.84 / total)
     score = bads * np.log((bads + 0.2) / (goods + 0.2) * n[0] / n[1])
     found = np.flatnonzero((sure >= SURE) & (score > 0))
-    found = found[np.argsort(-score[found], kind="stable")][:4000]
+    found = found[np.argsort(-score[found], kind="stable")]
     stems = _stems(hashes[found], score[found], sample)
     lexicon, ratio, group = np.arange(len(stems)), np.ones(LEXICONS + len(_PATTERNS)), np.full(LEXICONS + len(_PATTERNS), -1)
     order = np.argsort(np.array([h for h, _ in stems], np.uint64))

@@ -279,3 +279,18 @@ def cell_scores(elites: DataFrame, surfaces: list[str], sizes: int, w_coverage:
     score = w_coverage / (1 + F.coalesce("observations", F.lit(0)).cast("double")) + w_promise * F.coalesce("promise", S.num(0)) + F.when(F.col("elite").isNull(), S.num(bonus)).otherwise(S.num(0))
     best: Column = F.max("score").over(Window.partitionBy(F.lit(0))) - F.col("score") <= 1e-9
     return full.withColumn("score", score).select("surface", "size", R(F.col("score"), "score"), best.alias("best"))
+
+
+def running_means(rows: DataFrame, *by: str) -> DataFrame:
+    """by, ord, mean, n: the mean of the values of a group up to each row in order of ord; the batch twin of the stream of that name.
+
+    Rows without a value give none. Stretches of a group are added up first, so that no task holds a whole group.
+    """
+    known = rows.where("value is not null").withColumn("part", F.floor(F.col("ord") / 10_000))
+    sums = known.groupBy(*by, "part").agg(F.sum("value").alias("s"), F.count("*").alias("c"))
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("part").alias("__part"), F.coalesce(F.sum("s").over(before), S.num(0)).alias("s"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c"))
+    inside = Window.partitionBy(*by, "part").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    own = known.withColumns({"t": F.sum("value").over(inside), "k": F.count("*").over(inside)})
+    both = own.join(ahead, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*by, "part")])
+    return both.select(*by, "ord", ((F.col("t") + F.col("s")) / (F.col("k") + F.col("c"))).alias("mean"), (F.col("k") + F.col("c")).alias("n"))

@@ -53,7 +53,9 @@ def last_k(scenarios: DataFrame, bucket: list[str], k: int) -> DataFrame:
     a = placed.select(*bucket, "block", F.col("doc_id").alias("a"), F.col("ord").alias("ord_a"))
     b = placed.select(*bucket, F.explode(F.array("block", F.col("block") + 1)).alias("block"), F.col("doc_id").alias("b"), F.col("ord").alias("ord_b"))
     back = F.col("ord_a") - F.col("ord_b")
-    return a.join(b, [*bucket, "block"]).where((back >= 1) & (back <= k)).select(*bucket, "block", "a", "b", back.alias("back"))
+    keys = {c: f"__{c}" for c in (*bucket, "block")}
+    same = [F.col(c).eqNullSafe(F.col(x)) for c, x in keys.items()]  # a null bucket is one
+    return a.join(b.withColumnsRenamed(keys), same).where((back >= 1) & (back <= k)).select(*bucket, "block", "a", "b", back.alias("back"))
 
 
 def sparse_cosine(vectors: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -268,3 +268,9 @@ def _(spark, d):
 @query("top_families", f", x AS ({_FAMILY}), e AS (SELECT *, row_number() OVER (PARTITION BY model, surface ORDER BY n DESC, family) AS nth FROM (SELECT model, surface, family, count(*) AS n FROM x GROUP BY 1, 2, 3)) SELECT model, surface, CAST(sum(n) AS BIGINT) AS findings, string_agg(family || ' (' || n || ')', '; ' ORDER BY nth) FILTER (nth <= 3) AS top FROM e GROUP BY 1, 2")
 def _(spark, d):
     return C.top_families(families(spark, d))
+
+
+@query("running_mean_prefixes", "SELECT array_to_string(concepts, '|') AS combo, run_id AS ord, floor(sum(functionality) OVER w / count(*) OVER w * 1e6 + 0.5e0) / 1e6 AS mean, count(*) OVER w AS n FROM runs WHERE functionality > 0.25e0 WINDOW w AS (PARTITION BY array_to_string(concepts, '|') ORDER BY run_id)")
+def _(spark, d):
+    r = src.runs(spark, d).where("functionality > 0.25")
+    return C.running_means(r.select(F.array_join("concepts", "|").alias("combo"), F.col("run_id").alias("ord"), F.col("functionality").alias("value")), "combo").withColumn("mean", F.floor(F.col("mean") * 1e6 + 0.5) / 1e6)

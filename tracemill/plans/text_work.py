@@ -117,17 +117,17 @@ def _(spark, d):
     return D.minhash_pairs(D.minhash(documents(spark, d)), 96, 0.82)
 
 
-_LAST = "placed AS (SELECT doc_id, lang, source, norm, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS o FROM docs WHERE lang IS NOT NULL AND source IS NOT NULL), pr AS (SELECT x.doc_id AS a, y.doc_id AS b, x.o - y.o AS back, x.norm = y.norm AS eq FROM placed x JOIN placed y USING (lang, source) WHERE x.o - y.o BETWEEN 1 AND 8)"
+_LAST = "placed AS (SELECT doc_id, lang, source, norm, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS o FROM docs), pr AS (SELECT x.doc_id AS a, y.doc_id AS b, x.o - y.o AS back, x.norm = y.norm AS eq FROM placed x JOIN placed y ON x.lang IS NOT DISTINCT FROM y.lang AND x.source IS NOT DISTINCT FROM y.source AND x.o - y.o BETWEEN 1 AND 50)"
 
 
-@query("scenario_staged_bow", f", {_LAST}, u AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM top), c AS (SELECT a, b, back, round(sum(u.x * v.x), 6) AS s FROM pr JOIN u ON u.doc_id = a JOIN u v ON v.doc_id = b AND v.term = u.term GROUP BY 1, 2, 3), m AS (SELECT a, b, back, 0 AS stage, 'hash' AS method, 1e0 AS s FROM pr WHERE eq UNION ALL SELECT a, b, back, 1, 'cosine', s FROM c WHERE s >= 0.9e0) SELECT a AS doc_id, arg_min(method, row(stage, -back)) AS method, arg_min(s, row(stage, -back)) AS similarity, arg_min(b, row(stage, -back)) AS matched FROM m GROUP BY 1", _GRAMS)
+@query("scenario_staged_bow", f", {_LAST}, u AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM top), c AS (SELECT a, b, back, round(sum(u.x * v.x), 6) AS s FROM pr JOIN u ON u.doc_id = a JOIN u v ON v.doc_id = b AND v.term = u.term GROUP BY 1, 2, 3), m AS (SELECT a, b, back, 0 AS stage, 'hash' AS method, 1e0 AS s FROM pr WHERE eq UNION ALL SELECT a, b, back, 1, 'cosine', s FROM c WHERE s >= 0.92e0) SELECT a AS doc_id, arg_min(method, row(stage, -back)) AS method, arg_min(s, row(stage, -back)) AS similarity, arg_min(b, row(stage, -back)) AS matched FROM m GROUP BY 1", _GRAMS)
 def _(spark, d):
-    return D.staged_matches(documents(spark, d).where("lang is not null and source is not null"), ["lang", "source"], 8, "bow", cosine=0.9)
+    return D.staged_matches(documents(spark, d), ["lang", "source"])
 
 
 @query("scenario_staged_minhash", f", {_LAST}, c AS (SELECT a, b, back, len(list_filter(list_zip(u.sig, v.sig), lambda e: e[1] = e[2])) / 96e0 AS s FROM pr JOIN sig u ON u.doc_id = a JOIN sig v ON v.doc_id = b), m AS (SELECT a, b, back, 0 AS stage, 'hash' AS method, 1e0 AS s FROM pr WHERE eq UNION ALL SELECT a, b, back, 1, 'minhash', s FROM c WHERE s >= 0.82e0) SELECT a AS doc_id, arg_min(method, row(stage, -back)) AS method, arg_min(s, row(stage, -back)) AS similarity, arg_min(b, row(stage, -back)) AS matched FROM m GROUP BY 1", _SH)
 def _(spark, d):
-    return D.staged_matches(documents(spark, d).where("lang is not null and source is not null"), ["lang", "source"], 8, "minhash")
+    return D.staged_matches(documents(spark, d), ["lang", "source"], method="minhash")
 
 
 @query("tfidf_vocabulary", ", t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}')) AS term FROM documents), n AS (SELECT count(DISTINCT doc_id) AS n FROM documents), e AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM t GROUP BY 1), m AS (SELECT term, tf, df, ln((n + 1) / (df + 1e0)) + 1 AS idf FROM e, n) SELECT term, tf, df, round(idf, 6) AS idf, round(tf * idf, 4) AS mass FROM m ORDER BY round(tf * idf, 4) DESC, term LIMIT 50".replace(", t AS", "WITH t AS", 1))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 INDEX = "run_id bigint, model string, difficulty string, success boolean, attempts int, at timestamp"
 
@@ -66,6 +67,50 @@ def remembered_duplicates(stream: DataFrame, most: int = 200) -> DataFrame:
     return stream.groupBy("bucket").transformWithStateInPandas(Memory(most), OUTPUT, "Append", "None")
 
 
+MEANS = StructType([StructField("key", StringType()), StructField("ord", LongType()), StructField("mean", DoubleType()), StructField("n", LongType())])
+
+
+class RunningMean(StatefulProcessor):
+    """Per key the sum and number of the values so far; every row gets the mean up to itself, and a key that stays idle is forgotten."""
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.so_far = handle.getValueState("so_far", StructType([StructField("total", DoubleType()), StructField("n", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        total, n = self.so_far.get() if self.so_far.exists() else (0.0, 0)
+        frame = pd.concat(list(rows)).sort_values("ord", kind="stable")
+        values = frame["value"].to_numpy()
+        count = n + np.arange(1, len(values) + 1)
+        sums = total + np.cumsum(values)
+        self.so_far.update((float(sums[-1]), int(count[-1])))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield pd.DataFrame({"key": key[0], "ord": frame["ord"].to_numpy(), "mean": sums / count, "n": count})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.so_far.clear()
+        yield pd.DataFrame({"key": pd.Series([], dtype=str), "ord": pd.Series([], dtype="int64"), "mean": pd.Series([], dtype=float), "n": pd.Series([], dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def running_means(stream: DataFrame, idle_ms: int = 86_400_000) -> DataFrame:
+    """(key, ord, mean, n) for a stream of (key, ord, value): the mean of a key's values up to each row.
+
+    Rows of a micro-batch count in order of ord, micro-batches in order of arrival. What is kept is a sum
+    and a number for each key that had a row within idle_ms; a query that starts again goes on from its
+    checkpoint. Null values don't count and give no row; a null key is a key.
+    """
+    rows = stream.where("value is not null").select("key", F.col("ord").cast("bigint").alias("ord"), F.col("value").cast("double").alias("value"))
+    return rows.groupBy("key").transformWithStateInPandas(RunningMean(idle_ms), MEANS, "Append", "ProcessingTime")
+
+
 def with_failures(index: DataFrame, failures: DataFrame, late: str = "10 minutes", within: str = "5 minutes") -> DataFrame:
     """Index lines with the failure lines of their run that come within a span of time after them; both streams have run_id and `at`.
 

@@ -21,8 +21,8 @@ def shingle_set(text, k=3):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-def brute_components(texts, percent=90):
-    sets = {i: shingle_set(t) for i, t in texts.items()}
+def brute_components(texts, percent=90, k=3):
+    sets = {i: shingle_set(t, k) for i, t in texts.items()}
     parent = {i: i for i in sets}
 
     def find(x):

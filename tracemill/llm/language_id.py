@@ -25,6 +25,8 @@ BITS = 17
 SAMPLE_CHARS, WIDE = 1_500_000, 16
 #: Words times languages that are labelled at once.
 CELLS = 1 << 21
+#: Languages up to which the table of their rates is broadcast; beyond that it is joined by shuffle.
+BROADCAST = 10_000
 UNKNOWN = "und"
 
 
@@ -212,7 +214,8 @@ def learn(docs: DataFrame, chars: int = SAMPLE_CHARS) -> Model | None:
         top = max(share.bit_length() - 2, min(r["size"] for r in own))  # the lengths of 2**size to 2**(size + 1) that fit
         n, total = (sum(r[c] for r in own if r["size"] <= top) for c in ("n", "chars"))
         rates.append((lang, top, 1.0 if n <= 50 else min(1.0, 4 * share / total + 30 / n)))  # rows of about four shares, so that one is filled
-    some = rows.join(docs.sparkSession.createDataFrame(rates, "lang string, top int, rate double"), "lang").where((size <= F.col("top")) & (F.pmod(F.col("h"), F.lit(1 << 20)) + 0.0 < F.col("rate") * (1 << 20)))
+    table = docs.sparkSession.createDataFrame(rates, "lang string, top int, rate double")
+    some = rows.join(F.broadcast(table) if len(rates) <= BROADCAST else table, "lang").where((size <= F.col("top")) & (F.pmod(F.col("h"), F.lit(1 << 20)) + 0.0 < F.col("rate") * (1 << 20)))
     order = Window.partitionBy("lang").orderBy("h", "text")
     ahead = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     # the first row stays whatever its length

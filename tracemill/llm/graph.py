@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark remove what nothing refers to any more: shuffle files and broadcasts of plans that a checkpoint has cut off.
+
+    Spark's cleaner does that when the driver's garbage is collected, which on its own may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame) -> DataFrame:
     """A checkpointed table of ids, marked for broadcast if its counted rows allow it."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

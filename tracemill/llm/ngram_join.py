@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import anew, checkpointed, merged, small
+from .graph import anew, checkpointed, merged, released, small
 from .kernels import entered, lists, map_batches, mix, shingles, slices, text_of
 
 _BUCKET_BITS, _CHUNKS = 21, 128
@@ -357,6 +357,7 @@ def _linked(docs: DataFrame, named: DataFrame, shared: DataFrame, percent: int,
         found = verified(docs, pairs, k, percent)
         new = found.count()
         labels, tried = merged(labels, found), pairs if tried is None else tried.unionByName(pairs)
+        released(docs.sparkSession)
 
     open_ = spread.withColumn("key", anew("token")).join(small(mixed.select(anew("token").alias("key"), "band", "major", "bm", "bo")), ["key", "band"]).drop("key")
     is_major = F.col("comp") == F.col("major")
@@ -372,6 +373,8 @@ def _linked(docs: DataFrame, named: DataFrame, shared: DataFrame, percent: int,
     dealt = units.select("token", "band", F.col("u.pair").alias("pair"), F.col("u.side").alias("side"), "visits", "cid", "n", "pos", "sig", "comp")
     crossed = dealt.repartition("token", "band", "pair").sortWithinPartitions("token", "band", "pair").mapInArrow(_across(percent), "a long, b long, gap long")
     second = checkpointed(fitting(crossed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), named, percent))
+    open_ = units = dealt = crossed = placed = spread = None
+    released(docs.sparkSession)
     return merged(labels, verified(docs, second, k, percent))
 
 
@@ -388,6 +391,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFr
     rows = checkpointed(shingle_sets(docs, k, percent, shingle_counts(docs, k)).withColumn("row", F.monotonically_increasing_id()))
     named = rows.where("n > 0 and doc_id is not null")
     shared = _postings(named, percent)
+    released(docs.sparkSession)
     reached = _linked(docs, named, shared, percent, k)
 
     label = named.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("cid")).join(reached.withColumnRenamed("id", "cid"), "cid", "left")

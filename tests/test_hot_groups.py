@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tracemill.operators import rounds
+from tracemill.operators import nearest, rounds
 from tracemill.operators import search_tree as T
 from tracemill.operators import similar as D
 from tracemill.operators import triage as G
@@ -67,11 +67,11 @@ def test_stages_speak_in_order(spark, method, expected):
     assert found == {2: ("hash", 1), 3: (expected, 1)}
 
 
-def test_nearest_by_cosine_and_distance(spark, monkeypatch):
+def test_nearest_by_cosine_and_distance(spark, monkeypatch):  # exact, in slices and blocks of about three
     rng = random.Random(9)
     rows = [(i, i % 4, [rng.gauss(0, 1) for _ in range(5)]) for i in range(80)]
     df = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")
-    monkeypatch.setattr(G, "QUERIES_AT_ONCE", 3)
+    monkeypatch.setattr(nearest, "SLICE", 3)
     for metric in ("cosine", "l2"):
         dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
         near = lambda a, b: dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5 if metric == "cosine" else -(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5)  # noqa: B023, E731

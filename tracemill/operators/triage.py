@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import texts as T
+from .nearest import neighbours, probes_for, vector_index
 
 
 def with_verdicts(findings: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -80,54 +77,14 @@ def rule_lookup(findings: DataFrame, rules: DataFrame) -> DataFrame:
     return findings.join(rules, "test_id", "left").withColumn("level", F.coalesce("level", F.lit("warning")))
 
 
-#: Query vectors that are held against the train vectors at once: bounded bytes, whatever their number.
-QUERIES_AT_ONCE = 2_000
-
-
-def knn_votes(train: DataFrame, test: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """Label of each test vector: the majority among its k nearest train vectors other than itself (ties: higher mean similarity, then label).
+def knn_votes(train: DataFrame, test: DataFrame, k: int, metric: str = "cosine", lists: int = 1, recall: float = 0.95) -> DataFrame:
+    """Label of each test vector: the majority among its k nearest train vectors other than itself (ties: higher mean similarity, then lesser label).
 
-    Similarity is the cosine, or minus the distance for `l2`. `test` is the stated query set: it comes in
-    blocks of QUERIES_AT_ONCE, each held against all train vectors as they stream by; a task keeps k
-    candidates for each query of the block, and only those are shuffled.
+    Similarity is the cosine, or minus the distance for `l2`. Exact with one list; with more, each test vector asks as many of
+    its nearest lists of an index over all train vectors as give the recall on a sample of them (see `nearest`). A test vector without a
+    neighbour has no row.
     """
-    total = test.count()
-    blocks = max(1, -(-total // QUERIES_AT_ONCE))
-    own = test.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
-    near = None
-    for block in range(blocks if total else 0):
-        rows = own.where(F.col("block") == block).toArrow()
-        ids, q = np.asarray(rows.column("query_id")), np.array(rows.column("q").to_pylist(), np.float64)
-        shared = train.sparkSession.sparkContext.broadcast((ids, q))
-        part = train.select("vec_id", "label", "embedding").mapInArrow(_nearest(shared, k, metric), "query_id bigint, vec_id bigint, label int, sim double")
-        near = part if near is None else near.unionByName(part)
-    if near is None:
-        near = train.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, label int, sim double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
-    kept = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    index = vector_index(train, lists, metric)
+    kept = neighbours(index, test, k, probes_for(index, test, k, recall))
     votes = kept.groupBy("query_id", "label").agg(F.count("*").alias("votes"), F.round(F.avg("sim"), 6).alias("mean_sim"))
     return votes.groupBy("query_id").agg(F.max_by("label", F.struct("votes", "mean_sim", -F.col("label"))).alias("label"), F.max("votes").alias("votes"))
-
-
-def _nearest(shared, k: int, metric: str):
-    """Streams train vectors past a block of queries; keeps the k nearest for each query, by similarity, then id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        length = np.maximum(np.linalg.norm(q, axis=1), 1e-300)
-        kept = [np.zeros((len(ids), 0))] * 3  # similarity, vector, label
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            vec, label = np.asarray(batch.column(0), np.float64), np.asarray(batch.column(1), np.float64)
-            x = np.array(batch.column(2).to_pylist(), np.float64)
-            sim = q @ x.T / length[:, None] / np.maximum(np.linalg.norm(x, axis=1), 1e-300) if metric == "cosine" else -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1) - 2 * q @ x.T, 0))
-            sim = np.where(ids[:, None] == vec, -np.inf, np.round(sim, 9))
-            all_ = [np.concatenate([a, np.broadcast_to(b, sim.shape)], 1) for a, b in zip(kept, (sim, vec, label), strict=True)]
-            order = np.lexsort((all_[1], -all_[0]), axis=1)[:, :k]
-            kept = [np.take_along_axis(a, order, 1) for a in all_]
-        some = np.isfinite(kept[0])
-        row = np.nonzero(some)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(kept[1][some].astype(np.int64)), pa.array(kept[2][some].astype(np.int32)), pa.array(kept[0][some])], ["query_id", "vec_id", "label", "sim"])
-
-    return run

@@ -154,6 +154,12 @@ def _(spark, d):
     return G.knn_votes(v, v.where("vec_id % 50 = 0"), 5)
 
 
+@query("vector_knn_indexed", None)
+def _(spark, d):
+    v = src.table(spark, d, "embeddings")
+    return G.knn_votes(v, v.where("vec_id % 50 = 0"), 5, lists=64)
+
+
 @query("vector_standardised", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM e GROUP BY 1) SELECT vec_id, round(sum(abs((x - m) / s)), 4) AS total, round(max((x - m) / s), 5) AS most FROM e JOIN s USING (i) GROUP BY 1")
 def _(spark, d):
     v = src.table(spark, d, "embeddings")

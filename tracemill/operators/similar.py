@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import texts as T
-from .rounds import checkpointed, numbered
+from .rounds import checkpointed, components, numbered
 
 
 def normal_text(x: Column) -> Column:
@@ -96,25 +96,121 @@ def same_places(x: Column, y: Column) -> Column:
     return F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda e: e)) / F.size(x).cast("double")
 
 
+def _postings(classes: DataFrame, perms: int, least: float) -> DataFrame:
+    """(band, key, doc_id) of the whole bands that two signatures at least share."""
+    bands = perms - math.ceil(least * perms) + 1
+    edges = [perms * i // bands for i in range(bands + 1)]
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("sig", lo + 1, hi - lo)).alias("key")) for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
+    ids = classes.select("doc_id", F.explode(keys).alias("k")).select("k.band", "k.key", "doc_id")
+    shared = ids.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1").select("band", "key")
+    return ids.join(shared, ["band", "key"])
+
+
 def minhash_pairs(signatures: DataFrame, perms: int, least: float) -> DataFrame:
     """Pairs whose signatures agree in at least the given share of places; equal signatures are one class, represented by its least doc_id.
 
     Signatures that miss at most d places agree in one of d + 1 bands of places at least, so that pairs
     are found through whole bands, each several places wide, and none is lost.
     """
-    bands = perms - math.ceil(least * perms) + 1
-    edges = [perms * i // bands for i in range(bands + 1)]
     classes = signatures.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.slice("sig", lo + 1, hi - lo)).alias("key")) for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
-    places = classes.select("doc_id", "sig", F.explode(keys).alias("k")).select("doc_id", "sig", "k.band", "k.key")
-    ids = places.select("doc_id", "band", "key")
-    shared = ids.groupBy("band", "key").agg(F.count("*").alias("m")).where("m > 1").select("band", "key")
-    ids = ids.join(shared, ["band", "key"])
+    ids = _postings(classes, perms, least)
     found = ids.withColumnRenamed("doc_id", "a").join(ids.withColumnRenamed("doc_id", "b"), ["band", "key"]).where("a < b").select("a", "b").distinct()
     both = found.join(classes.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(classes.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b")
     return both.select("a", "b", same_places(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= least)
 
 
+#: Members of a block of a band's members, of which pairs of blocks meet; and pairs of one signature that a task verifies.
+BLOCK, PAIRS = 256, 4_096
+#: Pairs that are verified without further rounds of leaders, which find the same classes.
+DIRECT = 100_000
+
+
+def minhash_classes(signatures: DataFrame, perms: int, least: float) -> DataFrame:
+    """(doc_id, class_id, copies): class_id is the least doc_id that links reach, a link being signatures that agree in at least the given share of places; copies counts the documents with the same signature, itself included.
+
+    No link between classes is lost, and no link inside one is looked for. The members of a shared band are held against one of them, which
+    is then done with there; this goes on while it finds links and there are many more pairs than members. Then, band by band, what
+    lies outside of its largest class is held against all of other classes, in blocks. So near copies cost a
+    row each, however many share a band. doc_ids are unique. A document without a signature is a class of its own; one without a doc_id counts nowhere.
+    """
+    signatures = signatures.where("doc_id is not null")
+    classes = checkpointed(signatures.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
+    postings = checkpointed(_postings(classes, perms, least))
+    labels, turn, found = None, 0, True
+    while True:
+        placed = _apart(postings, labels)
+        load = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+        pairs, rows = load.agg(F.sum((F.col("n") - F.col("most")) * F.col("n")), F.sum("n")).first()
+        if not pairs:
+            break
+        last = pairs <= max(DIRECT, 4 * rows) or not found
+        tried = _across(placed, load) if last else _led(placed, turn)
+        links = checkpointed(_verified(tried.select("a", "b").distinct(), classes, least))
+        found, turn = not links.isEmpty(), turn + 1
+        labels = _merged(labels, links)
+        if last:
+            break
+        leaders = tried.select("band", "key", F.col("a").alias("doc_id")).distinct()
+        postings = checkpointed(placed.select("band", "key", "doc_id").join(leaders, ["band", "key", "doc_id"], "left_anti"))
+    names = classes if labels is None else classes.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    named = names.select("sig", (F.col("doc_id") if labels is None else F.coalesce("component", "doc_id")).alias("class_id"))
+    copies = signatures.where("sig is not null").groupBy("sig").agg(F.count("*").alias("copies")).join(named, "sig")
+    both = signatures.select("doc_id", "sig").join(copies, "sig", "left")
+    return both.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
+def _apart(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Postings with their component, of bands whose members are of two components at least."""
+    if labels is None:
+        return checkpointed(postings.withColumn("component", F.col("doc_id")))
+    both = postings.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = both.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
+    return checkpointed(both.join(mixed, ["band", "key"], "left_semi"))
+
+
+def _led(placed: DataFrame, turn: int) -> DataFrame:
+    """(band, key, a, b): the member a of least hash in this turn with every member of another component."""
+    leader = placed.groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("a"), F.col("component").alias("ca"))).alias("l"))
+    return checkpointed(placed.join(leader.select("band", "key", "l.a", "l.ca"), ["band", "key"]).where("component <> ca").select("band", "key", "a", F.col("doc_id").alias("b")))
+
+
+def _across(placed: DataFrame, load: DataFrame) -> DataFrame:
+    """(a, b) of a band and two components: blocks outside of its largest component meet all blocks, two of the largest one never do."""
+    sizes = placed.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("m")).join(load.select("band", "key", F.col("n").alias("all")), ["band", "key"])
+    blocks = lambda c: F.greatest(F.ceil(c / BLOCK), F.lit(1)).cast("int")
+    main = main.select("band", "key", F.col("m.component").alias("largest"), blocks(F.col("m.n")).alias("inner"), blocks(F.col("all") - F.col("m.n")).alias("outer"))
+    inside = F.col("component") == F.col("largest")
+    own = F.when(inside, F.pmod(F.xxhash64("doc_id"), F.col("inner"))).otherwise(F.col("inner") + F.pmod(F.xxhash64("doc_id"), F.col("outer"))).cast("int")
+    cut = placed.join(main, ["band", "key"]).withColumn("own", own)
+    outer = cut.where(~inside).select("band", "key", F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("doc_id").alias("a"), F.col("component").alias("ca"))
+    whole = cut.select("band", "key", F.col("own").alias("i"), F.explode(F.sequence(F.greatest("own", "inner"), F.col("inner") + F.col("outer") - 1)).alias("j"), F.col("doc_id").alias("b"), F.col("component").alias("cb"))
+    return outer.join(whole, ["band", "key", "i", "j"]).where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs whose signatures agree in the share of places; the signature of an a with many pairs goes to slices of these."""
+    pairs = checkpointed(pairs)
+    slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("slices")).join(classes.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a")
+    wide = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("slices")).where("slices > 1")
+    dealt = pairs.join(wide, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("slices", F.lit(1))).cast("int").alias("slice"))
+    each = slices.select("a", "x", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    both = dealt.join(classes.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b").join(each, ["a", "slice"])
+    return both.where(same_places(F.col("x"), F.col("y")) >= least).select("a", "b")
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after further links, which are drawn between the components known before."""
+    if labels is None:
+        return components(links)
+    name = lambda c: labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_c"))
+    between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+    roots = components(between)
+    onward = roots.select(F.col("id").alias("component"), F.col("component").alias("root"))
+    known = labels.join(onward, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
+    return checkpointed(known.unionByName(roots.join(labels.select("id"), "id", "left_anti")))
+
+
 def staged_matches(scenarios: DataFrame, bucket: list[str], k: int = 50, method: str = "bow", cosine: float = 0.92, places: float = 0.82, dense: float = 0.9, vectors: DataFrame | None = None) -> DataFrame:
     """(doc_id, method, similarity, matched) of scenarios that repeat one of the last k of their bucket.
 

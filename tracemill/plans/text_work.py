@@ -117,6 +117,14 @@ def _(spark, d):
     return D.minhash_pairs(D.minhash(documents(spark, d)), 96, 0.82)
 
 
+@query("scenario_minhash_classes", None)
+def _(spark, d):
+    return D.minhash_classes(D.minhash(documents(spark, d)), 96, 0.82)
+
+
+ORACLES["scenario_minhash_classes"] = f"WITH RECURSIVE {_SH}, cls AS (SELECT min(doc_id) AS doc_id, sig, count(*) AS copies FROM sig GROUP BY sig), pl AS (SELECT doc_id, i, sig[i] AS v FROM cls, range(1, 97) r(i)), pr AS (SELECT a.doc_id AS a, b.doc_id AS b FROM pl a JOIN pl b USING (i, v) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING count(*) >= 79), reach AS (SELECT doc_id AS a, doc_id AS b FROM cls UNION SELECT r.a, p.b FROM reach r JOIN pr p ON p.a = r.b), least AS (SELECT a, min(b) AS class_id FROM reach GROUP BY 1) SELECT d.doc_id, coalesce(l.class_id, d.doc_id) AS class_id, coalesce(c.copies, 1) AS copies FROM sig d JOIN cls c USING (sig) JOIN least l ON l.a = c.doc_id"
+
+
 _LAST = "placed AS (SELECT doc_id, lang, source, norm, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS o FROM docs), pr AS (SELECT x.doc_id AS a, y.doc_id AS b, x.o - y.o AS back, x.norm = y.norm AS eq FROM placed x JOIN placed y ON x.lang IS NOT DISTINCT FROM y.lang AND x.source IS NOT DISTINCT FROM y.source AND x.o - y.o BETWEEN 1 AND 50)"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import texts as T
 
+#: The names of reasons, in order of precedence.
 REASONS = ("success_first_try", "success_after_fixer", "no_code", "syntax_error", "sast_tool_error", "unresolved_target_findings", "unresolved_off_target_findings", "judge_error", "functionality_low", "judge_insecure_no_sast", "unknown_failure")
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import labels
+
 DIFFICULTIES = ["very easy", "easy", "medium", "hard", "very hard"]
-SURFACES = ["User Inputs & Data", "Web Outputs & Rendering", "Storage & Filesystem", "Authentication & Access Control", "Data Exchange & External Services", "Execution Environment & Infrastructure"]
+SURFACES = list(labels.SURFACES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +35,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RUNS = """runs AS (SELECT o_orderkey AS run_id, o_custkey AS node_id, c_mktsegment AS model, 5 - CAST(substr(o_orderpriority, 1, 1) AS INT) AS difficulty_rank,
  ['very easy','easy','medium','hard','very hard'][6 - CAST(substr(o_orderpriority, 1, 1) AS INT)] AS difficulty,
- ['User Inputs & Data','Web Outputs & Rendering','Storage & Filesystem','Authentication & Access Control','Data Exchange & External Services','Execution Environment & Infrastructure'][o_custkey % 6 + 1] AS surface,
+ """ + str(SURFACES) + """[o_custkey % 6 + 1] AS surface,
  CAST(1 + o_orderkey % 3 AS INT) AS phase, o_orderstatus = 'F' AS success, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS judge_is_secure,
  CAST(1 + o_orderkey % 4 AS INT) AS attempts, o_orderkey % 5 = 0 AS used_fixer, CASE WHEN o_orderstatus <> 'P' THEN (o_custkey % 100) / 128e0 END AS judge_risk,
  (o_orderkey % 101) / 128e0 AS functionality, list_sort(list_distinct(['C' || (o_custkey % 7), 'C' || (o_orderkey % 11)])) AS concepts,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracemill.operators import artefact_tables as A
 from tracemill.operators import error_text as E
 from tracemill.operators import learned as L
+from tracemill.operators.rounds import checkpointed
 from tracemill.operators import nested as N
 
 
@@ -142,3 +143,11 @@ def test_index_in_chunks(spark):
     assert [r.problems for r in found] == [30] * 13 + [10]
     expected = [k for k, _, _, _ in sorted(rows, key=lambda r: (r[1] is not None, (r[1] or "").encode(), r[0]))]
     assert [i for r in found for i in r.node_ids] == expected
+
+
+def test_rounds_of_chains_follow_the_largest_run(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(L, "checkpointed", lambda df: rounds.append(1) or checkpointed(df))
+    rows = [(run, k, 3 - k) for run in range(300) for k in (1, 2)]  # cycles of two
+    found = L.duplicate_roots(spark.createDataFrame(rows, "run_id int, ord bigint, duplicate_of bigint")).collect()
+    assert len(found) == 600 and {r.root for r in found} == {1} and len(rounds) <= 4

@@ -122,3 +122,9 @@ def test_shares_sum_to_one(spark):
     rows = catalog.QUERIES["root_cause_share"](spark, FOLDER).groupBy("model").agg(F.sum("share").alias("s")).collect()
     assert all(abs(r.s - 1) < 1e-4 for r in rows)
     assert src.runs(spark, FOLDER).count() == src.table(spark, FOLDER, "orders").count()
+
+
+def test_rules_search_a_text_once_for_each_field(spark):
+    df = spark.createDataFrame([(1, "Difficulty: easy", "easy", None, ["CWE-1"])], "id int, text string, difficulty string, surface string, expected array<string>")
+    plan = Q.validate(df)._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.count("regexp_extract_all(") <= len(Q.DIFFICULTY_FIELDS) + len(Q.SURFACE_FIELDS) + 2

@@ -128,3 +128,10 @@ def test_rules_search_a_text_once_for_each_field(spark):
     df = spark.createDataFrame([(1, "Difficulty: easy", "easy", None, ["CWE-1"])], "id int, text string, difficulty string, surface string, expected array<string>")
     plan = Q.validate(df)._jdf.queryExecution().analyzed().toString()
     assert 0 < plan.count("regexp_extract_all(") <= len(Q.DIFFICULTY_FIELDS) + len(Q.SURFACE_FIELDS) + 2
+
+
+def test_evidence_holds_no_set_of_runs(spark):
+    f = spark.createDataFrame([(1, "CWE-1", "B1")] * 3 + [(2, "CWE-1", "B1"), (2, "CWE-2", "B1"), (None, "CWE-1", "B1")], "run_id bigint, cwe string, test_id string")
+    found = X.evidence_patterns(f, spark.createDataFrame([(1, "easy"), (2, "hard")], "run_id bigint, difficulty string"))
+    assert {(r.cwe, r.frequency, r.occurrences, r.by_difficulty) for r in found.collect()} == {("CWE-1", 2, 4, "easy=1,hard=1"), ("CWE-2", 1, 1, "hard=1")}
+    assert "distinct run_id" not in found._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -81,3 +81,34 @@ def test_nearest_by_cosine_and_distance(spark, monkeypatch):  # exact, in slices
             labels = {c: [-s for s, _, k in best if k == c] for _, _, c in best}
             expected[i] = max(labels, key=lambda c: (len(labels[c]), round(sum(labels[c]) / len(labels[c]), 6), -c))
         assert {r.query_id: r.label for r in G.knn_votes(df, df.where("vec_id < 8"), 5, metric).collect()} == expected
+
+
+@pytest.mark.parametrize("method", ["bow", "minhash"])
+def test_staged_matches_across_blocks(spark, monkeypatch, method):
+    monkeypatch.setattr(D, "STRETCH", 2)
+    rng = random.Random(3)
+    base = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(6)]
+    texts = [rng.choice(base) + rng.choice(["", " more", f" tail{i}", " <b>"]) for i in range(90)] + [None, "", "?"]
+    docs = spark.createDataFrame([(i, "a" if i % 5 else None, t) for i, t in enumerate(texts)], "doc_id bigint, bucket string, text string")
+    plain = {r.doc_id: r.norm for r in docs.select("doc_id", D.normal_text(docs.text).alias("norm")).collect()}
+    vector = {i: dict(D._weights(t, 384)) for i, t in plain.items() if t}
+    signature = {i: D._signature(t, 96, 3) for i, t in plain.items() if t}
+
+    def near(a, b):
+        if method == "bow":
+            return round(sum(x * vector[b].get(t, 0) for t, x in vector[a].items()), 6) >= 0.92
+        return signature[a] is not None and signature[b] is not None and (signature[a] == signature[b]).mean() >= 0.82
+
+    expected = {}
+    for bucket in (0, 1):
+        ids = [i for i in plain if (i % 5 > 0) == bucket]
+        for n, i in enumerate(ids):
+            before = ids[max(0, n - 4) : n]
+            same = [j for j in before if plain[i] is not None and plain[i] == plain[j]]
+            close = [j for j in before if plain[i] and plain[j] and near(i, j)]
+            if same or close:
+                expected[i] = ("hash", same[0]) if same else ("cosine" if method == "bow" else "minhash", close[0])
+    found = D.staged_matches(docs, ["bucket"], 4, method)
+    assert {r.doc_id: (r.method, r.matched) for r in found.collect()} == expected and len(expected) > 20
+    for made in (D.term_weights(docs), D.minhash(docs)):  # a text's terms and shingles stay where it is read
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()

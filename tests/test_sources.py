@@ -113,3 +113,11 @@ def test_run_chains_and_bundles(spark, tmp_path):
     digest, count = sinks.manifest_digest(sinks.source_manifest(spark, str(tmp_path / "src"), "*.py"), str(tmp_path / "src"))
     plain = hashlib.sha256("".join(f"{n}\0{hashlib.sha256(x.encode()).hexdigest()}\n" for n, x in (("a.py", "a"), ("d/b.py", "b"))).encode()).hexdigest()
     assert (digest, count) == (plain, 2)
+
+
+def test_long_texts_go_to_python_a_few_at_a_time(spark):
+    df = spark.createDataFrame([("load(a)",), (None,)], "c string")
+    found = df.select(P.code_facts("c").alias("f"), P.code_blocks("c").alias("b")).where("size(f.called) > 0")
+    assert [r.f.called for r in found.collect()] == [["load"]]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("facts(") <= 2 and "facts(" in plan

@@ -151,3 +151,10 @@ def test_rounds_of_chains_follow_the_largest_run(spark, monkeypatch):
     rows = [(run, k, 3 - k) for run in range(300) for k in (1, 2)]  # cycles of two
     found = L.duplicate_roots(spark.createDataFrame(rows, "run_id int, ord bigint, duplicate_of bigint")).collect()
     assert len(found) == 600 and {r.root for r in found} == {1} and len(rounds) <= 4
+
+
+def test_lemmas_of_distinct_words_only(spark):
+    rows = [("a", "Test Failures: It fails. Failing again, failed!")]
+    found = E.error_counts(spark.createDataFrame(rows, "c string, r string"), "r", spark.createDataFrame([("f", "failure fail")], "kind string, keyword string"), "c")
+    assert {(r.level, r.error, r.n) for r in found.collect()} == {("c", "f", 2), ("total", "f", 2)}
+    assert "transform(" not in found._jdf.queryExecution().analyzed().toString().lower()

@@ -66,13 +66,15 @@ def error_counts(reports: DataFrame, text: str, keywords: DataFrame, *by: str) -
     error is the kind with its section's prefix. A sentence counts once for each kind; a keyword of several
     words counts with each. Rows carry the value of one column of `by` and null in the others, or null in all
     for the total, and `level` names that column (`total`). Words are runs of a-z. Equal sentences and
-    reports count again; a null value of a column is a value.
+    reports count again; a null value of a column is a value. Lemmas are found once for each distinct word; what is
+    broadcast are the keywords' lemmas and the words that have one of these, which are few whatever the reports.
     """
     number = F.monotonically_increasing_id()
     said = sentences(reports, text, *by).withColumn("words", F.array_distinct(F.regexp_extract_all("sentence", F.lit("[a-z]+"), F.lit(0)))).select(*by, "prefix", "words")
     wanted = keywords.select("kind", F.explode(F.regexp_extract_all(F.lower("keyword"), F.lit("[a-z]+"), F.lit(0))).alias("w")).select("kind", lemma(F.col("w")).alias("lemma")).distinct()
-    lemmas = said.withColumn("sentence", number).select(*by, "prefix", "sentence", F.explode(F.array_distinct(F.transform("words", lemma))).alias("lemma"))
-    hits = lemmas.join(wanted, "lemma").select(*by, "sentence", F.concat("prefix", "kind").alias("error")).distinct()
+    known = said.select(F.explode("words").alias("w")).distinct().select("w", lemma(F.col("w")).alias("lemma")).join(F.broadcast(wanted), "lemma").select("w", "kind")
+    each = said.withColumn("sentence", number).select(*by, "prefix", "sentence", F.explode("words").alias("w"))
+    hits = each.join(F.broadcast(known), "w").select(*by, "sentence", F.concat("prefix", "kind").alias("error")).distinct()
     counted = hits.groupBy(*by, "error").agg(F.count("*").alias("n"))
     sets = [F.struct(F.lit(c).alias("level"), *[(F.col(x) if x == c else F.lit(None).cast(dict(counted.dtypes)[x])).alias(x) for x in by]) for c in (*by, "total")]
     return counted.select("error", "n", F.explode(F.array(*sets)).alias("g")).groupBy("g.level", *[f"g.{x}" for x in by], "error").agg(F.sum("n").alias("n"))

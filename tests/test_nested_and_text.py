@@ -71,6 +71,20 @@ def test_nested_averages_of_random_documents(spark):
     assert max(r.path.count("/") for r in found) > 5 and N.nested_averages(spark.createDataFrame([], "j string"), "j").collect() == []
 
 
+def test_nested_averages_read_a_text_once_and_as_spark_does(spark, monkeypatch):
+    """One pass, no checkpoint for each level; odd texts count as try_parse_json has them."""
+    odd = ['{"a": 1} x', '{"a": 1, "a": 2}', '{"a": NaN}', '{"a": 01}', ' {"a": 1e3}', '{"a": 123456789012345678901234567890}', '{"a": [{"difficulty": 1.50, "b": 2}, {"difficulty": true, "b": 3}, {"difficulty": 7, "b": 4}]}', '{"a":', "{'a': 1}", '{"a": "\t"}', "[]", "null"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, j string")
+    written = []
+    monkeypatch.setattr(type(df), "checkpoint", lambda self, *a: written.append(1) or self)
+    found = {}
+    for r in N.nested_averages(df, "j", "i").collect():
+        found.setdefault(r.i, {})[r.path] = r.total
+    parsed = {r.i for r in df.where("startswith(schema_of_variant(try_parse_json(j)), 'OBJECT')").collect()}
+    assert not written and found.keys() == parsed - {9}  # that one holds a text only
+    assert found[6] == {"/a/1.5/b": 2.0, "/a/1.5/difficulty": 1.5, "/a/true/b": 3.0, "/a/true/difficulty": 1.0, "/a/7/b": 4.0, "/a/7/difficulty": 7.0} and found[5] == {"/a": 123456789012345678901234567890.0}
+
+
 LEMMAS = """errors error|failures failure|cases case|boxes box|classes class|matches match|queries query|tries try|tried try|values value|indices index|status status|process process|analysis analysis|is be|was be|wrote write
 running run|stopped stop|handling handle|handled handle|missing miss|missed miss|returning return|returned return|using use|used use|validating validate|initialized initialize|comparing compare|causing cause|raised raise|string string|nothing nothing|testing test
 tested test|failing fail|parsed parse|updating update|removed remove|receiving receive|enabled enable|forced force|managing manage|checked check|expected expect|assertions assertion|edges edge|need need|this this|thing thing|setting set|mapped map""".replace("\n", "|").split("|")

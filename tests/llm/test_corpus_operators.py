@@ -337,3 +337,27 @@ def test_quality_classifier_ties_and_clashing_columns(spark):
     twice = docs.unionByName(docs.selectExpr("doc_id + 100000 as doc_id", "text")).withColumn("score", F.lit("clash")).withColumn("kept", F.lit(5))
     rows = {r.doc_id: r for r in quality_model.score_documents(twice).collect()}
     assert len(rows) == 400 and all(rows[i].score == rows[i + 100000].score and rows[i].kept == (rows[i].score >= 0.5) for i in rows if i < 100000)
+
+
+def test_one_large_group_of_near_copies_gives_few_pairs_to_verify(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(120)]
+    texts = {}
+    for i in range(400):
+        w = list(base)
+        for p in rng.sample(range(0, 120, 5), rng.randrange(2, 6)):
+            w[p] = word()
+        texts[i] = " ".join(w)
+    pairs, verified = [], ngram_join.verified
+
+    def counted(docs, candidates, k, percent):
+        pairs.append(candidates.count())
+        return verified(docs, candidates, k, percent)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
+    docs = spark.createDataFrame([*texts.items()], "doc_id bigint, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, 80, 5).collect()}
+    assert found == brute_components(texts, 80, 5)
+    assert sum(pairs) <= 8 * len(texts), pairs

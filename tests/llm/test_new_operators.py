@@ -254,6 +254,14 @@ def test_alignment_equals_brute_force(spark, monkeypatch):
     assert sorted((tuple(r) for r in rows), key=str) == brute_alignment([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
 
 
+def test_alignment_cuts_blocks_to_rows_that_a_task_can_hold(spark):
+    """All of a block's links in one row made joins, sorts and batches hold many megabytes a row, and as many as a task reads blocks."""
+    docs = spark.createDataFrame([(k, f"{t} " * 3) for k, t in enumerate(random_texts(3000, 11))], "doc_id bigint, text string").coalesce(1)
+    rows = alignment._blocks(docs, *alignment.default_vocabularies())
+    most = rows.selectExpr("max(size(pair))", "max(size(which))", "max(size(ends))", "sum(size(ends))").first()
+    assert most[0] <= 1_024 and most[1] <= 8_192 and most[2] <= 256 and most[3] == 3000
+
+
 def test_intervals_and_products():
     rng = random.Random(6)
     for _ in range(200):

@@ -5,9 +5,10 @@ finds the token that owns an interval, so each interval is one overlap of an A a
 and the product of a group's A and B tokens are its links. As every segment's end is shared (see segments), groups, links and
 overlaps are found once for each distinct segment.
 
-Corpus-wide counts of id pairs: documents are handled in blocks of bounded bytes. A block's row holds its documents' links as
-indices into the block's distinct pairs. Pairs are counted by block, summed over blocks by shuffle, and each block gets the counts
-of its own pairs back: what is shuffled follows the distinct pairs of blocks, not the links.
+Corpus-wide counts of id pairs: documents are handled in blocks of bounded bytes. A block's rows hold its documents' links as
+indices into the block's distinct pairs, some of each in a row. Pairs are counted by block, summed over blocks by shuffle, and each block
+gets the counts of its own pairs back, ahead of its links in a sort: what is shuffled follows the distinct pairs of blocks, not the links,
+and a task holds the counts of one block at a time, however many blocks it reads.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,14 @@ from .kernels import entered, holds, released, text_of
 
 #: Bytes of text whose documents are one block; a longer document is a block of its own.
 BLOCK = 4 << 20
+#: Pairs, documents and links of a row of a block at most, but for a document of more links; and bytes of a row group of the stored rows, which a reader has in memory at once.
+PAIRS, DOCUMENTS, LINKS, ROW_GROUP = 1_024, 256, 8_192, 8 << 20
+#: Distinct segments that a worker remembers, and encodes at once: with their pairs and digests one takes many times its bytes.
+MEMORY, TURN = 250_000, 1 << 14
 _PAIR = 32  # bits of a pair's B id
 
 FACTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
-BLOCKS = "pair array<long>, docs array<int>, ends array<int>, which array<int>, times array<int>, " + ", ".join(f"{x.split()[0]} array<{x.split()[1]}>" for x in FACTS.split(", "))
+BLOCKS = "block long, piece int, pair array<long>, docs array<int>, ends array<int>, which array<int>, times array<int>, " + ", ".join(f"{x.split()[0]} array<{x.split()[1]}>" for x in FACTS.split(", "))
 RESULT = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
@@ -91,7 +97,7 @@ class Aligned:
     def __init__(self, a_path: str, b_path: str) -> None:
         self.a, self.b = segments.byte_level(a_path, False), Pieces(b_path)
         self.text: list[bytes] = []
-        self.memory = segments.Memory(self.encode, self.KINDS)
+        self.memory = segments.Memory(self.encode, self.KINDS, MEMORY, TURN)
 
     def encode(self, new: list[bytes]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         if not self.memory.at:
@@ -218,35 +224,61 @@ def block(doc_id: pa.Array, texts: pa.Array, aligned: Aligned) -> dict[str, np.n
     }
 
 
+def _pieces(found: dict[str, np.ndarray | pa.Array]) -> Iterator[dict[str, np.ndarray | pa.Array]]:
+    """A block's row cut to rows that hold some of its pairs and some of its documents."""
+    pair, ends = found["pair"], found["ends"].astype(np.int64)
+    at = lo = 0
+    while at < len(pair) or lo < len(ends):
+        first = int(ends[lo - 1]) if lo else 0
+        hi = min(max(int(np.searchsorted(ends, first + LINKS, "right")), lo + 1), lo + DOCUMENTS, len(ends))
+        last = int(ends[hi - 1]) if hi else 0
+        cut = {k: found[k][at : at + PAIRS] for k in ("pair", "docs")} | {k: found[k][first:last] for k in ("which", "times")}
+        yield cut | {"ends": (ends[lo:hi] - first).astype(np.int32)} | {x.split()[0]: found[x.split()[0]][lo:hi] for x in FACTS.split(", ")}
+        at, lo = at + PAIRS, hi
+
+
 def _blocks(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     names = [x.split()[0] for x in BLOCKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entered(__name__)
         aligned = _aligned(a_path, b_path)
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in segments.by_bytes(batch, limit=BLOCK):
-                found = block(part.column(0), text_of(part), aligned)
-                columns = [x if isinstance(x := found[k], pa.Array) else pa.array(x) for k in names]
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names)
+                number += 1
+                for piece, row in enumerate(_pieces(block(part.column(0), text_of(part), aligned))):
+                    columns = [x if isinstance(x := row[k], pa.Array) else pa.array(x) for k in names[2:]]
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([piece], pa.int32()), *[pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]], names)
             released()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, BLOCKS)
 
 
-def _settled(blocks: DataFrame) -> DataFrame:
-    """Documents of blocks whose pairs have got their corpus-wide counts; counts: of pair k of the block at k, doubled, odd where it is its A id's highest."""
+def _settled(rows: DataFrame) -> DataFrame:
+    """Documents with the corpus-wide counts of their links' pairs. Rows come sorted by block: first its counts (at, counts), in stretches of PAIRS, then its documents.
+
+    A count is doubled, and odd where it is its A id's highest.
+    """
     kinds = [x.split() for x in FACTS.split(", ")]
     names = [k for k, _ in kinds[:-1]] + ["n_best", "count_sum", "groups_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entered(__name__)
+        now, told, by = None, [], np.zeros(0, np.int64)
         for batch in batches:
-            for k in range(batch.num_rows):
-                get = lambda name: batch.column(batch.schema.get_field_index(name))[k].values  # noqa: B023, E731
-                at, count = get("at").to_numpy(zero_copy_only=False), get("counts").to_numpy(zero_copy_only=False)
-                by = np.empty(len(at), np.int64)
-                by[at] = count
+            column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            for k, (number, counted) in enumerate(zip(column["block"].to_pylist(), column["counted"].to_pylist())):
+                get = lambda name: column[name][k].values  # noqa: B023, E731
+                if number != now:
+                    now, told, by = number, [], np.zeros(0, np.int64)
+                if counted:
+                    stretch = np.empty(len(column["at"][k]), np.int64)
+                    stretch[get("at").to_numpy(zero_copy_only=False)] = get("counts").to_numpy(zero_copy_only=False)
+                    told.append(stretch)
+                    continue
+                if told:
+                    by, told = np.concatenate(told), []
                 which, times, ends = (get(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("which", "times", "ends"))
                 doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
                 found = {x: get(x) for x, _ in kinds}
@@ -257,7 +289,7 @@ def _settled(blocks: DataFrame) -> DataFrame:
                 found |= {"n_best": pa.array(best), "count_sum": pa.array(total)}
                 yield pa.RecordBatch.from_arrays([found[x] for x in names], names)
 
-    return blocks.mapInArrow(run, FACTS.replace("groups_sha256", "n_best long, count_sum long, groups_sha256"))
+    return rows.mapInArrow(run, FACTS.replace("groups_sha256", "n_best long, count_sum long, groups_sha256"))
 
 
 def align_documents(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
@@ -273,13 +305,13 @@ def align_documents(docs: DataFrame, a_path: str | None = None, b_path: str | No
     a, b = default_vocabularies()
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/aligned-{uuid.uuid4().hex}"
-    _blocks(docs, a_path or a, b_path or b).withColumn("block", F.monotonically_increasing_id()).write.parquet(folder)
-    blocks = spark.read.parquet(folder)
-    held = blocks.select("block", F.posexplode(F.arrays_zip("pair", "docs"))).select("block", F.col("pos").alias("at"), "col.pair", "col.docs")
+    _blocks(docs, a_path or a, b_path or b).write.option("parquet.block.size", ROW_GROUP).parquet(folder)
+    blocks = spark.read.schema(BLOCKS).parquet(folder)
+    held = blocks.select("block", "piece", F.posexplode(F.arrays_zip("pair", "docs"))).select("block", "piece", F.col("pos").alias("at"), "col.pair", "col.docs")
     counts = held.groupBy("pair").agg(F.sum("docs").alias("n"))
     highest = counts.groupBy(F.shiftright("pair", _PAIR).alias("a")).agg(F.max("n").alias("most"))
     judged = counts.withColumn("a", F.shiftright("pair", _PAIR)).join(highest, "a").select("pair", (2 * F.col("n") + (F.col("n") == F.col("most")).cast("long")).alias("count"))
-    back = held.join(judged, "pair").groupBy("block").agg(F.collect_list(F.struct("at", "count")).alias("c")).select("block", F.col("c.at").alias("at"), F.col("c.count").alias("counts"))
-    empty = F.array().cast("array<int>"), F.array().cast("array<long>")
-    found = blocks.drop("pair", "docs").join(back, "block", "left").withColumns({"at": F.coalesce("at", empty[0]), "counts": F.coalesce("counts", empty[1])})
-    return _settled(found).select(*RESULT)
+    back = held.join(judged, "pair").groupBy("block", "piece").agg(F.collect_list(F.struct("at", "count")).alias("c")).select("block", "piece", F.lit(True).alias("counted"), F.col("c.at").alias("at"), F.col("c.count").alias("counts"))
+    found = blocks.drop("pair", "docs").where(F.size("ends") > 0).withColumn("counted", F.lit(False))
+    rows = found.unionByName(back, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.desc("counted"), "piece")
+    return _settled(rows).select(*RESULT)

@@ -82,10 +82,10 @@ def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Memory:
-    """Facts about segments: `encode` gives, for a list of segments, named runs of values (values, counts)."""
+    """Facts about segments: `encode` gives, for a list of segments (`turn` at once at most), named runs of values (values, counts); `most` segments are remembered."""
 
-    def __init__(self, encode: Callable[[list[bytes]], dict[str, tuple[np.ndarray, np.ndarray]]], kinds: dict[str, type]) -> None:
-        self.encode, self.kinds = encode, kinds
+    def __init__(self, encode: Callable[[list[bytes]], dict[str, tuple[np.ndarray, np.ndarray]]], kinds: dict[str, type], most: int = MEMORY, turn: int = 1 << 62) -> None:
+        self.encode, self.kinds, self.most, self.turn = encode, kinds, most, turn
         self.clear()
 
     def clear(self) -> None:
@@ -95,15 +95,17 @@ class Memory:
 
     def places(self, segments: list[bytes]) -> np.ndarray:
         """The run of each segment; runs of earlier calls stay valid until the next call only."""
-        if len(self.at) > MEMORY or self.bytes > MEMORY_BYTES:
+        if len(self.at) > self.most or self.bytes > MEMORY_BYTES:
             self.clear()
         at = self.at
         found = list(map(at.get, segments))
         if None in found:
             new = [s for s, run in zip(segments, found) if run is None]
-            for name, (values, counts) in self.encode(new).items():
-                self.runs[name].add(values, counts)
-            at.update(zip(new, range(len(at), len(at) + len(new))))
+            for k in range(0, len(new), self.turn):
+                some = new[k : k + self.turn]
+                for name, (values, counts) in self.encode(some).items():
+                    self.runs[name].add(values, counts)
+                at.update(zip(some, range(len(at), len(at) + len(some))))
             self.bytes += sum(map(len, new))
             found = list(map(at.__getitem__, segments))
         return np.array(found, np.int64)

@@ -1,10 +1,13 @@
 """Queries on generated code against their SQL, on words that end in keywords and on repeated and broken statements."""
 
 import random
+import re
 
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from tracemill import catalog
 from tracemill.functions import python_code as P
 
@@ -27,3 +30,17 @@ def test_words_that_end_in_keywords(spark, tmp_path, name):
     cursor = con.execute(catalog.ORACLES[name])
     at = [[x[0] for x in cursor.description].index(c) for c in df.columns]
     assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[k] for k in at) for r in cursor.fetchall())
+
+
+def test_facts_of_lines_are_the_facts_of_the_text(monkeypatch):
+    """Repeated statements are parsed once; texts that a line can't stand for are parsed whole, with the same facts and errors."""
+    rng = random.Random(8)
+    lines = ["x = 1", "f(a)", "if x: pass", "else: pass", "  y", "try: pass", "except E: pass", "@dec", "def f(): pass", "x = (1,", "2)", "'''", "# c", "", "x = 1 \\", "from a import b", "import c.d, e", "while 1: q.r()", "with o() as p: s()", "x=1\relse: 1", "if a:\r  b", "\ufeffx", "\x00", "a and b and c", "\ud800", "match x:"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 5))) for _ in range(4000)]
+    by_lines = [P.facts(t) for t in texts]
+    monkeypatch.setattr(P, "_by_lines", lambda code: None)
+    assert by_lines == [P.facts(t) for t in texts] and 500 < sum(f[0] for f in by_lines) < 3500
+    monkeypatch.undo()
+    seen, parse = [], P._parsed
+    monkeypatch.setattr(P, "_parsed", lambda code: seen.append(code) or parse(code))
+    assert [P.facts("\n".join(["one_call(1)", f"other_{k % 3}(2)"] * 9))[5] for k in range(50)] == [18] * 50 and len(seen) <= 4

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from ..functions import python_code as P
@@ -29,10 +31,15 @@ _WORDS = "w AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text,
 
 def programs(spark, d):
     """Documents as programs: every word of a text is one statement, whose kind follows from its length."""
-    statement = lambda w: F.concat(F.lit("f_"), w)
-    kinds = lambda w: [(F.concat(statement(w), F.lit("(1)"))), F.concat(F.lit("import "), statement(w)), F.concat(F.lit("if "), statement(w), F.lit(": pass")), F.concat(F.lit("def "), statement(w), F.lit("(): pass")), F.concat(F.lit("x = a and "), statement(w), F.lit(" and c")), F.concat(F.lit("class "), statement(w), F.lit(": pass"))]
+    forms = [("f_", "(1)"), ("import f_", ""), ("if f_", ": pass"), ("def f_", "(): pass"), ("x = a and f_", " and c"), ("class f_", ": pass")]
+
+    def statement(w):  # a choice, so that one of the six is made for a word
+        made = [F.concat(F.lit(head), w, F.lit(tail)) for head, tail in forms]
+        kind = F.length(w) % len(forms)
+        return functools.reduce(lambda rest, k: F.when(kind == k, made[k]).otherwise(rest), range(len(forms) - 1), made[-1])
+
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]{2,}"), F.lit(0))
-    code = F.array_join(F.transform(words, lambda w: F.element_at(F.array(*kinds(w)), (F.length(w) % 6 + 1).cast("int"))), "\n")
+    code = F.array_join(F.transform(words, statement), "\n")
     return src.table(spark, d, "documents").select("doc_id", code.alias("code"))
 
 

@@ -44,3 +44,10 @@ def test_facts_of_lines_are_the_facts_of_the_text(monkeypatch):
     seen, parse = [], P._parsed
     monkeypatch.setattr(P, "_parsed", lambda code: seen.append(code) or parse(code))
     assert [P.facts("\n".join(["one_call(1)", f"other_{k % 3}(2)"] * 9))[5] for k in range(50)] == [18] * 50 and len(seen) <= 4
+
+
+def test_signatures_by_case_and_place(spark):
+    texts = ["EVAL (x)", "Pickle.Loads (b)", "pickle . load(b)", "yaml.load(x)", "subprocess.run(\nshell = True)", "tarfile.open(x).extractall (", "zipfile.Z(y).EXTRACTALL(", "ET.fromstring(x) etree.fromstring(y)", "select a \\.format", "İnsert x \\x%", None, ""]
+    found = [r.s for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", P.code_signatures(F.col("t")).alias("s")).sort("k").collect()]
+    plain = [sorted(n for n, p in P.SIGNATURES.items() if P._compiles(p) and re.search(f"(?im){p}", t or "", re.ASCII)) for t in texts]
+    assert found == plain and found[0] == ["eval_exec"] and found[8] == ["sql_string_format"]

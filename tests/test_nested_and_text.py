@@ -172,3 +172,27 @@ def test_lemmas_of_distinct_words_only(spark):
     found = E.error_counts(spark.createDataFrame(rows, "c string, r string"), "r", spark.createDataFrame([("f", "failure fail")], "kind string, keyword string"), "c")
     assert {(r.level, r.error, r.n) for r in found.collect()} == {("c", "f", 2), ("total", "f", 2)}
     assert "transform(" not in found._jdf.queryExecution().analyzed().toString().lower()
+
+
+@pytest.mark.parametrize("most", [100_000, 6])
+def test_chains_are_followed_run_by_run(spark, monkeypatch, most):
+    """Runs that a task can hold are followed where they are read, without stored rounds; larger ones by joins, to the same places."""
+    rng = random.Random(9)
+    rows = [(run, k, rng.choice([None, k, rng.randrange(1, 14), -5]), rng.randrange(3), rng.choice(["A", "B", None]), rng.choice(["LOW", "MEDIUM", "HIGH"])) for run in range(400) for k in range(1, rng.randrange(2, 12))]
+    rows += [(None, 1, 2, 0, "A", "LOW"), (1, None, 1, 0, "A", "LOW")]
+    place = {(run, k): (to, line, cwe) for run, k, to, line, cwe, _ in rows}
+    expected = defaultdict(list)
+    for run, k, _, _, _, severity in rows[:-2]:
+        seen, at = [], k
+        while at not in seen and place[run, at][0] not in (None, at) and (run, place[run, at][0]) in place:
+            seen.append(at)
+            at = place[run, at][0]
+        at = min(seen[seen.index(at) :]) if at in seen else at
+        expected[run, *place[run, at][1:]].append((k, severity))
+    worst = lambda xs: max((s for _, s in xs), key=["LOW", "MEDIUM", "HIGH"].index)
+    plain = {(run, min(xs)[0], line, cwe, worst(xs), len(xs) - 1) for (run, line, cwe), xs in expected.items()}
+    monkeypatch.setattr(L, "RUN", most)
+    rounds = []
+    monkeypatch.setattr(L, "checkpointed", lambda df: rounds.append(1) or checkpointed(df))
+    findings = spark.createDataFrame(rows, "run_id int, ord bigint, duplicate_of bigint, line int, cwe string, severity string")
+    assert {tuple(r) for r in L.collapse_duplicates(findings).collect()} == plain and (len(rounds) == 1) == (most > 6)
